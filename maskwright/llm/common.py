@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,20 @@ def encode_slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, group
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Ship this package to the workers where their PYTHONPATH doesn't have it."""
+    root = Path(__file__).resolve().parents[2]
+    known = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in known or getattr(spark.sparkContext, "_maskwright_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "maskwright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in (root / "maskwright").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._maskwright_shipped = True
+
+
 def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
     """Run ``fn`` on each Arrow batch of ``df``; a narrow step, no shuffle."""
 
@@ -53,6 +69,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable
             if batch.num_rows:
                 yield from fn(batch)
 
+    ensure_importable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -76,6 +93,3 @@ def bucket_sample(rows: DataFrame, label: str, doc_id: str, per_label: int) -> D
         .select("label", F.col("m.doc_id").alias("doc_id"))
     )
 
-
-def temp_dir() -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR"))

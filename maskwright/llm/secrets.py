@@ -291,3 +291,12 @@ def digest(found: DataFrame) -> DataFrame:
         "n_layers",
         "n_refused",
     )
+
+
+def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``redact_secrets`` for the documents table: a column ``n_chars`` follows the new text."""
+    out = redact_secrets(docs, "text", mark)
+    if "n_chars" not in docs.columns:
+        return out
+    changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNull(), F.col("n_chars")).otherwise(changed))

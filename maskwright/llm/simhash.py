@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from maskwright.llm.common import ensure_checkpoint_dir, map_rows
+from maskwright.llm.common import ensure_checkpoint_dir, ensure_importable, map_rows
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 2, 20_000
 #: Hashes that are turned into bits at once.
@@ -213,6 +213,7 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
         if held:
             yield from flush(np.ascontiguousarray(np.concatenate(held)))
 
+    ensure_importable(rows.sparkSession)
     return rows.mapInArrow(run, "a long, b long")
 
 
