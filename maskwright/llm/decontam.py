@@ -78,7 +78,8 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     probes = bounded_broadcast(sketches(items, threshold), MAX_BROADCAST_ROWS)
     # explode() would put a filter on the array's size below the step that makes it, and so make
     # it twice, with the words cut again for each shingle; explode_outer does not
-    rows = hashed(docs).select("id", F.size("h").alias("n"), F.explode_outer("h").alias("h"))
+    counted = hashed(docs).select("id", F.size("h").alias("n"), "h")  # else each exploded row carries the array
+    rows = counted.select("id", "n", F.explode_outer("h").alias("h"))
     return rows.join(probes, "h").where("n >= least").select("id", "item").distinct()
 
 
