@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import bounded_broadcast
+from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketch rows and candidate pairs that may be broadcast (about 20 bytes a row).
@@ -31,23 +31,25 @@ MAX_BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def shingle_hashes(w: str, wh: str) -> Column:
-    """64-bit hashes of the shingles of columns of words and their hashes, repeats included."""
-    n = F.size(w)
-    many = F.transform(
-        F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.xxhash64(*(F.get(F.col(wh), i + k - 1) for k in range(WIDTH)))
-    )
-    return F.when(n >= WIDTH, many).when(n > 0, F.array(F.xxhash64(F.array_join(F.col(w), " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def hashed(df: DataFrame) -> DataFrame:
-    """(id, h): the shingle hashes of (id, text) rows as one array, repeats included."""
+    """(id, n, h): a row for each shingle of (id, text) rows, repeats included, with its 64-bit
+    hash; n is the number of shingles of the text. A text without words has no rows.
+
+    The words are zipped with themselves shifted, exploded and hashed in generated code:
+    a lambda over the words would be interpreted for each shingle. The explode is an outer
+    one, as else a filter on the array's size would be put below the step that makes it.
+    """
     w = df.select("id", words(F.col("text")).alias("w"))
-    w = w.select("id", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("wh"))
-    return w.select("id", shingle_hashes("w", "wh").alias("h"))
+    w = w.select("id", F.size("w").alias("m"), "w")
+    shifted = F.arrays_zip(*(F.slice("w", F.lit(k + 1), F.greatest(F.col("m") - k, F.lit(0))).alias(f"w{k}") for k in range(WIDTH)))
+    few = F.array(F.struct(F.array_join("w", " ").alias("w0"), *(F.lit(None).cast("string").alias(f"w{k}") for k in range(1, WIDTH))))
+    long = w.select("id", "m", F.inline_outer(F.when(F.col("m") >= WIDTH, shifted).otherwise(few))).toDF("id", "m", *(f"w{k}" for k in range(WIDTH)))
+    long = long.where(F.when(F.col("m") >= WIDTH, F.col(f"w{WIDTH - 1}").isNotNull()).otherwise(F.col("m") > 0))
+    h = F.when(F.col("m") >= WIDTH, F.xxhash64(*(f"w{k}" for k in range(WIDTH)))).otherwise(F.xxhash64("w0"))
+    return long.select("id", F.greatest(F.col("m") - WIDTH + 1, F.lit(1)).alias("n"), h.alias("h"))
 
 
 def with_shingles(df: DataFrame, name: str) -> DataFrame:
@@ -63,10 +65,10 @@ def with_shingles(df: DataFrame, name: str) -> DataFrame:
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
     """(h, item, least): the sketch of each item and the shingles a document must have."""
-    sets = hashed(items).select("id", F.array_sort(F.array_distinct("h")).alias("h")).distinct()
+    rows = items.select(F.struct("id", "text").alias("id"), "text").distinct()  # two texts of one id are two sets
+    sets = hashed(rows).groupBy("id").agg(F.array_sort(F.collect_set("h")).alias("h")).select(F.col("id.id").alias("id"), "h")
     n = F.size("h")
     floor = F.floor(F.log2(n))
-    # no shingles: log2(0) is null, so is k, and the item has a null hash that joins nothing
     low, high = F.pow(F.lit(2), floor), F.pow(F.lit(2), floor + 1) - 1
     need = lambda size: F.ceil(F.lit(threshold) * size - 1e-9)
     k = F.least(n, (high - need(high) + 1).cast("int"))
@@ -78,8 +80,7 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     probes = bounded_broadcast(sketches(items, threshold), MAX_BROADCAST_ROWS)
     # explode() would put a filter on the array's size below the step that makes it, and so make
     # it twice, with the words cut again for each shingle; explode_outer does not
-    counted = hashed(docs).select("id", F.size("h").alias("n"), "h")  # else each exploded row carries the array
-    rows = counted.select("id", "n", F.explode_outer("h").alias("h"))
+    rows = hashed(docs)
     return rows.join(probes, "h").where("n >= least").select("id", "item").distinct()
 
 
@@ -87,7 +88,8 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     """One row per document and contained item: doc_id, item_id, n_item, n_found, containment."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     i = items.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text"))
-    pairs = candidates(d, i, threshold)
+    ensure_checkpoint_dir(docs.sparkSession)
+    pairs = candidates(d, i, threshold).checkpoint()  # read twice below; the search runs once
     own = with_shingles(i.select(F.col("id").alias("item_key"), "text"), "item_shingles").distinct()
     asked = pairs.join(own, F.col("item").eqNullSafe(F.col("item_key"))).select(F.col("id").alias("doc_key"), "item", "item_shingles")
     texts = d.join(pairs.select(F.col("id").alias("doc_key")).distinct(), F.col("id").eqNullSafe(F.col("doc_key")), "left_semi")
