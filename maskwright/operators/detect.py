@@ -25,10 +25,11 @@ def detect(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text_col:
         "_keep",
         *(S.find_all(F.col("_folded"), p.regex, p.guard).alias(f"_m{i}") for i, p in enumerate(patterns)),
     )
-    made = [
-        F.transform(
+
+    def as_spans(i: int, p: Pattern) -> Column:
+        return F.transform(
             f"_m{i}",
-            lambda m, p=p, i=i: F.struct(
+            lambda m: F.struct(
                 m["start"].alias("start"),
                 m["end"].alias("end"),
                 F.substring(F.col("_text"), m["start"] + 1, m["end"] - m["start"]).alias("text"),
@@ -38,8 +39,8 @@ def detect(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text_col:
                 F.lit(i).alias("priority"),
             ),
         )
-        for i, p in enumerate(patterns)
-    ]
+
+    made = [as_spans(i, p) for i, p in enumerate(patterns)]
     free = lambda s: ~F.exists("_keep", lambda k: S.overlaps(s, k))
     return found.select(*kept, F.filter(F.concat(*made), free).alias(out))
 
@@ -49,18 +50,15 @@ def detect_simple(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = [S.find_all(text, p.regex).alias(f"_m{i}") for i, p in enumerate(patterns)]
     found = docs.select(F.col(id_col), *cols)
-    rows = None
-    parts = []
-    for i, p in enumerate(patterns):
-        group = lambda m, p=p: F.regexp_extract(m["text"], p.regex.replace(r"\b", ""), 1)
-        parts.append(
-            F.transform(
-                f"_m{i}",
-                lambda m, p=p, group=group: F.struct(
-                    F.lit(p.pii_type).alias("pii_type"), (m["start"] + F.instr(m["text"], group(m)) - 1).alias("start"), group(m).alias("text")
-                ),
-            )
-        )
+
+    def as_rows(i: int, p: Pattern) -> Column:
+        def one(m: Column) -> Column:
+            group = F.regexp_extract(m["text"], p.regex.replace(r"\b", ""), 1)
+            return F.struct(F.lit(p.pii_type).alias("pii_type"), (m["start"] + F.instr(m["text"], group) - 1).alias("start"), group.alias("text"))
+
+        return F.transform(f"_m{i}", one)
+
+    parts = [as_rows(i, p) for i, p in enumerate(patterns)]
     rows = found.select(F.col(id_col), F.explode_outer(F.concat(*parts)).alias("s")).where("s is not null")
     return rows.select(id_col, "s.pii_type", "s.start", (F.col("s.start") + F.length("s.text")).alias("end"), "s.text")
 
@@ -95,7 +93,7 @@ def merge_regex_model(regex: DataFrame, model: DataFrame, id_col: str = "doc_id"
     m = model.select(id_col, "start", "end", "pii_type")
     hit = m.join(cover, (m[id_col] == cover[id_col]) & (m["start"] < cover["ce"]) & (cover["cs"] < m["end"]), "left")
     covered = hit.groupBy(m[id_col], "start", "end", "pii_type").agg(
-        F.coalesce(F.sum(F.least("end", "ce") - F.greatest("start", "cs")), F.lit(0)).alias("n")
+        F.sum(F.when(F.col("ce").isNull(), 0).otherwise(F.least("end", "ce") - F.greatest("start", "cs"))).alias("n")
     )
     kept = covered.where(F.col("n") < F.lit(share) * (F.col("end") - F.col("start"))).select(id_col, "start", "end", "pii_type", F.lit("slm").alias("source"))
     return regex.select(id_col, "start", "end", "pii_type", F.lit("regex").alias("source")).unionByName(kept)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 #: The plan catalogue (id, name, rate a minute, monthly tokens (-1: no limit), most keys, price in cents).
 PLANS = (
     ("free", "Free", 10, 1_000, 2, 0),
-    ("starter", "Starter", 60, 50_000, 5, 2_900),
-    ("business", "Business", 200, 500_000, 20, 9_900),
-    ("enterprise", "Enterprise", 1_000, -1, 100, 49_900),
+    ("starter", "Starter", 60, 50_000, 5, 1_900),
+    ("business", "Business", 200, 500_000, 20, 7_900),
+    ("enterprise", "Enterprise", 1_000, -1, 100, 0),
 )
 DEFAULT_PLAN = "free"
 ADMIN_LIMIT = 10

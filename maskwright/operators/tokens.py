@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions.frames import materialise
 from maskwright.functions.patterns import TOKEN, TOKEN_TYPES
 from maskwright.operators.detect import detect, fuse
 
@@ -105,7 +106,7 @@ def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, dig
     (tokenized: doc_id, tokenized, n_spans; entries: one row per request and distinct value with
     token, hash and value). Texts without a span skip the shuffles: they never reach the join.
     """
-    found = docs if spans_col else fuse(detect(docs))
+    found = materialise(docs if spans_col else fuse(detect(docs)))
     spans = spans_col or "spans"
     long = found.where(F.size(spans) > 0).select("doc_id", "org_id", "request_id", F.posexplode_outer(spans).alias("i", "s"))
     pads = keys.select("org_id", "ipad", "opad")
@@ -155,7 +156,7 @@ def rehydrate(docs: DataFrame, vault: DataFrame, keys: DataFrame, now: Column) -
 
     Tokens that are unknown, expired or do not decrypt stay. Texts without ``[#`` skip the join.
     """
-    found = docs.withColumn("_tokens", find_tokens(F.coalesce("text", F.lit(""))))
+    found = materialise(docs.withColumn("_tokens", find_tokens(F.coalesce("text", F.lit("")))))
     asked = found.where(F.contains("text", F.lit("[#"))).select("org_id", "request_id", F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null").distinct()
     live = vault.where(F.col("expires_at") > now)
     newest = live.groupBy("org_id", "request_id", "token_hash").agg(F.max_by("encrypted", "created_at").alias("encrypted"))
