@@ -111,7 +111,7 @@ def resolve_overlaps(spans: Column) -> Column:
     the longer, else to the one that was there."""
 
     def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
+        last = F.try_element_at(kept, F.lit(-1))
         clash = (F.size(kept) > 0) & (s["start"] < last["end"])
         longer = (s["end"] - s["start"]) > (last["end"] - last["start"])
         better = F.when((s["source"] == "regex") & (last["source"] != "regex"), True).when((s["source"] != "regex") & (last["source"] == "regex"), False).otherwise(longer)
@@ -126,7 +126,7 @@ def merge_adjacent(spans: Column, text: Column) -> Column:
     start = F.struct(F.array().cast(SPANS).alias("out"), text.alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
+        last = F.try_element_at(acc["out"], F.lit(-1))
         gap = s["start"] - last["end"]
         joined = F.struct(
             last["start"].alias("start"),
@@ -199,7 +199,7 @@ def merge_adjacent_typed(spans: Column, text: Column) -> Column:
     start = F.struct(F.array().cast(kind).alias("out"), text.alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
+        last = F.try_element_at(acc["out"], F.lit(-1))
         gap = F.substring(acc["text"], last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
         close = F.when(s["pii_type"] == "ind", gap.rlike("^[ ,]{1,2}$")).otherwise(gap == " ")
         joined = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["pii_type"].alias("pii_type"))
