@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -282,10 +283,10 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", p
 
 def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, spans (start, end, p)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
+    run, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def fn(batch: pa.RecordBatch):
-        scorer = _scorer(shared)
+        scorer = _scorer(run, shared)
         done = [scorer.score(t) for t in batch.column(1).to_pylist()]
         spans = [[{"start": s, "end": e, "p": p} for s, e, p in x] for _, x in done]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in done], pa.float64()), pa.array(spans, _SPANS)], ["doc_id", "score", "spans"])
@@ -297,25 +298,24 @@ def score_toxicity(docs: DataFrame, model: Field, id_col: str = "doc_id", text_c
     )
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
-def _scorer(shared) -> Scorer:
-    """One scorer for each model in a worker, so the word cache outlives a batch."""
-    key = id(shared.value)
-    if key not in _SCORERS:
+def _scorer(run: str, shared) -> Scorer:
+    """One scorer for each run in a worker, so the word cache outlives a batch and a task."""
+    if run not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(shared.value)
-    return _SCORERS[key]
+        _SCORERS[run] = Scorer(shared.value)
+    return _SCORERS[run]
 
 
 def drop_toxic(docs: DataFrame, model: Field, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows whose score is below ``threshold``, all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    run, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def fn(batch: pa.RecordBatch):
-        scorer = _scorer(shared)
+        scorer = _scorer(run, shared)
         yield batch.filter(pa.array([scorer.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return map_rows(docs, docs.schema, fn)
