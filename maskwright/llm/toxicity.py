@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from maskwright.llm.common import bucket_sample, held_out, map_rows
 
@@ -79,7 +80,7 @@ def _distinct_texts(texts: list[str]) -> list[str]:
     kept, seen = [], set()
     for text in texts:
         words = WORD.findall(text.lower())
-        grams = {hash(g) for g in zip(words, words[1:], words[2:], strict=False)} or {hash(tuple(words))}
+        grams = {xxh64_intdigest(" ".join(g)) for g in zip(words, words[1:], words[2:], strict=False)} or {xxh64_intdigest(" ".join(words))}
         keys = {("a", min(grams)), ("b", max(grams)), ("c", min(g ^ 0x5555555555555555 for g in grams))}
         if not keys & seen:
             kept.append(text)
