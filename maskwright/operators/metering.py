@@ -102,13 +102,27 @@ def usage_report(usage: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles: the value at rank max(1, ceil(p / 100 * n)) of each group."""
-    w = Window.partitionBy(*by).orderBy(value)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_r"), n.alias("_n"))
-    at = lambda p: F.max(F.when(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("_n"))), F.col("_v")))
-    return ranked.groupBy(*by).agg(*(at(p).alias(name) for name, p in percents.items()))
+def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: dict[str, float], cells: int = 1024) -> DataFrame:
+    """Nearest-rank percentiles: the value at rank max(1, ceil(p / 100 * n)) of each group.
+
+    A group's values are counted (a partial aggregate) in up to ``cells`` even cells between its
+    least and greatest value; running sums over the cells tell which cell holds a rank, and only
+    distinct values of such cells are put in order. So no task sorts a whole group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    edges = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("_n"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1))).otherwise(F.lit(0))
+    celled = counts.join(edges, by).withColumn("_c", part.cast("int"))
+    w = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = celled.groupBy(*by, "_n", "_c").agg(F.sum("_k").alias("_s")).withColumn("_upto", F.sum("_s").over(w))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("_n"))).alias("rank")) for name, p in percents.items())))
+    holds = (F.col("x.rank") <= F.col("_upto")) & (F.col("x.rank") > F.col("_upto") - F.col("_s"))
+    wanted = sums.select(*by, "_c", "_s", "_upto", asked.alias("x")).where(holds)
+    wanted = wanted.select(*by, "_c", F.col("x.name").alias("_name"), (F.col("x.rank") - (F.col("_upto") - F.col("_s"))).alias("_left"))
+    inside = celled.join(wanted.select(*by, "_c").distinct(), [*by, "_c"], "left_semi")
+    ordered = inside.select(*by, "_c", "_v", F.sum("_k").over(Window.partitionBy(*by, "_c").orderBy("_v")).alias("_cum"))
+    found = ordered.join(wanted, [*by, "_c"]).where(F.col("_cum") >= F.col("_left")).groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in percents))
 
 
 def usage_daily(calls: DataFrame) -> DataFrame:

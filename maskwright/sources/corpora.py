@@ -84,3 +84,11 @@ def normalize_keys(entities: Column) -> Column:
             either(x, "text", "t").alias("text"), either(x, "type", "y").alias("type"), either(x, "start", "s").alias("start"), either(x, "end", "e").alias("end")
         ),
     )
+
+
+def first_layout(columns: list[str]) -> Column:
+    """(layout, entities) of the first column, in the order given, that has entities."""
+    out = F.when(F.size(columns[0]) > 0, F.struct(F.lit(columns[0]).alias("layout"), F.col(columns[0]).alias("entities")))
+    for c in columns[1:]:
+        out = out.when(F.size(c) > 0, F.struct(F.lit(c).alias("layout"), F.col(c).alias("entities")))
+    return out.otherwise(F.struct(F.lit(columns[-1]).alias("layout"), F.col(columns[-1]).alias("entities")))

@@ -6,7 +6,6 @@ usage); the batch operators are the exact form.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskwright.functions import spans as S
+from maskwright.functions.frames import shared_folder
 from maskwright.functions.patterns import PATTERNS
 from maskwright.operators.metrics import org_pseudonym
 from maskwright.operators.tokens import hmac_hash
@@ -26,11 +26,6 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a table in the shared folder, and read it.
 
