@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.ranks import value_rank
 from maskwright.functions.spans import iou
 
 #: Targets of a report (metric, target, is a floor).
@@ -134,11 +135,11 @@ def equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def latency_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     """Mean, median and percentiles (value at index floor(n * p)), min, max, failures, tokens a second."""
-    w = Window.partitionBy(*by).orderBy("ms")
-    n = F.count("ms").over(Window.partitionBy(*by))
-    good = rows.where("ms is not null").withColumn("_r", F.row_number().over(w)).withColumn("_n", n)
+    timed = rows.where("ms is not null")
+    sizes = timed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    good = value_rank(timed, by, F.col("ms"), "ms", out="_r").join(sizes, by)
     at = lambda p: F.round(F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1) + 1, F.col("ms"))), 3)
-    half = F.round(F.avg(F.when(F.col("_r").isin(0) | (F.abs(2 * F.col("_r") - F.col("_n") - 1) <= 1), F.col("ms"))), 3)
+    half = F.round(F.avg(F.when(F.abs(2 * F.col("_r") - F.col("_n") - 1) <= 1, F.col("ms"))), 3)
     stats = good.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("ms"), 3).alias("mean"), half.alias("median"), *(at(p / 100).alias(f"p{p}") for p in (50, 75, 95, 99)),
         F.round(F.min("ms"), 3).alias("low"), F.round(F.max("ms"), 3).alias("high"), F.round(F.sum("tokens") / (F.sum("ms") / 1000), 3).alias("tokens_per_s"),

@@ -86,7 +86,7 @@ def gendered(ids: DataFrame, relations: DataFrame, names: DataFrame, seed: int =
     n = relations.agg(F.count(F.lit(1)).alias("_n"))
     first = ids.join(F.broadcast(n), how="cross").select("id", pick(F.col("id"), F.lit(f"{seed}:r"), F.col("_n")).alias("v")).join(relations, "v").drop("v")  # one row
     sizes = names.groupBy("gender").agg(F.count(F.lit(1)).alias("_k"))
-    second = first.join(F.broadcast(sizes), "gender").withColumn("v", pick(F.col("id"), F.lit(f"{seed}:n"), F.col("_k")))  # a row a gender
+    second = first.join(sizes, "gender").withColumn("v", pick(F.col("id"), F.lit(f"{seed}:n"), F.col("_k")))
     return second.join(names, ["gender", "v"]).select("id", "relation", "name")
 
 

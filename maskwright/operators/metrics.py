@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.ranks import value_rank
 from maskwright.operators.metering import nearest_rank
 
 #: Histogram bounds in milliseconds and the samples a summary looks back on.
@@ -24,8 +25,9 @@ def label_key(labels: Column) -> Column:
 
 
 def recent(events: DataFrame, by: list[str], last: int = LAST_SAMPLES) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id"))
-    return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= last).drop("_n")
+    """The ``last`` newest rows of each group; no task orders a whole group."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return value_rank(events, by, micros, "event_id", descending=True, out="_n").where(F.col("_n") <= last).select(*events.columns)
 
 
 def histogram_summary(events: DataFrame, by: list[str], last: int = LAST_SAMPLES) -> DataFrame:

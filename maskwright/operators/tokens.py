@@ -99,6 +99,22 @@ def validate_requests(rows: DataFrame, max_texts: int = MAX_TEXTS, max_chars: in
     return rows.withColumn("reject_reason", reason)
 
 
+_PLACE = ["doc_id", "org_id", "request_id"]
+
+
+def _value_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """One map a document and request; in a request a key has one value, also where ids repeat."""
+    once = rows.groupBy(*_PLACE, key).agg(F.min(value).alias(value))
+    return once.groupBy(*_PLACE).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+
+
+def _join_place(docs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Left join by document and request; a null is a value of its own."""
+    named = maps.withColumnsRenamed({c: f"_{c}" for c in _PLACE})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _PLACE]
+    return docs.join(named, on, "left").drop(*(f"_{c}" for c in _PLACE))
+
+
 def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, digits: int = HASH_DIGITS) -> tuple[DataFrame, DataFrame]:
     """Replace every detected value by a token.
 
@@ -108,10 +124,10 @@ def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, dig
     """
     found = materialise(docs if spans_col else fuse(detect(docs)))
     spans = spans_col or "spans"
-    long = found.where(F.size(spans) > 0).select("doc_id", "org_id", "request_id", F.posexplode_outer(spans).alias("i", "s"))
+    long = found.where(F.size(spans) > 0).select("doc_id", "org_id", "request_id", F.explode_outer(spans).alias("s"))
     pads = keys.select("org_id", "ipad", "opad")
     hashed = long.join(pads, "org_id").select(
-        "doc_id", "org_id", "request_id", "i", F.col("s.text").alias("value"), F.col("s.pii_type").alias("pii_type"), F.col("s.start").alias("start"), hmac_hash(F.col("s.text"), F.col("ipad"), F.col("opad"), digits).alias("base_hash")
+        "doc_id", "org_id", "request_id", F.col("s.text").alias("value"), F.col("s.pii_type").alias("pii_type"), F.col("s.start").alias("start"), hmac_hash(F.col("s.text"), F.col("ipad"), F.col("opad"), digits).alias("base_hash")
     )
     first = hashed.groupBy("org_id", "request_id", "value", "base_hash").agg(F.min(F.struct(F.struct("doc_id", "start").alias("place"), "pii_type")).alias("m"))
     entries = first.select("org_id", "request_id", "value", "base_hash", F.col("m.place").alias("place"), F.col("m.pii_type").alias("pii_type"))
@@ -120,10 +136,10 @@ def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, dig
     digest = F.when(n == 1, F.col("base_hash")).when(n <= MAX_SUFFIX, F.concat("base_hash", F.lit("_"), n.cast("string")))
     entries = entries.withColumn("hash", digest).withColumn("token", format_token(F.col("pii_type"), F.col("hash")))
     named = hashed.join(entries.select("org_id", "request_id", "value", "token"), ["org_id", "request_id", "value"]).where("token is not null")
-    per_doc = named.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("_tokens"))
-    joined = found.join(per_doc, "doc_id", "left")
-    numbered = F.transform(F.col(spans), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), i.alias("i")))
-    packed = joined.select("doc_id", "text", F.transform(numbered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.coalesce(F.element_at(F.col("_tokens"), s["i"]), s["text"]).alias("new"))).alias("r"))
+    per_doc = _value_map(named.select(*_PLACE, "value", "token"), "value", "token", "_tokens")
+    joined = _join_place(found, per_doc)
+    new = lambda s: F.coalesce(F.element_at(F.col("_tokens"), s["text"]), s["text"])
+    packed = joined.select("doc_id", "text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), new(s).alias("new"))).alias("r"))
     text = packed.select("doc_id", S.replace_ranges(F.col("text"), F.col("r"), lambda x: x["new"]).alias("tokenized"), F.size("r").cast("long").alias("n_spans"))
     return text, entries.select("org_id", "request_id", "hash", "token", "pii_type", "value")
 
@@ -162,9 +178,9 @@ def rehydrate(docs: DataFrame, vault: DataFrame, keys: DataFrame, now: Column) -
     newest = live.groupBy("org_id", "request_id", "token_hash").agg(F.max_by("encrypted", "created_at").alias("encrypted"))
     known = asked.join(newest, ["org_id", "request_id", "token_hash"]).join(keys.select("org_id", "dek"), "org_id")
     known = known.select("org_id", "request_id", "token_hash", decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("value")).where("value is not null")
-    long = found.select("doc_id", "org_id", "request_id", F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null").distinct()
-    per_doc = long.join(known, ["org_id", "request_id", "token_hash"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token_hash", "value"))).alias("_values"))
-    joined = found.join(per_doc, "doc_id", "left")
+    long = found.select(*_PLACE, F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null")
+    per_doc = _value_map(long.join(known, ["org_id", "request_id", "token_hash"]), "token_hash", "value", "_values")
+    joined = _join_place(found, per_doc)
     put = F.transform("_tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at(F.col("_values"), m["hash"]).alias("value"), m["text"].alias("text")))
     packed = joined.select("doc_id", "text", put.alias("_put"))
     text = S.replace_ranges(F.col("text"), F.col("_put"), lambda x: F.coalesce(x["value"], x["text"]))
