@@ -40,6 +40,7 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
 _PERCENT_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[!-~])+")
 _UNICODE = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_PLAIN_BASE64 = re.compile(rb"[A-Za-z0-9+/]{19,}")
 #: The shortest finding has 14 bytes, which is 19 base64 characters.
 MIN_BASE64 = 19
 MAX_LAYER_BYTES = 1 << 26
@@ -134,6 +135,15 @@ class _Rewrite:
         return self.src[i + 1] if is_end else self.src[i]
 
 
+def _base64_runs(raw: bytes, codes: np.ndarray):
+    """Runs of base64 letters; one with - or _ may also be joined words, so its parts are tried too."""
+    for start, end in _runs(codes, _B64_CLASS, MIN_BASE64):
+        yield start, end
+        parts = [m.span() for m in _PLAIN_BASE64.finditer(raw, start, end)]
+        if len(parts) > 1 or parts and parts[0] != (start, end):
+            yield from parts
+
+
 def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
     """Layers one step inside ``raw``: (content, offset map into raw); counts what was refused."""
     refused, layers = 0, []
@@ -152,7 +162,7 @@ def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
         if pieces:
             layer = _Rewrite(0, pieces, raw)
             layers.append((layer.data, layer))
-    for start, end in _runs(codes, _B64_CLASS, MIN_BASE64):
+    for start, end in _base64_runs(raw, codes):
         body = raw[start:end]
         whole = body.replace(b"-", b"+").replace(b"_", b"/")
         cut = len(whole) - (len(whole) % 4 == 1)

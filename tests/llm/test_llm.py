@@ -128,6 +128,7 @@ def test_nested_layers_are_found_and_mapped():
         assert any(k == "assign" for _, k in found), hidden
         assert all(part in hidden.encode() for part, _ in found), hidden
     assert spans(url) == {(url.encode(), "assign")}
+    assert spans(f"id-{b64(plain.encode())}")
     assert not spans("b2xkIHdvcmRzIG9ubHkgaGVyZQ== nothing here")
 
 
