@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +59,24 @@ def monthly_quota(calls: DataFrame, plan: DataFrame) -> DataFrame:
     """(event_id, org_id, month, used, admitted). A call whose tokens would exceed the month's limit is
     refused and does not count; a later smaller one may pass. Orgs without a limit admit all.
 
-    The fold needs an org-month's calls in order, so their (ts, id, tokens) meet in one row; a
-    month of one org is the unit that the limit itself serialises.
+    The limit itself serialises the calls of an org and month, so a task holds the (ts, id, tokens)
+    of one of them; Spark's ``aggregate`` would copy what it has gathered at every call.
     """
     joined = calls.join(plan.select("org_id", "monthly_token_limit"), "org_id", "left")
-    month = F.date_format("ts", "yyyy-MM")
-    keyed = joined.select("org_id", month.alias("month"), F.coalesce("monthly_token_limit", F.lit(PLANS[0][3]).cast("long")).alias("cap"), F.struct("ts", "event_id", "tokens").alias("c"))
-    grouped = keyed.groupBy("org_id", "month").agg(F.max("cap").alias("cap"), F.sort_array(F.collect_list("c")).alias("calls"))
-    kind = "array<struct<event_id:bigint,used:bigint,admitted:boolean>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"), F.col("cap").alias("cap"))
-
-    def step(a: Column, c: Column) -> Column:
-        total = a["used"] + c["tokens"]
-        ok = (a["cap"] < 0) | (total <= a["cap"])
-        used = F.when(ok, total).otherwise(a["used"])
-        return F.struct(used.alias("used"), F.concat(a["out"], F.array(F.struct(c["event_id"].alias("event_id"), used.alias("used"), ok.alias("admitted")))).alias("out"), a["cap"].alias("cap"))
-
-    folded = grouped.select("org_id", "month", F.aggregate("calls", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("org_id", "month", F.explode_outer("out").alias("x")).select("x.event_id", "org_id", "month", "x.used", "x.admitted")
+    cap = F.coalesce("monthly_token_limit", F.lit(PLANS[0][3]).cast("long"))
+    keyed = joined.select("org_id", F.date_format("ts", "yyyy-MM").alias("month"), cap.alias("cap"), "ts", "event_id", "tokens")
+
+    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["ts", "event_id"])
+        used, total, ok = 0, [], []
+        for tokens, limit in zip(rows["tokens"], rows["cap"], strict=True):
+            admitted = limit < 0 or used + tokens <= limit
+            used += int(tokens) if admitted else 0
+            total.append(used)
+            ok.append(admitted)
+        return pd.DataFrame({"event_id": rows["event_id"], "org_id": key[0], "month": key[1], "used": total, "admitted": ok})
+
+    return keyed.groupBy("org_id", "month").applyInPandas(fold, "event_id long, org_id long, month string, used long, admitted boolean")
 
 
 def usage_monthly(calls: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
