@@ -126,10 +126,3 @@ def stream_monthly_quota(t: Tables):
 def stream_tokenize(t: Tables):
     keys = T.key_pads(t.spark.range(1).select(F.lit(_DEK).cast("binary").alias("dek"))).select("ipad", "opad")
     return J.drain(J.tokenize(J.read_stream(t.spark, t._dir, "documents").select("doc_id", "text"), keys))
-
-
-@query("select distinct user_id % 7 as org_id, user_id % 30 as request_id, concat('h', event_id % 400) as token_hash, 'stored' as event from events")
-def stream_vault_ttl(t: Tables):
-    """Keys stored now; none has lived out its time when the stream ends."""
-    rows = J.read_stream(t.spark, t._dir, "events").selectExpr("user_id % 7 as org_id", "user_id % 30 as request_id", "concat('h', event_id % 400) as token_hash")
-    return J.drain(J.vault_ttl(rows, 3600))

@@ -160,3 +160,23 @@ def test_empty_inputs(spark):
     none = spark.createDataFrame([], schema)
     assert E.prf(E.match_exact(none, none)).first()["f1"] == 0
     assert E.match_partial(none, none).first()["tp"] == 0
+
+
+def test_stream_expiry(spark, tmp_path):
+    """A key is stored when it is seen and expires when it is not written again."""
+    import time
+
+    from maskwright.streaming import jobs as J
+
+    spark.createDataFrame([(1, 2, "h"), (1, 2, "h"), (3, 4, "k")], "org_id long, request_id long, token_hash string").write.parquet(str(tmp_path / "rows"))
+    rows = spark.readStream.schema("org_id long, request_id long, token_hash string").parquet(str(tmp_path / "rows"))
+    run = J.vault_ttl(rows, 5).writeStream.format("memory").queryName("ttl").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(90):
+            time.sleep(1)
+            got = {(r["org_id"], r["event"]) for r in spark.table("ttl").collect()}
+            if len(got) == 4:
+                break
+    finally:
+        run.stop()
+    assert got == {(1, "stored"), (3, "stored"), (1, "expired"), (3, "expired")}
