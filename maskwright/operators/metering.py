@@ -46,7 +46,7 @@ def rate_limit(calls: DataFrame, limit, key: str = "key_id") -> DataFrame:
     """Add ``n`` (place of the call in its key's clock minute) and ``allowed``. Refused calls count too."""
     w = Window.partitionBy(key, F.date_trunc("minute", "ts")).orderBy("ts", "event_id")
     cap = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    return calls.withColumn("n", F.row_number().over(w)).withColumn("allowed", F.col("n") <= cap)
+    return calls.withColumn("n", F.row_number().over(w).cast("long")).withColumn("allowed", F.col("n") <= cap)
 
 
 def client_ip(forwarded: Column, peer: Column) -> Column:

@@ -306,7 +306,7 @@ def filter_valid(t: Tables):
 
 
 @query(
-    f"""with {ENTITIES}, j as (select doc_id, to_json(list({{'t': text, 'y': type, 's': s, 'e': s + length(text)}} order by i)) as answer, string_agg(text, ' ' order by i) as said from ent group by doc_id)
+    f"""with {ENTITIES}, j as (select doc_id, cast(to_json(list({{'t': text, 'y': type, 's': s, 'e': s + length(text)}} order by i)) as varchar) as answer, string_agg(text, ' ' order by i) as said from ent group by doc_id)
 select doc_id, said, answer from j"""
 )
 def to_chat(t: Tables):
