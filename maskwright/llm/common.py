@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: A Python step works on at most about this many bytes of text at once, so its
 #: scratch arrays stay small whatever the Arrow batch holds.
 SLICE_BYTES = 2_000_000
+BATCH_ROWS = 1_024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,8 +67,8 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):  # Python objects of a few rows at a time
+                yield from fn(batch.slice(at, BATCH_ROWS))
 
     ensure_importable(df.sparkSession)
     return df.mapInArrow(run, schema)

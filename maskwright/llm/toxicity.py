@@ -43,7 +43,7 @@ PREFIXES = range(3, 9)
 MIN_SUPPORT, MIN_SHARE, MIN_RATIO = 6, 0.015, 40.0
 MAX_FEATURES = 20_000
 PER_TOXIC, PER_CLEAN, MAX_TRAIN_CHARS = 1_500, 4_500, 12_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def word_features(word: str) -> list[str]:
