@@ -6,7 +6,6 @@ expressions that both engines read alike, one kind a line.
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from maskwright.functions import patterns as P
