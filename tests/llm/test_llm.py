@@ -18,7 +18,7 @@ from compare import DATA, connect, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity, urls
+from maskwright.llm import chat, decontam, langid, licenses, nearcopies, pieces, quality, secrets, simhash, toxicity, urls
 from maskwright.llm.common import held_out, read_table
 from maskwright.llm.queries import ORACLES, QUERIES
 
@@ -249,6 +249,50 @@ def test_long_chains_settle(spark):
     assert {r["root"] for r in simhash.components(chain).collect()} == {0}
 
 
+def naive_copies(texts):
+    own = lambda t: {tuple(w[i : i + 5]) for w in [t.encode().lower().split()] for i in range(max(1, len(w) - 4))}
+    sets, root = [own(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("frequent", [3, 10**9])
+def test_near_copies_equal_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
+    monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = ["", "  ", "one two", "One  two", "one two three four five six"]
+    for _ in range(12):
+        text = [word() for _ in range(rng.randrange(30, 150))]
+        for edits in (0, 1, 2, 3, 4, 6):
+            copy = list(text)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    roots = naive_copies(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in nearcopies.keep_one(d).collect()}
+    assert kept == {i for i, r in enumerate(roots) if i == r}
+    assert len(kept) < len({r["doc_id"] for r in simhash.keep_one(d).collect()})
+
+
+def test_pipeline_drops_near_copies(spark, docs):
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, read_table(spark, DATA, "documents"), DATA).collect()}
+    rows = docs.sort_values("doc_id")
+    roots = naive_copies([t or "" for t in rows["text"]])
+    assert kept == {d for i, (d, r) in enumerate(zip(rows["doc_id"].tolist(), roots, strict=True)) if i == r}
+
+
 def test_keep_one(spark):
     text = "one two three four five six seven"
     rows = [(5, text), (2, text), (2, text), (9, "other words are in this text here"), (None, text), (None, "alone in the whole wide world"), (None, "alone in the whole wide world")]
