@@ -15,7 +15,6 @@ unwrapped and is counted in ``n_refused``.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -38,9 +37,17 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
-_PERCENT_RUN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[!-~])+")
 _UNICODE = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _PLAIN_BASE64 = re.compile(rb"[A-Za-z0-9+/]{19,}")
+#: Base64 letters over several lines, and the breaks between them.
+_WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
+_BREAK = re.compile(rb"[ \t]*+\r?\n[ \t]*+")
+_JOINER = re.compile(rb"[+/]")
+#: What ``_is_text`` takes, from a place on.
+_TEXT = re.compile(
+    rb"(?:[\x09-\x0d\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})*+"
+)
 #: The shortest finding has 14 bytes, which is 19 base64 characters.
 MIN_BASE64 = 19
 MAX_LAYER_BYTES = 1 << 26
@@ -82,23 +89,45 @@ def scan_layer(raw: bytes, codes: np.ndarray | None = None) -> list[tuple[int, i
     return found + [(s, e, "hex") for s, e in _runs(codes, _HEX_CLASS, MIN_HEX)]
 
 
-def _inflate(raw: bytes, limit: int) -> tuple[bytes | None, bool]:
-    """(content, refused) of a compressed stream; (None, False) if it is none."""
-    if raw[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(31)
-    elif len(raw) > 5 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        unzip = zlib.decompressobj(15)
-    elif raw[:3] == b"BZh":
-        unzip = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\x00":
-        unzip = lzma.LZMADecompressor()
-    else:
-        return None, False
-    try:
-        out = unzip.decompress(raw, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None, False
-    return (None, True) if len(out) > limit else (out, False)
+def _decompressor(raw: bytes, at: int):
+    """A decompressor for the stream that starts at a place; None if none does."""
+    if raw[at : at + 2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(raw) - at > 5 and raw[at] == 0x78 and (raw[at] * 256 + raw[at + 1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if raw[at : at + 3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[at : at + 6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _inflate(raw: bytes, limit: int, at: int = 0) -> tuple[bytes | None, bool, int]:
+    """(content, refused, end) of the compressed members that start at a place; (None, False, at) if there are none.
+
+    Members are fed in steps that grow, so what is left of a step behind a short member is short too.
+    """
+    members, size, end = [], 0, at
+    while (unzip := _decompressor(raw, at)) is not None:
+        parts, step = [], 1024
+        try:
+            while at < len(raw) and not unzip.eof:
+                chunk = raw[at : at + step]
+                at, step = at + len(chunk), min(2 * step, 1 << 20)
+                parts.append(unzip.decompress(chunk, limit + 1 - size))
+                size += len(parts[-1])
+                if size > limit:
+                    return None, True, at
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        members += parts
+        at -= len(unzip.unused_data)
+        end = at
+        if not unzip.eof:
+            break
+        while at < len(raw) and raw[at] == 0:  # padding between members
+            at += 1
+    return (b"".join(members) if members else None), False, end
 
 
 def _is_text(raw: bytes) -> bool:
@@ -144,14 +173,51 @@ def _base64_runs(raw: bytes, codes: np.ndarray):
             yield from parts
 
 
+def _standard(letters: bytes) -> bytes:
+    return letters.replace(b"-", b"+").replace(b"_", b"/")
+
+
+def _decode(letters: bytes) -> bytes:
+    cut = len(letters) - (len(letters) % 4 == 1)
+    return base64.b64decode(letters[:cut] + b"=" * (-cut % 4))
+
+
+def _base64_parts(letters: bytes, joints: list[int], limit: int):
+    """Contents of base64 inside joined letters: (content, start, end, is a stream), None as content where refused.
+
+    A part starts at a joint or behind a + or / and ends at a joint or beside a + or /. Each of the
+    four phases is decoded once, and a part is a piece of its phase.
+    """
+    n = len(letters)
+    at = [m.start() for m in _JOINER.finditer(letters)]
+    starts = sorted({0, *joints, *(i + 1 for i in at)})
+    ends = sorted({0, n, *joints, *at, *(i + 1 for i in at)})
+    for phase in range(4):
+        own = [s for s in starts if s % 4 == phase and n - s >= MIN_BASE64]
+        if not own:
+            continue
+        data, text_to, stream_to = _decode(letters[phase:]), 0, 0
+        for s in own:
+            off = (s - phase) // 4 * 3
+            if s >= stream_to and _decompressor(data, off) is not None:
+                plain, no, off_end = _inflate(data, limit, off)
+                if no or plain is not None:
+                    stream_to = n if no else min(n, s - (off - off_end) * 4 // 3)
+                    yield plain, s, stream_to, True
+            if s >= text_to:
+                good = _TEXT.match(data, off).end() - off
+                e = ends[bisect_right(ends, s + (4 * good + 3) // 3) - 1]
+                if e - s >= MIN_BASE64:
+                    text_to = e
+                    yield data[off : _TEXT.match(data, off, off + (e - s) * 3 // 4).end()], s, e, False
+
+
 def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
     """Layers one step inside ``raw``: (content, offset map into raw); counts what was refused."""
     refused, layers = 0, []
     if _PERCENT.search(raw):
-        for m in _PERCENT_RUN.finditer(raw):
-            if pieces := [(x.start(), x.end(), bytes([int(x[0][1:], 16)])) for x in _PERCENT.finditer(m[0])]:
-                layer = _Rewrite(m.start(), pieces, m[0])
-                layers.append((layer.data, layer))
+        layer = _Rewrite(0, [(x.start(), x.end(), bytes([int(x[0][1:], 16)])) for x in _PERCENT.finditer(raw)], raw)
+        layers.append((layer.data, layer))
     if b"\\" in raw or b"&#" in raw:
         pieces = []
         for x in _UNICODE.finditer(raw):
@@ -163,26 +229,55 @@ def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
             layer = _Rewrite(0, pieces, raw)
             layers.append((layer.data, layer))
     for start, end in _base64_runs(raw, codes):
-        body = raw[start:end]
-        whole = body.replace(b"-", b"+").replace(b"_", b"/")
-        cut = len(whole) - (len(whole) % 4 == 1)
-        try:
-            data = base64.b64decode(whole[:cut] + b"=" * (-cut % 4))
-        except (binascii.Error, ValueError):
-            continue
-        plain, no = _inflate(data, limit)
+        letters = _standard(raw[start:end])
+        data = _decode(letters)
+        plain, no, _ = _inflate(data, limit)
         refused += no
-        pad = end + min(2, len(raw[end : end + 2]) - len(raw[end : end + 2].lstrip(b"=")))
+        pad = _padded(raw, end)
         if plain is not None:
             layers.append((plain, lambda s, e, a=start, b=pad: (a, b)))
         elif _is_text(data):
             layers.append((data, lambda s, e, a=start, b=pad: (a + s * 4 // 3, min(b, a + -(-e * 4 // 3)))))
-    plain, no = _inflate(raw, limit)
+        elif not no and _JOINER.search(letters):
+            refused += _add_parts(layers, raw, [(start, end)], limit)
+    for m in _WRAPPED.finditer(raw):
+        edges = [m.start(), *(x for b in _BREAK.finditer(raw, m.start(), m.end()) for x in b.span()), m.end()]
+        lines = list(zip(edges[::2], edges[1::2], strict=True))
+        if sum(e - s for s, e in lines) >= MIN_BASE64:
+            refused += _add_parts(layers, raw, lines, limit)
+    plain, no, _ = _inflate(raw, limit)
     if plain is not None:
         layers.append((plain, lambda s, e, n=len(raw): (0, n)))
     return layers, refused + no
 
 
+def _padded(raw: bytes, end: int) -> int:
+    return end + min(2, len(raw[end : end + 2]) - len(raw[end : end + 2].lstrip(b"=")))
+
+
+def _add_parts(layers: list, raw: bytes, lines: list[tuple[int, int]], limit: int) -> int:
+    """Add the layers of base64 parts in joined lines; the number of refused ones."""
+    first = [0]
+    for s, e in lines:
+        first.append(first[-1] + e - s)
+    size, refused = first[-1], 0
+
+    def back(x: int) -> int:
+        i = bisect_right(first, x) - 1
+        return lines[i][0] + x - first[i]
+
+    for data, a, b, stream in _base64_parts(_standard(b"".join(raw[s:e] for s, e in lines)), first[1:-1], limit):
+        if data is None:
+            refused += 1
+            continue
+        end = _padded(raw, lines[-1][1]) if b == size else back(b - 1) + 1
+        if stream:
+            layers.append((data, lambda s, e, x=back(a), y=end: (x, y)))
+        else:
+            layers.append((data, lambda s, e, a=a, b=b, y=end, back=back: (back(a + s * 4 // 3), y if a + -(-e * 4 // 3) >= b else back(a + -(-e * 4 // 3) - 1) + 1)))
+    return refused
+
+
 def scan_text(raw: bytes, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
     """(base findings, all findings, layers opened, layers refused), byte offsets of ``raw``.
 

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,41 @@ def test_nested_layers_are_found_and_mapped():
     assert not spans("b2xkIHdvcmRzIG9ubHkgaGVyZQ== nothing here")
 
 
+def test_joined_wrapped_and_spaced_layers_are_found():
+    secret = "password: hunter2222"
+    b64 = lambda raw: base64.b64encode(raw).decode()
+
+    def check(before, inside, after, start=None):
+        text = before + inside + after
+        found = [(s, e) for s, e, k in secrets.scan_text(text.encode())[1] if k == "assign"]
+        at = len(before)
+        assert any(at <= s < e <= at + len(inside) for s, e in found), (text, found)
+
+    for after in ("", " end", "/edit/page", "\nEnd of it"):
+        for before in ("https://example.com/cb/", "https://example.com/a/bc+def/", "x/yz/"):
+            check(before, b64(secret.encode()), after)
+            check(before, b64(zlib.compress(secret.encode())).rstrip("="), after)
+    rng = random.Random(3)
+    filler = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    for raw in (f"{filler} {secret} {filler}".encode(), gzip.compress(f"{filler} {secret}".encode()), zlib.compress(f"{filler} {secret}".encode())):
+        for columns in (61, 64, 76):
+            for brk in ("\n", "\r\n", " \n  "):
+                lines = [b64(raw)[i : i + columns] for i in range(0, len(b64(raw)), columns)]
+                check("see this\n", brk.join(lines), "\nthe rest")
+    check("", "password: " + "".join(f"%{b:02x}" for b in b"hunter2222"), " x")
+    check("", b64(gzip.compress(b"first ") + gzip.compress(secret.encode())), "")
+    assert secrets.scan_text(b64(gzip.compress(b"a" * 600) + gzip.compress(b"b" * 600)).encode(), limit=1000)[3] == 1
+
+
+def test_long_joined_runs_take_linear_time():
+    raw = base64.b64encode(random.Random(4).randbytes(600_000))
+    start = time.process_time()
+    secrets.scan_text(b"a/" + raw)
+    secrets.scan_text(b"\n".join(raw[i : i + 76] for i in range(0, len(raw), 76)))
+    secrets.scan_text(base64.b64encode(b"".join(gzip.compress(b"x") for _ in range(20_000))))
+    assert time.process_time() - start < 20
+
+
 def test_layers_that_repeat_end():
     text = "%2541 " * 50 + base64.b64encode(b"%41%41%41%41%41%41%41%41").decode()
     assert secrets.scan_text(text.encode())[2] < 500
