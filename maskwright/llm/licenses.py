@@ -90,11 +90,28 @@ def known_sentences(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[s
     return {normalise(s): name for name, forms in sentences.items() for s in forms}
 
 
-def _identify(text: Column, known: Column) -> Column:
+def fragments(sentence: str) -> list[str]:
+    """The normalised pieces that the split of ``_identify`` makes of a known sentence."""
+    return [normalise(s) for s in re.sub(_END, "\\1\n", sentence).split("\n")]
+
+
+def split_sentences(sentences: dict[str, tuple[str, ...]] = SENTENCES) -> dict[str, str]:
+    """Known sentences of more than one fragment: fragments joined by line breaks, and the whole."""
+    cut = [fragments(s) for forms in sentences.values() for s in forms]
+    return {"\n".join(f): " ".join(f) for f in cut if len(f) > 1}
+
+
+def _identify(text: Column, known: Column, split: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order; a sentence ends at a line break
-    or behind one of . ! ? ; : before white space."""
+    or behind one of . ! ? ; : before white space. Fragments that make up a known sentence
+    when they stand next to each other are put together again."""
     lines = F.split(F.regexp_replace(text, _END, "$1\n"), "\n")
     plain = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+    if split:
+        joined = F.concat(F.lit("\n"), F.array_join(plain, "\n"), F.lit("\n"))
+        for parts, whole in split.items():
+            joined = F.replace(joined, F.lit(f"\n{parts}\n"), F.lit(f"\n{whole}\n"))
+        plain = F.split(joined, "\n")
     return F.filter(F.transform(plain, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
 
 
@@ -103,14 +120,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     comma-joined with ``|`` between), licenses (comma-joined in the order of the rules), n_licenses."""
     known = F.create_map(*(F.lit(x) for kv in known_sentences(sentences).items() for x in kv))
     # only texts with a word that some known sentence starts with can hold one
-    heads = "|".join(sorted({re.match(r"\w+\W+\w+", s)[0].replace(" ", r"\s+") for forms in sentences.values() for s in forms}))
+    heads = "|".join(sorted({"[^A-Za-z0-9]+".join(k.split()[:2]).replace("k", "[k\u212a]") for k in known_sentences(sentences)}))
+    split = split_sentences(sentences)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(f"(?i)(?:{heads})"), text).alias("t"))
     none = F.array().cast("array<string>")
     seqs = rows.select(
         "doc_id",
-        F.coalesce(_identify(F.col("t"), known), none).alias("a"),
-        F.coalesce(_identify(F.translate("t", "\n", " "), known), none).alias("b"),
+        F.coalesce(_identify(F.col("t"), known, split), none).alias("a"),
+        F.coalesce(_identify(F.translate("t", "\n", " "), known, split), none).alias("b"),
     )
     wrap = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
     seqs = seqs.select("doc_id", "a", "b", F.concat(wrap("a"), F.lit("|"), wrap("b")).alias("seq"))

@@ -507,6 +507,16 @@ def test_ledger_policies_and_ablations(spark):
 # ---- 10 licences
 
 
+def test_every_license_rule_knows_its_own_text(spark):
+    say = lambda ids, form: " ".join(licenses.SENTENCES[n][form % len(licenses.SENTENCES[n])] for n in ids)
+    rows = [(name, say(ids, form)) for name, ids in licenses.RULES for form in (0, 1, 2)]
+    rows += [(name, "\n".join(f"# {w}" for w in re.findall(r"(?:\S+\s*){1,7}", t))) for name, t in rows]
+    rows += [("MIT", "**Licensed** under the MIT License."), ("MIT", "_Licensed_ / _under_ the MIT License."), ("MIT", "Licensed\n# under the MIT\n# License.")]
+    rows += [("", "2.0."), ("", "This program is free software. But: you can redistribute it."), ("GPL-3.0-or-later", say(["gpl-free", "gpl-free"], 0))]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_licenses(spark):
     say = lambda *names: " ".join(licenses.SENTENCES[n][0] for n in names)
     bsd2 = say("bsd-grant", "bsd-source", "bsd-binary")
