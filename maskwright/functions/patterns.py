@@ -52,7 +52,7 @@ PATTERNS = (
     Pattern("fin", rf"(?U)(?<!\d){VAT}(?!\d)", 0.80, r"0\d{10}"),
     Pattern("tel", rf"(?U)(?<![A-Za-z\d]){PHONE}(?![A-Za-z\d])", 0.85, r"\d{2}"),
     Pattern("dt", f"(?U){DATE}", 0.90, r"\d[/.\-]\d"),
-    Pattern("dt", f"(?Ui){DATE_IT}", 0.85, r"\d\d"),
+    Pattern("dt", f"(?Ui){DATE_IT}", 0.85, r"\d"),
     Pattern("dt", f"(?Ui){DATE_EN}", 0.85, r"\d"),
     Pattern("fin", rf"(?U)(?<!\d){VAT_OTHER}(?!\d)", 0.65, r"[1-9]\d{10}"),
 )

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
+from maskwright.functions.patterns import PATTERNS
 from maskwright.functions.tables import register
 from maskwright.operators import corpus as C
 from maskwright.operators import detect as D
@@ -32,6 +33,15 @@ def test_detect_kinds_and_nulls(spark):
     }
 
 
+def test_guards_hold_for_shortest_matches(spark):
+    least = ["RSSMRA80A01H501Z", "DE12ABCDEFGHIJ", "a@b.co", "01234567890", "3201234567", "1/1/2001", "3 mag", "3 Jan", "12345678901"]
+    assert len(least) == len(PATTERNS)
+    for text, p in zip(least, PATTERNS, strict=True):
+        row = spark.range(1).select(F.lit(text).rlike(p.regex), F.lit(text).rlike(p.guard or "")).first()
+        assert all(row), (text, p)
+    assert found(D.detect(texts(spark, "nato il 5 marzo, residente"))) == {(0, "dt", "5 marzo")}
+
+
 def test_offsets_are_code_points(spark):
     row = D.detect(texts(spark, "😀é a.b@example.org")).first()
     s = row["spans"][0]
