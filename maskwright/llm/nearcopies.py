@@ -4,17 +4,18 @@ Texts are near copies if their sets of five-word shingles (words by white space,
 words make one shingle of all) have a Jaccard index of at least 0.8; texts of the same set are
 copies, also those without words. Groups are the components of those links.
 
-Candidates come from two searches. SimHash with BK-trees (``simhash.hamming_links``) finds copies
-within its radius. A text's prefix is its first shingles in an order that is the same for all texts:
-as many as it may miss at the threshold, plus one. So two near copies share a shingle of their prefixes,
-and the search by prefixes loses nothing. Shingles that a sample shows to be frequent come last in
-the order; the sample decides the cost only, not the result.
+A radius of 2 bits finds about half of such texts, and one that finds all (some 18 bits of 64) would
+make the blocks that shard the trees three bits wide, which shards nothing. So there are two rounds.
 
-Candidates whose parity bits differ more than near copies can are dropped before their sets are
-fetched: each shingle flips one bit, so two texts differ in at most as many bits as shingles.
+The first joins large families at little cost: SimHash with BK-trees (``simhash.hamming_links``), and
+the least text of each of a text's ``BOTTOM`` smallest shingles. The second finds what is left and
+loses nothing: a text's prefix is its first shingles in an order that is the same for all texts, as
+many as it may miss at the threshold, plus one, so two near copies share a shingle of their prefixes.
+Only prefix shingles that two groups of the first round share are looked at again. Shingles that a
+sample shows to be frequent come last in the order; the sample decides the cost only.
 
-A first round pairs the least text of each prefix shingle with the others there and verifies the
-pairs, so large families fall together; the second pairs only texts of different groups.
+A pair is fetched for exact verification only if sizes and parities allow it. Each shingle flips one
+bit of a text's parity, so two texts differ in at most as many bits as shingles.
 
 Results by case: as ``simhash.keep_one``.
 """
@@ -25,17 +26,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, map_rows
-from maskwright.llm.simhash import SEED, components, hamming_links
+from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, map_rows, written
+from maskwright.llm.simhash import SEED, components, hamming_links, keep_rows
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 2
+#: Smallest shingles of a text that the first round looks at.
+BOTTOM = 8
 #: A shingle in this many texts of the sample (one text in SAMPLE) is frequent; at most MAX_FREQUENT are kept.
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 2, 100_000
+#: Rows that may be broadcast, of at most 40 bytes.
 MAX_BROADCAST_ROWS = 500_000
+#: Words of 64 bits of the parity that the second round's join compares.
+LANES = 8
 _CHUNK = 100_000
 
 
@@ -69,9 +75,9 @@ def prefix(hashes: np.ndarray, frequent: np.ndarray, threshold: float = THRESHOL
     return hashes[: min(size, len(hashes))]
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """One bit for each residue of the hashes: whether an odd number of them has it. About as many bits as hashes."""
-    size = max(64, 1 << (max(1, len(hashes)) - 1).bit_length())
+def parity(hashes: np.ndarray, size: int | None = None) -> bytes:
+    """One bit for each residue of the hashes: whether an odd number of them has it. By default about as many bits as hashes."""
+    size = size or max(64, 1 << (max(1, len(hashes)) - 1).bit_length())
     odd = np.bincount((hashes >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -84,16 +90,22 @@ def _differ(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _apart(na: Column, nb: Column, threshold: float) -> Column:
+    """Of the shingles of two texts, the most that near copies have in one only."""
+    return F.lit((1 - threshold) / (1 + threshold)) * (na + nb) + 1e-6
+
+
 def _possible(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose parities allow the threshold."""
+    """The pairs (a, b) whose sizes and parities allow the threshold."""
     side = lambda k: prints.select(F.col("key").alias(k), F.col("n").alias("n" + k), F.col("parity").alias("p" + k))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
-    part = (1 - threshold) / (1 + threshold)  # of the shingles of both, the most that are in one only
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
+    both = both.select("a", "b", _apart(F.col("na"), F.col("nb"), threshold).alias("most"), "pa", "pb")
 
     def fn(batch: pa.RecordBatch):
-        _, _, na, nb, pa_, pb = (c.to_pylist() for c in batch.columns)
-        near = [_differ(x, y) <= part * (m + n) + 1e-6 for m, n, x, y in zip(na, nb, pa_, pb, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near, pa.bool_())), batch.column(1).filter(pa.array(near, pa.bool_()))], ["a", "b"])
+        _, _, most, pa_, pb = (c.to_pylist() for c in batch.columns)
+        near = pa.array([_differ(x, y) <= m for m, x, y in zip(most, pa_, pb, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
     return map_rows(both, "a binary, b binary", fn).checkpoint()
 
@@ -107,118 +119,114 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.empty(0, np.uint64)]).view(np.int64)))
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """(key, hashes) of rows of one column, the text."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """(key, hashes) of (key, text) rows."""
 
     def fn(batch: pa.RecordBatch):
-        sets = [shingle_hashes(_raw(t)) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)], ["key", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(_raw(t)) for t in batch.column(1).to_pylist()])], ["key", "hashes"])
 
-    return map_rows(texts, "key binary, hashes array<long>", fn)
+    return map_rows(rows, "key binary, hashes array<long>", fn)
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles met most often in a sample of the distinct texts."""
     some = texts.toDF("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    counts = _sets(some).dropDuplicates(["key"]).select(F.explode("hashes").alias("h")).groupBy("h").count()
+    some = some.groupBy(F.xxhash64("text").alias("k")).agg(F.first("text").alias("text"))
+    counts = _sets(some.select(F.lit(b"").alias("key"), "text")).select(F.explode("hashes").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def _marked(docs: DataFrame, at: int, name: str) -> DataFrame:
-    """The rows with the key of their shingle set in a column ``name``."""
-
-    def fn(batch: pa.RecordBatch):
-        keys = [_key(shingle_hashes(_raw(t))) for t in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, name])
-
-    return map_rows(docs, docs.withColumn(name, F.lit(b"")).schema, fn)
+_PRINTS = "key binary, n int, fp long, bottom array<long>, prefix array<long>, parity binary, lanes array<long>"
 
 
-def _prints(rows: DataFrame, frequent: np.ndarray, threshold: float) -> DataFrame:
-    """(id, key, n, fp, prefix, parity) of (id, text) rows; n is the number of shingles."""
+def _with_prints(rows: DataFrame, at: int, frequent: np.ndarray, threshold: float) -> DataFrame:
+    """The rows with what the search needs of the text in column number ``at``; n is the number of shingles."""
 
     def fn(batch: pa.RecordBatch):
-        sets = [shingle_hashes(_raw(t)) for t in batch.column(1).to_pylist()]
+        sets = [shingle_hashes(_raw(t)) for t in batch.column(at).to_pylist()]
         columns = [
-            batch.column(0),
             pa.array([_key(s) for s in sets], pa.binary()),
             pa.array([len(s) for s in sets], pa.int32()),
             pa.array([_fingerprint(s) for s in sets], pa.int64()),
+            _lists([s[:BOTTOM] for s in sets]),
             _lists([prefix(s, frequent, threshold) for s in sets]),
             pa.array([parity(s) for s in sets], pa.binary()),
+            _lists([np.frombuffer(parity(s, 64 * LANES), np.uint64) for s in sets]),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n", "fp", "prefix", "parity"])
+        names = [part.split()[0] for part in _PRINTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
-    return map_rows(rows, f"id {rows.schema['id'].dataType.simpleString()}, key binary, n int, fp long, prefix array<long>, parity binary", fn)
+    return map_rows(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", " + _PRINTS, fn)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets reach the threshold."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().checkpoint()
-    sets = _sets(texts).join(bounded_broadcast(keys, MAX_BROADCAST_ROWS), "key", "left_semi")
-    sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes"))
-    sets = sets.checkpoint()
+def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets reach the threshold; of a key's texts only that of its least id is read."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(prints.select("key", "id"), "key").checkpoint()
+    asked = bounded_broadcast(keys.select(F.col("key").alias("k"), F.col("id").alias("i")), MAX_BROADCAST_ROWS)
+    sets = _sets(texts.join(asked, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("key", "text"))
+    sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes")).checkpoint()
     side = lambda k: sets.select(F.col("key").alias(k), F.col("hashes").alias("h" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     return both.where(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b").checkpoint()
 
 
-def _ordered(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a, b), a < b, of pairs (x, nx, y, ny) whose sizes can reach the threshold."""
-    fits = F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny") - 1e-9
-    return pairs.where((F.col("x") != F.col("y")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of pairs (x, y)."""
+    return pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def family_pairs(prints: DataFrame, radius: int) -> DataFrame:
+    """First round: texts of one fingerprint, fingerprints within the radius, and the texts of a bottom
+    shingle with the least of them; at most BOTTOM + 2 pairs a text."""
+    least = prints.groupBy("fp").agg(F.min("key").alias("y")).checkpoint()
+    near = hamming_links(least.select("fp"), radius).distinct()
+    side = lambda f, k: least.select(F.col("fp").alias(f), F.col("y").alias(k))
+    near = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
+    same = prints.join(least, "fp").select(F.col("key").alias("x"), "y")
+    rows = prints.select("key", F.explode("bottom").alias("h"))
+    heads = rows.groupBy("h").agg(F.min("key").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "y")
+    return _ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("key").alias("x"), "y"))).checkpoint()
+
+
+def prefix_pairs(prints: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """Second round: texts of different groups of ``label`` (key, g) that share a prefix shingle and whose
+    sizes and parity lanes allow the threshold."""
+    grouped = prints.join(label, "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
+    rows = grouped.select("key", "n", "lanes", "g", F.explode("prefix").alias("h"))
+    mixed = rows.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
+    rows = rows.join(bounded_broadcast(mixed, MAX_BROADCAST_ROWS), "h").select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES))).checkpoint()
+    x, y = rows.alias("x"), rows.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.l{i}").bitwiseXOR(F.col(f"y.l{i}"))) for i in range(1, LANES)), F.bit_count(F.col("x.l0").bitwiseXOR(F.col("y.l0"))))
+    fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
+    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & fits & (differ <= _apart(F.col("x.n"), F.col("y.n"), threshold))
+    return x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().checkpoint()
 
 
 def copy_links(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """Verified links (a, b) of keys whose components are those of all near copies.
 
-    ``prints`` has one row a key (key, n, fp, prefix, parity); ``texts`` the texts in one column.
+    ``prints`` has one row a key (see ``_PRINTS``, and its least id); ``texts`` has the rows (key, id, text).
     """
-    # by SimHash: sets of one fingerprint, and fingerprints within the radius
-    least = prints.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("m")).select("fp", F.col("m.key").alias("y"), F.col("m.n").alias("ny")).checkpoint()
-    near = hamming_links(least.select("fp"), radius).distinct()
-    side = lambda f, k, n: least.select(F.col("fp").alias(f), F.col("y").alias(k), F.col("ny").alias(n))
-    same = prints.join(least, "fp").select(F.col("key").alias("x"), F.col("n").alias("nx"), "y", "ny")
-    near = near.join(side("a", "x", "nx"), "a").join(side("b", "y", "ny"), "b").select("x", "nx", "y", "ny")
-    # by prefixes: the least text of a shingle with the others
-    rows = prints.select("key", "n", F.explode("prefix").alias("h"))
-    heads = rows.groupBy("h").agg(F.min(F.struct("key", "n")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = rows.join(heads, "h").select("h", "key", "n", "m").checkpoint()
-    star = shared.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("m.key").alias("y"), F.col("m.n").alias("ny"))
-    first = _ordered(same.unionByName(near).unionByName(star), threshold).checkpoint()
-    links = _verified(_possible(first, prints, threshold), texts, threshold)
-    # the rest: texts of a shingle that are not in one group yet
-    label = components(links).select(F.col("node").alias("key"), "root")
-    members = shared.select("h", "key", "n").join(label, "key", "left").withColumn("g", F.coalesce("root", "key")).select("h", "key", "n", "g")
-    mixed = members.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h")
-    members = members.join(mixed, "h", "left_semi").checkpoint()
-    groups = members.select("h", "g").distinct()
-    meet = groups.select("h", F.col("g").alias("gx")).join(groups.select("h", F.col("g").alias("gy")), "h").where("gx < gy")
-    one = lambda g, k, n: members.select("h", F.col("g").alias(g), F.col("key").alias(k), F.col("n").alias(n))
-    rest = meet.join(one("gx", "x", "nx"), ["h", "gx"]).join(one("gy", "y", "ny"), ["h", "gy"])
-    second = _ordered(rest, threshold).join(first, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(_possible(second, prints, threshold), texts, threshold))
+    first = family_pairs(prints, radius)
+    links = _verified(_possible(first, prints, threshold), prints, texts, threshold)
+    label = components(links).select(F.col("node").alias("key"), F.xxhash64("root").alias("g"))
+    second = prefix_pairs(prints, label, threshold).join(first, ["a", "b"], "left_anti")
+    return links.unionByName(_verified(_possible(second, prints, threshold), prints, texts, threshold))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group stays: that of the smallest id (rows without id only where no other is).
 
-    Of rows that share this id and shingle set one stays.
+    Of rows that share this id and shingle set one stays, that with the least hash of all its columns.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    name = "_key"
-    while name in docs.columns:
-        name += "_"
-    texts = docs.select(F.col(text_col).alias("text"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = _prints(rows, frequent_shingles(texts), threshold)
-    id_rank = F.struct(F.col("id").isNull().alias("n"), "id")
-    one = prints.groupBy("key").agg(F.min(id_rank).alias("id"), *(F.first(c).alias(c) for c in ("n", "fp", "prefix", "parity"))).checkpoint()
-    found = components(copy_links(one, texts, threshold)).select(F.col("node").alias("key"), "root")
-    rooted = one.select("key", "id").join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    best = rooted.groupBy("root").agg(F.min(F.struct("id", "key")).alias("m"))
-    best = best.select(F.col("m.id.id").alias("_keep_id"), F.col("m.key").alias("_keep_key"))
-    marked = _marked(docs, docs.columns.index(text_col), name)
-    kept = marked.join(best, (F.col(name) == F.col("_keep_key")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates([name, id_col]).select(*docs.columns)
+    at, id_at = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    table = written(_with_prints(flat, at, frequent_shingles(flat.select(f"c{at}")), threshold), "near-copies")
+    names = [part.split()[0] for part in _PRINTS.split(", ")]
+    rank = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"))
+    one = table.groupBy("key").agg(F.min(rank).alias("m"), *(F.first(c).alias(c) for c in names[1:])).withColumn("id", F.col("m.id")).drop("m").checkpoint()
+    links = copy_links(one, table.select("key", F.col(id_at).alias("id"), F.col(f"c{at}").alias("text")), threshold)
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    return keep_rows(table, id_at, roots, MAX_BROADCAST_ROWS).toDF(*docs.columns)

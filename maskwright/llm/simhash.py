@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from maskwright.llm.common import ensure_checkpoint_dir, ensure_importable, map_rows
+from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, ensure_importable, map_rows, written
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 2, 20_000
 #: Hashes that are turned into bits at once.
@@ -217,17 +217,19 @@ def hamming_links(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     return rows.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of the connected components of links (a, b); nodes without links are absent.
 
-    Alternating large-star and small-star rounds; the rows of a round are at most the
-    links, each round is cut off by a checkpoint in the shared folder.
+    Alternating large-star and small-star rounds until nothing changes, which takes about the
+    logarithm of the longest chain; the rows of a round are at most the links, each round is cut
+    off by a checkpoint in the shared folder. A node with very many links is a hot key of plain
+    inner joins only, which adaptive execution splits.
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().checkpoint()
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -238,8 +240,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -267,19 +267,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(roots, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def keep_rows(table: DataFrame, id_col: str, roots: DataFrame, max_broadcast: int) -> DataFrame:
+    """The kept rows of a table that has a ``key`` and columns c0, c1, ...: one of each group of keys.
+
+    ``roots`` (key, root) names the group of linked keys; any other key is a group of its own. The row
+    of the smallest id stays (one without id only where no other is; of equal ids that of the least key,
+    then of the least hash of all columns). Only keys with more rows or links than one are looked up, so
+    most rows pass by without a shuffle.
+    """
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
+    per = table.groupBy("key", id_col).agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.min(F.struct(rank.alias("id"), "c")).alias("m"), F.sum("c").alias("rows"))
+    per = per.join(roots, "key", "left").where("rows > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
+    best = F.min(F.struct(F.col("m.id").alias("id"), "key"))
+    groups = per.groupBy("root").agg(best.alias("best"))
+    asked = per.join(groups, "root").select("key", (F.col("key") == F.col("best.key")).alias("first"), F.col("best.id.id").alias("kept_id"), (F.col("m.c") > 1).alias("again")).checkpoint()
+    columns = [c for c in table.columns if c[0] == "c" and c[1:].isdigit()]
+    looked = table.select("key", *columns).join(bounded_broadcast(asked, max_broadcast), "key", "left")
+    own = F.col("first") & F.col(id_col).eqNullSafe(F.col("kept_id"))
+    kept = looked.where(F.col("first").isNull() | (own & ~F.col("again"))).select(*columns)
+    again = asked.where("first and again").select("key", "kept_id")
+    if not again.limit(1).count():
+        return kept
+    plain = [c for c, kind in table.select(*columns).dtypes if "map<" not in kind]
+    rows = table.select("key", *columns).join(bounded_broadcast(again, max_broadcast), "key").where(F.col(id_col).eqNullSafe(F.col("kept_id")))
+    return kept.unionByName(rows.groupBy("key").agg(F.min_by(F.struct(*columns), F.xxhash64(*plain)).alias("m")).select("m.*"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each group stays: that of the smallest id (rows without id only where no other is).
 
-    Of rows that share this id and fingerprint one stays.
+    Of rows that share this id and fingerprint one stays, that with the least hash of all its columns.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    name = "_fp"
-    while name in docs.columns:
-        name += "_"
-    marked = with_fingerprint(docs, text_col, name)
-    prints = marked.select(F.col(name).alias("fp"), F.col(id_col).alias("id")).checkpoint()
-    roots = fingerprint_roots(prints, radius)
-    best = roots.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "fp")).alias("m"))
-    best = best.select(F.col("m.id").alias("_keep_id"), F.col("m.fp").alias("_keep_fp"))
-    kept = marked.join(best, (F.col(name) == F.col("_keep_fp")) & F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
-    return kept.dropDuplicates([name, id_col]).select(*docs.columns)
+    at, id_at = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
+    flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    table = written(with_fingerprint(flat, f"c{at}", "key"), "simhash")
+    links = hamming_links(table.select("key").distinct(), radius, col="key")
+    return keep_rows(table, id_at, components(links).select(F.col("node").alias("key"), "root"), SHARD_ROWS * 25).toDF(*docs.columns)
