@@ -3,7 +3,10 @@
 The filter has blocks of 256 bits in four lanes; a key sets two bits in each lane of
 one block. It is a table (block, four lanes) made by ``bit_or`` and joined by block,
 broadcast only while its known number of blocks is small. Possible hits go on to an
-exact hash join with the list, all other rows end there.
+exact hash join with the list, all other rows end there. While filter and list are small
+enough to be broadcast the pages are read once and never shuffled. Beyond that the probed
+rows are written once; rows that cannot be listed go to blocks of no key, spread by hash, and
+hot urls are a key of plain joins, which adaptive execution splits.
 
 Results by case: a null url, or one without ``://``, has an empty host and path, fits
 no rule and is never listed; repeated rows give repeated results; an empty list blocks
@@ -17,10 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import ensure_checkpoint_dir, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANES, BLOCK_BITS, BITS_PER_KEY = 4, 256, 16
-#: Blocks that may be broadcast: about 10 MB of rows.
-MAX_BROADCAST_BLOCKS = 200_000
+#: Blocks, and listed urls, that may be broadcast: about 10 and 20 MB of rows.
+MAX_BROADCAST_BLOCKS, MAX_BROADCAST_KEYS = 200_000, 200_000
+#: Blocks of no key, for rows that cannot be listed.
+SPREAD = 1_024
 TRACKING = ("utm_", "ref=", "fbclid=", "gclid=")
 
 
@@ -91,9 +98,11 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = R
 
     ``listed`` has urls in ``list_col``; they are made canonical here.
     """
-    keys = listed.select(canonical_url(F.col(list_col)).alias("key")).where("key != ''").distinct()
-    bloom, blocks = build_filter(keys, "key", keys.count())
-    bloom = F.broadcast(bloom) if blocks <= MAX_BROADCAST_BLOCKS else bloom
+    ensure_checkpoint_dir(pages.sparkSession)
+    keys = listed.select(canonical_url(F.col(list_col)).alias("key")).where("key != ''").distinct().checkpoint()  # read three times
+    n_keys = keys.count()
+    bloom, blocks = build_filter(keys, "key", n_keys)
+    small = blocks <= MAX_BROADCAST_BLOCKS and n_keys <= MAX_BROADCAST_KEYS
     host, path = split_url(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical_url(F.col(url_col)).alias("canonical"))
     name, verdict = match_rule(F.col("host"), F.col("path"), rules)
@@ -101,12 +110,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = R
     wants = F.lit(True)
     for i, lane in enumerate(_lanes(F.col("canonical"))):
         wants = wants & (F.col(f"lane{i}").bitwiseAND(lane) == lane)
-    probed = rows.withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
-    probed = probed.select(*rows.columns, (F.coalesce(wants, F.lit(False)) & (F.col("canonical") != "")).alias("maybe"))
-    sure = probed.where(~F.col("maybe")).withColumn("listed", F.lit(False))
-    hits = probed.where("maybe").join(keys.select(F.col("key").alias("canonical"), F.lit(True).alias("listed")), "canonical", "left")
-    hits = hits.select(*probed.columns, F.coalesce("listed", F.lit(False)).alias("listed"))
-    return sure.unionByName(hits).select(
+    block = F.when(F.col("canonical") != "", _block(F.col("canonical"), blocks)).otherwise(-1 - F.pmod(F.xxhash64("page_id"), F.lit(SPREAD)))
+    probed = rows.withColumn("block", block).join(F.broadcast(bloom) if small else bloom, "block", "left")
+    probed = probed.select(*rows.columns, F.coalesce(wants, F.lit(False)).alias("maybe"))
+    exact = keys.select(F.col("key").alias("hit"))
+    if small:
+        possible = F.when(F.col("maybe"), F.col("canonical"))
+        judged = probed.join(F.broadcast(exact), possible == F.col("hit"), "left").withColumn("listed", F.col("hit").isNotNull())
+    else:
+        probed = written(probed, "urls")
+        hits = probed.where("maybe").join(exact, F.col("canonical") == F.col("hit"), "left").withColumn("listed", F.col("hit").isNotNull()).drop("hit")
+        judged = probed.where(~F.col("maybe")).withColumn("listed", F.lit(False)).unionByName(hits)
+    return judged.select(
         "page_id",
         "host",
         "path",

@@ -419,6 +419,16 @@ def test_urls(spark):
     assert (got[11]["host"], got[11]["path"]) == ("b:", "//c/d") and (got[12]["host"], got[12]["path"]) == ("h\nost", "/p\nq") and got[0]["host"] == ""
 
 
+def test_urls_without_broadcast_and_with_odd_rows(spark, monkeypatch):
+    made = [None, "", "no scheme", "http://a.b/c", "http://a.b/c", "http://a.b/d", "http://x.net/", "http://É.b/c?utm_source=1"] * 3 + ["http://a.b/" + "c" * 20000]
+    pages = spark.createDataFrame([(None if i % 5 == 0 else i, u, "h", "k", 1) for i, u in enumerate(made)], "page_id long, url string, host string, key string, block int")
+    listed = spark.createDataFrame([("http://a.b/c",), ("http://a.b/c/",), ("http://É.b/c",), (None,)], "url string")
+    once = sorted(map(str, urls.filter_urls(pages, listed).collect()))
+    assert len(once) == len(made) and sum("listed=True" in r for r in once) == 9
+    monkeypatch.setattr(urls, "MAX_BROADCAST_KEYS", 0)
+    assert sorted(map(str, urls.filter_urls(pages, listed).collect())) == once
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom, blocks = urls.build_filter(keys, "key", 5000)
@@ -444,12 +454,31 @@ def test_decontamination_on_edited_items(spark):
             for _ in range(edits):
                 w[rng.randrange(len(w))] = "edit"
             docs_.append((len(docs_), " ".join(rng.choices(vocabulary, k=60)) + " " + " ".join(w).upper() + ", " + " ".join(rng.choices(vocabulary, k=3000))))
-    own = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(max(1, len(w) - 4))} - {()}
-    want = {(d, i): len(own(a) & own(b)) for (d, b), (i, a) in itertools.product(docs_, items) if own(a) and len(own(a) & own(b)) >= 0.8 * len(own(a)) - 1e-9}
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    want = {}
+    for (d, b), (i, a) in itertools.product(docs_, items):
+        n = min(5, len(words(a)))
+        own, both = grams(words(a), n), grams(words(a), n) & grams(words(b), n)
+        if len(both) >= 0.8 * len(own) - 1e-9:
+            want[d, i] = len(both)
+    assert all((i * 4, i) in want for i, _ in items)  # the short ones too
     got = decontam.find_items(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]): r["n_found"] for r in got} == want and len(want) > 12
 
 
+def test_a_contaminated_row_goes_alone(spark, monkeypatch):
+    item = "the quick brown fox jumps over the lazy dog again"
+    rows = [(None, f"so {item} it was"), (None, "clean text without an id"), (1, item), (1, "another clean text of this id"), (2, None), (3, item), (3, item)]
+    d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, id int, bad string")
+    items = spark.createDataFrame([(1, item), (None, None)], "item_id long, text string")
+    want = sorted([str(r) for r in rows if item not in (r[1] or "")])
+    assert sorted(str((r["doc_id"], r["text"])) for r in decontam.drop_contaminated(d, items).collect()) == want
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_ITEMS", 0)
+    assert sorted(str((r["doc_id"], r["text"])) for r in decontam.drop_contaminated(d, items).collect()) == want
+
+
 # ---- 8 language
 
 
