@@ -10,6 +10,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -546,22 +547,32 @@ def test_ledger_policies_and_ablations(spark):
 
 
 def test_every_license_rule_knows_its_own_text(spark):
-    say = lambda ids, form: " ".join(licenses.SENTENCES[n][form % len(licenses.SENTENCES[n])] for n in ids)
-    rows = [(name, say(ids, form)) for name, ids in licenses.RULES for form in (0, 1, 2)]
+    end = lambda t: t + (" " if t[-1] in ".:;" else "\n \n")
+    say = lambda ids, form: "".join(end(licenses.SENTENCES[n][form % len(licenses.SENTENCES[n])]) for n in ids)
+    rows = [(name, say(ids, form)) for name, ids in licenses.RULES for form in range(max(len(licenses.SENTENCES[n]) for n in ids))]
     rows += [(name, "\n".join(f"# {w}" for w in re.findall(r"(?:\S+\s*){1,7}", t))) for name, t in rows]
     rows += [("MIT", "**Licensed** under the MIT License."), ("MIT", "_Licensed_ / _under_ the MIT License."), ("MIT", "Licensed\n# under the MIT\n# License.")]
-    rows += [("", "2.0."), ("", "This program is free software. But: you can redistribute it."), ("GPL-3.0-or-later", say(["gpl-free", "gpl-free"], 0))]
+    rows += [("MIT", "MIT License\n#\n# Copyright (c) 2001 A B\n#\n# " + say(["mit-grant", "mit-notice"], 0).replace(" to ", "\n# to "))]
+    rows += [("", "2.0."), ("", "This program is free software. But: you can redistribute it."), ("GPL-3.0-or-later", say(["gpl-3-free", "gpl-3-free"], 0))]
     got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["licenses"] for r in got} == {i: name for i, (name, _) in enumerate(rows)}
+    # the SQL over the same texts
+    db = duckdb.connect()
+    frame = pd.DataFrame({"doc_id": range(len(rows)), "text": [t for _, t in rows]})
+    db.register("documents", frame)
+    assert {r[0]: r[2] for r in db.execute(ORACLES["op10_licenses"]).fetchall()} == {i: name for i, (name, _) in enumerate(rows)}
 
 
 def test_licenses(spark):
     say = lambda *names: " ".join(licenses.SENTENCES[n][0] for n in names)
     bsd2 = say("bsd-grant", "bsd-source", "bsd-binary")
+    bsd3 = bsd2 + " " + say("bsd-endorse")
     rows = [
-        ("", ""), (None, ""), (say("mit-grant", "mit-notice"), "MIT"), (bsd2, "BSD-2-Clause"), (bsd2 + " " + say("bsd-endorse"), "BSD-3-Clause"),
+        ("", ""), (None, ""), (say("mit-grant", "mit-notice"), "MIT"), (bsd2, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"),
         (say("bsd-source", "bsd-grant", "bsd-binary"), ""), (bsd2.replace(" of ", "\nof ").upper(), "BSD-2-Clause"),
+        (bsd3 + " Other parts. " + bsd2, "BSD-3-Clause,BSD-2-Clause"), (bsd2 + "\n" + say("bsd-endorse").replace(" the ", "\nthe "), "BSD-3-Clause"),
         ("Prose.\n" + say("mit-ref") + "\nMore | here\n" + say("apache-2.0-ref"), "MIT,Apache-2.0"), ("licensed under nothing", ""),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier:MIT */", "MIT"), ("MIT", ""),
     ]
     got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in got] == [x for _, x in rows]
