@@ -97,18 +97,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def bucket_sample(rows: DataFrame, label: str, doc_id: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` ids of every label value, spread by hash.
+def bucket_sample(rows: DataFrame, label: str, key: Column, per_label: int) -> DataFrame:
+    """(label, key): at most ``per_label`` keys of every label value, spread by hash.
 
-    The ids of a label are dealt into ``per_label`` hash buckets and each bucket
-    gives its smallest hash, so the work is a partial aggregate however large a
-    label is, and the result has at most ``labels * per_label`` rows.
+    A key is a hash that repeated rows share. The keys of a label are dealt into ``per_label``
+    buckets and each bucket gives its smallest, so the work is a partial aggregate however
+    large a label is, and the result has at most ``labels * per_label`` rows.
     """
-    h = F.xxhash64(F.col(doc_id))
+    spread = F.xxhash64(key, F.lit(7))
     return (
-        rows.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
-        .groupBy(F.col(label).alias("label"), F.pmod(h, F.lit(per_label)).alias("bucket"))
-        .agg(F.min(F.struct(F.xxhash64(F.col(doc_id), F.lit(7)).alias("h"), F.col(doc_id).alias("doc_id"))).alias("m"))
-        .select("label", F.col("m.doc_id").alias("doc_id"))
+        rows.where(F.col(label).isNotNull())
+        .groupBy(F.col(label).alias("label"), F.pmod(spread, F.lit(per_label)).alias("bucket"))
+        .agg(F.min(F.struct(F.xxhash64(key, F.lit(11)).alias("order"), key.alias("key"))).alias("m"))
+        .select("label", "m.key")
     )
-

@@ -1,18 +1,18 @@
 """Language identification by prediction by partial matching (PPM).
 
-Every language has byte statistics in a context tree of variable order up to ``ORDER``;
-the trees share their shape. In a context with total n and q distinct bytes, a byte
-seen c times costs -log2 c / (n + q), an unseen one the escape -log2 q / (n + q) plus its
-cost in the next shorter context with the bytes seen here excluded; below the empty
-context all bytes are alike. The statistics are frozen after the fit, so the cost of a
-byte in a context is one entry of a table and a text's code length is a sum of entries.
-The shortest code length wins, ties go to the first name; the score is the posterior of
+Every language has byte statistics in a context tree of its own, of variable order up to ``ORDER``.
+In a context with total n and q distinct bytes, a byte seen c times costs -log2 c / (n + q), an
+unseen one the escape -log2 q / (n + q) plus its cost in the next shorter context with the bytes seen
+here excluded; below the empty context all bytes are alike. The statistics are frozen after the fit,
+so the cost of a byte in a context is one entry of a table and a text's code length is a sum of
+entries. The shortest code length wins, ties go to the first name; the score is the posterior of
 that language when all are equally likely beforehand.
 
-The fit reads a bounded sample: at most ``PER_LANG`` rows of each language, spread by
-hash, none longer than ``MAX_TRAIN_CHARS``, and at most ``MAX_LANGS`` languages (the
-most frequent); contexts seen fewer than ``MIN_COUNT`` times are left out and
-``MAX_CONTEXTS`` bounds the table. Prediction reads whole texts.
+The fit reads a bounded sample: ``PER_LANG`` rows of each language, spread by hash, of which the first
+``MAX_TRAIN_CHARS`` characters. In a tree, contexts seen fewer than ``MIN_COUNT`` times are left out
+and ``MAX_CONTEXTS`` bounds it; with many languages rows and contexts of each are fewer, so that all
+together stay within ``MAX_ROWS`` and ``MAX_TABLE``. No language is left out: over ``MAX_LANGS``, which
+no list of languages reaches, the fit fails. Prediction reads whole texts.
 
 Results by case: a null text, or one without a letter, is ``und`` with score 0; if
 nothing could be learnt every row is ``und``; null ids and repeated rows are predicted
@@ -23,7 +23,6 @@ the named columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,28 +32,81 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import bucket_sample, encode_slices, held_out, map_rows
 
-ORDER, MIN_COUNT, MAX_CONTEXTS = 4, 24, 8_000
-PER_LANG, MAX_TRAIN_CHARS, MAX_LANGS = 250, 6_000, 64
+ORDER, MIN_COUNT, MAX_CONTEXTS = 4, 8, 6_000
+PER_LANG, MAX_TRAIN_CHARS = 250, 6_000
+MAX_LANGS, MAX_ROWS, MAX_TABLE = 10_000, 50_000, 200_000
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Letters are those of Unicode's letter categories, so no digits or fractions of other scripts."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
 
 
 @dataclass
 class Trees:
     """Frozen statistics. code: byte -> symbol (0: padding in front of a text, 1: any byte
-    not seen in training); child: context and byte before it -> longer context; cost:
-    [context, symbol, language] in bits."""
+    not seen in training). For each language child: context and byte before it -> longer context,
+    and cost: [context, symbol] in bits."""
 
     langs: list[str]
     code: np.ndarray
-    child: np.ndarray
-    cost: np.ndarray
+    child: list[np.ndarray]
+    cost: list[np.ndarray]
 
 
 def _symbols(raw: bytes, code: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(ORDER, np.uint8), code[np.frombuffer(raw, np.uint8)]])
 
 
+def _tree(s: np.ndarray, width: int, max_contexts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(child, cost) of the symbols of one language; contexts are written as numbers to the base
+    ``width``, in which the last byte before counts first."""
+    at = np.flatnonzero(s != 0)
+    key, node, orders = np.zeros(len(at), np.int64), {(0, 0): 0}, []
+    for order in range(1, ORDER + 1):
+        key = key * width + s[at - order]
+        u, c = np.unique(key, return_counts=True)
+        orders.append([(-n, order, k) for k, n in zip(u.tolist(), c.tolist(), strict=True) if n >= MIN_COUNT])
+    for _, order, k in sorted(x for part in orders for x in part):  # a shorter context is seen as often, so it comes first
+        if len(node) >= max_contexts:
+            break
+        node[order, k] = len(node)
+    child, parent = np.zeros((len(node), width), np.int32), np.zeros(len(node), np.int64)
+    for (order, k), i in node.items():
+        if order:
+            parent[i] = node[order - 1, k // width]
+            child[parent[i], k % width] = i
+    counts = np.zeros((len(node), width))
+    cur, alive = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+    for order in range(ORDER + 1):
+        if order:
+            step = child[cur, s[at - order]]
+            alive &= step > 0
+            cur = np.where(alive, step, cur)
+        np.add.at(counts, (cur[alive], s[at][alive]), 1)
+    return child, _costs(counts, parent)
+
+
+def _costs(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Bits of each symbol in each context. Symbol 1 stands for each of the bytes that were never seen."""
+    n_nodes, width = counts.shape
+    unseen = 256 - (width - 2)
+    p = np.empty_like(counts)
+    base = np.full(width, 1 / 256)
+    base[0] = 0
+    for i in range(n_nodes):  # a parent comes before its children
+        c, lower = counts[i], base if i == 0 else p[parent[i]]
+        n, q = c.sum(), np.count_nonzero(c)
+        new = np.where(c > 0, 0, lower)
+        left = new[2:].sum() + new[1] * unseen
+        p[i] = np.where(c > 0, c / max(n + q, 1), q / (n + q) * new / max(left, 1e-12)) if n else lower
+    cost = np.minimum(-np.log2(np.maximum(p, 1e-12)), 40.0)
+    cost[:, 0] = 0  # the padding itself is never coded
+    return cost.astype(np.float32)
+
+
 def fit(texts: dict[str, list[str]]) -> Trees | None:
     """Fit the trees on texts by language."""
     langs = sorted(texts)
@@ -64,105 +116,57 @@ def fit(texts: dict[str, list[str]]) -> Trees | None:
         return None
     code = np.ones(256, np.uint8)
     code[seen] = np.arange(2, len(seen) + 2)
-    width = len(seen) + 2
-    flat = {g: np.concatenate([_symbols(r, code) for r in raws[g]] or [np.zeros(0, np.uint8)]).astype(np.int64) for g in langs}
-    # contexts by order, written as numbers to the base ``width``; the last byte before counts first
-    totals: list[Counter] = [Counter() for _ in range(ORDER + 1)]
-    for g in langs:
-        s = flat[g]
-        at = np.flatnonzero(s != 0)
-        key = np.zeros(len(at), np.int64)
-        for order in range(ORDER + 1):
-            if order:
-                key = key * width + s[at - order]
-            u, c = np.unique(key, return_counts=True)
-            totals[order].update(dict(zip(u.tolist(), c.tolist(), strict=True)))
-    node = {(0, 0): 0}
-    for order in range(1, ORDER + 1):
-        rank = sorted((k for k, c in totals[order].items() if c >= MIN_COUNT and (order - 1, k // width) in node), key=lambda k: (-totals[order][k], k))
-        for k in rank:
-            if len(node) >= MAX_CONTEXTS:
-                break
-            node[order, k] = len(node)
-    child = np.zeros((len(node), width), np.int32)
-    parent = np.zeros(len(node), np.int64)
-    for (order, k), i in node.items():
-        if order:
-            parent[i] = node[order - 1, k // width]
-            child[parent[i], k % width] = i
-    counts = np.zeros((len(node), width, len(langs)))
-    for j, g in enumerate(langs):
-        s = flat[g]
-        at = np.flatnonzero(s != 0)
-        cur, alive = np.zeros(len(at), np.int64), np.ones(len(at), bool)
-        for order in range(ORDER + 1):
-            if order:
-                step = child[cur, s[at - order]]
-                alive &= step > 0
-                cur = np.where(alive, step, cur)
-            np.add.at(counts[:, :, j], (cur[alive], s[at][alive]), 1)
-    p = np.empty_like(counts)
-    base = np.zeros((width, len(langs)))
-    base[1:] = 1 / 256  # symbol 1 stands for each of the bytes never seen
-    for i in range(len(node)):  # a parent comes before its children
-        c = counts[i]
-        n, q = c.sum(0), (c > 0).sum(0)
-        lower = base if i == 0 else p[parent[i]]
-        new = np.where(c > 0, 0, lower)
-        left = new[2:].sum(0) + new[1] * (256 - len(seen))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escaped = np.where(n > 0, q / np.maximum(n + q, 1), 1.0) * new / np.maximum(left, 1e-12)
-            p[i] = np.where(c > 0, c / np.maximum(n + q, 1), np.where(n > 0, escaped, lower))
-    with np.errstate(divide="ignore"):
-        cost = np.minimum(-np.log2(np.maximum(p, 1e-12)), 40.0)
-    cost[:, 0, :] = 0  # the padding itself is never coded
-    return Trees(langs, code, child, cost.astype(np.float32))
+    share = max(1, min(MAX_CONTEXTS, MAX_TABLE // len(langs)))
+    flat = (np.concatenate([_symbols(r, code) for r in raws[g]] or [np.zeros(0, np.uint8)]).astype(np.int64) for g in langs)
+    trees = [_tree(s, len(seen) + 2, share) for s in flat]
+    return Trees(langs, code, [c for c, _ in trees], [c for _, c in trees])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees | None:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null")
-    rows = rows.where(~held_out(F.col("doc_id")) & (F.length("text") <= MAX_TRAIN_CHARS))
-    top = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    ids = bucket_sample(rows.join(F.broadcast(top), "lang"), "lang", "doc_id", PER_LANG)
-    sample = rows.join(F.broadcast(ids), (rows["doc_id"] == ids["doc_id"]) & (rows["lang"] == ids["label"]))  # at most PER_LANG * MAX_LANGS rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null and text is not null")
+    rows = rows.where(~held_out(F.col("doc_id")))
+    n_langs = rows.select("lang").distinct().limit(MAX_LANGS + 1).count()
+    if n_langs > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages; {lang_col} holds something else")
+    chosen = bucket_sample(rows, "lang", F.xxhash64("doc_id", "text"), max(1, min(PER_LANG, MAX_ROWS // max(1, n_langs))))
+    cut = F.substring("text", 1, MAX_TRAIN_CHARS)
+    sample = rows.join(F.broadcast(chosen), (rows["lang"] == chosen["label"]) & (F.xxhash64(rows["doc_id"], rows["text"]) == chosen["key"])).select("label", "key", cut.alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sample.select("lang", "text").dropDuplicates().collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
+    for r in sample.dropDuplicates(["label", "key"]).collect():  # at most MAX_ROWS rows, repeated ones once
+        texts.setdefault(r["label"], []).append(r["text"])
     return fit({g: sorted(t) for g, t in texts.items()})
 
 
 def code_lengths(trees: Trees, raws: list[bytes]) -> np.ndarray:
     """Bits of each text under each language, [texts, languages]."""
     sizes = np.array([len(r) for r in raws], np.int64)
-    s = np.concatenate([_symbols(r, trees.code) for r in raws])
+    s = np.concatenate([_symbols(r, trees.code) for r in raws]).astype(np.int32)
     first = np.cumsum(sizes + ORDER) - sizes - ORDER
-    flat_child, width = trees.child.reshape(-1), trees.child.shape[1]
-    s = s.astype(np.int32)
-    cur = np.zeros(len(s), np.int32)
-    alive = np.ones(len(s), bool)
-    for order in range(1, ORDER + 1):
-        before = np.zeros(len(s), np.int32)
-        before[order:] = s[:-order]
-        step = flat_child[cur * width + before]
-        alive &= step > 0
-        np.copyto(cur, step, where=alive)
-    bits = trees.cost.reshape(-1, len(trees.langs))[cur * width + s]
-    out = np.zeros((len(raws), len(trees.langs)))
-    full = sizes > 0
-    if full.any():
-        out[full] = np.add.reduceat(bits, first[full], axis=0, dtype=np.float64)
+    out, full = np.zeros((len(raws), len(trees.langs))), sizes > 0
+    if not full.any():
+        return out
+    before = [np.concatenate([np.zeros(k, np.int32), s[:-k]]) for k in range(1, ORDER + 1)]
+    for j, (child, cost) in enumerate(zip(trees.child, trees.cost, strict=True)):
+        width, flat = child.shape[1], child.reshape(-1)
+        cur, alive = np.zeros(len(s), np.int32), np.ones(len(s), bool)
+        for x in before:
+            step = flat[cur * width + x]
+            alive &= step > 0
+            np.copyto(cur, step, where=alive)
+        bits = cost.reshape(-1)[cur * width + s]
+        out[full, j] = np.add.reduceat(bits, first[full], dtype=np.float64)
     return out
 
 
 def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, bits_per_byte (of the winner)."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most MAX_CONTEXTS * 258 * MAX_LANGS floats
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most MAX_TABLE contexts (and one a language) of 258 entries
 
     def fn(batch: pa.RecordBatch):
         t = shared.value
         for at, group in encode_slices([x.lower() if x else x for x in batch.column(1).to_pylist()]):
             part = batch.slice(at, len(group))
-            lettered = np.array([bool(_LETTER.search(g.decode("utf-8", "surrogatepass"))) for g in group])
+            lettered = np.array([has_letter(g.decode("utf-8", "surrogatepass")) for g in group])
             if t is None:
                 name, score, rate = np.full(len(group), UND, object), np.zeros(len(group)), np.zeros(len(group))
             else:

@@ -13,8 +13,7 @@ Scoring runs forward-backward over all words of a text. A document's score is th
 largest toxic marginal of its words; offending offsets are the code point spans of
 words with a marginal of 0.5 or more.
 
-Results by case: a null or empty text has no words and scores the field's prior
-(near 0); null ids and repeated rows are scored like any other row and are never
+Results by case: a null or empty text, or one without words, scores 0; null ids and repeated rows are scored like any other row and are never
 learnt from; conflicting labels of one id count as toxic; without toxic training
 rows every score is 0; empty tables give empty results; only the named columns
 are read.
@@ -191,16 +190,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the labelled rows whose id is not held out; the sample is bounded, see the module."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")
-    ids = bucket_sample(known.where("y = 1"), "y", "doc_id", PER_TOXIC).unionByName(bucket_sample(known.where("y = 0"), "y", "doc_id", PER_CLEAN))
-    texts = (
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .where(F.length("text") <= MAX_TRAIN_CHARS)
-        .join(F.broadcast(ids), "doc_id")  # at most PER_TOXIC + PER_CLEAN rows
-        .select("label", "text")
-        .dropDuplicates()
-        .collect()
-    )
+    short = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= MAX_TRAIN_CHARS)
+    short = short.withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = short.select("doc_id", "key").join(known, "doc_id")  # texts are not shuffled
+    keys = bucket_sample(rows.where("y = 1"), "y", F.col("key"), PER_TOXIC).unionByName(bucket_sample(rows.where("y = 0"), "y", F.col("key"), PER_CLEAN))
+    sample = short.join(F.broadcast(keys), "key").select("label", "key", "text")  # at most PER_TOXIC + PER_CLEAN keys
+    texts = sample.dropDuplicates(["label", "key"]).collect()  # repeated rows once
     by = {y: sorted(r["text"] for r in texts if r["label"] == y) for y in (0, 1)}
     return fit(by[1], by[0])
 
@@ -209,7 +204,9 @@ class Scorer:
     """Exact marginals of one text in time that depends on the words with features only.
 
     Between two such words all emissions are the bias, so the chain's messages over
-    a stretch of plain words are a power of one 2 x 2 matrix.
+    a stretch of plain words are a power of one 2 x 2 matrix. Along a stretch the marginal is
+    A r^k + B r^-k + C for the ratio r of the matrix's eigenvalues, so its largest value lies at
+    an end of the stretch or where the two terms are alike.
     """
 
     def __init__(self, model: Field):
@@ -218,54 +215,91 @@ class Scorer:
         self.trans = np.exp(np.array([[a, b], [c, d]]) - max(a, b, c, d))
         plain = self.trans * np.exp(np.array([0.0, model.bias]))[None, :]
         self.plain = plain / max(plain.max(), 1e-300)
+        self.start = np.array([1.0, math.exp(self.bias)])
+        self.start /= self.start.sum()
+        values, vectors = np.linalg.eig(self.plain)
+        order = np.argsort(-np.abs(values))
+        self.vectors = np.real(vectors[:, order])
+        self.rows = np.linalg.pinv(self.vectors)
+        self.ratio = float(np.real(values[order[1]] / values[order[0]]))
         self.powers: dict[int, np.ndarray] = {0: np.eye(2)}
+        self.tops: dict[int, float] = {}
 
     def power(self, n: int) -> np.ndarray:
-        """The plain matrix to the n, scaled; many words forget, so n over 4096 is as 4096."""
-        n = min(n, 4096)
-        if n not in self.powers:
+        """The plain matrix to the n, scaled. Only short stretches and powers of two are kept."""
+        if n in self.powers:
+            return self.powers[n]
+        if n < 4096 or n & (n - 1) == 0:
             half = self.power(n // 2)
             out = half @ half @ (self.plain if n % 2 else np.eye(2))
             self.powers[n] = out / out.sum()
-        return self.powers[n]
+            return self.powers[n]
+        high = 1 << (n.bit_length() - 1)
+        out = self.power(high) @ self.power(n - high)
+        return out / out.sum()
+
+    def _stretch_top(self, f: np.ndarray, g: np.ndarray, n: int) -> float:
+        """The largest marginal of n plain words; f is the message at the first, g that behind the last."""
+        last = n - 1
+        places = {0, 1, last // 2, last - 1, last}
+        a = float(f @ self.vectors[:, 1] * self.rows[1, 1] * self.vectors[1, 0] * (self.rows[0] @ g))
+        b = float(f @ self.vectors[:, 0] * self.rows[0, 1] * self.vectors[1, 1] * (self.rows[1] @ g))
+        r = abs(self.ratio)
+        if 0 < r < 1:
+            # with a negative ratio even and odd words change signs on their own
+            for first in (0, 1) if self.ratio < 0 else (0,):
+                x, y = (a * (-1) ** first, b * (-1) ** (last - first)) if self.ratio < 0 else (a, b)
+                if x < 0 and y < 0:  # the middle is above both ends
+                    k = int((last + math.log(y / x) / math.log(r)) / 2)
+                    places |= {k - 1, k, k + 1, k + 2}
+        top = 0.0
+        for k in places:
+            if 0 <= k < n:
+                x = (f @ self.power(k)) * (self.power(last - k) @ g)
+                top = max(top, float(x[1] / x.sum()))
+        return top
 
     def marginals(self, u: list[float]) -> tuple[list[int], list[float], float]:
-        """(places of words with features, their marginals, the largest marginal of all words
-        beside or without them)."""
+        """(places of words with features, their marginals, the largest marginal of all words)."""
         if not u:
             return [], [], 0.0
         at = [i for i, x in enumerate(u) if x != self.bias]
         n, t = len(u), self.trans
         if not at:
-            return [], [], self._plain_top(n)
-        e = [np.array([1.0, math.exp(min(u[i], 300.0))]) for i in at]
-        e = [x / x.sum() for x in e]
-        start = np.array([1.0, math.exp(self.bias)])
-        fwd, f, before = [], None, -1
+            if n not in self.tops:
+                if len(self.tops) > CACHE_WORDS:
+                    self.tops.clear()
+                self.tops[n] = self._stretch_top(self.start, np.ones(2), n)
+            return [], [], self.tops[n]
+        e = [np.exp(np.array([min(0.0, -u[i]), min(0.0, u[i])])) for i in at]
+        fwd, f, before, first = [], None, -1, []  # first: the message at the first plain word behind a featured one
+        plain = np.array([1.0, math.exp(self.bias)])
         for i, x in zip(at, e, strict=True):
+            gap = i - before - 1
             if f is None:
-                f = x if i == 0 else (start @ self.power(i - 1) @ t) * x
+                first.append(self.start)
+                f = x if i == 0 else (self.start @ self.power(i - 1) @ t) * x
             else:
-                f = (f @ self.power(i - before - 1) @ t) * x
+                first.append((f @ t) * plain)
+                f = (f @ self.power(gap) @ t) * x
             f = f / f.sum()
             fwd.append(f)
             before = i
-        out, g, after = [0.0] * len(at), None, n
+        out, top = [0.0] * len(at), 0.0
+        behind, after = np.ones(2), n  # the message behind the word before ``after``
+        tail = (f @ t) * plain
         for k in range(len(at) - 1, -1, -1):
-            g = self.power(n - 1 - at[k]) @ np.ones(2) if g is None else self.power(after - at[k] - 1) @ t @ (e[k + 1] * g)
+            gap = after - at[k] - 1
+            if gap:
+                top = max(top, self._stretch_top(tail, behind, gap))
+            g = self.power(gap) @ behind
             g = g / g.sum()
-            after = at[k]
             p = fwd[k] * g
             out[k] = float(p[1] / p.sum())
-        return at, out, max(out)
-
-    def _plain_top(self, n: int) -> float:
-        x = np.array([1.0, math.exp(self.bias)])
-        best = 0.0
-        for i in sorted({0, n // 2, n - 1}):
-            f, g = x @ self.power(i), self.power(n - 1 - i) @ np.ones(2)
-            best = max(best, float(f[1] * g[1] / (f @ g)))
-        return best
+            behind, after, tail = t @ (e[k] * g), at[k], first[k]
+        if at[0]:
+            top = max(top, self._stretch_top(self.start, behind, at[0]))
+        return at, out, max(top, *out)
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """(document score, toxic spans in code points)."""

@@ -202,8 +202,36 @@ def test_forward_backward_equals_enumeration():
             mass += w * np.array(y)
         p, _ = toxicity.forward_backward(u[None, :], np.array([n]), model.trans)
         assert np.allclose(p[0], mass / total)
-        at, got, _ = toxicity.Scorer(model).marginals(u.tolist())
-        assert np.allclose(got, (mass / total)[at])
+        at, got, top = toxicity.Scorer(model).marginals(u.tolist())
+        assert np.allclose(got, (mass / total)[at]) and np.isclose(top, (mass / total).max())
+
+
+def test_score_is_the_largest_marginal():
+    """Of all words, with sticky and alternating chains, weights of both signs and long stretches of plain words."""
+    rng = np.random.default_rng(1)
+    for trial in range(150):
+        trans = tuple(rng.normal(0, 3, 4)) if trial % 3 else [(4.0, -4.0, -4.0, 4.0), (-3.0, 3.0, 3.0, -3.0)][trial // 3 % 2]
+        model = toxicity.Field({"bad": 5.0, "good": -6.0}, float(rng.normal(-1, 2)), trans)
+        n = int(rng.choice([1, 2, 3, 17, 300, 9001]))
+        words = np.where(rng.random(n) < rng.choice([0.0, 0.01, 0.3]), rng.choice(["bad", "good"], n), "x").tolist()
+        scorer = toxicity.Scorer(model)
+        u = np.array([[scorer.emissions[w] for w in words]])
+        p, _ = toxicity.forward_backward(u, np.array([n]), trans)
+        assert np.isclose(scorer.score(" ".join(words))[0], p.max(), atol=1e-9), (trial, n)
+
+
+def test_fits_gather_bounded_rows(spark, monkeypatch):
+    """However many rows one labelled id has, and however often a row is repeated."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda *texts: seen.append(list(map(len, texts))))
+    monkeypatch.setattr(langid, "fit", lambda texts: seen.append([len(t) for t in texts.values()]))
+    monkeypatch.setattr(toxicity, "PER_TOXIC", 20)
+    monkeypatch.setattr(langid, "PER_LANG", 20)
+    ids = [i for i in range(1, 30) if not zlib.crc32(str(i).encode()) % 5 == 0]
+    d = spark.range(3000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 500).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    toxicity.train(d, spark.createDataFrame([(ids[0], 1)], "doc_id long, toxic int"))
+    langid.train(d)
+    assert 10 <= seen[0][0] <= 20 and 10 <= seen[1][0] <= 20
 
 
 def test_toxicity_held_out(spark):
@@ -483,24 +511,60 @@ def test_a_contaminated_row_goes_alone(spark, monkeypatch):
 # ---- 8 language
 
 
-def test_code_lengths_are_sums_over_the_trees(docs):
+def naive_bits(texts, text, order):
+    """PPM straight from its definition, over all 256 bytes."""
+    seen = defaultdict(Counter)
+    for t in texts:
+        s = [None] * order + list(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[tuple(s[i - k : i])][s[i]] += 1
+
+    def chances(context):
+        lower = chances(context[1:]) if context else dict.fromkeys(range(256), 1 / 256)
+        c = seen.get(context)
+        if not c:
+            return lower
+        n, q = sum(c.values()), len(c)
+        rest = sum(p for x, p in lower.items() if x not in c)
+        return {x: c[x] / (n + q) if x in c else q / (n + q) * p / rest for x, p in lower.items()}
+
+    s = [None] * order + list(text)
+    return sum(-math.log2(chances(tuple(s[i - order : i]))[s[i]]) for i in range(order, len(s)))
+
+
+def test_code_lengths_equal_ppm(monkeypatch):
+    monkeypatch.setattr(langid, "MIN_COUNT", 1)
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(0, 40)))
+    texts = {"x": [word("abc") for _ in range(12)], "y": [word("bcd ") for _ in range(12)], "z": ["é"]}
+    trees = langid.fit(texts)
+    asked = [word("abcd ") for _ in range(6)] + ["", "a", "zz a", "é", "\x00ß"]
+    got = langid.code_lengths(trees, [t.encode() for t in asked])
+    want = [[naive_bits([t.encode() for t in texts[g] if t], a.encode(), langid.ORDER) for g in trees.langs] for a in asked]
+    assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_pruned_trees_are_distributions(docs):
     d = docs[docs["text"].str.len() < 3000]
     trees = langid.fit({g: x["text"].head(20).tolist() for g, x in d.groupby("lang")})
-    raw = d["text"].iloc[0].lower().encode()[:300]
-    syms = [0] * langid.ORDER + trees.code[list(raw)].tolist()
-    want = np.zeros(len(trees.langs))
-    for i in range(langid.ORDER, len(syms)):
-        node = 0
-        for k in range(1, langid.ORDER + 1):
-            step = trees.child[node, syms[i - k]]
-            if step == 0:
-                break
-            node = step
-        want += trees.cost[node, syms[i]]
-    assert np.allclose(langid.code_lengths(trees, [b"", raw, b"x"])[1], want, rtol=1e-5)
-    seen = trees.code > 1
-    p = 2.0 ** -trees.cost.astype(float)
-    assert np.allclose(p[:, 2:, :].sum(1) + p[:, 1, :] * (256 - seen.sum()), 1, atol=1e-3)
+    unseen = 256 - (trees.code > 1).sum()
+    for cost in trees.cost:
+        p = 2.0 ** -cost.astype(float)
+        assert 50 < len(p) <= langid.MAX_CONTEXTS and np.allclose(p[:, 2:].sum(1) + p[:, 1] * unseen, 1, atol=1e-3)
+
+
+def test_rare_languages_are_learnt_and_letters_are_letters(spark):
+    rng = random.Random(4)
+    free = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    rows = [(i, "".join(rng.choices(f"{chr(97 + i % 20)}{chr(945 + i // 20 % 10)} ", k=60)), f"l{i % 200:03d}") for i in range(2000)]
+    rows += [(9000 + i, "λμν " * 3000, "long") for i in range(5)]  # all of its rows are long
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = langid.train(d)
+    assert len(trees.langs) == len({g for i, _, g in rows if free(i)}) > 190
+    odd = spark.createDataFrame([(1, "²"), (2, "½ ①"), (3, "ª"), (4, None), (5, "λμν λμν")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(odd, trees).collect()}
+    assert got[1] == got[2] == got[4] == "und" and got[3] != "und" and got[5] == "long"
 
 
 def test_language_held_out(spark):
