@@ -6,10 +6,11 @@ an empty result; only the id and text columns are read, so clashing extra
 columns do no harm. Very long texts are scanned whole. Equal spans of one kind
 are reported once.
 
-A decoded layer is kept when it is text (valid UTF-8 without control characters)
-or starts like a compressed stream. ``max_layer_bytes`` is a safety bound on one
-decompressed layer (compression bombs); a layer that would be larger is not
-unwrapped and is counted in ``n_refused``.
+Percent codes, Unicode escapes, base64 (binary contents too), UTF-16 and compressed streams (all
+members) are opened, one layer at a time and to the bottom, so a text holds as many layers as they
+are nested. ``max_layer_bytes`` is a safety bound on one layer, and all layers of a text together may
+have ``TEXT_LAYERS`` times that and ``TEXT_TIMES`` times the text (compression bombs); a layer beyond
+is not opened. Its span is counted in ``n_refused``, and redaction masks it, as it may hold anything.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,9 @@ _TEXT = re.compile(
 #: The shortest finding has 14 bytes, which is 19 base64 characters.
 MIN_BASE64 = 19
 MAX_LAYER_BYTES = 1 << 26
+TEXT_LAYERS, TEXT_TIMES = 4, 16
+#: Runs of a longer layer are found by a pattern, which is slower and takes no memory.
+_LONG_LAYER = 1 << 22
 
 _HEX_CLASS = np.zeros(256, bool)
 _HEX_CLASS[list(b"0123456789abcdef")] = True
@@ -58,10 +62,15 @@ _B64_CLASS = np.zeros(256, bool)
 _B64_CLASS[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
 
 
-def _runs(codes: np.ndarray, cls: np.ndarray, least: int) -> list[tuple[int, int]]:
+_RUNS = {MIN_HEX: re.compile(rb"[0-9a-f]{%d,}" % MIN_HEX), MIN_BASE64: re.compile(rb"[A-Za-z0-9+/_-]{%d,}" % MIN_BASE64)}
+
+
+def _runs(raw: bytes, codes: np.ndarray, cls: np.ndarray, least: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes of a class, at least ``least`` long."""
-    if len(codes) < least:
+    if len(raw) < least:
         return []
+    if len(raw) > _LONG_LAYER:
+        return [m.span() for m in _RUNS[least].finditer(raw)]
     edge = np.flatnonzero(np.diff(cls[codes].view(np.int8), prepend=0, append=0))
     start, end = edge[::2], edge[1::2]
     keep = end - start >= least
@@ -86,7 +95,7 @@ def scan_layer(raw: bytes, codes: np.ndarray | None = None) -> list[tuple[int, i
                 found.append((i, pos, "assign"))
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(raw) if m.end() - m.start() >= MIN_ACCESS]
     codes = np.frombuffer(raw, np.uint8) if codes is None else codes
-    return found + [(s, e, "hex") for s, e in _runs(codes, _HEX_CLASS, MIN_HEX)]
+    return found + [(s, e, "hex") for s, e in _runs(raw, codes, _HEX_CLASS, MIN_HEX)]
 
 
 def _decompressor(raw: bytes, at: int):
@@ -166,7 +175,7 @@ class _Rewrite:
 
 def _base64_runs(raw: bytes, codes: np.ndarray):
     """Runs of base64 letters; one with - or _ may also be joined words, so its parts are tried too."""
-    for start, end in _runs(codes, _B64_CLASS, MIN_BASE64):
+    for start, end in _runs(raw, codes, _B64_CLASS, MIN_BASE64):
         yield start, end
         parts = [m.span() for m in _PLAIN_BASE64.finditer(raw, start, end)]
         if len(parts) > 1 or parts and parts[0] != (start, end):
@@ -196,28 +205,43 @@ def _base64_parts(letters: bytes, joints: list[int], limit: int):
         own = [s for s in starts if s % 4 == phase and n - s >= MIN_BASE64]
         if not own:
             continue
-        data, text_to, stream_to = _decode(letters[phase:]), 0, 0
+        data, text_to, stream_to, first = _decode(letters[phase:]), 0, 0, own[0]
         for s in own:
             off = (s - phase) // 4 * 3
             if s >= stream_to and _decompressor(data, off) is not None:
                 plain, no, off_end = _inflate(data, limit, off)
                 if no or plain is not None:
                     stream_to = n if no else min(n, s - (off - off_end) * 4 // 3)
+                    first = -1
                     yield plain, s, stream_to, True
             if s >= text_to:
                 good = _TEXT.match(data, off).end() - off
                 e = ends[bisect_right(ends, s + (4 * good + 3) // 3) - 1]
                 if e - s >= MIN_BASE64:
-                    text_to = e
+                    text_to, first = e, -1
                     yield data[off : _TEXT.match(data, off, off + (e - s) * 3 // 4).end()], s, e, False
+        if first > 0:  # neither text nor a stream: bytes that may hold either
+            yield data[(first - phase) // 4 * 3 :], first, n, False
+
+
+def _utf16(raw: bytes) -> str | None:
+    """The codec of a layer that is UTF-16 for the most part of plain letters."""
+    half, even, odd = len(raw) // 2, raw[::2].count(0), raw[1::2].count(0)
+    if half < 7 or min(even, odd) * 4 > half:
+        return None
+    return "utf-16-le" if odd * 4 >= half * 3 else "utf-16-be" if even * 4 >= half * 3 else None
 
 
-def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
-    """Layers one step inside ``raw``: (content, offset map into raw); counts what was refused."""
-    refused, layers = 0, []
+def _whole(start: int, end: int):
+    return lambda s, e: (start, end)
+
+
+def _unwrap(raw: bytes, codes: np.ndarray, room) -> Iterator[tuple[bytes | None, object]]:
+    """Layers one step inside ``raw``, one by one: (content, offset map into raw), None as content where
+    refused. ``room()`` is how large a layer may be just now."""
     if _PERCENT.search(raw):
         layer = _Rewrite(0, [(x.start(), x.end(), bytes([int(x[0][1:], 16)])) for x in _PERCENT.finditer(raw)], raw)
-        layers.append((layer.data, layer))
+        yield layer.data, layer
     if b"\\" in raw or b"&#" in raw:
         pieces = []
         for x in _UNICODE.finditer(raw):
@@ -227,94 +251,95 @@ def _unwrap(raw: bytes, codes: np.ndarray, limit: int):
                 pieces.append((x.start(), x.end(), chr(code).encode("utf-8", "surrogatepass")))
         if pieces:
             layer = _Rewrite(0, pieces, raw)
-            layers.append((layer.data, layer))
+            yield layer.data, layer
+    if 0 in raw and (codec := _utf16(raw)):
+        text = raw.decode(codec, "replace").encode("utf-8")
+        units = lambda x: len(text[:x].decode("utf-8", "ignore").encode("utf-16-le"))
+        yield text, lambda s, e: (units(s), units(e))
     for start, end in _base64_runs(raw, codes):
         letters = _standard(raw[start:end])
         data = _decode(letters)
-        plain, no, _ = _inflate(data, limit)
-        refused += no
+        plain, no, _ = _inflate(data, room())
         pad = _padded(raw, end)
-        if plain is not None:
-            layers.append((plain, lambda s, e, a=start, b=pad: (a, b)))
-        elif _is_text(data):
-            layers.append((data, lambda s, e, a=start, b=pad: (a + s * 4 // 3, min(b, a + -(-e * 4 // 3)))))
-        elif not no and _JOINER.search(letters):
-            refused += _add_parts(layers, raw, [(start, end)], limit)
+        if plain is not None or no:
+            yield plain, _whole(start, pad)
+            continue
+        yield data, lambda s, e, a=start, b=pad: (a + s * 4 // 3, min(b, a + -(-e * 4 // 3)))
+        if not _is_text(data) and _JOINER.search(letters):
+            yield from _parts(raw, [(start, end)], room)
     for m in _WRAPPED.finditer(raw):
         edges = [m.start(), *(x for b in _BREAK.finditer(raw, m.start(), m.end()) for x in b.span()), m.end()]
         lines = list(zip(edges[::2], edges[1::2], strict=True))
         if sum(e - s for s, e in lines) >= MIN_BASE64:
-            refused += _add_parts(layers, raw, lines, limit)
-    plain, no, _ = _inflate(raw, limit)
-    if plain is not None:
-        layers.append((plain, lambda s, e, n=len(raw): (0, n)))
-    return layers, refused + no
+            yield from _parts(raw, lines, room)
+    plain, no, _ = _inflate(raw, room())
+    if plain is not None or no:
+        yield plain, _whole(0, len(raw))
 
 
 def _padded(raw: bytes, end: int) -> int:
     return end + min(2, len(raw[end : end + 2]) - len(raw[end : end + 2].lstrip(b"=")))
 
 
-def _add_parts(layers: list, raw: bytes, lines: list[tuple[int, int]], limit: int) -> int:
-    """Add the layers of base64 parts in joined lines; the number of refused ones."""
+def _parts(raw: bytes, lines: list[tuple[int, int]], room) -> Iterator[tuple[bytes | None, object]]:
+    """The layers of base64 parts in joined lines."""
     first = [0]
     for s, e in lines:
         first.append(first[-1] + e - s)
-    size, refused = first[-1], 0
+    size = first[-1]
 
     def back(x: int) -> int:
         i = bisect_right(first, x) - 1
         return lines[i][0] + x - first[i]
 
-    for data, a, b, stream in _base64_parts(_standard(b"".join(raw[s:e] for s, e in lines)), first[1:-1], limit):
-        if data is None:
-            refused += 1
-            continue
+    for data, a, b, stream in _base64_parts(_standard(b"".join(raw[s:e] for s, e in lines)), first[1:-1], room()):
         end = _padded(raw, lines[-1][1]) if b == size else back(b - 1) + 1
         if stream:
-            layers.append((data, lambda s, e, x=back(a), y=end: (x, y)))
+            yield data, _whole(back(a), end)
         else:
-            layers.append((data, lambda s, e, a=a, b=b, y=end, back=back: (back(a + s * 4 // 3), y if a + -(-e * 4 // 3) >= b else back(a + -(-e * 4 // 3) - 1) + 1)))
-    return refused
+            yield data, lambda s, e, a=a, b=b, y=end: (back(a + s * 4 // 3), y if a + -(-e * 4 // 3) >= b else back(a + -(-e * 4 // 3) - 1) + 1)
 
 
-def scan_text(raw: bytes, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, int]:
-    """(base findings, all findings, layers opened, layers refused), byte offsets of ``raw``.
+def scan_text(raw: bytes, limit: int = MAX_LAYER_BYTES) -> tuple[list, list, int, list]:
+    """(base findings, all findings, layers opened, spans refused), byte offsets of ``raw``.
 
-    The worklist holds layers with the chain of offset maps back to the text. A
-    layer whose content was seen before in this text is not opened again below the
-    same place, so the work ends even where decoding goes in a circle.
+    The worklist is a stack of layers that are being unwrapped, each with the chain of offset maps
+    back to the text. A layer whose content was seen before in this text is not opened again below
+    the same place, so the work ends even where decoding goes in a circle.
     """
     codes = np.frombuffer(raw, np.uint8)
     base = scan_layer(raw, codes)
-    found, opened, refused = set(base), 0, 0
-    todo = deque([(raw, codes, (), frozenset())])
+    found, opened, refused = set(base), 0, set()
+    left = TEXT_LAYERS * limit + TEXT_TIMES * len(raw)
+    room = lambda: min(limit, left)
+    todo = [(_unwrap(raw, codes, room), (), frozenset([hashlib.sha256(raw).digest()]))]
     done: set[tuple[bytes, int, int]] = set()
     while todo:
-        layer, layer_codes, chain, above = todo.popleft()
-        inner, no = _unwrap(layer, layer_codes, limit)
-        refused += no
-        if not inner:
+        layers, chain, here = todo[-1]
+        data, back = next(layers, (None, None))
+        if back is None:
+            todo.pop()
+            continue
+        maps = (back, *chain)
+
+        def outward(s: int, e: int, maps=maps) -> tuple[int, int]:
+            for f in maps:
+                s, e = f(s, e)
+            return s, e
+
+        if data is None or len(data) > left:
+            refused.add(outward(0, 0 if data is None else len(data)))
+            continue
+        key = hashlib.sha256(data).digest()
+        place = (key, *outward(0, len(data)))
+        if key in here or place in done:
             continue
-        here = above | {hashlib.sha256(layer).digest()}
-        for data, back in inner:
-            key = hashlib.sha256(data).digest()
-            maps = (back, *chain)
-
-            def outward(s: int, e: int, maps=maps) -> tuple[int, int]:
-                for f in maps:
-                    s, e = f(s, e)
-                return s, e
-
-            place = (key, *outward(0, len(data)))
-            if key in here or place in done:
-                continue
-            done.add(place)
-            opened += 1
-            data_codes = np.frombuffer(data, np.uint8)
-            found.update((*outward(s, e), kind) for s, e, kind in scan_layer(data, data_codes))
-            todo.append((data, data_codes, maps, here))
-    return base, sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), opened, refused
+        done.add(place)
+        opened, left = opened + 1, left - len(data)
+        data_codes = np.frombuffer(data, np.uint8)
+        found.update((*outward(s, e), kind) for s, e, kind in scan_layer(data, data_codes))
+        todo.append((_unwrap(data, data_codes, room), maps, here | {key}))
+    return base, sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1])), opened, sorted(refused)
 
 
 def _code_points(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -347,7 +372,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             points = _code_points(raw, found)
             spans.append([{"kind": k, "start": s, "end": e, "base": f in own} for (s, e, k), f in zip(points, found, strict=True)])
             layers.append(opened)
-            refusals.append(refused)
+            refusals.append(len(refused))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(spans, _SPAN_TYPE), pa.array(layers, pa.int64()), pa.array(refusals, pa.int64())],
             ["doc_id", "spans", "n_layers", "n_refused"],
@@ -356,10 +381,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _SCHEMA, fn)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", max_layer_bytes: int = MAX_LAYER_BYTES) -> DataFrame:
     """The same rows and columns, with every found span of the text replaced by ``mark``.
 
-    Spans that overlap are replaced as one. A null text stays null.
+    So is a span that was refused, as nobody has read it. Spans that overlap are replaced as one.
+    A null text stays null.
     """
     fields = docs.schema
     at = docs.columns.index(text_col)
@@ -367,10 +393,11 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET
     def fn(batch: pa.RecordBatch):
         out = []
         for text in batch.column(at).to_pylist():
-            found = scan_text(text.encode("utf-8", "surrogatepass"))[1] if text else []
-            if found:
-                raw, parts, pos = text.encode("utf-8", "surrogatepass"), [], 0
-                for start, end, _ in sorted(found):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            _, found, _, refused = scan_text(raw, max_layer_bytes)
+            if found or refused:
+                parts, pos = [], 0
+                for start, end in sorted([*(x[:2] for x in found), *refused]):
                     if start >= pos:
                         parts += [raw[pos:start], mark.encode()]
                     pos = max(pos, end)
