@@ -1,8 +1,8 @@
 """Quality rules: a ledger of failure bits and measurements, versioned policies, ablations.
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one bit
-for each failed rule; a policy is a bit mask with a version, so applying one, or asking
-what a rule alone removes, reads the ledger and never the texts.
+for each failed rule, and is stored as a table; a policy is a bit mask with a version, so applying
+one, or asking what a rule alone removes, reads the stored ledger and never the texts.
 
 Results by case: a null or empty text has no words and fails ``few_words``; repeated rows
 give repeated results; null ids are kept; empty tables give empty results; only the id
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import encode_slices, map_rows
+from maskwright.llm.common import encode_slices, map_rows, written
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -120,6 +120,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     return rows.withColumn("fail_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written as a table in the shared folder, a few dozen bytes a document."""
+    return written(ledger(docs, id_col, text_col), "ledger")
+
+
 def passes(version: int = CURRENT, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(version))) == 0
 
@@ -136,7 +141,7 @@ def ablations(rows: DataFrame, version: int = CURRENT, rules: tuple[Rule, ...] =
     return total.select("n", "any_bits", F.explode(F.array(*map(line, used))).alias("x")).select(F.lit(version).alias("version"), "n", "any_bits", "x.*")
 
 
-ORACLE_SQL = rf"""
+LEDGER_SQL = rf"""
 with t as (select doc_id, row_number() over () as rid, coalesce(text, '') as text from documents),
 w as (select rid, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from t),
 g as (select rid, unnest(range(1, len(w) - 3)) as i, w from w where len(w) >= 5),
@@ -148,7 +153,16 @@ m as (select t.doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_rep
   cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(l) as bigint) as n_lines,
   cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, coalesce(p.n, 0) as n_repeat_words
   from t join w using (rid) join l using (rid) left join p using (rid)),
-b as (select *, cast({" + ".join(f"case when {r.fails} then {1 << r.bit} else 0 end" for r in RULES)} as bigint) as fail_bits from m)
+b as (select *, cast({" + ".join(f"case when {r.fails} then {1 << r.bit} else 0 end" for r in RULES)} as bigint) as fail_bits from m)"""
+ORACLE_SQL = f"""{LEDGER_SQL}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits, cast({CURRENT} as integer) as policy_version,
   (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed,
   (fail_bits & {mask(CURRENT)}) = 0 as kept from b"""
+ABLATIONS_SQL = LEDGER_SQL + " union all ".join(
+    f"""
+select cast({version} as integer) as version, count(*) as n, coalesce(bit_or(fail_bits & {mask(version)}), 0) as any_bits, '{r.name}' as rule,
+  count(*) filter (where fail_bits & {1 << r.bit} <> 0) as n_fail, count(*) filter (where fail_bits & {mask(version)} = {1 << r.bit}) as n_only from b"""
+    for version in POLICIES
+    for r in RULES
+    if mask(version) >> r.bit & 1
+)

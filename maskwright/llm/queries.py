@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,21 +54,28 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(read_table(spark, sf_dir, "documents"))
+    rows = quality.stored_ledger(read_table(spark, sf_dir, "documents"))
     base = F.expr(quality.RULES[0].fails) | F.expr(quality.RULES[1].fails)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "fail_bits"]
     return rows.select("doc_id", *measures, F.lit(quality.CURRENT).alias("policy_version"), base.alias("base_failed"), quality.passes().alias("kept"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy removes, from one stored ledger."""
+    rows = quality.stored_ledger(read_table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, (quality.ablations(rows, version) for version in quality.POLICIES))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, quality_ablations)}
 ORACLES = {
     "op5_chat": chat.oracle_sql(),
     "op6_urls": urls.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op9_quality": quality.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
+    "quality_ablations": quality.ABLATIONS_SQL,
 }
