@@ -2,8 +2,8 @@
 
 Results by case: a null text or role counts as empty; turns with equal numbers are
 ordered by role, then text (a null turn number comes first); repeated rows are turns
-of their own; rows with a null conversation id form one conversation with a null id;
-unknown roles are formatted but make the conversation invalid; an empty table gives an
+of their own; a row with a null conversation id belongs to no other and is a conversation
+of its own, with a null id; unknown roles are formatted but make the conversation invalid; an empty table gives an
 empty result; only the named columns are read. A conversation becomes one row, so one
 row holds all its turns.
 """
@@ -70,9 +70,10 @@ def format_conversations(
     not follow), valid."""
     t = template
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    grouped = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text")))).alias("turns")
-    )
+    turn = F.struct(F.col(turn_col).alias("turn"), text(role_col).alias("role"), text(text_col).alias("text"))
+    owned, own = F.col(conv_col).isNotNull(), F.col(conv_col).alias("conv_id")
+    grouped = rows.where(owned).groupBy(own).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = grouped.unionByName(rows.where(~owned).select(own, F.array(turn).alias("turns")))  # never one group
     moves = F.create_map(*(F.lit(x) for x in chain.from_iterable(t.moves.items())))
 
     def step(acc: Column, turn: Column) -> Column:
@@ -152,8 +153,9 @@ def oracle_sql(t: Template = DEFAULT) -> str:
     return f"""
 with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -7, 0, 'user', {q(odd)} union all select -7, 1, 'assistant', {q(odd)}),
+o as (select *, case when conv_id is null then row_number() over () else 0 end as lone from r),
 n as (select *, row_number() over w as i, coalesce(lag(role) over w, 'start') as before,
-    lead(role) over w is null as is_last from r window w as (partition by conv_id order by turn nulls first, role, text)),
+    lead(role) over w is null as is_last from o window w as (partition by conv_id, lone order by turn nulls first, role, text)),
 m as (select *, ({moves}) as ok from n)
 select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
@@ -161,4 +163,4 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by i) filter (where role in ({", ".join(map(q, t.loss_roles))})), '')) as loss_sha256,
   cast(sum({marks} + length({esc("role")}) + length({esc("text")})) as bigint) as formatted_chars,
   bool_and(ok) and max(case when is_last then role end) in ({", ".join(map(q, t.final))}) as valid
-from m group by conv_id"""
+from m group by conv_id, lone"""
