@@ -133,27 +133,51 @@ def _dropped(key: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) ->
     return _mix(key ^ span * np.uint64(0x9E3779B97F4A7C15)) < np.uint64(limit)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _dropped_one(key: int, start: int, end: int, limit: int) -> bool:
+    """``_dropped`` of one span, in plain numbers."""
+    x = key ^ ((start << 32 | end) * 0x9E3779B97F4A7C15 & _ALL)
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & _ALL
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & _ALL
+    return (x ^ x >> 33) < limit
+
+
 def agenda(v: Vocabulary, letters: list[int], key: int = 0, limit: int = 0) -> list[tuple[int, int, int]]:
     """Encode one chunk with a heap: (piece or -1, start, end) in letters."""
     n = len(letters)
     sym, end, nxt, prv = list(letters), list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple[int, int, int, int]] = []
+    known: dict[tuple[int, int], int] = {}
+
+    def join(a: int, b: int) -> int:
+        """The piece that joins two pieces; an unspaced text meets few different pairs."""
+        if (a, b) not in known:
+            known[a, b] = int(v.merge(np.array([a]), np.array([b]))[0])
+        return known[a, b]
 
     def offer(i: int) -> None:
         j = nxt[i]
         if j >= n or sym[i] < 0 or sym[j] < 0:
             return
-        made = int(v.merge(np.array([sym[i]]), np.array([sym[j]]))[0])
-        if made >= 0 and not (limit and bool(_dropped(np.array([key], np.uint64), np.array([i]), np.array([end[j]]), limit)[0])):
+        made = join(sym[i], sym[j])
+        if made >= 0 and not (limit and _dropped_one(key, i, end[j], limit)):
             heapq.heappush(heap, (int(v.rank[made]), i, end[j], made))
 
-    for i in range(n - 1):
-        offer(i)
+    # the first pairs all at once
+    left, right, at = np.array(letters[:-1], np.int64), np.array(letters[1:], np.int64), np.arange(n - 1)
+    pairs = v.merge(left, right)
+    take = pairs >= 0
+    if limit:
+        take &= ~_dropped(np.full(n - 1, key, np.uint64), at, at + 2, limit)
+    heap = list(zip(v.rank[pairs[take]].tolist(), at[take].tolist(), (at[take] + 2).tolist(), pairs[take].tolist(), strict=True))
+    heapq.heapify(heap)
     gone = [False] * n
     while heap:
         _, i, stop, made = heapq.heappop(heap)
         j = nxt[i]
-        if gone[i] or j >= n or end[j] != stop or int(v.merge(np.array([sym[i]]), np.array([sym[j]]))[0]) != made:
+        if gone[i] or j >= n or end[j] != stop or join(sym[i], sym[j]) != made:
             continue
         sym[i], end[i], nxt[i], gone[j] = made, stop, nxt[j], True
         if nxt[i] < n:

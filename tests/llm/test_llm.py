@@ -1,12 +1,14 @@
 """The training-data operators against brute force, round trips and held-out accuracy."""
 
 import base64
+import bz2
 import gzip
 import itertools
 import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -157,7 +159,32 @@ def test_joined_wrapped_and_spaced_layers_are_found():
                 check("see this\n", brk.join(lines), "\nthe rest")
     check("", "password: " + "".join(f"%{b:02x}" for b in b"hunter2222"), " x")
     check("", b64(gzip.compress(b"first ") + gzip.compress(secret.encode())), "")
-    assert secrets.scan_text(b64(gzip.compress(b"a" * 600) + gzip.compress(b"b" * 600)).encode(), limit=1000)[3] == 1
+    assert secrets.scan_text(b64(gzip.compress(b"a" * 600) + gzip.compress(b"b" * 600)).encode(), limit=1000)[3] != []
+
+
+def test_utf16_and_binary_layers_are_found():
+    secret, rng = "password: hunter2222", random.Random(6)
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    noise = rng.randbytes(400)
+    for raw in (secret.encode("utf-16"), secret.encode("utf-16-be"), f"è {secret}".encode("utf-16-le"), gzip.compress(secret.encode("utf-16-le")), noise + f" {secret} ".encode() + noise, bz2.compress(b"x") + bz2.compress(secret.encode())):
+        for before in ("", "see ", "https://example.com/cb/", "x+y/zz/"):
+            text = f"{before}{b64(raw)} end"
+            found = [(s, e) for s, e, k in secrets.scan_text(text.encode())[1] if k == "assign"]
+            assert any(len(before) <= s < e <= len(text) - 4 for s, e in found), (before, raw[:20])
+    at = f"{b64(('x' * 30 + ' ' + secret + ' ' + 'y' * 30).encode('utf-16-le'))}"
+    [(s, e)] = {x[:2] for x in secrets.scan_text(at.encode())[1]}
+    assert b64(secret.encode("utf-16-le")[:30])[4:20] in at[s - 4 : e + 4] or 75 < s < e < 150
+
+
+def test_many_large_layers_of_a_text_take_the_memory_of_one():
+    # levels of zeros with a secret at the end of each: 20 streams of 16 MB in about 415 KB
+    streams = [base64.b64encode(zlib.compress(b"\0" * 16_000_000 + b" token=abcdefgh%02d" % i)) for i in range(20)]
+    text = b" ".join(streams)
+    tracemalloc.start()
+    _, found, opened, refused = secrets.scan_text(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6 and opened >= 16 and len(found) + len(refused) == 20 and len(found) >= 16
 
 
 def test_long_joined_runs_take_linear_time():
@@ -176,7 +203,14 @@ def test_layers_that_repeat_end():
 
 def test_bombs_are_refused_and_counted():
     bomb = base64.b64encode(zlib.compress(b"a" * 1_000_000)).decode()
-    assert secrets.scan_text(bomb.encode(), limit=1000)[3] == 1
+    assert secrets.scan_text(bomb.encode(), limit=1000)[3] == [(0, len(bomb))]
+
+
+def test_redaction_masks_what_was_refused(spark):
+    bomb = base64.b64encode(zlib.compress(b"z " * 500_000)).decode()
+    d = spark.createDataFrame([(1, f"so {bomb} it is"), (2, f"so {bomb[:40]} it is")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(d, max_layer_bytes=1000).collect()}
+    assert got[1] == "so [SECRET] it is" and secrets.redact_secrets(d).where("doc_id = 1").first()["text"].startswith("so eJ")
 
 
 def test_redaction(spark):
@@ -409,6 +443,47 @@ def test_block_and_heap_agree(docs):
             assert [int(x) for x in block if x != -2] == heap
 
 
+def naive_pieces(v, letters, key, limit):
+    """Every candidate at every step, best score first, then leftmost; a skipped one never comes back."""
+    spans_ = [(x, i, i + 1) for i, x in enumerate(letters)]
+    mixed = lambda a, b: int(pieces._mix(np.array([(key ^ ((a << 32 | b) * 0x9E3779B97F4A7C15)) % 2**64], np.uint64))[0])
+    surface = {i: p for p, i in v.ids.items()}
+    while True:
+        best = None
+        for k, ((a, s, _), (b, _, e)) in enumerate(zip(spans_, spans_[1:], strict=False)):
+            made = v.ids.get(surface[a] + surface[b], -1) if a >= 0 and b >= 0 else -1
+            if made >= 0 and not (limit and mixed(s, e) < limit):
+                best = min(best or (1 << 60,), (int(v.rank[made]), s, k, made, e))
+        if best is None:
+            return [x for x, _, _ in spans_]
+        _, s, k, made, e = best
+        spans_[k : k + 2] = [(made, s, e)]
+
+
+def test_dropout_equals_brute_force(docs):
+    rng = random.Random(8)
+    enc = pieces.Encoder(dropout=0.25, seed=3)
+    for n in range(120):
+        text = docs["text"][n % len(docs)]
+        at, size = rng.randrange(max(1, len(text) - 80)), rng.randrange(1, 80)
+        chunk = " " + text[at : at + size].replace(" ", "").replace("\n", "").replace("▁", "")
+        if chunk == " ":
+            continue
+        letters, key = enc.v.letter[[ord(c) for c in chunk]], int(enc.keys(np.array([n], np.uint64), np.array([0]))[0])
+        want = naive_pieces(enc.v, letters.tolist(), key, enc.limit)
+        assert [p for p, _, _ in pieces.agenda(enc.v, letters.tolist(), key, enc.limit)] == want
+        ids = enc.encode([chunk[1:]], [n])[0].tolist()
+        assert enc.decode(ids) == chunk[1:] and (-1 in want or ids == want)
+
+
+def test_long_unspaced_texts_take_no_longer():
+    enc = pieces.Encoder(dropout=0.1, seed=3)
+    text = "".join(random.Random(1).choices("abcdefghij", k=40_000))
+    start = time.process_time()
+    assert enc.decode(enc.encode([text], [1])[0].tolist()) == text
+    assert time.process_time() - start < 5
+
+
 def test_decode_frame(spark, docs):
     d = spark.createDataFrame(docs[["doc_id", "text"]])
     enc = pieces.encode_pieces(d)
@@ -424,7 +499,7 @@ def test_chat_machine_and_escapes(spark):
     t = chat.DEFAULT
     rows = [
         (1, 0, "system", "s"), (1, 1, "user", "<|end|></s>\\<|text|>"), (1, 2, "assistant", "[INST]\\\\ <|turn|>"),
-        (2, 0, "assistant", "a"), (2, 1, "user", None), (3, 0, "user", "x"), (3, 0, None, "y"), (None, None, "user", "z"),
+        (2, 0, "assistant", "a"), (2, 1, "user", None), (3, 0, "user", "x"), (3, 0, None, "y"), (None, None, "user", "z"), (None, 1, "assistant", "z"),
     ]
     out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     back = {r["conv_id"]: r for r in chat.read_back(out).collect()}
@@ -433,7 +508,25 @@ def test_chat_machine_and_escapes(spark):
     body = back[1]["formatted"]
     assert body.count(t.end) == 3 and "</s>" not in body and "[INST]" not in body
     bad = {r["conv_id"]: list(r["bad_turns"]) for r in out.collect()}
-    assert bad == {1: [], 2: [0], 3: [0, 1], None: []} and not back[3]["valid"] and not back[None]["valid"]
+    assert out.where("conv_id is null").count() == 2
+    bad.pop(None)
+    assert bad == {1: [], 2: [0], 3: [0, 1]} and not back[3]["valid"] and not back[None]["valid"]
+
+
+def test_chat_with_odd_rows(spark):
+    """Repeated rows, nulls everywhere, clashing columns, a long text; round trip and SQL."""
+    rows = [(None if i % 4 == 0 else i % 3, None if i % 5 == 0 else i % 2, r, t) for i, (r, t) in enumerate(itertools.product([None, "user", "assistant", "other", ""], ["", None, "a\\" * 3000, "<|turn|></s>"]))] * 2
+    d = spark.createDataFrame([(*r, "v", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, valid int")
+    back = chat.read_back(chat.format_conversations(d))
+    turns = sorted((x["role"], x["text"]) for r in back.collect() for x in r["turns"])
+    assert turns == sorted((r or "", t or "") for _, _, r, t in rows)
+    db = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    db.register("frame", frame)
+    db.execute("create view conversations as select * from frame")
+    odd = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    both = d.select("conv_id", "turn", "role", "text").unionByName(odd)
+    assert rows_of(chat.digest(chat.read_back(chat.format_conversations(both)))) == rows_of_sql(db, ORACLES["op5_chat"])
 
 
 # ---- 6 urls
