@@ -1,7 +1,19 @@
 """The corpus pipeline: documents in, encoded clean documents out.
 
 Each stage is written as Parquet and read again as the next one's documents. All but the
-last return the columns they were given.
+last return the columns they were given, extra ones too, whatever their names.
+
+Results by case, of every stage: an empty table gives an empty one; very long texts are read
+whole; a null text counts as empty. By stage:
+
+- toxicity: rows without id are scored like others and never learnt from; null, empty and
+  repeated texts stay or go by their score, which is 0 without words.
+- simhash: texts without words are copies of each other; of a group the row of the least id
+  stays, one without id only where no other is, of repeated rows one.
+- decontamination: a row goes only if its own text holds an item; null and empty items are in nothing.
+- secrets: a null text stays null; n_chars follows the new text and stays null where it was.
+- pieces: a null text gives null lists, an empty one an empty list; a null id counts as 0 in the
+  keyed hash; only the id and the text are read.
 """
 
 from __future__ import annotations
