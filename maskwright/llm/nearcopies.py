@@ -40,6 +40,8 @@ BOTTOM = 8
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 2, 100_000
 #: Rows that may be broadcast, of at most 40 bytes.
 MAX_BROADCAST_ROWS = 500_000
+#: Shingles (rows of 8 bytes) that may be broadcast.
+MAX_BROADCAST_SHINGLES = 2_000_000
 #: Words of 64 bits of the parity that the second round's join compares.
 LANES = 8
 _CHUNK = 100_000
@@ -192,10 +194,14 @@ def family_pairs(prints: DataFrame, radius: int) -> DataFrame:
 def prefix_pairs(prints: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
     """Second round: texts of different groups of ``label`` (key, g) that share a prefix shingle and whose
     sizes and parity lanes allow the threshold."""
-    grouped = prints.join(label, "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
-    rows = grouped.select("key", "n", "lanes", "g", F.explode("prefix").alias("h"))
-    mixed = rows.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
-    rows = rows.join(bounded_broadcast(mixed, MAX_BROADCAST_ROWS), "h").select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES))).checkpoint()
+    grouped = prints.join(bounded_broadcast(label, MAX_BROADCAST_ROWS), "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
+    shingles = lambda *more: grouped.select("key", "g", *more, F.explode("prefix").alias("h"))
+    mixed = shingles().groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
+    if mixed.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES:
+        rows = shingles("n", "lanes").join(F.broadcast(mixed), "h")
+    else:  # lanes are fetched for the rows that are left
+        rows = shingles().join(mixed, "h").join(prints.select("key", "n", "lanes"), "key")
+    rows = rows.select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)))  # both sides of the join below share its exchange
     x, y = rows.alias("x"), rows.alias("y")
     differ = sum((F.bit_count(F.col(f"x.l{i}").bitwiseXOR(F.col(f"y.l{i}"))) for i in range(1, LANES)), F.bit_count(F.col("x.l0").bitwiseXOR(F.col("y.l0"))))
     fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9

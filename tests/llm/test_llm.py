@@ -367,6 +367,7 @@ def naive_copies(texts):
 def test_near_copies_equal_brute_force(spark, monkeypatch, frequent):
     monkeypatch.setattr(nearcopies, "FREQUENT", frequent)
     monkeypatch.setattr(nearcopies, "SAMPLE", 1)
+    monkeypatch.setattr(nearcopies, "MAX_BROADCAST_SHINGLES", frequent)  # both ways
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(3000)}"
     texts = ["", "  ", "one two", "One  two", "one two three four five six"]
