@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: scratch arrays stay small whatever the Arrow batch holds.
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1_024
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +82,11 @@ def ensure_importable(spark: SparkSession) -> None:
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """Run ``fn`` on each Arrow batch of ``df``; a narrow step, no shuffle."""
+    """Run ``fn`` on each Arrow batch of ``df``; a narrow step, no shuffle.
+
+    Where the session has Spark's default of 10,000 rows a batch, it is set to BATCH_ROWS: batches of
+    whole documents are held several times outside the heap, by Spark and by Python.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,6 +94,9 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable
                 yield from fn(batch.slice(at, BATCH_ROWS))
 
     ensure_importable(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
 
 
