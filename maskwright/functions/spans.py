@@ -18,20 +18,40 @@ RANGES = "array<struct<start:int,end:int,text:string>>"
 SPANS = "array<struct<start:int,end:int,text:string,pii_type:string,source:string,confidence:double,priority:int>>"
 
 
+#: Folds gather elements in parts of this size: ``concat`` copies what it adds to, so one growing
+#: array would make a fold quadratic in the matches of a text.
+PART = 128
+
+
+def _gather(acc: Column, item: Column) -> tuple[Column, Column]:
+    """``done`` and ``part`` of an accumulator with one more element."""
+    full = F.size(acc["part"]) >= PART
+    done = F.when(full, F.concat(acc["done"], F.array(acc["part"]))).otherwise(acc["done"])
+    return done.alias("done"), F.when(full, F.array(item)).otherwise(F.concat(acc["part"], F.array(item))).alias("part")
+
+
+def _empty(kind: str) -> tuple[Column, Column]:
+    return F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("part")
+
+
+def _gathered(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["done"], F.array(acc["part"])))
+
+
 def find_all(text: Column, regex: str, guard: str | None = None) -> Column:
     """Every match of a pattern that never matches the empty string: (start, end, text)."""
     gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
     hits = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(RANGES).alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), *_empty(RANGES))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + x["gap"]
         end = at + F.length(x["m"])
         return F.when(x["m"].isNull(), acc).otherwise(
-            F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+            F.struct(end.alias("pos"), *_gather(acc, F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text"))))
         )
 
-    found = F.aggregate(hits, start, step, lambda acc: acc["out"])
+    found = F.aggregate(hits, start, step, _gathered)
     return F.when(text.rlike(guard or regex), found).otherwise(F.array().cast(RANGES))
 
 
@@ -64,14 +84,14 @@ def fold_confusables(text: Column) -> Column:
 
 def replace_ranges(text: Column, ranges: Column, new) -> Column:
     """Rewrite disjoint sorted ranges; ``new`` maps a range element to its replacement."""
-    start = F.struct(F.lit(1).alias("pos"), F.array().cast("array<string>").alias("out"), text.alias("text"))
+    start = F.struct(F.lit(1).alias("pos"), *_empty("array<string>"), text.alias("text"))
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(acc["text"], acc["pos"], x["start"] + 1 - acc["pos"])
-        return F.struct((x["end"] + 1).alias("pos"), F.concat(acc["out"], F.array(gap, new(x))).alias("out"), acc["text"].alias("text"))
+        return F.struct((x["end"] + 1).alias("pos"), *_gather(acc, F.concat(gap, new(x))), acc["text"].alias("text"))
 
     def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(acc["text"], acc["pos"], F.length(acc["text"])))
+        return F.concat(F.array_join(_gathered(acc), ""), F.substring(acc["text"], acc["pos"], F.length(acc["text"])))
 
     return F.when(F.size(ranges) > 0, F.aggregate(ranges, start, step, finish)).otherwise(text)
 
@@ -110,23 +130,42 @@ def resolve_overlaps(spans: Column) -> Column:
     """Disjoint spans: an overlap with the last kept span goes to a pattern over a model, then to
     the longer, else to the one that was there."""
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        clash = (F.size(kept) > 0) & (s["start"] < last["end"])
+    def step(acc: Column, s: Column) -> Column:
+        last = acc["last"]
+        clash = last.isNotNull() & (s["start"] < last["end"])
         longer = (s["end"] - s["start"]) > (last["end"] - last["start"])
         better = F.when((s["source"] == "regex") & (last["source"] != "regex"), True).when((s["source"] != "regex") & (last["source"] == "regex"), False).otherwise(longer)
-        return F.when(~clash, F.concat(kept, F.array(s))).when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(s))).otherwise(kept)
+        return _replace_last(acc, clash, F.when(better, s).otherwise(last), s)
+
+    return F.aggregate(by_start_then_longest(spans), _no_last(SPANS), step, _with_last)
 
-    return F.aggregate(by_start_then_longest(spans), F.array().cast(SPANS), step)
+
+def _no_last(kind: str, **more: Column) -> Column:
+    return F.struct(*_empty(kind), F.lit(None).cast(kind[len("array<") : -1]).alias("last"), *(c.alias(n) for n, c in more.items()))
+
+
+def _replace_last(acc: Column, join: Column, joined: Column, item: Column, *more: str) -> Column:
+    """The last element becomes ``joined`` where ``join``, else it is gathered and ``item`` is the last."""
+    first = acc["last"].isNull()
+    done, part = _gather(acc, acc["last"])
+    keep = join | first
+    return F.struct(
+        F.when(keep, acc["done"]).otherwise(done).alias("done"),
+        F.when(keep, acc["part"]).otherwise(part).alias("part"),
+        F.when(join, joined).otherwise(item).alias("last"),
+        *(acc[n].alias(n) for n in more),
+    )
+
+
+def _with_last(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["done"], F.array(acc["part"], F.when(acc["last"].isNotNull(), F.array(acc["last"])).otherwise(F.slice(acc["part"], 1, 0)))))
 
 
 def merge_adjacent(spans: Column, text: Column) -> Column:
     """Merge neighbours of one type with a gap of at most one character. The pattern source wins,
     confidences are averaged pair by pair from left to right, the text is cut anew."""
-    start = F.struct(F.array().cast(SPANS).alias("out"), text.alias("text"))
-
     def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
+        last = acc["last"]
         gap = s["start"] - last["end"]
         joined = F.struct(
             last["start"].alias("start"),
@@ -137,11 +176,10 @@ def merge_adjacent(spans: Column, text: Column) -> Column:
             ((last["confidence"] + s["confidence"]) / 2).alias("confidence"),
             last["priority"].alias("priority"),
         )
-        merge = (F.size(acc["out"]) > 0) & (last["pii_type"] == s["pii_type"]) & gap.between(0, 1)
-        out = F.when(merge, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(joined))).otherwise(F.concat(acc["out"], F.array(s)))
-        return F.struct(out.alias("out"), acc["text"].alias("text"))
+        merge = last.isNotNull() & F.coalesce((last["pii_type"] == s["pii_type"]) & gap.between(0, 1), F.lit(False))
+        return _replace_last(acc, merge, joined, s, "text")
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+    return F.aggregate(spans, _no_last(SPANS, text=text), step, _with_last)
 
 
 # Punctuation that is cut from span ends, and abbreviations that keep their period.

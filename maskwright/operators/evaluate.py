@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.ranks import value_rank
+from maskwright.functions.ranks import join_by, value_rank
 from maskwright.functions.spans import iou
 
 #: Targets of a report (metric, target, is a floor).
@@ -137,7 +137,8 @@ def latency_stats(rows: DataFrame, by: list[str]) -> DataFrame:
     """Mean, median and percentiles (value at index floor(n * p)), min, max, failures, tokens a second."""
     timed = rows.where("ms is not null")
     sizes = timed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    good = value_rank(timed, by, F.col("ms"), "ms", out="_r").join(sizes, by)
+    good = value_rank(timed, by, F.col("ms"), "ms", out="_r")
+    good = join_by(good, sizes, by)
     at = lambda p: F.round(F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1) + 1, F.col("ms"))), 3)
     half = F.round(F.avg(F.when(F.abs(2 * F.col("_r") - F.col("_n") - 1) <= 1, F.col("ms"))), 3)
     stats = good.groupBy(*by).agg(
@@ -145,7 +146,7 @@ def latency_stats(rows: DataFrame, by: list[str]) -> DataFrame:
         F.round(F.min("ms"), 3).alias("low"), F.round(F.max("ms"), 3).alias("high"), F.round(F.sum("tokens") / (F.sum("ms") / 1000), 3).alias("tokens_per_s"),
     )
     failed = rows.groupBy(*by).agg(F.sum(F.col("ms").isNull().cast("long")).alias("n_failed"))
-    return failed.join(stats, by, "left")
+    return join_by(failed, stats, by, "left")
 
 
 def verdicts(metrics: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.ranks import join_by, quantile_cell
+
 #: The plan catalogue (id, name, rate a minute, monthly tokens (-1: no limit), most keys, price in cents).
 PLANS = (
     ("free", "Free", 10, 1_000, 2, 0),
@@ -59,24 +63,30 @@ def monthly_quota(calls: DataFrame, plan: DataFrame) -> DataFrame:
     """(event_id, org_id, month, used, admitted). A call whose tokens would exceed the month's limit is
     refused and does not count; a later smaller one may pass. Orgs without a limit admit all.
 
-    The limit itself serialises the calls of an org and month, so a task holds the (ts, id, tokens)
-    of one of them; Spark's ``aggregate`` would copy what it has gathered at every call.
+    The limit itself serialises the calls of an org and month. They are sorted by Spark, which spills,
+    and folded with one running number, so a task holds one Arrow batch whatever the group's size.
     """
     joined = calls.join(plan.select("org_id", "monthly_token_limit"), "org_id", "left")
     cap = F.coalesce("monthly_token_limit", F.lit(PLANS[0][3]).cast("long"))
-    keyed = joined.select("org_id", F.date_format("ts", "yyyy-MM").alias("month"), cap.alias("cap"), "ts", "event_id", "tokens")
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        used, total, ok = 0, [], []
-        for tokens, limit in zip(rows["tokens"], rows["cap"], strict=True):
-            admitted = limit < 0 or used + tokens <= limit
-            used += int(tokens) if admitted else 0
-            total.append(used)
-            ok.append(admitted)
-        return pd.DataFrame({"event_id": rows["event_id"], "org_id": key[0], "month": key[1], "used": total, "admitted": ok})
-
-    return keyed.groupBy("org_id", "month").applyInPandas(fold, "event_id long, org_id long, month string, used long, admitted boolean")
+    month = F.date_format("ts", "yyyy-MM").alias("month")
+    keyed = joined.select("org_id", month, "ts", F.col("event_id").cast("long").alias("event_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), cap.alias("cap"))
+    ordered = keyed.repartition("org_id", "month").sortWithinPartitions("org_id", "month", "ts", "event_id").drop("ts")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used = None, 0
+        for batch in batches:
+            orgs, months, _, tokens, caps = (c.to_pylist() for c in batch.columns)
+            total, ok = [], []
+            for org, at, n, limit in zip(orgs, months, tokens, caps, strict=True):
+                if (org, at) != group:
+                    group, used = (org, at), 0
+                admitted = limit < 0 or used + n <= limit
+                used += n if admitted else 0
+                total.append(used)
+                ok.append(admitted)
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(ok, pa.bool_())], ["event_id", "org_id", "month", "used", "admitted"])
+
+    return ordered.mapInArrow(fold, f"event_id long, org_id {keyed.schema['org_id'].dataType.simpleString()}, month string, used long, admitted boolean")
 
 
 def usage_monthly(calls: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
@@ -103,26 +113,24 @@ def usage_report(usage: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: dict[str, float], cells: int = 1024) -> DataFrame:
+def nearest_rank(rows: DataFrame, by: list[str], value: str, percents: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: the value at rank max(1, ceil(p / 100 * n)) of each group.
 
-    A group's values are counted (a partial aggregate) in up to ``cells`` even cells between its
-    least and greatest value; running sums over the cells tell which cell holds a rank, and only
+    A group's values are counted (a partial aggregate) in cells of about as many distinct values each; running sums over the cells tell which cell holds a rank, and only
     distinct values of such cells are put in order. So no task sorts a whole group.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    edges = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("_n"))
-    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1))).otherwise(F.lit(0))
-    celled = counts.join(edges, by).withColumn("_c", part.cast("int"))
+    edges = counts.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    celled = quantile_cell(join_by(counts, edges, by), by, "_v")
     w = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = celled.groupBy(*by, "_n", "_c").agg(F.sum("_k").alias("_s")).withColumn("_upto", F.sum("_s").over(w))
     asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.lit(p) / 100 * F.col("_n"))).alias("rank")) for name, p in percents.items())))
     holds = (F.col("x.rank") <= F.col("_upto")) & (F.col("x.rank") > F.col("_upto") - F.col("_s"))
     wanted = sums.select(*by, "_c", "_s", "_upto", asked.alias("x")).where(holds)
     wanted = wanted.select(*by, "_c", F.col("x.name").alias("_name"), (F.col("x.rank") - (F.col("_upto") - F.col("_s"))).alias("_left"))
-    inside = celled.join(wanted.select(*by, "_c").distinct(), [*by, "_c"], "left_semi")
+    inside = join_by(celled, wanted.select(*by, "_c").distinct(), [*by, "_c"], "left_semi")
     ordered = inside.select(*by, "_c", "_v", F.sum("_k").over(Window.partitionBy(*by, "_c").orderBy("_v")).alias("_cum"))
-    found = ordered.join(wanted, [*by, "_c"]).where(F.col("_cum") >= F.col("_left")).groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
+    found = join_by(ordered, wanted, [*by, "_c"]).where(F.col("_cum") >= F.col("_left")).groupBy(*by, "_name").agg(F.min("_v").alias("_v"))
     return found.groupBy(*by).agg(*(F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in percents))
 
 
@@ -131,7 +139,7 @@ def usage_daily(calls: DataFrame) -> DataFrame:
     day = calls.withColumn("day", F.to_date("ts"))
     counts = day.groupBy("org_id", "day").agg(*(F.sum((F.col("op") == o).cast("long")).alias(f"n_{o}") for o in OPS), F.sum("tokens").alias("tokens"))
     times = nearest_rank(day.where("op = 'detect'"), ["org_id", "day"], "duration_ms", {"p50": 50, "p95": 95})
-    return counts.join(times, ["org_id", "day"], "left")
+    return join_by(counts, times, ["org_id", "day"], "left")
 
 
 def usage_period(daily: DataFrame, plan: DataFrame, asof: str, days: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.functions.ranks import value_rank
+from maskwright.functions.ranks import join_by, value_rank
 from maskwright.operators.metering import nearest_rank
 
 #: Histogram bounds in milliseconds and the samples a summary looks back on.
@@ -25,7 +25,7 @@ def label_key(labels: Column) -> Column:
 
 
 def recent(events: DataFrame, by: list[str], last: int = LAST_SAMPLES) -> DataFrame:
-    """The ``last`` newest rows of each group; no task orders a whole group."""
+    """The ``last`` newest rows of each group; no task orders a whole group but for rows of one instant."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return value_rank(events, by, micros, "event_id", descending=True, out="_n").where(F.col("_n") <= last).select(*events.columns)
 
@@ -35,7 +35,7 @@ def histogram_summary(events: DataFrame, by: list[str], last: int = LAST_SAMPLES
     rows = recent(events, by, last)
     stats = rows.groupBy(*by).agg(F.count("value").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.round(F.min("value"), 3).alias("low"), F.round(F.max("value"), 3).alias("high"))
     ranks = nearest_rank(rows, by, "value", {"p50": 50, "p99": 99})
-    return stats.join(ranks, by).withColumns({c: F.round(c, 3) for c in ("p50", "p99")})
+    return join_by(stats, ranks, by, "left").withColumns({c: F.round(c, 3) for c in ("p50", "p99")})
 
 
 def histogram_buckets(events: DataFrame, bounds: tuple[int, ...] = BUCKETS) -> DataFrame:

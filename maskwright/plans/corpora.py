@@ -95,12 +95,12 @@ def bio_decode(t: Tables):
     return _rows(tagged(t).select("doc_id", C.fold_labels(F.col("tokens"), F.col("labels"), "open").alias("spans")))
 
 
-@query(_bio_sql("extend"))
+@query(_bio_sql("extend").replace("from pos window", "from (select * from pos where token <> '') window"))
 def align_tokens_to_spans(t: Tables):
-    """Tokens searched in the text where they stand, one after the other: the offsets of the joined form."""
-    both = tagged(t).withColumn("text", F.array_join("tokens", " "))
-    # an empty token (two spaces) is found where the last one ended, and a search must not pass over a space
-    return _rows(both.select("doc_id", C.fold_labels(F.transform("tokens", lambda w: w), F.col("labels"), "extend").alias("spans")))
+    """Tokens searched in the document's text, one behind the other; empty ones (two spaces) are left out."""
+    own = tagged(t).select("doc_id", F.filter(F.arrays_zip("tokens", "labels"), lambda x: x["tokens"] != "").alias("x"))
+    both = own.join(t.documents.select("doc_id", "text"), "doc_id")
+    return _rows(both.select("doc_id", C.fold_labels(F.transform("x", lambda x: x["tokens"]), F.transform("x", lambda x: x["labels"]), "extend", F.col("text")).alias("spans")))
 
 
 @query(

@@ -64,10 +64,11 @@ def scope_isolation(t: Tables):
     return V.lookup(moved.unionByName(other), vault, _now()).where("encrypted is not null").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {LINES} select doc_id, kind, text, repeat('x', length(text)) as blind from lines where length(text) > 0")
+@query(f"with {LINES} select doc_id, kind, 'ABo ' || text || ' ceX' as folded, length(text) + 8 as n from lines where length(text) > 0")
 def fold_keeps_length(t: Tables):
-    folded = lines(t).select("doc_id", "kind", "text", S.fold_confusables(F.concat("text", F.lit(""))).alias("f"))
-    return folded.select("doc_id", "kind", "text", F.repeat(F.lit("x"), F.length("f")).alias("blind"))
+    """Lines between look-alike letters (Greek and Cyrillic): plain letters, one for one."""
+    made = lines(t).select("doc_id", "kind", F.concat(F.lit("\u0391\u0412\u043e "), "text", F.lit(" \u0441\u0435\u03a7")).alias("made"))
+    return made.select("doc_id", "kind", S.fold_confusables(F.col("made")).alias("folded"), F.length("made").cast("long").alias("n"))
 
 
 @query(f'with {SPANS}, {BASE} select doc_id, s."start" as "start", s."end" as "end", s.pii_type as pii_type, substr(text, s."start" + 1, s."end" - s."start") as text, 0.85::double as confidence from spans s join base using (doc_id) where s.source = \'slm\'')
@@ -91,15 +92,17 @@ def layout_coalesce(t: Tables):
     return picked.select("doc_id", F.col("x.layout").alias("layout"), F.posexplode_outer("x.entities").alias("i", "text"))
 
 
-@query("select doc_id, text from documents where doc_id % 10 <> 0")
+@query("""select doc_id, text, false as malformed from documents where doc_id % 10 <> 0
+union all select null, '{"doc_id": 1, "text": "', true from documents where doc_id % 10 = 0""")
 def read_jsonl_tolerant(t: Tables):
     """Documents as JSON lines, every tenth cut short: what can be read comes back, the rest is set apart."""
     folder = shared_folder(t.spark)
     line = F.to_json(F.struct("doc_id", "text"))
     broken = t.documents.select(F.when(F.col("doc_id") % 10 == 0, F.expr("substring(text, 1, 0) || '{\"doc_id\": 1, \"text\": \"'")).otherwise(line).alias("value"))
     broken.write.text(folder)
-    good, _ = R.read_jsonl(t.spark, folder, "doc_id long, text string")
-    return good
+    good, bad = R.read_jsonl(t.spark, folder, "doc_id long, text string")
+    good = good.select("doc_id", "text", F.lit(False).alias("malformed"))
+    return good.unionByName(bad.select(F.lit(None).cast("long").alias("doc_id"), F.col("line").alias("text"), F.lit(True).alias("malformed")))
 
 
 @query("select source as _source, doc_id, lang from documents")

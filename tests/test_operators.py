@@ -190,3 +190,35 @@ def test_stream_expiry(spark, tmp_path):
     finally:
         run.stop()
     assert got == {(1, "stored"), (3, "stored"), (1, "expired"), (3, "expired")}
+
+
+def test_groups_without_a_name_and_far_values(spark):
+    from maskwright.functions.ranks import quantile_cell
+    from maskwright.operators import evaluate, metrics
+
+    rows = [(i, None if i % 2 else "a", float(i)) for i in range(400)] + [(400, "a", 1e12), (401, None, 1e12)]
+    d = spark.createDataFrame(rows, "event_id long, name string, value double").withColumn("ts", F.to_timestamp(F.col("event_id")))
+    got = {r["name"]: (r["n"], r["p50"], r["high"]) for r in metrics.histogram_summary(d, ["name"], 1000).collect()}
+    assert got == {"a": (201, 200.0, 1e12), None: (201, 201.0, 1e12)}
+    times = evaluate.latency_stats(d.select(F.col("name").alias("bucket"), F.col("value").alias("ms"), F.lit(1).alias("tokens")), ["bucket"]).collect()
+    assert sorted((r["bucket"] or "", r["n"], r["median"]) for r in times) == [("", 201, 201.0), ("a", 201, 200.0)]
+    cells = quantile_cell(d, ["name"], "value").groupBy("name").agg(F.countDistinct("_c").alias("k"), F.count("*").alias("n")).collect()
+    assert len(cells) == 2 and all(r["k"] > 20 for r in cells)
+
+
+def test_folds_are_not_quadratic(spark):
+    import time
+
+    from maskwright.functions import spans as S
+
+    took = []
+    for n in (4000, 8000):
+        d = spark.range(1).select(F.repeat(F.lit("ab1 "), n).alias("text")).checkpoint()
+        found = d.select("text", S.find_all(F.col("text"), r"\d", r"\d").alias("r"))
+        start = time.time()
+        r = found.select(F.size("r").alias("n"), F.element_at("r", -1).alias("x")).first()
+        took.append(time.time() - start)
+        assert (r["n"], r["x"]["start"], r["x"]["text"]) == (n, 4 * n - 2, "1")
+    assert took[1] < 3 * took[0] + 1
+    text = found.select(S.replace_ranges(F.col("text"), F.col("r"), lambda x: F.lit("#")).alias("t")).first()["t"]
+    assert text == "ab# " * 8000
