@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,6 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint, only after counting that at most ``max_rows`` rows exist."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of a frame that is read several times: a checkpoint in the shared folder.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,45 +69,85 @@ def label_names(tags: Column, names: tuple[str, ...]) -> Column:
     return F.transform(tags, lambda i: F.when(i.between(0, len(names) - 1), F.get(table, i)).otherwise("O"))
 
 
+#: Rows that are folded at once; their tokens are held as numbers.
+FOLD_ROWS = 256
+
+
+def _searched(words: list[str | None], text: str) -> list[int]:
+    """Where each word is found in a text, behind the one found before; -1 where it is not."""
+    found, pos = [], 0
+    for word in words:
+        at = -1 if word is None else text.find(word, pos)
+        found.append(at)
+        if at >= 0:
+            pos = at + len(word)
+    return found
+
+
+def _fold(words: pa.Array, tags: pa.Array, texts: pa.Array, stray: str) -> pa.Array:
+    """The spans of each row of a batch. All tokens are folded at once: a span is a token that opens
+    one and those behind it that go on, and both can be told from the last token that is no I-."""
+    n_words, n_tags = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (words, tags))
+    good = (n_words > 0) & (n_words == n_tags)
+    keep, size = pa.array(good), n_words[good]
+    word, tag, text = words.filter(keep).flatten(), tags.filter(keep).flatten(), texts.filter(keep)
+    first, row = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+    length = pc.fill_null(pc.utf8_length(word), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(length + 1) - length - 1
+    start -= start[first][row]
+    for r in np.flatnonzero(pc.is_valid(text).to_numpy(zero_copy_only=False)):
+        part = slice(first[r], first[r] + size[r])
+        start[part] = _searched(word[part].to_pylist(), text[r].as_py())
+
+    coded = pc.dictionary_encode(pc.fill_null(tag, "O"))
+    known = coded.dictionary.to_pylist()
+    kinds = sorted({k[2:] for k in known})
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    head = np.array([{"B-": 1, "I-": 2}.get(k[:2], 0) for k in known], np.int8)[index]
+    kind = np.array([kinds.index(k[2:]) for k in known], np.int64)[index]
+    head[start < 0] = 0
+
+    at, fresh, inner = np.arange(len(head)), np.zeros(len(head), bool), head == 2
+    fresh[first] = True
+    if stray == "open":
+        same = np.zeros(len(head), bool)
+        same[1:] = (head[:-1] != 0) & (kind[:-1] == kind[1:])
+        goes = inner & same & ~fresh
+        opens = (head == 1) | (inner & ~goes)
+    else:
+        anchor = np.maximum.accumulate(np.where(~inner | fresh, at, 0))
+        opens, goes = head == 1, inner & (head[anchor] == 1)
+        if stray == "drop":
+            goes &= np.maximum.accumulate(np.where(inner & (kind != kind[anchor]), at, -1)) < anchor
+    ends = (opens | goes) & ~np.append(goes[1:], False)
+
+    n_spans = np.zeros(len(words), np.int64)
+    n_spans[good] = np.bincount(row[opens], minlength=len(size))
+    names = pa.array(kinds, pa.string()).take(pa.array(kind[opens]))
+    spans = pa.StructArray.from_arrays([names, pa.array(start[opens], pa.int32()), pa.array((start + length)[ends], pa.int32())], ["type", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_spans)), pa.int32()), spans, mask=pa.array(~good))
+
+
 def fold_labels(tokens: Column, labels: Column, stray: str = "drop", text: Column | None = None) -> Column:
     """Spans (type, start, end) of BIO labels by one ordered fold.
 
     ``stray`` says what an I- label does that does not go on the open type: ``drop`` closes and
     drops, ``extend`` lets any I- go on whatever is open, ``open`` opens its own type. Offsets are
-    those of the tokens joined by single spaces; with ``text`` each token is searched in it from
-    where the last one ended, and one that is not found closes what is open. Null for null, empty
-    or unequal arrays.
+    those of the tokens joined by single spaces; with ``text`` (not null) each token is searched in it
+    from where the last one ended, and one that is not found closes what is open. Null for null, empty
+    or unequal arrays; a null label is O, a null token is empty, and found in no text.
 
-    The fold runs on Arrow batches: Spark's ``aggregate`` copies what it has gathered at every
-    element, which is quadratic for texts of thousands of tokens.
+    The fold runs on the flat arrays of Arrow batches: Spark's ``aggregate`` copies what it has
+    gathered at every element, which is quadratic for texts of thousands of tokens.
     """
     if stray not in ("drop", "extend", "open"):
         raise ValueError(f"unknown mode {stray!r}")
 
-    def one(words, tags, whole):
-        if words is None or tags is None or len(words) == 0 or len(words) != len(tags):
-            return None
-        out, pos, kind, start, end = [], 0, None, 0, 0
-        for word, tag in zip(words, tags, strict=True):
-            at = pos if whole is None else whole.find(word, pos)
-            head, name = (tag[:2], tag[2:]) if at >= 0 else ("", "")
-            if head == "I-" and kind is not None and (stray == "extend" or name == kind):
-                end = at + len(word)
-            else:
-                if kind is not None:
-                    out.append({"type": kind, "start": start, "end": end})
-                kind = name if head == "B-" or (head == "I-" and stray == "open") else None
-                start, end = at, at + len(word)
-            if at >= 0:
-                pos = at + len(word) + (whole is None)
-        if kind is not None:
-            out.append({"type": kind, "start": start, "end": end})
-        return out
-
-    def run(words: pd.Series, tags: pd.Series, whole: pd.Series) -> pd.Series:
-        return pd.Series([one(w, y, t) for w, y, t in zip(words, tags, whole, strict=True)], dtype=object)
-
-    return F.pandas_udf(run, RAW)(tokens, labels, F.lit(None).cast("string") if text is None else text)
+    def run(words: pa.Array, tags: pa.Array, texts: pa.Array) -> pa.Array:
+        parts = [_fold(words[i : i + FOLD_ROWS], tags[i : i + FOLD_ROWS], texts[i : i + FOLD_ROWS], stray) for i in range(0, len(words), FOLD_ROWS)]
+        return pa.concat_arrays(parts) if parts else _fold(words, tags, texts, stray)
+
+    return F.arrow_udf(run, RAW)(tokens, labels, F.lit(None).cast("string") if text is None else text)
 
 
 def parse_span_json(text: Column, spans: Column) -> Column:

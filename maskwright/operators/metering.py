@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.functions.ranks import join_by, quantile_cell
+from maskwright.functions.ranks import join_by, quantile_cell, value_rank
 
 #: The plan catalogue (id, name, rate a minute, monthly tokens (-1: no limit), most keys, price in cents).
 PLANS = (
@@ -162,11 +162,12 @@ def active_key_counts(keys: DataFrame) -> DataFrame:
 
 
 def admit_new_keys(requests: DataFrame, keys: DataFrame, plan: DataFrame) -> DataFrame:
-    """Requests (org_id, request_no) with ``admitted`` while the org has fewer active keys than its plan allows."""
+    """Requests (org_id, request_no) with ``admitted`` while the org has fewer active keys than its plan
+    allows. They are ranked in cells of an org, so no task orders all of its requests."""
     held = active_key_counts(keys).select("org_id", "n_active")
-    place = F.row_number().over(Window.partitionBy("org_id").orderBy("request_no"))
-    joined = requests.join(held, "org_id", "left").join(plan.select("org_id", "max_keys", "rate_limit_per_minute"), "org_id")
-    total = F.coalesce("n_active", F.lit(0)) + place
+    placed = value_rank(requests, ["org_id"], F.col("request_no"), "request_no", out="_place")
+    joined = placed.join(held, "org_id", "left").join(plan.select("org_id", "max_keys", "rate_limit_per_minute"), "org_id")
+    total = F.coalesce("n_active", F.lit(0)) + F.col("_place")
     return joined.select("org_id", "request_no", (total <= F.col("max_keys")).alias("admitted"), "rate_limit_per_minute")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
-from maskwright.functions.frames import materialise
+from maskwright.functions.frames import bounded_broadcast, materialise
+from maskwright.functions.ranks import join_by
 from maskwright.functions.patterns import TOKEN, TOKEN_TYPES
 from maskwright.operators.detect import detect, fuse
 
@@ -89,14 +90,15 @@ def resolve_collisions(values: DataFrame, prior: DataFrame | None = None) -> Dat
 
 
 def validate_requests(rows: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Add ``reject_reason`` to (request_id, text) rows, null where a row is admitted."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("request_id"))
+    """Add ``reject_reason`` to (request_id, text) rows, null where a row is admitted. Only the requests
+    with too many texts are looked up."""
+    full = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_texts)
     reason = (
         F.when(F.col("text").isNull(), "missing_text")
         .when(F.length("text") > max_chars, "text_too_long")
-        .when(n > max_texts, "too_many_texts")
+        .when(F.col("_n").isNotNull(), "too_many_texts")
     )
-    return rows.withColumn("reject_reason", reason)
+    return join_by(rows, bounded_broadcast(full), ["request_id"], "left").withColumn("reject_reason", reason).drop("_n")
 
 
 _PLACE = ["doc_id", "org_id", "request_id"]
@@ -125,7 +127,7 @@ def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, dig
     found = materialise(docs if spans_col else fuse(detect(docs)))
     spans = spans_col or "spans"
     long = found.where(F.size(spans) > 0).select("doc_id", "org_id", "request_id", F.explode_outer(spans).alias("s"))
-    pads = keys.select("org_id", "ipad", "opad")
+    pads = bounded_broadcast(keys.select("org_id", "ipad", "opad"))
     hashed = long.join(pads, "org_id").select(
         "doc_id", "org_id", "request_id", F.col("s.text").alias("value"), F.col("s.pii_type").alias("pii_type"), F.col("s.start").alias("start"), hmac_hash(F.col("s.text"), F.col("ipad"), F.col("opad"), digits).alias("base_hash")
     )
@@ -149,7 +151,7 @@ def encrypt_values(entries: DataFrame, keys: DataFrame, created_at: Column, ttl_
 
     AES-GCM draws a new nonce each time it runs, so write the rows once and read them back.
     """
-    joined = entries.where("hash is not null").join(keys.select("org_id", "dek"), "org_id")
+    joined = entries.where("hash is not null").join(bounded_broadcast(keys.select("org_id", "dek")), "org_id")
     secret = F.aes_encrypt(F.encode("value", "UTF-8"), "dek", F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), F.col("org_id").cast("string").cast("binary"))
     return joined.select("org_id", "request_id", F.col("hash").alias("token_hash"), secret.alias("encrypted"), created_at.alias("created_at"), (created_at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
 
@@ -176,7 +178,7 @@ def rehydrate(docs: DataFrame, vault: DataFrame, keys: DataFrame, now: Column) -
     asked = found.where(F.contains("text", F.lit("[#"))).select("org_id", "request_id", F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null").distinct()
     live = vault.where(F.col("expires_at") > now)
     newest = live.groupBy("org_id", "request_id", "token_hash").agg(F.max_by("encrypted", "created_at").alias("encrypted"))
-    known = asked.join(newest, ["org_id", "request_id", "token_hash"]).join(keys.select("org_id", "dek"), "org_id")
+    known = asked.join(newest, ["org_id", "request_id", "token_hash"]).join(bounded_broadcast(keys.select("org_id", "dek")), "org_id")
     known = known.select("org_id", "request_id", "token_hash", decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("value")).where("value is not null")
     long = found.select(*_PLACE, F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null")
     per_doc = _value_map(long.join(known, ["org_id", "request_id", "token_hash"]), "token_hash", "value", "_values")

@@ -104,15 +104,15 @@ def align_tokens_to_spans(t: Tables):
 
 
 @query(
-    f"""with {_TOK}, x as (select doc_id, list(case when tag = 10 then -100 else tag end order by i) as l from tok group by doc_id),
-y as (select doc_id, unnest(l) as v, generate_subscripts(l, 1) - 1 as i from x), z as (select *, case when v = -100 then null else ([{", ".join(f"'{n}'" for n in C.NER_LABELS)}])[v + 1] end as n from y),
+    f"""with {_TOK}, x as (select doc_id, list(case when (doc_id + i) % 97 = 0 then 99 when tag = 10 then -100 else tag end order by i) as l from tok group by doc_id),
+y as (select doc_id, unnest(l) as v, generate_subscripts(l, 1) - 1 as i from x), z as (select *, case when v = -100 then null when v = 99 then 'O' else ([{", ".join(f"'{n}'" for n in C.NER_LABELS)}])[v + 1] end as n from y),
 p as (select *, coalesce(lag(n) over (partition by doc_id order by i), 'O') as before from z where v <> -100)
-select doc_id, cast(min(case when n like 'I-%' and (before = 'O' or substr(before, 3) <> substr(n, 3)) then i end) as integer) as bad_bio, cast(null as integer) as bad_range from documents d left join p using (doc_id) group by doc_id"""
+select doc_id, cast(min(case when n like 'I-%' and (before = 'O' or substr(before, 3) <> substr(n, 3)) then i end) as integer) as bad_bio, cast(min(case when v = 99 then i end) as integer) as bad_range from documents d left join p using (doc_id) group by doc_id"""
 )
 def validate_bio_rows(t: Tables):
     own = t.documents.select("doc_id", F.split("text", " ").alias("w"))
     ids = F.transform("w", lambda w, i: ((F.col("doc_id") * 7 + (i + 1) * (i + 1)) % 11).cast("int"))
-    ids = F.transform(ids, lambda x: F.when(x == 10, C.IGNORE).otherwise(x))
+    ids = F.transform(ids, lambda x, i: F.when((F.col("doc_id") + i + 1) % 97 == 0, 99).when(x == 10, C.IGNORE).otherwise(x))
     return C.validate_bio(own.select("doc_id", ids.alias("labels"))).select("doc_id", "bad_bio", "bad_range")
 
 

@@ -100,12 +100,12 @@ def _calls(t: Tables):
 
 @query(f"with {U.CALLS} select org_id, date_trunc('minute', ts) as minute, count(*) as n from calls group by all")
 def stream_rate_counts(t: Tables):
-    return J.drain(J.rate_counts(_calls(t), "org_id"), "complete")
+    return J.drain(J.rate_counts(_calls(t), "org_id"), ["org_id", "minute"])
 
 
 @query(f"with {U.CALLS}, {U.DAILY} select org_id, day, {', '.join(f'n_{o}' for o in U.M.OPS)}, tokens from daily")
 def stream_usage_daily(t: Tables):
-    return J.drain(J.usage_daily(_calls(t), U.M.OPS), "complete")
+    return J.drain(J.usage_daily(_calls(t), U.M.OPS), ["org_id", "day"])
 
 
 @query(f"with {U.CALLS} select event_id, substr(sha256(cast(org_id as varchar)), 1, 12) as org, op as operation, tokens, round(duration_ms, 3) as duration_ms from calls")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from maskwright.functions import spans as S
 from maskwright.functions.frames import shared_folder
 from maskwright.functions.patterns import EMAIL, PATTERNS
+from maskwright.functions.tables import register
 from maskwright.operators import detect as D
 from maskwright.operators import tokens as T
 from maskwright.operators import vault as V
 from maskwright.plans.corpora import ENTITIES, examples
-from maskwright.plans.detection import BASE, LINES, SPANS, key_table, lines, overlapping, sql_find
-from maskwright.plans.registry import Tables, query
+from maskwright.plans.detection import BASE, LINES, SPANS, key_table, lines, overlapping, rows, sql_find, token_text
+from maskwright.plans.registry import ORACLES, Tables, query
 from maskwright.sources import corpora as R
 
 
@@ -53,15 +54,21 @@ def wrap_keys(t: Tables):
     return wrapped.join(F.broadcast(kek), how="cross").select("org_id", F.aes_decrypt("encrypted_dek", "kek", F.lit("GCM")).cast("string").alias("dek"))  # one row
 
 
-@query("select count(*) as n from customer where false")
+_SCOPED = "v as (select c_custkey % 5 as org_id, c_custkey // 5 % 8 as request_id, 'h' || (c_custkey // 40) as hash, c_custkey, c_name as value from customer)"
+
+
+@query(f"""with {_SCOPED}, a as (select c_custkey as asked, org_id + c_custkey % 2 as org_id, request_id + case when c_custkey % 3 = 0 then 1 else 0 end as request_id, hash from v)
+select asked, org_id, request_id, value from a join v using (org_id, request_id, hash)""")
 def scope_isolation(t: Tables):
-    """Tokens looked up under another request or org: none is found."""
-    rows = t.customer.select((F.col("c_nationkey") % 5).alias("org_id"), F.col("c_custkey").alias("request_id"), F.lit("h").alias("hash"), F.col("c_name").alias("value"))
-    vault = T.encrypt_values(rows, key_table(t), _now())
-    last = t.customer.agg(F.max("c_custkey").alias("m"))
-    moved = rows.join(F.broadcast(last), how="cross").select("org_id", (F.col("request_id") + F.col("m") + 1).alias("request_id"), F.col("hash").alias("token_hash"))  # one row
-    other = rows.select((F.col("org_id") + 1).alias("org_id"), "request_id", F.col("hash").alias("token_hash"))
-    return V.lookup(moved.unionByName(other), vault, _now()).where("encrypted is not null").agg(F.count(F.lit(1)).alias("n"))
+    """One hash stands for other values under other orgs and requests: a lookup finds that of its own scope or nothing."""
+    k = F.col("c_custkey")
+    rows = t.customer.select((k % 5).alias("org_id"), (F.floor(k / 5) % 8).alias("request_id"), F.concat(F.lit("h"), F.floor(k / 40).cast("string")).alias("hash"), "c_custkey", F.col("c_name").alias("value"))
+    keys = key_table(t)
+    vault = T.encrypt_values(rows, keys, _now())
+    asked = rows.select(k.alias("asked"), (F.col("org_id") + k % 2).alias("org_id"), (F.col("request_id") + F.when(k % 3 == 0, 1).otherwise(0)).alias("request_id"), F.col("hash").alias("token_hash"))
+    found = V.lookup(asked.select(*V.KEY).distinct(), vault, _now()).where("encrypted is not null").join(keys.select("org_id", "dek"), "org_id")
+    shown = found.select(*V.KEY, T.decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("value"))
+    return asked.join(shown, V.KEY).select("asked", "org_id", "request_id", "value")
 
 
 @query(f"with {LINES} select doc_id, kind, 'ABo ' || text || ' ceX' as folded, length(text) + 8 as n from lines where length(text) > 0")
@@ -119,3 +126,47 @@ def write_labels_columnar(t: Tables):
     split = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "val").otherwise("test")
     R.write_labels(t.documents.select("doc_id", split.alias("split"), F.transform(F.split("text", " "), lambda w: F.length(w)).alias("labels")), folder)
     return t.spark.read.parquet(folder).select("doc_id", "split", F.size("labels").cast("long").alias("n"))
+
+
+@query("select source as _source, doc_id, text from documents")
+def read_jsonl_tree(t: Tables):
+    """Documents as a tree of JSON lines, files named after their source, read by walking the tree."""
+    folder = shared_folder(t.spark)
+    lines_ = t.documents.select("source", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    lines_.write.partitionBy("source").text(folder)
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    for source in fs.globStatus(path(f"{folder}/source=*")):
+        for i, file in enumerate(fs.globStatus(path(source.getPath(), "part-*"))):
+            inner = path(source.getPath(), str(i))
+            fs.mkdirs(inner)
+            fs.rename(file.getPath(), path(inner, source.getPath().getName().removeprefix("source=") + ".jsonl"))
+    return R.read_jsonl_tree(t.spark, [folder], "doc_id long, text string").select("_source", "doc_id", "text")
+
+
+@query(ORACLES["find_tokens"].replace('select doc_id, "start"', "select doc_id, regexp_extract(text, '#([a-z]+)', 1) as pii_type, regexp_extract(text, ':([a-f0-9_]+)', 1) as hash, \"start\"", 1).replace('"end", text from (', '"end" from (', 1))
+def find_tokens_table(t: Tables):
+    """Tokens as rows of the table function under LATERAL."""
+    register(t.spark)
+    texts = t.customer.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("a "), token_text(), F.lit(" b "), token_text()).alias("text"))
+    return t.spark.sql("select x.doc_id, s.start, s.`end`, s.pii_type, s.hash from {texts} x, lateral find_tokens(x.text) s", texts=texts)
+
+
+def _placed(t: Tables):
+    return t.documents.select("doc_id", (F.col("doc_id") % 5).alias("org_id"), F.col("source").alias("request_id"), "text")
+
+
+@query()
+def detect_documents(t: Tables):
+    """All patterns over the whole texts; their look-around is not SQL, so a test holds them against brute force."""
+    return rows(D.detect(t.documents.select("doc_id", "text")))
+
+
+@query("select doc_id, text from documents")
+def rehydrate_documents(t: Tables):
+    """Every kind of value of the whole texts tokenised, encrypted and put back: the texts themselves."""
+    keys, docs = key_table(t), _placed(t)
+    made, entries = T.tokenize(docs, keys)
+    vault = T.encrypt_values(entries, keys, _now())
+    named = made.select("doc_id", (F.col("doc_id") % 5).alias("org_id"), F.col("tokenized").alias("text")).join(docs.select("doc_id", "request_id"), "doc_id")
+    return T.rehydrate(named, vault, keys, _now()).select("doc_id", "text")

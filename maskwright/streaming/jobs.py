@@ -1,7 +1,8 @@
 """Streaming forms: stateless tokenisation, windowed counts, a stateful quota, audit rows.
 
 Late rows are dropped behind the watermark (two minutes for rate counts, one day for daily
-usage); the batch operators are the exact form.
+usage), and so is the state of windows behind it. The quota counts calls in the order of the batches
+and by time inside one. The batch operators are the exact form.
 """
 
 from __future__ import annotations
@@ -26,19 +27,24 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Run a stream over what is there now into a table in the shared folder, and read it.
 
-    ``complete`` keeps the last full result; a batch that is run again overwrites its own folder.
+    With ``key`` the stream runs in update mode, so that state behind the watermark goes, and the last
+    row of each key counts; else it appends. A batch that is run again overwrites its own folder.
     """
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    run = df.writeStream.outputMode("update" if key else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select(*df.columns)
+    found = spark.read.parquet(f"{folder}/out")
+    if key:
+        rest = [c for c in df.columns if c not in key]
+        found = found.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("m")).select(*key, "m.*")
+    return found.select(*df.columns)
 
 
 def tokenize(docs: DataFrame, keys: DataFrame) -> DataFrame:

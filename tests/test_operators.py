@@ -128,6 +128,45 @@ def test_fold_modes(spark):
     assert got("open") == [[("pe", 0, 1), ("org", 2, 3), ("pe", 4, 5)], [("pe", 0, 1)], None, None]
 
 
+def plain_fold(words, tags, stray, text):
+    """One token after the other."""
+    if words is None or tags is None or not words or len(words) != len(tags):
+        return None
+    out, pos, open_ = [], 0, None
+    for word, tag in zip(words, tags, strict=True):
+        at = pos if text is None else -1 if word is None else text.find(word, pos)
+        long = len(word or "")
+        tag = "O" if at < 0 or tag is None else tag
+        if open_ and tag[:2] == "I-" and (stray == "extend" or tag[2:] == open_[0]):
+            open_[2] = at + long
+        else:
+            if open_:
+                out.append(tuple(open_))
+            open_ = [tag[2:], at, at + long] if tag[:2] == "B-" or (tag[:2] == "I-" and stray == "open") else None
+        if at >= 0:
+            pos = at + long + (text is None)
+    return out + [tuple(open_)] if open_ else out
+
+
+def test_fold_equals_one_token_after_the_other(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(None, ["O"], None), ([], [], None), (["a"], None, "a"), ([None, "b"], [None, "B-pe"], None), ([None, "b"], ["B-pe", "I-pe"], "a b")]
+    for _ in range(700):
+        words = [rng.choice(["a", "bé", "😀c", ""]) for _ in range(rng.randrange(1, 9))]
+        tags = [rng.choice(["O", "B-pe", "I-pe", "B-org", "I-org"]) for _ in range(len(words) + (rng.random() < 0.05))]
+        text = "  ".join(w for w in words if rng.random() < 0.8)
+        rows.append((words, tags, text if rng.random() < 0.5 else None))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t array<string>, y array<string>, x string")
+    for stray in ("drop", "extend", "open"):
+        made = df.select("i", C.fold_labels(F.col("t"), F.col("y"), stray, F.col("x")).alias("s"))
+        got = {r["i"]: None if r["s"] is None else [tuple(s) for s in r["s"]] for r in made.collect()}
+        for i, (words, tags, text) in enumerate(rows):
+            assert got[i] == plain_fold(words, tags, stray, text), (stray, words, tags, text)
+    assert df.limit(0).select(C.fold_labels(F.col("t"), F.col("y"))).count() == 0
+
+
 def test_alignment_in_the_source_text(spark):
     df = spark.createDataFrame([("Anna  Neri, a Pisa", ["Anna", "Neri", "zz", "Pisa"], ["B-PER", "I-PER", "I-PER", "B-LOC"])], "text string, t array<string>, y array<string>")
     x = df.select(C.fold_labels(F.col("t"), F.col("y"), "extend", F.col("text"))).first()[0]
@@ -222,3 +261,40 @@ def test_folds_are_not_quadratic(spark):
     assert took[1] < 3 * took[0] + 1
     text = found.select(S.replace_ranges(F.col("text"), F.col("r"), lambda x: F.lit("#")).alias("t")).first()["t"]
     assert text == "ab# " * 8000
+
+
+def test_detection_in_whole_texts_equals_brute_force(spark):
+    """The patterns by Python's own engine, over documents alone and with a line of each kind inside."""
+    import re
+
+    from compare import DATA
+
+    from maskwright.plans.all import QUERIES
+    from maskwright.plans.detection import lines, rows
+    from maskwright.plans.registry import Tables
+
+    def plainly(frame):
+        found = set()
+        for r in frame.collect():
+            for p in PATTERNS:
+                flags = re.I if "i" in p.regex[:5] else 0
+                found |= {(r["doc_id"], p.pii_type, m.start(), m.end(), m[0]) for m in re.finditer(re.sub(r"^\(\?Ui?\)", "", p.regex), r["text"], flags)}
+        return found
+
+    spans = lambda df: {(r["doc_id"], r["pii_type"], r["start"], r["end"], r["text"]) for r in df.collect()}
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    assert spans(QUERIES["detect_documents"](spark, DATA)) == plainly(docs) != set()
+    line = lines(Tables(spark, DATA)).select("doc_id", F.col("text").alias("line"))
+    mixed = docs.join(line, "doc_id").select("doc_id", F.concat("text", F.lit("\né "), "line", F.lit(" "), F.substring("text", 1, 300)).alias("text"))
+    got = spans(rows(D.detect(mixed)))
+    assert got == plainly(mixed) and {x[1] for x in got} == {p.pii_type for p in PATTERNS}
+
+
+def test_new_keys_of_a_busy_org(spark):
+    from maskwright.operators import metering
+
+    asked = spark.range(3000).select(F.lit(1).cast("long").alias("org_id"), F.col("id").alias("request_no"))
+    keys = spark.createDataFrame([(1, "k", True)], "org_id long, key_id string, active boolean").withColumn("key_hash", F.lit("h")).withColumn("plan", F.lit("x"))
+    plan = spark.createDataFrame([(1, 20, 5)], "org_id long, max_keys int, rate_limit_per_minute int")
+    got = metering.admit_new_keys(asked, keys, plan).where("admitted").collect()
+    assert sorted(r["request_no"] for r in got) == list(range(19))
