@@ -16,20 +16,45 @@ MULTINERD = {"PER": "pe", "ORG": "org", "LOC": "loc", "DIS": "med", "INST": "org
 WIKINEURAL = {"PER": "pe", "ORG": "org", "LOC": "loc"}
 HUMADEX = {"DISEASE": "med", "SYMPTOM": "med", "DRUG": "med", "TREATMENT": "med"}
 AI4PRIVACY = {
-    "pe": "FIRSTNAME LASTNAME GIVENNAME SURNAME FULLNAME USERNAME MIDDLENAME",
-    "org": "COMPANYNAME ORGANIZATIONNAME",
-    "loc": "CITY STATE COUNTRY COUNTY NEARBYGPSCOORDINATE",
-    "ind": "STREET STREETADDRESS BUILDINGNUMBER ZIPCODE SECONDARYADDRESS",
-    "med": "DISEASE BLOODTYPE HEIGHT WEIGHT",
-    "fin": "AMOUNT ACCOUNTNUMBER BITCOINADDRESS ETHEREUMADDRESS LITECOINADDRESS",
-    "pro": "JOBTITLE JOBAREA JOBTYPE",
-    "dt": "DOB DATEOFBIRTH",
+    "FIRSTNAME": "pe",
+    "LASTNAME": "pe",
+    "GIVENNAME": "pe",
+    "SURNAME": "pe",
+    "FULLNAME": "pe",
+    "USERNAME": "pe",
+    "MIDDLENAME": "pe",
+    "COMPANYNAME": "org",
+    "ORGANIZATIONNAME": "org",
+    "CITY": "loc",
+    "STATE": "loc",
+    "COUNTRY": "loc",
+    "COUNTY": "loc",
+    "NEARBYGPSCOORDINATE": "loc",
+    "STREET": "ind",
+    "STREETADDRESS": "ind",
+    "BUILDINGNUMBER": "ind",
+    "ZIPCODE": "ind",
+    "SECONDARYADDRESS": "ind",
+    "DISEASE": "med",
+    "BLOODTYPE": "med",
+    "HEIGHT": "med",
+    "WEIGHT": "med",
+    "AMOUNT": "fin",
+    "ACCOUNTNUMBER": "fin",
+    "BITCOINADDRESS": "fin",
+    "ETHEREUMADDRESS": "fin",
+    "LITECOINADDRESS": "fin",
+    "JOBTITLE": "pro",
+    "JOBAREA": "pro",
+    "JOBTYPE": "pro",
+    "DOB": "dt",
+    "DATEOFBIRTH": "dt",
 }
 TYPE_MAP = {
     **{("multinerd", k): v for k, v in MULTINERD.items()},
     **{("wikineural", k): v for k, v in WIKINEURAL.items()},
     **{("humadex", k): v for k, v in HUMADEX.items()},
-    **{("ai4privacy", k): v for v, ks in AI4PRIVACY.items() for k in ks.split()},
+    **{("ai4privacy", k): v for k, v in AI4PRIVACY.items()},
 }
 NER_LABELS = ("O", *(f"{p}-{t}" for t in MODEL_TYPES for p in "BI"))
 WIKINEURAL_LABELS = ("O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC")
