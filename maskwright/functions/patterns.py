@@ -46,15 +46,15 @@ VAT_OTHER = r"\b[1-9]\d{10}\b"
 
 #: The full detector, most specific first.
 PATTERNS = (
-    Pattern("cf", f"(?Ui){CODE}", 1.0, r"\d{3}[A-Za-z]"),
-    Pattern("ib", f"(?Ui){IBAN}", 1.0, r"\d{2}"),
+    Pattern("cf", f"(?Ui){CODE}", 1.0, r"(?U)\d{3}[A-Za-z]"),
+    Pattern("ib", f"(?Ui){IBAN}", 1.0, r"(?U)\d{2}"),
     Pattern("em", f"(?U){EMAIL}", 1.0, "@"),
-    Pattern("fin", rf"(?U)(?<!\d){VAT}(?!\d)", 0.80, r"0\d{10}"),
-    Pattern("tel", rf"(?U)(?<![A-Za-z\d]){PHONE}(?![A-Za-z\d])", 0.85, r"\d{2}"),
+    Pattern("fin", rf"(?U)(?<!\d){VAT}(?!\d)", 0.80, r"(?U)0\d{10}"),
+    Pattern("tel", rf"(?U)(?<![A-Za-z\d]){PHONE}(?![A-Za-z\d])", 0.85, r"(?U)\d{2}"),
     Pattern("dt", f"(?U){DATE}", 0.90, r"\d[/.\-]\d"),
     Pattern("dt", f"(?Ui){DATE_IT}", 0.85, r"\d"),
     Pattern("dt", f"(?Ui){DATE_EN}", 0.85, r"\d"),
-    Pattern("fin", rf"(?U)(?<!\d){VAT_OTHER}(?!\d)", 0.65, r"[1-9]\d{10}"),
+    Pattern("fin", rf"(?U)(?<!\d){VAT_OTHER}(?!\d)", 0.65, r"(?U)[1-9]\d{10}"),
 )
 #: The smaller engine. Its second group, where it has one, is the span.
 SIMPLE_PATTERNS = (
