@@ -161,16 +161,19 @@ def _with_last(acc: Column) -> Column:
     return F.flatten(F.concat(acc["done"], F.array(acc["part"], F.when(acc["last"].isNotNull(), F.array(acc["last"])).otherwise(F.slice(acc["part"], 1, 0)))))
 
 
-def merge_adjacent(spans: Column, text: Column) -> Column:
+def merge_adjacent(spans: Column, text: Column, compat: bool = False) -> Column:
     """Merge neighbours of one type with a gap of at most one character. The pattern source wins,
-    confidences are averaged pair by pair from left to right, the text is cut anew."""
+    confidences are averaged pair by pair from left to right, the text is cut anew; with ``compat``
+    it is the texts of the parts, with a space for whatever character lies between them."""
+
     def step(acc: Column, s: Column) -> Column:
         last = acc["last"]
         gap = s["start"] - last["end"]
+        whole = F.concat(last["text"], F.repeat(F.lit(" "), gap), s["text"]) if compat else F.substring(acc["text"], last["start"] + 1, s["end"] - last["start"])
         joined = F.struct(
             last["start"].alias("start"),
             s["end"].alias("end"),
-            F.substring(acc["text"], last["start"] + 1, s["end"] - last["start"]).alias("text"),
+            whole.alias("text"),
             last["pii_type"].alias("pii_type"),
             F.when((last["source"] == "regex") | (s["source"] == "regex"), "regex").otherwise(last["source"]).alias("source"),
             ((last["confidence"] + s["confidence"]) / 2).alias("confidence"),
@@ -233,16 +236,13 @@ def trim_punctuation(start: Column, end: Column, text: Column, abbreviations: tu
 def merge_adjacent_typed(spans: Column, text: Column) -> Column:
     """Merge neighbours of one type over one space; addresses over one or two of space and comma.
     Elements are (start, end, pii_type); the text is cut anew."""
-    kind = "array<struct<start:int,end:int,pii_type:string>>"
-    start = F.struct(F.array().cast(kind).alias("out"), text.alias("text"))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc["out"], F.lit(-1))
+        last = acc["last"]
         gap = F.substring(acc["text"], last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))
         close = F.when(s["pii_type"] == "ind", gap.rlike("^[ ,]{1,2}$")).otherwise(gap == " ")
         joined = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["pii_type"].alias("pii_type"))
-        merge = (F.size(acc["out"]) > 0) & (last["pii_type"] == s["pii_type"]) & close
-        out = F.when(merge, F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(joined))).otherwise(F.concat(acc["out"], F.array(s)))
-        return F.struct(out.alias("out"), acc["text"].alias("text"))
+        merge = last.isNotNull() & F.coalesce((last["pii_type"] == s["pii_type"]) & close, F.lit(False))
+        return _replace_last(acc, merge, joined, s, "text")
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+    return F.aggregate(spans, _no_last("array<struct<start:int,end:int,pii_type:string>>", text=text), step, _with_last)

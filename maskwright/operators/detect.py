@@ -63,11 +63,11 @@ def detect_simple(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select(id_col, "s.pii_type", "s.start", (F.col("s.start") + F.length("s.text")).alias("end"), "s.text")
 
 
-def fuse(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
-    """Overlaps resolved, then neighbours merged."""
+def fuse(docs: DataFrame, text_col: str = "text", spans_col: str = "spans", compat: bool = False) -> DataFrame:
+    """Overlaps resolved, then neighbours merged (``compat``: see ``merge_adjacent``)."""
     rest = [c for c in docs.columns if c != spans_col]
     resolved = docs.select(*rest, S.resolve_overlaps(F.col(spans_col)).alias(spans_col))
-    return resolved.select(*rest, S.merge_adjacent(F.col(spans_col), F.coalesce(F.col(text_col), F.lit(""))).alias(spans_col))
+    return resolved.select(*rest, S.merge_adjacent(F.col(spans_col), F.coalesce(F.col(text_col), F.lit("")), compat).alias(spans_col))
 
 
 def detect_composite(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,10 +100,13 @@ def usage_monthly(calls: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
     return orgs.select("org_id").distinct().join(counts, "org_id", "left").na.fill(0, [f"n_{o}" for o in OPS] + ["tokens"])
 
 
-def usage_report(usage: DataFrame, plan: DataFrame) -> DataFrame:
-    """Usage rows with plan, limit, what is left and the share used in percent."""
+def usage_report(usage: DataFrame, plan: DataFrame, compat: bool = False) -> DataFrame:
+    """Usage rows with plan, limit, what is left and the share used in percent. All tokens are counted;
+    with ``compat`` those of plans without a limit read 0."""
     joined = usage.join(plan.select("org_id", F.col("name").alias("plan_name"), "monthly_token_limit"), "org_id")
     free = F.col("monthly_token_limit") < 0
+    if compat:
+        joined = joined.withColumn("tokens", F.when(free, F.lit(0)).otherwise(F.col("tokens")))
     return joined.select(
         *usage.columns,
         "plan_name",

@@ -123,6 +123,21 @@ def detect_simple(t: Tables):
     return D.detect_simple(lines(t), patterns=wanted)
 
 
+_FIRM = "concat(text, ' P. IVA ', lpad(cast(doc_id as string), 11, '7'), ', codice SDI AB', lpad(cast(doc_id % 100000 as string), 5, '0'))"
+#: Their span is the end of the match.
+_ENDS = (("piva", P.SIMPLE_PATTERNS[4].regex, 11), ("sdi", P.SIMPLE_PATTERNS[6].regex, 7))
+
+
+@query(
+    f"with firm as (select doc_id, {_FIRM.replace('as string', 'as varchar')} as text from documents) "
+    + " union all ".join(f"select doc_id, '{k}' as pii_type, \"start\", \"end\", text from ({sql_find('firm', r)})" for k, r in _SIMPLE_SQL)
+    + "".join(f" union all select doc_id, '{k}', \"end\" - {n}, \"end\", right(text, {n}) from ({sql_find('firm', r.replace('(?Ui)', '(?i)'))})" for k, r, n in _ENDS)
+)
+def detect_simple_documents(t: Tables):
+    """All patterns of the smaller engine over the whole texts, each with a firm's numbers behind it."""
+    return D.detect_simple(t.documents.select("doc_id", F.expr(_FIRM).alias("text")))
+
+
 #: Six overlapping spans for each customer, the same in both engines.
 _SPAN = {
     "start": "cast((c_custkey * 7 + i * 5) % 40 as int)",
@@ -172,6 +187,19 @@ def merge_adjacent_simple(t: Tables):
     return long.select("doc_id", "s.start", "s.end", "s.pii_type", "s.source", F.round("s.confidence", 6).alias("confidence"), "s.text")
 
 
+_COMPAT = """list_aggregate(list_transform(range(1, len(p) + 1), lambda i: substr(text, p[i].s + 1, p[i].e - p[i].s) || case when i < len(p) and p[i + 1].s > p[i].e then ' ' else '' end), 'string_agg', '')"""
+
+
+@query(f"""with {SPANS}, {BASE}, {RESOLVED}, {MERGED}, parts as (select doc_id, unnest(l) as s from resolved), whole as (select doc_id, unnest(l) as s from merged),
+g as (select w.doc_id, w.s."start" as "start", any_value(w.s."end") as "end", any_value(w.s.pii_type) as pii_type, list({{'s': x.s."start", 'e': x.s."end"}} order by x.s."start") as p
+  from whole w join parts x on w.doc_id = x.doc_id and x.s."start" >= w.s."start" and x.s."end" <= w.s."end" group by 1, 2)
+select g.doc_id, "start", "end", pii_type, {_COMPAT} as text from g join base using (doc_id)""")
+def merge_adjacent_simple_compat(t: Tables):
+    """The merged text with a space for any character between the parts."""
+    long = D.fuse(overlapping(t), compat=True).select("doc_id", F.explode_outer("spans").alias("s"))
+    return long.select("doc_id", "s.start", "s.end", "s.pii_type", "s.text")
+
+
 @query(
     f"""with {SPANS}, r as (select * from spans where source = 'regex'), m as (select * from spans where source = 'slm'),
 c as (select distinct doc_id, unnest(range("start", "end")) as p from r),

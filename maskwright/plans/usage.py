@@ -109,13 +109,21 @@ def usage_monthly(t: Tables):
     return M.usage_monthly(calls(t))
 
 
-@query(f"""with {CALLS}, {PLAN}, {USAGE} select u.*, p.name as plan_name, cast(p.cap as bigint) as monthly_token_limit,
+_REPORT = f"""with {CALLS}, {PLAN}, {USAGE} select u.*, p.name as plan_name, cast(p.cap as bigint) as monthly_token_limit,
   cast(case when cap < 0 then -1 else greatest(0, cap - tokens) end as bigint) as remaining, case when cap < 0 then 0.0 else round(tokens * 100.0 / cap, 2) end as percent
-  from usage u join plan p using (org_id)""")
+  from usage u join plan p using (org_id)"""
+
+
+@query(_REPORT)
 def usage_report(t: Tables):
     return M.usage_report(M.usage_monthly(calls(t)), plan(t))
 
 
+@query(f"select * replace (case when monthly_token_limit < 0 then 0 else tokens end as tokens) from ({_REPORT})")
+def usage_report_compat(t: Tables):
+    return M.usage_report(M.usage_monthly(calls(t)), plan(t), compat=True)
+
+
 @query(f"with {CALLS}, {DAILY} select * from daily")
 def usage_daily(t: Tables):
     return M.usage_daily(calls(t))
@@ -202,20 +210,20 @@ def label_key(t: Tables):
     return t.events.select("event_id", K.label_key(F.when(F.col("event_id") % 3 == 0, F.create_map().cast("map<string,string>")).otherwise(pair)).alias("key"))
 
 
-def _summary(by: str) -> str:
+def _summary(by: str, last: int) -> str:
     return f"""with {METRICS}, r as (select *, row_number() over (partition by {by} order by ts desc, event_id desc) as k from m),
-x as (select *, row_number() over (partition by {by} order by value) as r, count(*) over (partition by {by}) as n from r where k <= 1500)
+x as (select *, row_number() over (partition by {by} order by value) as r, count(*) over (partition by {by}) as n from r where k <= {last})
 select {by}, count(*) as n, round(sum(value), 3) as total, round(min(value), 3) as low, round(max(value), 3) as high, round({rank(50, "value")}, 3) as p50, round({rank(99, "value")}, 3) as p99 from x group by {by}"""
 
 
-@query(_summary("name"))
+@query(_summary("name", 1500))
 def histogram_summary(t: Tables):
     return K.histogram_summary(metric(t), ["name"], 1500)
 
 
-@query(_summary("name, label"))
+@query(_summary("name, label", K.LAST_SAMPLES))
 def histogram_summary_by_label(t: Tables):
-    return K.histogram_summary(metric(t), ["name", "label"], 1500)
+    return K.histogram_summary(metric(t), ["name", "label"])
 
 
 _BUCKETS = (
