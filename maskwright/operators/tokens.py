@@ -101,20 +101,13 @@ def validate_requests(rows: DataFrame, max_texts: int = MAX_TEXTS, max_chars: in
     return join_by(rows, bounded_broadcast(full), ["request_id"], "left").withColumn("reject_reason", reason).drop("_n")
 
 
-_PLACE = ["doc_id", "org_id", "request_id"]
+_SCOPE = ["org_id", "request_id"]
 
 
-def _value_map(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """One map a document and request; in a request a key has one value, also where ids repeat."""
-    once = rows.groupBy(*_PLACE, key).agg(F.min(value).alias(value))
-    return once.groupBy(*_PLACE).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
-
-
-def _join_place(docs: DataFrame, maps: DataFrame) -> DataFrame:
-    """Left join by document and request; a null is a value of its own."""
-    named = maps.withColumnsRenamed({c: f"_{c}" for c in _PLACE})
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _PLACE]
-    return docs.join(named, on, "left").drop(*(f"_{c}" for c in _PLACE))
+def _rewritten(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``rows`` (_row, text, ...) with ``_ranges``: the ranges (_row, start, end, new) of each text in their order."""
+    per_row = ranges.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_ranges"))
+    return rows.join(per_row, "_row", "left")
 
 
 def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, digits: int = HASH_DIGITS) -> tuple[DataFrame, DataFrame]:
@@ -122,28 +115,30 @@ def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, dig
 
     ``docs``: doc_id, org_id, request_id, text. ``keys``: org_id, dek, ipad, opad. Returns
     (tokenized: doc_id, tokenized, n_spans; entries: one row per request and distinct value with
-    token, hash and value). Texts without a span skip the shuffles: they never reach the join.
+    token, hash and value). Texts without a span skip the shuffles. Rows are told apart by a number
+    of their own, so ids may repeat; a null request is a request, an org without a key keeps its values.
     """
-    found = materialise(docs if spans_col else fuse(detect(docs)))
     spans = spans_col or "spans"
-    long = found.where(F.size(spans) > 0).select("doc_id", "org_id", "request_id", F.explode_outer(spans).alias("s"))
+    found = materialise((docs if spans_col else fuse(detect(docs))).withColumn("_row", F.monotonically_increasing_id()))
+    some = F.coalesce(F.size(spans), F.lit(0)) > 0
+    rows = found.where(some)
+    long = rows.select("_row", "doc_id", *_SCOPE, F.explode_outer(spans).alias("s"))
     pads = bounded_broadcast(keys.select("org_id", "ipad", "opad"))
+    value = F.col("s.text")
     hashed = long.join(pads, "org_id").select(
-        "doc_id", "org_id", "request_id", F.col("s.text").alias("value"), F.col("s.pii_type").alias("pii_type"), F.col("s.start").alias("start"), hmac_hash(F.col("s.text"), F.col("ipad"), F.col("opad"), digits).alias("base_hash")
+        "_row", "doc_id", *_SCOPE, value.alias("value"), "s.pii_type", "s.start", "s.end", hmac_hash(value, F.col("ipad"), F.col("opad"), digits).alias("base_hash")
     )
-    first = hashed.groupBy("org_id", "request_id", "value", "base_hash").agg(F.min(F.struct(F.struct("doc_id", "start").alias("place"), "pii_type")).alias("m"))
-    entries = first.select("org_id", "request_id", "value", "base_hash", F.col("m.place").alias("place"), F.col("m.pii_type").alias("pii_type"))
-    w = Window.partitionBy("org_id", "request_id", "base_hash").orderBy("place", "value")
+    first = hashed.groupBy(*_SCOPE, "value", "base_hash").agg(F.min(F.struct(F.struct("doc_id", "start").alias("place"), "pii_type")).alias("m"))
+    entries = first.select(*_SCOPE, "value", "base_hash", F.col("m.place").alias("place"), F.col("m.pii_type").alias("pii_type"))
+    w = Window.partitionBy(*_SCOPE, "base_hash").orderBy("place", "value")
     n = F.row_number().over(w)
     digest = F.when(n == 1, F.col("base_hash")).when(n <= MAX_SUFFIX, F.concat("base_hash", F.lit("_"), n.cast("string")))
     entries = entries.withColumn("hash", digest).withColumn("token", format_token(F.col("pii_type"), F.col("hash")))
-    named = hashed.join(entries.select("org_id", "request_id", "value", "token"), ["org_id", "request_id", "value"]).where("token is not null")
-    per_doc = _value_map(named.select(*_PLACE, "value", "token"), "value", "token", "_tokens")
-    joined = _join_place(found, per_doc)
-    new = lambda s: F.coalesce(F.element_at(F.col("_tokens"), s["text"]), s["text"])
-    packed = joined.select("doc_id", "text", F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), new(s).alias("new"))).alias("r"))
-    text = packed.select("doc_id", S.replace_ranges(F.col("text"), F.col("r"), lambda x: x["new"]).alias("tokenized"), F.size("r").cast("long").alias("n_spans"))
-    return text, entries.select("org_id", "request_id", "hash", "token", "pii_type", "value")
+    named = join_by(hashed.select("_row", *_SCOPE, "value", "start", "end"), entries.select(*_SCOPE, "value", F.col("token").alias("new")), [*_SCOPE, "value"])
+    made = _rewritten(rows, named.where("new is not null").select("_row", "start", "end", "new"))
+    text = made.select("doc_id", S.replace_ranges(F.col("text"), F.col("_ranges"), lambda x: x["new"]).alias("tokenized"), F.size(spans).cast("long").alias("n_spans"))
+    rest = found.where(~some).select("doc_id", F.col("text").alias("tokenized"), F.lit(0).cast("long").alias("n_spans"))
+    return text.unionByName(rest), entries.select(*_SCOPE, "hash", "token", "pii_type", "value")
 
 
 def encrypt_values(entries: DataFrame, keys: DataFrame, created_at: Column, ttl_seconds: int = 60) -> DataFrame:
@@ -172,18 +167,17 @@ def wrap_keys(orgs: DataFrame, existing: DataFrame, kek: DataFrame) -> DataFrame
 def rehydrate(docs: DataFrame, vault: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """Put values back: (doc_id, text, n_restored) of (doc_id, org_id, request_id, text).
 
-    Tokens that are unknown, expired or do not decrypt stay. Texts without ``[#`` skip the join.
+    Tokens that are unknown, expired or do not decrypt stay. Texts without a token skip the shuffles.
     """
-    found = materialise(docs.withColumn("_tokens", find_tokens(F.coalesce("text", F.lit("")))))
-    asked = found.where(F.contains("text", F.lit("[#"))).select("org_id", "request_id", F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null").distinct()
-    live = vault.where(F.col("expires_at") > now)
-    newest = live.groupBy("org_id", "request_id", "token_hash").agg(F.max_by("encrypted", "created_at").alias("encrypted"))
-    known = asked.join(newest, ["org_id", "request_id", "token_hash"]).join(bounded_broadcast(keys.select("org_id", "dek")), "org_id")
-    known = known.select("org_id", "request_id", "token_hash", decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("value")).where("value is not null")
-    long = found.select(*_PLACE, F.explode_outer("_tokens.hash").alias("token_hash")).where("token_hash is not null")
-    per_doc = _value_map(long.join(known, ["org_id", "request_id", "token_hash"]), "token_hash", "value", "_values")
-    joined = _join_place(found, per_doc)
-    put = F.transform("_tokens", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.element_at(F.col("_values"), m["hash"]).alias("value"), m["text"].alias("text")))
-    packed = joined.select("doc_id", "text", put.alias("_put"))
-    text = S.replace_ranges(F.col("text"), F.col("_put"), lambda x: F.coalesce(x["value"], x["text"]))
-    return packed.select("doc_id", text.alias("text"), F.size(F.filter("_put", lambda x: x["value"].isNotNull())).cast("long").alias("n_restored"))
+    tokens = find_tokens(F.coalesce("text", F.lit("")))
+    found = materialise(docs.select("doc_id", *_SCOPE, "text", tokens.alias("_tokens"), F.monotonically_increasing_id().alias("_row")))
+    rows = found.where(F.size("_tokens") > 0)
+    long = rows.select("_row", *_SCOPE, F.explode_outer("_tokens").alias("m")).select("_row", *_SCOPE, "m.start", "m.end", F.col("m.hash").alias("token_hash"))
+    key = [*_SCOPE, "token_hash"]
+    newest = vault.where(F.col("expires_at") > now).groupBy(*key).agg(F.max_by("encrypted", "created_at").alias("encrypted"))
+    known = join_by(newest, long.select(*key).distinct(), key, "left_semi").join(bounded_broadcast(keys.select("org_id", "dek")), "org_id")
+    known = known.select(*key, decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("new")).where("new is not null")
+    made = _rewritten(rows, join_by(long, known, key).select("_row", "start", "end", "new"))
+    restored = F.coalesce(F.size("_ranges"), F.lit(0)).cast("long")
+    text = made.select("doc_id", S.replace_ranges(F.col("text"), F.col("_ranges"), lambda x: x["new"]).alias("text"), F.greatest(restored, F.lit(0)).alias("n_restored"))
+    return text.unionByName(found.where(F.size("_tokens") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_restored")))

@@ -40,6 +40,10 @@ def test_guards_hold_for_shortest_matches(spark):
         row = spark.range(1).select(F.lit(text).rlike(p.regex), F.lit(text).rlike(p.guard or "")).first()
         assert all(row), (text, p)
     assert found(D.detect(texts(spark, "nato il 5 marzo, residente"))) == {(0, "dt", "5 marzo")}
+    other = {"cf": "RSSMRA80A01H٥٠١Z", "ib": "DE٨٩ABCDEFGHIJ", "fin": "0١٢٣٤٥٦٧٨٩٠"}  # digits of another script
+    for p in (PATTERNS[0], PATTERNS[1], PATTERNS[3], PATTERNS[8]):
+        text = {0: other["cf"], 1: other["ib"], 3: other["fin"], 8: "1" + other["fin"][1:]}[PATTERNS.index(p)]
+        assert all(spark.range(1).select(F.lit(text).rlike(p.regex), F.lit(text).rlike(p.guard)).first()), text
 
 
 def test_offsets_are_code_points(spark):
@@ -99,6 +103,22 @@ def test_tokenize_and_rehydrate(spark):
     assert {r["doc_id"]: r["n_spans"] for r in again.collect()}[1] == 0
 
 
+def test_tokens_of_repeated_ids_and_null_requests(spark):
+    rows = [(1, 1, None, "a@x.org"), (1, 1, None, "b@x.org e a@x.org"), (1, 1, None, "niente"), (None, 1, "r", "a@x.org"), (5, 9, "r", "senza chiave c@x.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, org_id long, request_id string, text string")
+    _, keys = setting(spark)
+    out, entries = T.tokenize(docs, keys)
+    got = sorted((r["tokenized"], r["n_spans"]) for r in out.collect())
+    assert len(got) == 5 and [n for _, n in got] == [1, 1, 2, 0, 1]
+    assert [t for t, _ in got if "[#" not in t] == ["niente", "senza chiave c@x.org"]
+    assert {(r["request_id"], r["value"]) for r in entries.collect()} == {(None, "a@x.org"), (None, "b@x.org"), ("r", "a@x.org")}
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    vault = T.encrypt_values(entries, keys, now).checkpoint()
+    texts_ = out.where("doc_id = 1").select("doc_id", F.lit(1).cast("long").alias("org_id"), F.lit(None).cast("string").alias("request_id"), F.concat("tokenized", F.lit(" [#em:00000000]")).alias("text"))
+    back = {(r["text"], r["n_restored"]) for r in T.rehydrate(texts_, vault, keys, now).collect()}
+    assert back == {(f"{t} [#em:00000000]", n) for t, n in (("a@x.org", 1), ("b@x.org e a@x.org", 2), ("niente", 0))}
+
+
 def test_rotation_and_isolation(spark):
     docs, keys = setting(spark)
     _, entries = T.tokenize(docs, keys)
@@ -259,6 +279,14 @@ def test_folds_are_not_quadratic(spark):
         took.append(time.time() - start)
         assert (r["n"], r["x"]["start"], r["x"]["text"]) == (n, 4 * n - 2, "1")
     assert took[1] < 3 * took[0] + 1
+    took = []
+    for n in (4000, 8000):
+        d = spark.range(1).select(F.repeat(F.lit("ab "), n).alias("text"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i * 3).alias("start"), (i * 3 + 2).alias("end"), F.when(i % 4 == 3, "org").otherwise("pe").alias("pii_type"))).alias("l")).checkpoint()
+        start = time.time()
+        r = d.select(S.merge_adjacent_typed(F.col("l"), F.col("text")).alias("l")).select(F.size("l").alias("n"), F.element_at("l", -2).alias("x")).first()
+        took.append(time.time() - start)
+        assert (r["n"], r["x"]["start"], r["x"]["end"]) == (n // 2, 3 * n - 12, 3 * n - 4)
+    assert took[1] < 3 * took[0] + 1
     text = found.select(S.replace_ranges(F.col("text"), F.col("r"), lambda x: F.lit("#")).alias("t")).first()["t"]
     assert text == "ab# " * 8000
 
