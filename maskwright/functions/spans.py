@@ -39,10 +39,14 @@ def _gathered(acc: Column) -> Column:
 
 
 def find_all(text: Column, regex: str, guard: str | None = None) -> Column:
-    """Every match of a pattern that never matches the empty string: (start, end, text)."""
-    gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
-    hits = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("pos"), *_empty(RANGES))
+    """Every match of a pattern that never matches the empty string: (start, end, text).
+
+    A text without a match is searched once, one that fails the cheap guard not at all; the gaps are
+    cut only where there are matches. The matches are bound by a lambda over an array of one element,
+    so that they are found once.
+    """
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    found = F.when(text.rlike(guard), found) if guard else found
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + x["gap"]
@@ -51,8 +55,13 @@ def find_all(text: Column, regex: str, guard: str | None = None) -> Column:
             F.struct(end.alias("pos"), *_gather(acc, F.struct(at.alias("start"), end.alias("end"), x["m"].alias("text"))))
         )
 
-    found = F.aggregate(hits, start, step, _gathered)
-    return F.when(text.rlike(guard or regex), found).otherwise(F.array().cast(RANGES))
+    def place(matches: Column) -> Column:
+        gaps = F.transform(F.split(text, regex, -1), lambda g: F.length(g))
+        hits = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
+        placed = F.aggregate(hits, F.struct(F.lit(0).alias("pos"), *_empty(RANGES)), step, _gathered)
+        return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast(RANGES))
+
+    return F.transform(F.array(found), place)[0]
 
 
 @cache
