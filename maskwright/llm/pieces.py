@@ -44,45 +44,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Vocabulary:
-    """Pieces, their ranks as merges, and the table that finds a merge of two pieces."""
+class MergeTable:
+    """Finds the piece that two pieces make: open addressing over pairs. ``size`` is one more than the largest id."""
 
-    def __init__(self, path: str = MODEL):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
-        pieces = [sp.id_to_piece(i) for i in range(size)]
-        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        if any(SPACE in pieces[i].lstrip(SPACE) or "\n" in pieces[i] for i in plain):
-            raise ValueError("pieces with a space mark inside, or with line breaks, are not supported")
-        self.size = size
-        self.ids = {pieces[i]: i for i in plain}
-        self.byte = np.zeros(256, np.int32)
-        self.surface = [b""] * size
-        for i in range(size):
-            if sp.is_byte(i):
-                self.byte[int(pieces[i][3:5], 16)] = i
-                self.surface[i] = bytes([int(pieces[i][3:5], 16)])
-        for i in plain:
-            self.surface[i] = pieces[i].replace(SPACE, " ").encode()
-        scores = np.array([sp.get_score(i) for i in range(size)])
-        order = np.unique(-scores[plain])  # equal scores get equal ranks
-        self.rank = np.full(size, _NO_RANK, np.int32)
-        self.rank[plain] = np.searchsorted(order, -scores[plain])
-        left, right, made = [], [], []
-        for p, i in ((pieces[i], i) for i in plain):
-            for k in range(1, len(p)):
-                if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None:
-                    left.append(a)
-                    right.append(b)
-                    made.append(i)
-        self._fill(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32))
-        self.letter = np.full(0x110000, -1, np.int32)  # code point -> piece, -1: none
-        for p, i in self.ids.items():
-            if len(p) == 1 and p != SPACE:
-                self.letter[ord(p)] = i
-        self.letter[32] = self.ids[SPACE]
+    size: int
 
     def _fill(self, left: np.ndarray, right: np.ndarray, made: np.ndarray) -> None:
         """Open addressing with linear probes; the table is a quarter full."""
@@ -127,6 +92,46 @@ class Vocabulary:
                 break
         return found
 
+class Vocabulary(MergeTable):
+    """Pieces, their ranks as merges, and the table that finds a merge of two pieces."""
+
+    def __init__(self, path: str = MODEL):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        size = sp.get_piece_size()
+        pieces = [sp.id_to_piece(i) for i in range(size)]
+        plain = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        if any(SPACE in pieces[i].lstrip(SPACE) or "\n" in pieces[i] for i in plain):
+            raise ValueError("pieces with a space mark inside, or with line breaks, are not supported")
+        self.size = size
+        self.ids = {pieces[i]: i for i in plain}
+        self.byte = np.zeros(256, np.int32)
+        self.surface = [b""] * size
+        for i in range(size):
+            if sp.is_byte(i):
+                self.byte[int(pieces[i][3:5], 16)] = i
+                self.surface[i] = bytes([int(pieces[i][3:5], 16)])
+        for i in plain:
+            self.surface[i] = pieces[i].replace(SPACE, " ").encode()
+        scores = np.array([sp.get_score(i) for i in range(size)])
+        order = np.unique(-scores[plain])  # equal scores get equal ranks
+        self.rank = np.full(size, _NO_RANK, np.int32)
+        self.rank[plain] = np.searchsorted(order, -scores[plain])
+        left, right, made = [], [], []
+        for p, i in ((pieces[i], i) for i in plain):
+            for k in range(1, len(p)):
+                if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(i)
+        self._fill(np.array(left, np.int64), np.array(right, np.int64), np.array(made, np.int32))
+        self.letter = np.full(0x110000, -1, np.int32)  # code point -> piece, -1: none
+        for p, i in self.ids.items():
+            if len(p) == 1 and p != SPACE:
+                self.letter[ord(p)] = i
+        self.letter[32] = self.ids[SPACE]
+
 
 def _dropped(key: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
     span = start.astype(np.uint64) << np.uint64(32) | end.astype(np.uint64)

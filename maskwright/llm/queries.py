@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, secrets, simhash, toxicity, urls
+from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, secrets, simhash, token_counts, toxicity, urls
 from maskwright.llm.common import held_out, read_table
 
 
@@ -70,7 +70,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, quality_ablations)}
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"), "n_direct")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, op12_token_counts, quality_ablations)}
 ORACLES = {
     "op5_chat": chat.oracle_sql(),
     "op6_urls": urls.ORACLE_SQL,
