@@ -81,23 +81,28 @@ def ensure_importable(spark: SparkSession) -> None:
     spark.sparkContext._maskwright_shipped = True
 
 
-def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
-    """Run ``fn`` on each Arrow batch of ``df``; a narrow step, no shuffle.
+def map_partitions(df: DataFrame, schema: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Run ``run`` on the Arrow batches of each partition of ``df``; a narrow step, no shuffle.
 
     Where the session has Spark's default of 10,000 rows a batch, it is set to BATCH_ROWS: batches of
     whole documents are held several times outside the heap, by Spark and by Python.
     """
+    ensure_importable(df.sparkSession)
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF) == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
+    """Run ``fn`` on each Arrow batch of ``df``, some BATCH_ROWS rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):  # Python objects of a few rows at a time
                 yield from fn(batch.slice(at, BATCH_ROWS))
 
-    ensure_importable(df.sparkSession)
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_CONF) == "10000":
-        conf.set(_BATCH_CONF, str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    return map_partitions(df, schema, run)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, secrets, simhash, token_counts, toxicity, urls
+from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, resample, secrets, simhash, token_counts, toxicity, urls
 from maskwright.llm.common import held_out, read_table
 
 
@@ -77,7 +77,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", token_counts.over_limit(F.col("n_tokens")).alias("over_limit"), "n_direct")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, op12_token_counts, quality_ablations)}
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, op12_token_counts, op13_resample, quality_ablations)}
 ORACLES = {
     "op5_chat": chat.oracle_sql(),
     "op6_urls": urls.ORACLE_SQL,
