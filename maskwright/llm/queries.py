@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import chat, decontam, langid, licenses, pieces, quality, resample, secrets, simhash, token_counts, toxicity, urls
+from maskwright.llm import chat, decontam, fptree, langid, licenses, pieces, quality, resample, secrets, simhash, token_counts, toxicity, urls
 from maskwright.llm.common import held_out, read_table
 
 
@@ -70,6 +70,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -81,12 +85,13 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, op12_token_counts, op13_resample, quality_ablations)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_simhash, op4_pieces, op5_chat, op6_urls, op7_decontamination, op8_language, op9_quality, op10_licenses, op11_search, op12_token_counts, op13_resample, quality_ablations)}
 ORACLES = {
     "op5_chat": chat.oracle_sql(),
     "op6_urls": urls.ORACLE_SQL,
     "op7_decontamination": decontam.ORACLE_SQL,
     "op9_quality": quality.ORACLE_SQL,
     "op10_licenses": licenses.oracle_sql(),
+    "op11_search": fptree.ORACLE_SQL,
     "quality_ablations": quality.ABLATIONS_SQL,
 }
