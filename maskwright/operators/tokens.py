@@ -67,25 +67,59 @@ def find_tokens(text: Column) -> Column:
     return F.filter(found, lambda m: m["pii_type"].isin(*TOKEN_TYPES))
 
 
+def _number(n: Column) -> Column:
+    """The hash of the n-th slot of a base hash: itself, then with ``_2`` to ``_10``."""
+    return F.when(n == 1, F.col("base_hash")).when(n <= MAX_SUFFIX, F.concat("base_hash", F.lit("_"), n.cast("string")))
+
+
+def allocate(first: DataFrame, by: list[str], prior: DataFrame | None = None) -> DataFrame:
+    """Add ``hash`` to the distinct values of requests: the first slot of its base hash that is free or its own.
+
+    ``first``: ``by``, value, base_hash, place (order of first appearance; one row for a value). ``prior``:
+    ``by``, value, hash, the slots that are taken already. Values take slots in the order of their places,
+    each the first free one, and a carried value its own slot if no free one comes before it; a taken slot
+    is never given to another value. Of several values carried with one hash the greatest owns it. The
+    hash is null where all MAX_SUFFIX slots are taken.
+    """
+    w = Window.partitionBy(*by, "base_hash").orderBy("place", "value")
+    if prior is None:
+        return first.withColumn("hash", _number(F.row_number().over(w)))
+    base = F.substring_index("hash", "_", 1)
+    slot = F.when(F.col("hash") == base, 1).otherwise(F.expr("try_cast(substring_index(hash, '_', -1) as int)"))
+    owned = prior.select(*by, "value", "hash", base.alias("base_hash"), slot.alias("own")).where(F.col("hash") == F.coalesce(_number(F.col("own")), F.lit("")))
+    owners = owned.groupBy(*by, "base_hash", "own").agg(F.max("value").alias("value"))
+    taken = owners.groupBy(*by, "base_hash").agg(F.array_sort(F.collect_set("own")).alias("_taken"))  # at most MAX_SUFFIX
+    lowest = owners.groupBy(*by, "base_hash", "value").agg(F.min("own").alias("_own"))
+    met = join_by(join_by(first, taken, [*by, "base_hash"], "left"), lowest, [*by, "base_hash", "value"], "left")
+    alone = met.where("_taken is null").drop("_taken", "_own").withColumn("hash", _number(F.row_number().over(w)))
+    # in a group with taken slots only the owners and the first values without one can get a slot
+    rank = F.row_number().over(Window.partitionBy(*by, "base_hash", F.col("_own").isNull()).orderBy("place", "value"))
+    ranked = met.where("_taken is not null").withColumn("_n", rank)
+    able = F.col("_own").isNotNull() | (F.col("_n") <= MAX_SUFFIX)
+    free = F.array_except(F.sequence(F.lit(1), F.lit(MAX_SUFFIX)), F.first("_taken"))
+    groups = ranked.where(able).groupBy(*by, "base_hash").agg(free.alias("_free"), F.array_sort(F.collect_list(F.struct("place", "value", "_own"))).alias("_values"))
+    none = F.array().cast("array<struct<value:string,slot:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        open_ = F.try_element_at(acc["free"], F.lit(1))
+        take = F.coalesce(open_ < x["_own"], open_.isNotNull() & x["_own"].isNull())
+        given = F.concat(acc["given"], F.array(F.struct(x["value"].alias("value"), F.when(take, open_).otherwise(x["_own"]).alias("slot"))))
+        return F.struct(F.when(take, F.slice(acc["free"], 2, MAX_SUFFIX)).otherwise(acc["free"]).alias("free"), given.alias("given"))
+
+    given = F.aggregate("_values", F.struct(F.col("_free").alias("free"), none.alias("given")), step, lambda acc: acc["given"])
+    placed = groups.select(*by, "base_hash", F.explode_outer(given).alias("g")).select(*by, F.col("g.value").alias("value"), "base_hash", _number(F.col("g.slot")).alias("hash"))
+    mixed = join_by(ranked.drop("_taken", "_own", "_n"), placed, [*by, "value", "base_hash"], "left")
+    return alone.unionByName(mixed)
+
+
 def resolve_collisions(values: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Give every distinct value of a request its hash.
+    """Give every distinct value of a request its hash (see ``allocate``).
 
-    ``values``: request_id, value, base_hash, place (order of first appearance). ``prior``:
-    request_id, value, base_hash, hash carried over from earlier calls. Values that share a hash
-    get ``_2`` ... by first appearance behind the carried ones; a carried value keeps its hash.
-    The result adds hash, null with ``failed`` beyond MAX_SUFFIX values.
+    ``values``: request_id, value, base_hash, place. ``prior``: request_id, value, hash, carried over from
+    earlier calls. The result adds hash, null with ``failed`` beyond MAX_SUFFIX values.
     """
     first = values.groupBy("request_id", "value", "base_hash").agg(F.min("place").alias("place"))
-    if prior is not None:
-        given = prior.select("request_id", "value", F.col("hash").alias("_given"))
-        used = prior.groupBy("request_id", "base_hash").agg(F.count(F.lit(1)).alias("_used"))
-        first = first.join(given, ["request_id", "value"], "left").join(used, ["request_id", "base_hash"], "left")
-    else:
-        first = first.withColumn("_given", F.lit(None).cast("string")).withColumn("_used", F.lit(0))
-    w = Window.partitionBy("request_id", "base_hash", F.col("_given").isNull()).orderBy("place", "value")
-    n = F.row_number().over(w) + F.coalesce("_used", F.lit(0))
-    own = F.when(n == 1, F.col("base_hash")).when(n <= MAX_SUFFIX, F.concat("base_hash", F.lit("_"), n.cast("string")))
-    done = first.withColumn("hash", F.coalesce("_given", own))
+    done = allocate(first, ["request_id"], prior)
     return done.select("request_id", "value", "base_hash", "place", "hash", F.col("hash").isNull().alias("failed"))
 
 
@@ -110,35 +144,66 @@ def _rewritten(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return rows.join(per_row, "_row", "left")
 
 
-def tokenize(docs: DataFrame, keys: DataFrame, spans_col: str | None = None, digits: int = HASH_DIGITS) -> tuple[DataFrame, DataFrame]:
+def _refused(docs: DataFrame, keys: DataFrame, quota: DataFrame | None) -> DataFrame:
+    """Add ``reject_reason``: the refusal of the org's quota, else ``no_key`` for an org without a key."""
+    known = bounded_broadcast(keys.select("org_id", F.lit(True).alias("_known")).distinct())
+    reason = F.when(F.col("_known").isNull(), "no_key")
+    docs = join_by(docs, known, ["org_id"], "left")
+    if quota is not None:
+        docs = join_by(docs, bounded_broadcast(quota.where("reject_reason is not null").select("org_id", F.col("reject_reason").alias("_quota"))), ["org_id"], "left")
+        reason = F.coalesce("_quota", reason)
+    return docs.withColumn("reject_reason", reason).drop("_known", "_quota")
+
+
+def tokenize(
+    docs: DataFrame,
+    keys: DataFrame,
+    spans_col: str | None = None,
+    digits: int = HASH_DIGITS,
+    prior: DataFrame | None = None,
+    turn_col: str = "doc_id",
+    quota: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Replace every detected value by a token.
 
-    ``docs``: doc_id, org_id, request_id, text. ``keys``: org_id, dek, ipad, opad. Returns
-    (tokenized: doc_id, tokenized, n_spans; entries: one row per request and distinct value with
-    token, hash and value). Texts without a span skip the shuffles. Rows are told apart by a number
-    of their own, so ids may repeat; a null request is a request, an org without a key keeps its values.
+    ``docs``: doc_id, org_id, request_id, text, and ``turn_col``, the order of a request's texts. ``keys``:
+    org_id, dek, ipad, opad. ``prior``: org_id, request_id, value, hash, tokens carried over from earlier
+    turns: their values keep them, and no new value takes one (see ``allocate``). ``quota``: org_id,
+    reject_reason, orgs that are refused before anything is detected.
+
+    Returns (tokenized: doc_id, tokenized, n_spans, reject_reason; entries: one row per request and
+    distinct value with token, hash and value). It fails closed: a text comes back null, with a reason, if
+    its org is refused or has no key (``no_key``), or if a value of its request has no token, over ten
+    collisions or a type or hash that no token may have (``no_token``); such requests have no entries.
+    Texts without a span skip the shuffles. Rows are told apart by a number of their own, so ids may
+    repeat; a null request is a request.
     """
     spans = spans_col or "spans"
-    found = materialise((docs if spans_col else fuse(detect(docs))).withColumn("_row", F.monotonically_increasing_id()))
+    asked = _refused(docs.select(*dict.fromkeys(["doc_id", *_SCOPE, "text", turn_col, *([spans_col] if spans_col else [])])), keys, quota)
+    admitted = asked.where("reject_reason is null")
+    found = materialise((admitted if spans_col else fuse(detect(admitted))).withColumn("_row", F.monotonically_increasing_id()))
     some = F.coalesce(F.size(spans), F.lit(0)) > 0
     rows = found.where(some)
-    long = rows.select("_row", "doc_id", *_SCOPE, F.explode_outer(spans).alias("s"))
+    long = rows.select("_row", F.col(turn_col).alias("_turn"), *_SCOPE, F.explode_outer(spans).alias("s"))
     pads = bounded_broadcast(keys.select("org_id", "ipad", "opad"))
     value = F.col("s.text")
-    hashed = long.join(pads, "org_id").select(
-        "_row", "doc_id", *_SCOPE, value.alias("value"), "s.pii_type", "s.start", "s.end", hmac_hash(value, F.col("ipad"), F.col("opad"), digits).alias("base_hash")
+    hashed = join_by(long, pads, ["org_id"]).select(
+        "_row", "_turn", *_SCOPE, value.alias("value"), "s.pii_type", "s.start", "s.end", hmac_hash(value, F.col("ipad"), F.col("opad"), digits).alias("base_hash")
     )
-    first = hashed.groupBy(*_SCOPE, "value", "base_hash").agg(F.min(F.struct(F.struct("doc_id", "start").alias("place"), "pii_type")).alias("m"))
-    entries = first.select(*_SCOPE, "value", "base_hash", F.col("m.place").alias("place"), F.col("m.pii_type").alias("pii_type"))
-    w = Window.partitionBy(*_SCOPE, "base_hash").orderBy("place", "value")
-    n = F.row_number().over(w)
-    digest = F.when(n == 1, F.col("base_hash")).when(n <= MAX_SUFFIX, F.concat("base_hash", F.lit("_"), n.cast("string")))
-    entries = entries.withColumn("hash", digest).withColumn("token", format_token(F.col("pii_type"), F.col("hash")))
+    first = hashed.groupBy(*_SCOPE, "value", "base_hash").agg(F.min(F.struct(F.struct("_turn", "start").alias("place"), "pii_type")).alias("m"))
+    first = first.select(*_SCOPE, "value", "base_hash", F.col("m.place").alias("place"), F.col("m.pii_type").alias("pii_type"))
+    entries = allocate(first, _SCOPE, prior)
+    entries = materialise(entries.withColumn("token", format_token(F.col("pii_type"), F.col("hash"))))
+    failed = bounded_broadcast(entries.where("token is null").select(*_SCOPE, F.lit("no_token").alias("reject_reason")).distinct())
     named = join_by(hashed.select("_row", *_SCOPE, "value", "start", "end"), entries.select(*_SCOPE, "value", F.col("token").alias("new")), [*_SCOPE, "value"])
     made = _rewritten(rows, named.where("new is not null").select("_row", "start", "end", "new"))
-    text = made.select("doc_id", S.replace_ranges(F.col("text"), F.col("_ranges"), lambda x: x["new"]).alias("tokenized"), F.size(spans).cast("long").alias("n_spans"))
-    rest = found.where(~some).select("doc_id", F.col("text").alias("tokenized"), F.lit(0).cast("long").alias("n_spans"))
-    return text.unionByName(rest), entries.select(*_SCOPE, "hash", "token", "pii_type", "value")
+    made = made.select("doc_id", *_SCOPE, S.replace_ranges(F.col("text"), F.col("_ranges"), lambda x: x["new"]).alias("tokenized"), F.size(spans).cast("long").alias("n_spans"))
+    rest = found.where(~some).select("doc_id", *_SCOPE, F.col("text").alias("tokenized"), F.lit(0).cast("long").alias("n_spans"))
+    text = join_by(made.unionByName(rest), failed, _SCOPE, "left")
+    text = text.select("doc_id", F.when(F.col("reject_reason").isNull(), F.col("tokenized")).alias("tokenized"), "n_spans", "reject_reason")
+    refused = asked.where("reject_reason is not null").select("doc_id", F.lit(None).cast("string").alias("tokenized"), F.lit(0).cast("long").alias("n_spans"), "reject_reason")
+    entries = join_by(entries, failed.select(*_SCOPE), _SCOPE, "left_anti")
+    return text.unionByName(refused), entries.select(*_SCOPE, "hash", "token", "pii_type", "value")
 
 
 def encrypt_values(entries: DataFrame, keys: DataFrame, created_at: Column, ttl_seconds: int = 60) -> DataFrame:

@@ -340,12 +340,22 @@ def _values(t: Tables):
     return t.customer.select((F.col("c_custkey") % 40).alias("request_id"), F.col("c_name").alias("value"), F.substring(F.sha2((F.col("c_custkey") % 60).cast("string").cast("binary"), 256), 1, 4).alias("base_hash"), F.col("c_custkey").alias("place"))
 
 
-@query(f"""with {_VALUES}, p as (select request_id, value, base_hash, base_hash || '_7' as hash from v where place % 9 = 0),
-u as (select request_id, base_hash, count(*) as used from p group by all), j as (select v.*, p.hash as given, coalesce(used, 0) as used from v left join p using (request_id, value) left join u on v.request_id = u.request_id and v.base_hash = u.base_hash),
-r as (select *, used + row_number() over (partition by request_id, base_hash, given is null order by place, value) as n from j)
-select request_id, value, base_hash, place, coalesce(given, {_NUMBERED}) as hash, coalesce(given, {_NUMBERED}) is null as failed from r""")
+#: Who holds each of the ten slots of a base hash.
+_SLOTS = "[" + ", ".join(f"max(p.value) filter (p.slot = {i})" for i in range(1, 11)) + "]"
+_CARRIED = "base_hash || case place % 4 when 0 then '' when 1 then '_3' when 2 then '_7' else '_12' end"
+
+
+@query(f"""with recursive {_VALUES}, f as (select request_id, value, base_hash, min(place) as place from v group by all),
+f2 as (select *, row_number() over (partition by request_id, base_hash order by place, value) as n from f),
+p as (select request_id, base_hash, max(value) as value, case place % 4 when 0 then 1 when 1 then 3 else 7 end as slot from v where place % 5 = 0 and place % 4 < 3 group by 1, 2, 4),
+start as (select distinct f.request_id, f.base_hash from f),
+walk as (select s.request_id, s.base_hash, 0 as n, cast(null as varchar) as value, cast(null as bigint) as place, cast(null as bigint) as slot, {_SLOTS} as held from start s left join p using (request_id, base_hash) group by 1, 2
+  union all select request_id, base_hash, n, value, place, slot, list_transform(range(1, 11), lambda i: case when i = slot then value else held[i] end)
+  from (select w.request_id, w.base_hash, f2.n, f2.value, f2.place, list_min(list_filter(range(1, 11), lambda i: w.held[i] is null or w.held[i] = f2.value)) as slot, w.held from walk w join f2 on w.request_id = f2.request_id and w.base_hash = f2.base_hash and f2.n = w.n + 1))
+select request_id, value, base_hash, place, case when slot = 1 then base_hash else base_hash || '_' || slot end as hash, slot is null as failed from walk where n > 0""")
 def carry_over(t: Tables):
-    prior = _values(t).where("place % 9 = 0").select("request_id", "value", "base_hash", F.concat("base_hash", F.lit("_7")).alias("hash"))
+    """Carried tokens take slots of their own, behind others, far ahead or nowhere; several values claim one."""
+    prior = _values(t).where("place % 5 = 0").selectExpr("request_id", "value", f"{_CARRIED} as hash")
     return T.resolve_collisions(_values(t), prior)
 
 
@@ -370,7 +380,7 @@ w as (select v.doc_id, list({{'s': "start", 'e': "end", 't': '[#' || tok.pii_typ
    lambda i: substr(text, case when i = 1 then 1 else r[i - 1].e + 1 end, r[i].s - case when i = 1 then 0 else r[i - 1].e end) || r[i].t), '') || substr(text, r[-1].e + 1) end as tokenized from lines l left join w using (doc_id))
 select doc_id, tokenized, cast(coalesce(len(r), 0) as bigint) as n_spans from o""")
 def tokenize(t: Tables):
-    return T.tokenize(lines(t), key_table(t))[0]
+    return T.tokenize(lines(t), key_table(t))[0].drop("reject_reason")
 
 
 @query(f"with {TOKENIZED} select org_id, request_id, hash, '[#' || pii_type || ':' || hash || ']' as token, pii_type, value from tok")
@@ -378,6 +388,30 @@ def token_entries(t: Tables):
     return T.tokenize(lines(t), key_table(t))[1]
 
 
+_TURN = {"doc_id": "conv_id * 1000 + turn", "org_id": "conv_id % 6", "request_id": "conv_id", "turn": "turn", "text": "text"}
+_LONG_WORD = "[a-z]{7,}"
+#: Long words of conversations as values; tokens of a whole conversation by first appearance. No key for org 5.
+TURNS = f"""turns as ({select(_TURN, 'conversations')}), {KEYS}, found as ({sql_find('turns', _LONG_WORD)}),
+v as (select f.*, l.org_id, l.request_id, l.turn, {_HMAC.format(v='f.text', n=4)} as h from found f join turns l using (doc_id) join pads using (org_id)),
+e as (select org_id, request_id, text as value, h, min((turn, "start")) as place from v group by 1, 2, 3, 4),
+n as (select *, row_number() over (partition by org_id, request_id, h order by place, value) as n from e),
+w as (select v.doc_id, list({{'s': "start", 'e': "end", 't': '[#org:' || n.h || case when n = 1 then '' else '_' || n end || ']'}} order by "start") as r from v join n on v.org_id = n.org_id and v.request_id = n.request_id and v.text = n.value group by 1)"""
+
+
+@query(f"""with {TURNS} select l.doc_id, case when org_id = 5 then null when r is null then text else array_to_string(list_transform(range(1, len(r) + 1),
+   lambda i: substr(text, case when i = 1 then 1 else r[i - 1].e + 1 end, r[i].s - case when i = 1 then 0 else r[i - 1].e end) || r[i].t), '') || substr(text, r[-1].e + 1) end as tokenized,
+  cast(coalesce(len(r), 0) as bigint) as n_spans, case when org_id = 5 then 'no_key' end as reject_reason from turns l left join w using (doc_id)""")
+def tokenize_turns(t: Tables):
+    """Conversations tokenised in two calls, the later turns with the tokens of the first ones carried over:
+    the same tokens as in one call. Orgs without a key get no text back."""
+    turns = derive(t.conversations, _TURN)
+    kind = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit("org").alias("pii_type"))
+    turns = turns.withColumn("spans", F.transform(S.find_all(F.coalesce("text", F.lit("")), _LONG_WORD), kind))
+    early, entries = T.tokenize(turns.where("turn < 3"), key_table(t), "spans", 4, turn_col="turn")
+    late, _ = T.tokenize(turns.where("turn >= 3"), key_table(t), "spans", 4, entries, "turn")
+    return early.unionByName(late)
+
+
 @query("""with p as (select doc_id, regexp_extract_all(text, '\\b[a-zA-Z0-9][a-zA-Z0-9._%+\\-]{0,64}@[a-zA-Z0-9][a-zA-Z0-9.\\-]{0,255}\\.[a-zA-Z]{2,}\\b') as m, string_split_regex(text, '\\b[a-zA-Z0-9][a-zA-Z0-9._%+\\-]{0,64}@[a-zA-Z0-9][a-zA-Z0-9.\\-]{0,255}\\.[a-zA-Z]{2,}\\b') as g from documents)
 select doc_id, cast(len(m) as bigint) as n_spans, array_to_string(list_transform(range(len(g)), lambda i: g[i + 1] || case when i < len(m) then '[#em:' || substr(sha256(unhex('""" + _pads(_DEK)[1] + """') || unhex(sha256(unhex('""" + _pads(_DEK)[0] + """') || encode(m[i + 1])))), 1, 8) || ']' else '' end), '') as tokenized from p""")
 def tokenize_emails(t: Tables):

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +327,59 @@ def test_new_keys_of_a_busy_org(spark):
     plan = spark.createDataFrame([(1, 20, 5)], "org_id long, max_keys int, rate_limit_per_minute int")
     got = metering.admit_new_keys(asked, keys, plan).where("admitted").collect()
     assert sorted(r["request_no"] for r in got) == list(range(19))
+
+
+def _slots(values, prior):
+    """First-free-slot allocation as a loop: {value: hash or None}."""
+    seen, out = {}, {}
+    for value, digest in sorted(prior):
+        seen[digest] = value
+    for value, base in values:
+        for n in range(1, 11):
+            digest = base if n == 1 else f"{base}_{n}"
+            if seen.get(digest, value) == value:
+                seen[digest] = out[value] = digest
+                break
+        else:
+            out[value] = None
+    return out
+
+
+def test_carried_tokens_never_stand_for_two_values(spark):
+    """Random values and carried tokens, some carried twice, ahead or beyond: as a loop, and one value for a hash."""
+    rnd = random.Random(4)
+    values, prior = [], []
+    for request in [None, *range(40)]:
+        names = [f"v{i}" for i in range(rnd.randint(1, 26))]
+        rnd.shuffle(names)
+        values += [(request, v, rnd.choice(["abcd", "ef01"][: rnd.randint(1, 2)]), k) for k, v in enumerate(names)]
+        prior += [(request, v, rnd.choice(["abcd", "abcd_2", "abcd_3", "abcd_7", "abcd_10", "abcd_11", "ef01_2"])) for v in [*rnd.sample(names, len(names) // 3), "gone"]]
+    v = spark.createDataFrame(values, "request_id long, value string, base_hash string, place long")
+    p = spark.createDataFrame(prior, "request_id long, value string, hash string")
+    got = T.resolve_collisions(v, p).collect()
+    for request in [None, *range(40)]:
+        mine = [(x[1], x[2]) for x in values if x[0] == request]
+        carried = [x[1:] for x in prior if x[0] == request]
+        found = {r["value"]: r["hash"] for r in got if r["request_id"] == request}
+        assert found == _slots(mine, carried), request
+        taken = [h for h in found.values() if h]
+        assert len(set(taken)) == len(taken)
+    assert any(r["failed"] for r in got) and any(not r["failed"] for r in got)
+
+
+def test_tokenize_fails_closed(spark):
+    """No key, a refused org, more values than slots, a type that no token has: no text, a reason, no entries."""
+    keys = T.key_pads(spark.createDataFrame([(1, bytearray(b"1" * 32)), (2, bytearray(b"2" * 32))], "org_id long, dek binary"))
+    span = "array<struct<start:int,end:int,text:string,pii_type:string>>"
+    rows = [(1, 1, 1, "anna", [(0, 4, "anna", "pe")]), (2, 9, 1, "anna", [(0, 4, "anna", "pe")]), (3, None, 1, "anna", [(0, 4, "anna", "pe")]), (4, 2, 1, "anna", []), (5, 1, 2, "x y", [(0, 1, "x", "zz")]), (6, 1, 2, "plain", [])]
+    docs = spark.createDataFrame(rows, f"doc_id long, org_id long, request_id long, text string, spans {span}")
+    quota = spark.createDataFrame([(2, "token_quota_exceeded"), (1, None)], "org_id long, reject_reason string")
+    out, entries = T.tokenize(docs, keys, "spans", quota=quota)
+    got = {r["doc_id"]: (r["tokenized"], r["reject_reason"]) for r in out.collect()}
+    assert got[1][0].startswith("[#pe:") and got[1][1] is None
+    assert {i: got[i] for i in range(2, 7)} == {2: (None, "no_key"), 3: (None, "no_key"), 4: (None, "token_quota_exceeded"), 5: (None, "no_token"), 6: (None, "no_token")}
+    assert [r["value"] for r in entries.collect()] == ["anna"]
+    base = entries.first()["hash"]
+    full = spark.createDataFrame([(1, 1, f"w{i}", base if i == 1 else f"{base}_{i}") for i in range(1, 11)], "org_id long, request_id long, value string, hash string")
+    out, entries = T.tokenize(docs.where("doc_id = 1"), keys, "spans", prior=full)
+    assert [tuple(r) for r in out.collect()] == [(1, None, 1, "no_token")] and entries.count() == 0
