@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions import spans as S
+from maskwright.functions.frames import bounded_broadcast
 from maskwright.functions.patterns import MODEL_TYPES, REGEX_TYPES
-from maskwright.functions.ranks import hash_rank
+from maskwright.functions.ranges import overlap_join
+from maskwright.functions.ranks import hash_rank, join_by
 
 # Source type -> type code, by corpus; a null drops the entity.
 MULTINERD = {"PER": "pe", "ORG": "org", "LOC": "loc", "DIS": "med", "INST": "org"}
@@ -294,20 +299,53 @@ def validate_chat(rows: DataFrame, prompt: str = SYSTEM_PROMPT) -> DataFrame:
     return rows.withColumn("fatal", fatal).withColumn("prompt_differs", fatal.isNull() & (content(0) != prompt))
 
 
+def _meet_earlier(starts: list[int | None], ends: list[int | None]) -> list[bool]:
+    """Whether each range overlaps one listed before it. The furthest end of the ranges that start below a
+    place is kept in a tree over the starts, so that each range costs steps of the logarithm of their number."""
+    known = sorted({s for s in starts if s is not None})
+    furthest, found = [-1] * (len(known) + 1), []
+    for s, e in zip(starts, ends, strict=True):
+        if s is None or e is None:
+            found.append(False)
+            continue
+        i, far = bisect.bisect_left(known, e), -1
+        while i:
+            far, i = max(far, furthest[i]), i & (i - 1)
+        found.append(far > s)
+        i = bisect.bisect_left(known, s) + 1
+        while i <= len(known):
+            furthest[i] = max(furthest[i], e)
+            i += i & -i
+    return found
+
+
+def meet_earlier(starts: Column, ends: Column) -> Column:
+    """For the ranges of arrays of starts and ends, whether each overlaps an earlier one; null for null arrays."""
+
+    def run(starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array([None if s is None else _meet_earlier(s, e) for s, e in zip(starts.to_pylist(), ends.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(run, "array<boolean>")(starts, ends)
+
+
 def validate_entities(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """All failures of chat entities (text, entities with t/y/s/e): rows (id, place, error)."""
-    numbered = rows.select(id_col, "text", "entities", F.posexplode_outer("entities").alias("place", "x")).where("x is not null")
-    e, n = F.col("x"), F.length("text")
+    starts, ends = F.transform("entities", lambda x: x["s"]), F.transform("entities", lambda x: x["e"])
+    met = rows.select(id_col, F.length("text").alias("n"), "entities", meet_earlier(starts, ends).alias("_met"), S.cut(F.col("text"), F.transform("entities", lambda x: F.struct(F.greatest(x["s"], F.lit(0)).alias("start"), x["e"].alias("end")))).alias("_own"))
+    zipped = met.select(id_col, "n", F.posexplode_outer(F.arrays_zip("entities", "_met", "_own")).alias("place", "z")).where("z is not null")
+    numbered = zipped.select(id_col, "n", "place", F.col("z.entities").alias("x"), F.col("z._met").alias("met"), F.col("z._own").alias("own"))
+    e, n = F.col("x"), F.col("n")
     bounds = (e["s"] < 0) | (e["e"] > n) | (e["s"] >= e["e"])
-    earlier = F.exists(F.slice("entities", F.lit(1), F.col("place")), lambda p: (e["s"] < p["e"]) & (e["e"] > p["s"]))
     missing = e["t"].isNull() | e["y"].isNull() | e["s"].isNull() | e["e"].isNull()
-    errors = F.when(missing, F.array(F.lit("entity_keys"))).otherwise(
+    errors = F.when(missing, F.array(F.lit("entity_keys"))).otherwise(F.array(F.lit(None).cast("string")))
+    errors = F.concat(
+        errors,
         F.array(
-            F.when(~e["y"].isin(*MODEL_TYPES), "entity_type_valid"),
-            F.when(e["y"].isin(*REGEX_TYPES), "no_regex_types"),
-            F.when(bounds, "offset_bounds").when(F.substring("text", e["s"] + 1, e["e"] - e["s"]) != e["t"], "offset_alignment"),
-            F.when(earlier, "no_overlap"),
-        )
+            F.when(~missing & ~e["y"].isin(*MODEL_TYPES), "entity_type_valid"),
+            F.when(~missing & e["y"].isin(*REGEX_TYPES), "no_regex_types"),
+            F.when(~missing & bounds, "offset_bounds").when(~missing & (F.col("own") != e["t"]), "offset_alignment"),
+            F.when(F.col("met"), "no_overlap"),
+        ),
     )
     return numbered.select(id_col, "place", F.explode_outer(errors).alias("error")).where("error is not null")
 
@@ -330,11 +368,10 @@ def validate_bio(rows: DataFrame, id_col: str = "doc_id", labels: str = "labels"
 def spans_to_bio(tokens: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Label ids of tokens (id, idx, word_id, cs, ce) from spans (id, start, end, type): special tokens
     and subwords behind the first are ignored; the first overlapping span by start labels a token,
-    B- where the token starts at or before it. A range join inside the id."""
-    hit = tokens.alias("t").join(
-        spans.alias("s"), (F.col(f"t.{id_col}") == F.col(f"s.{id_col}")) & (F.col("t.cs") < F.col("s.end")) & (F.col("t.ce") > F.col("s.start")), "left"
-    )
-    best = hit.groupBy(f"t.{id_col}", "t.idx", "t.word_id", "t.cs", "t.ce").agg(F.min(F.struct("s.start", "s.end", "s.type")).alias("b"))
+    B- where the token starts at or before it. Tokens meet the spans of their own stretch of text."""
+    key = [id_col, "idx", "word_id", "cs", "ce"]
+    hit = overlap_join(tokens.select(*key), spans.select(id_col, "start", "end", "type"), id_col, ("cs", "ce"), ("start", "end"))
+    best = hit.groupBy(*key).agg(F.min(F.when(F.col("start").isNotNull(), F.struct("start", "end", "type"))).alias("b"))
     before = F.lag("word_id").over(Window.partitionBy(id_col).orderBy("idx"))
     ids = F.create_map(*(F.lit(x) for i, n in enumerate(NER_LABELS) for x in (n, i)))
     name = F.concat(F.when(F.col("cs") <= F.col("b.start"), "B-").otherwise("I-"), F.col("b.type"))
@@ -347,18 +384,21 @@ def stratum(types: Column) -> Column:
 
 
 def collapse_rare(df: DataFrame, key: str = "stratum") -> DataFrame:
-    """Strata of one row become RARE; if even RARE has one row, all become ALL (no stratification)."""
+    """Strata of one row become RARE; if even RARE has one row, all become ALL (no stratification). Rows
+    without a stratum are a stratum of their own."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     named = sizes.withColumn("_to", F.when(F.col("_n") < 2, "RARE").otherwise(F.col(key)))
     least = named.groupBy("_to").agg(F.sum("_n").alias("_m")).agg(F.min("_m").alias("_least"))
     table = named.join(F.broadcast(least), how="cross")  # one row
-    return df.join(table.select(F.col(key), F.when(F.col("_least") < 2, "ALL").otherwise(F.col("_to")).alias("_to")), key).withColumn(key, F.col("_to")).drop("_to")
+    table = table.select(F.col(key), F.when(F.col("_least") < 2, "ALL").otherwise(F.col("_to")).alias("_to"))
+    return join_by(df, bounded_broadcast(table), [key]).withColumn(key, F.col("_to")).drop("_to")
 
 
 def stratified_split(df: DataFrame, id_col: str, key: str = "stratum", ratios: tuple[float, float] = (0.8, 0.1), seed: int = 42) -> DataFrame:
-    """Add ``split``: in each stratum the first rows in hash order train, the next validate, the rest test."""
+    """Add ``split``: in each stratum, the one without a name too, the first rows in hash order train, the
+    next validate, the rest test."""
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = hash_rank(df, [key], id_col, seed, "_r").join(sizes, key)
+    ranked = join_by(hash_rank(df, [key], id_col, seed, "_r"), bounded_broadcast(sizes), [key])
     a = F.floor(F.col("_n") * F.lit(ratios[0]) + 1e-9)
     b = a + F.floor(F.col("_n") * F.lit(ratios[1]) + 1e-9)
     return ranked.withColumn("split", F.when(F.col("_r") <= a, "train").when(F.col("_r") <= b, "val").otherwise("test")).drop("_n", "_r")

@@ -6,7 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
-from maskwright.functions.patterns import PATTERNS, SIMPLE_PATTERNS, Pattern
+from maskwright.functions.ranges import overlap_join
+from maskwright.functions.patterns import PATTERNS, SIMPLE_PATTERNS, SYSTEM_TAG, TOKEN, Pattern
+
+
+def mask_protected(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``_keep``, the tokens and system tag blocks of a text that detection may not touch, and ``_masked``,
+    the text with as many NUL characters in their place. Step by step, as deep nests of lambdas resolve slowly."""
+    text = F.col(text_col)
+    tokens = docs.select("*", S.find_all(text, TOKEN, r"\[#").alias("_tokens"))
+    once = tokens.select("*", S.replace_ranges(text, F.col("_tokens"), S.nul_fill).alias("_once"))
+    tags = once.select("*", S.find_all(F.col("_once"), SYSTEM_TAG, "</").alias("_tags"))
+    masked = S.replace_ranges(F.col("_once"), F.col("_tags"), S.nul_fill)
+    return tags.select(*docs.columns, F.concat("_tokens", "_tags").alias("_keep"), masked.alias("_masked"))
 
 
 def detect(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -16,8 +28,7 @@ def detect(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text_col:
     the original's length.
     """
     kept = [c for c in docs.columns if c != out]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(*kept, text.alias("_text"), S.protected_ranges(text).alias("_keep"), S.mask_protected(text).alias("_masked"))
+    base = mask_protected(docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), "_text")
     folded = base.select(*kept, "_text", "_keep", S.fold_confusables(F.col("_masked")).alias("_folded"))
     found = folded.select(
         *kept,
@@ -27,22 +38,22 @@ def detect(docs: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS, text_col:
     )
 
     def as_spans(i: int, p: Pattern) -> Column:
-        return F.transform(
-            f"_m{i}",
-            lambda m: F.struct(
+        def span(m: Column, t: Column) -> Column:
+            return F.struct(
                 m["start"].alias("start"),
                 m["end"].alias("end"),
-                F.substring(F.col("_text"), m["start"] + 1, m["end"] - m["start"]).alias("text"),
+                t.alias("text"),
                 F.lit(p.pii_type).alias("pii_type"),
                 F.lit("regex").alias("source"),
                 F.lit(p.confidence).alias("confidence"),
                 F.lit(i).alias("priority"),
-            ),
-        )
+            )
 
-    made = [as_spans(i, p) for i, p in enumerate(patterns)]
-    free = lambda s: ~F.exists("_keep", lambda k: S.overlaps(s, k))
-    return found.select(*kept, F.filter(F.concat(*made), free).alias(out))
+        # only a match that holds a masked character can overlap a protected range
+        free = F.filter(f"_m{i}", lambda m: ~(F.contains(m["text"], F.lit("\0")) & F.exists("_keep", lambda k: S.overlaps(m, k))))
+        return F.when(F.size(f"_m{i}") > 0, S.let(free, lambda v: F.zip_with(v, S.cut(F.col("_text"), v), span))).otherwise(F.array().cast(S.SPANS))
+
+    return found.select(*kept, F.concat(*(as_spans(i, p) for i, p in enumerate(patterns))).alias(out))
 
 
 def detect_simple(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", patterns: tuple[Pattern, ...] = SIMPLE_PATTERNS) -> DataFrame:
@@ -82,7 +93,8 @@ def merge_regex_model(regex: DataFrame, model: DataFrame, id_col: str = "doc_id"
     """All pattern rows, and model rows of whose characters less than ``share`` are covered by
     patterns. Rows are (id, start, end, pii_type); the result adds source.
 
-    Covered characters are counted once: pattern ranges are first merged into islands.
+    Covered characters are counted once: pattern ranges are first merged into islands, which model
+    rows meet by stretches of text.
     """
     from pyspark.sql import Window
 
@@ -91,8 +103,8 @@ def merge_regex_model(regex: DataFrame, model: DataFrame, id_col: str = "doc_id"
     island = reach.withColumn("island", F.sum((F.col("reach").isNull() | (F.col("start") > F.col("reach"))).cast("int")).over(w))
     cover = island.groupBy(id_col, "island").agg(F.min("start").alias("cs"), F.max("end").alias("ce")).drop("island")
     m = model.select(id_col, "start", "end", "pii_type")
-    hit = m.join(cover, (m[id_col] == cover[id_col]) & (m["start"] < cover["ce"]) & (cover["cs"] < m["end"]), "left")
-    covered = hit.groupBy(m[id_col], "start", "end", "pii_type").agg(
+    hit = overlap_join(m, cover, id_col, ("start", "end"), ("cs", "ce"))
+    covered = hit.groupBy(id_col, "start", "end", "pii_type").agg(
         F.sum(F.when(F.col("ce").isNull(), 0).otherwise(F.least("end", "ce") - F.greatest("start", "cs"))).alias("n")
     )
     kept = covered.where(F.col("n") < F.lit(share) * (F.col("end") - F.col("start"))).select(id_col, "start", "end", "pii_type", F.lit("slm").alias("source"))
@@ -124,23 +136,33 @@ def aggregate_logits(tokens: DataFrame, strategy: str = "first") -> DataFrame:
 
 def trim_spans(spans: Column, text: Column, abbreviations: tuple[str, ...] = S.ABBREVIATIONS) -> Column:
     """Trim each (start, end, pii_type) element; those trimmed to nothing are dropped."""
-    cut = F.transform(spans, lambda s: F.struct(S.trim_punctuation(s["start"], s["end"], text, abbreviations).alias("x"), s["pii_type"].alias("pii_type")))
-    kept = F.filter(cut, lambda s: s["x"]["end"] > s["x"]["start"])
-    return F.transform(kept, lambda s: F.struct(s["x"]["start"].alias("start"), s["x"]["end"].alias("end"), s["pii_type"].alias("pii_type")))
+
+    def trimmed(s: Column, t: Column) -> Column:
+        lead = F.least(s["start"], F.lit(1))
+        before = F.when(lead > 0, F.substring(t, 1, 1)).otherwise(" ")
+        return F.struct(S.trim_string(s["start"], before, F.substring(t, lead + 1, F.length(t)), abbreviations).alias("x"), s["pii_type"].alias("pii_type"))
+
+    def all_of(v: Column) -> Column:
+        wide = F.transform(v, lambda s: F.struct(F.greatest(s["start"] - 1, F.lit(0)).alias("start"), s["end"].alias("end")))
+        kept = F.filter(F.zip_with(v, S.cut(text, wide), trimmed), lambda s: s["x"]["end"] > s["x"]["start"])
+        return F.transform(kept, lambda s: F.struct(s["x"]["start"].alias("start"), s["x"]["end"].alias("end"), s["pii_type"].alias("pii_type")))
+
+    return S.let(spans, all_of)
 
 
 def model_spans(spans: Column, text: Column, confidence: float = 0.85) -> Column:
     """Decoded model spans as full span elements: trimmed, text cut from the source."""
-    cut = trim_spans(spans, text, tuple(a for a in S.ABBREVIATIONS if a != "ecc.."))
-    return F.transform(
-        cut,
-        lambda s: F.struct(
+
+    def span(s: Column, t: Column) -> Column:
+        return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
-            F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"),
+            t.alias("text"),
             s["pii_type"].alias("pii_type"),
             F.lit("slm").alias("source"),
             F.lit(confidence).alias("confidence"),
             F.lit(1000).alias("priority"),
-        ),
-    )
+        )
+
+    cut = trim_spans(spans, text, tuple(a for a in S.ABBREVIATIONS if a != "ecc.."))
+    return S.let(cut, lambda v: F.zip_with(v, S.cut(text, v), span))

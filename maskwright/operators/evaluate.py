@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.ranges import overlap_join
 from maskwright.functions.ranks import join_by, value_rank
 from maskwright.functions.spans import iou
 
@@ -57,49 +59,68 @@ def _numbered(df: DataFrame, place: str) -> DataFrame:
     return df.select(*KEY).withColumn(place, F.row_number().over(w))
 
 
+def _pairs(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """Overlapping gold and predicted spans of a document: (doc_id, gi, gt, pi, pt, iou), numbered in their orders."""
+    g = _numbered(gold, "gi").withColumnsRenamed({"type": "gt", "start": "gs", "end": "ge"})
+    p = _numbered(pred, "pi").withColumnsRenamed({"type": "pt", "start": "ps", "end": "pe"})
+    met = overlap_join(g, p, "doc_id", ("gs", "ge"), ("ps", "pe")).where("pi is not null")
+    return met.select("doc_id", "gi", "gt", "pi", "pt", iou(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge")).alias("iou"))
+
+
+def _one_to_one(pairs: pa.Array) -> pa.Array:
+    """How many (pi, gi) pairs of each sorted list a greedy choice takes, each side used once."""
+    found = []
+    for row in pairs.to_pylist():
+        ps, gs = set(), set()
+        for x in row:
+            if x["pi"] not in ps and x["gi"] not in gs:
+                ps.add(x["pi"])
+                gs.add(x["gi"])
+        found.append(len(ps))
+    return pa.array(found, pa.int64())
+
+
 def match_partial(gold: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """tp, fp, fn with one-to-one matches of one type and IoU above ``threshold``, the best first
     (ties: prediction, then gold order).
 
-    Pairs come from an equi-join on document and type; the greedy choice folds a document's
+    Pairs come from a join by stretches of text; the greedy choice goes once through a document's
     pairs, which overlap by more than half and so are few.
     """
-    p, g = _numbered(pred, "pi"), _numbered(gold, "gi")
-    score = iou(F.col("p.start"), F.col("p.end"), F.col("g.start"), F.col("g.end"))
-    pairs = p.alias("p").join(g.alias("g"), (F.col("p.doc_id") == F.col("g.doc_id")) & (F.col("p.type") == F.col("g.type")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end")))
-    pairs = pairs.select(F.col("p.doc_id").alias("doc_id"), "pi", "gi", score.alias("iou")).where(F.col("iou") > threshold)
+    pairs = _pairs(gold, pred).where((F.col("pt") == F.col("gt")) & (F.col("iou") > threshold))
     per_doc = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("k"), "pi", "gi"))).alias("c"))
-    empty = F.array().cast("array<int>")
-    start = F.struct(empty.alias("p"), empty.alias("g"))
-
-    def step(a: Column, x: Column) -> Column:
-        free = ~F.array_contains(a["p"], x["pi"]) & ~F.array_contains(a["g"], x["gi"])
-        return F.when(free, F.struct(F.concat(a["p"], F.array(x["pi"])).alias("p"), F.concat(a["g"], F.array(x["gi"])).alias("g"))).otherwise(a)
-
-    matched = per_doc.select(F.size(F.aggregate("c", start, step, lambda a: a["p"])).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tp"))
+    matched = per_doc.select(F.arrow_udf(_one_to_one, "long")("c").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tp"))
     counts = pred.select(F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(gold.select(F.lit(0).alias("p"), F.lit(1).alias("g"))).agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_p"), F.coalesce(F.sum("g"), F.lit(0)).alias("n_g"))
     return matched.join(counts, how="cross").select("tp", (F.col("n_p") - F.col("tp")).alias("fp"), (F.col("n_g") - F.col("tp")).alias("fn"))  # one row each
 
 
+_MATCH = "array<struct<gi:int,pi:int,pt:string>>"
+
+
+def _best_unused(golds: pa.Array) -> pa.Array:
+    """(gi, pi, pt) of the gold spans of each list, in order, that find a prediction nobody has taken."""
+    found = []
+    for row in golds.to_pylist():
+        used, out = set(), []
+        for x in row:
+            best = next((c for c in x["c"] if c["pi"] not in used), None)
+            if best is not None:
+                used.add(best["pi"])
+                out.append({"gi": x["gi"], "pi": best["pi"], "pt": best["pt"]})
+        found.append(out)
+    kind = pa.list_(pa.struct([("gi", pa.int32()), ("pi", pa.int32()), ("pt", pa.string())]))
+    return pa.array(found, kind)
+
+
 def confusion_matrix(gold: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(gold_type, pred_type, n): gold spans in order take the best unused prediction of any type with
     IoU of ``threshold`` or more, else MISS; predictions left over are SPURIOUS."""
     p, g = _numbered(pred, "pi"), _numbered(gold, "gi")
-    score = iou(F.col("p.start"), F.col("p.end"), F.col("g.start"), F.col("g.end"))
-    near = g.alias("g").join(p.alias("p"), (F.col("p.doc_id") == F.col("g.doc_id")) & (F.col("p.start") < F.col("g.end")) & (F.col("g.start") < F.col("p.end")))
-    near = near.select(F.col("g.doc_id").alias("doc_id"), "gi", F.struct((-score).alias("k"), "pi", F.col("p.type").alias("pt")).alias("c"), F.col("g.type").alias("gt")).where(F.col("c.k") <= -threshold)
+    near = _pairs(gold, pred).where(F.col("iou") >= threshold).select("doc_id", "gi", "gt", F.struct((-F.col("iou")).alias("k"), "pi", "pt").alias("c"))
     lists = near.groupBy("doc_id", "gi", "gt").agg(F.array_sort(F.collect_list("c")).alias("c")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("gi", "gt", "c"))).alias("golds"))
-    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<gi:int,gt:string,pt:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        best = F.get(F.filter(x["c"], lambda c: ~F.array_contains(a["used"], c["pi"])), F.lit(0))
-        return F.when(best.isNull(), a).otherwise(
-            F.struct(F.concat(a["used"], F.array(best["pi"])).alias("used"), F.concat(a["out"], F.array(F.struct(x["gi"].alias("gi"), x["gt"].alias("gt"), best["pt"].alias("pt")))).alias("out"))
-        )
-
-    folded = lists.select("doc_id", F.aggregate("golds", start, step).alias("m"))
-    hits = folded.select("doc_id", F.explode_outer("m.out").alias("x")).where("x is not null").select("doc_id", "x.gi", "x.pt")
-    used = folded.select("doc_id", F.explode_outer("m.used").alias("pi")).where("pi is not null")
+    folded = lists.select("doc_id", F.arrow_udf(_best_unused, _MATCH)("golds").alias("m"))
+    hits = folded.select("doc_id", F.explode_outer("m").alias("x")).where("x is not null").select("doc_id", "x.gi", "x.pt")
+    used = folded.select("doc_id", F.explode_outer("m.pi").alias("pi")).where("pi is not null")
     rows = g.join(hits, ["doc_id", "gi"], "left").select(F.col("type").alias("gold_type"), F.coalesce("pt", F.lit("MISS")).alias("pred_type"))
     spare = p.join(used, ["doc_id", "pi"], "left_anti").select(F.lit("SPURIOUS").alias("gold_type"), F.col("type").alias("pred_type"))
     return rows.unionByName(spare).groupBy("gold_type", "pred_type").agg(F.count(F.lit(1)).alias("n"))

@@ -50,6 +50,39 @@ def split_name_consolidate(t: Tables):
     return R.language_mix(d, "fr", "en", 0.3, "doc_id", ["split"]).select("doc_id", "lang", "split")
 
 
+_GROUP = "case when doc_id % 5 = 0 then null else source end"
+
+
+@query(
+    f"""with d as (select doc_id, lang, {_GROUP} as source from documents), e as (select *, row_number() over (partition by source order by {_H}, doc_id) as r from d where lang = 'en'),
+n as (select source, floor(count(*) * 0.4) as n from d where lang = 'fr' group by source)
+select doc_id, lang, source from d where lang = 'fr' union all select doc_id, lang, e.source from e join n on e.source is not distinct from n.source where r <= n"""
+)
+def language_mix_by_source(t: Tables):
+    """By source; a fifth of the rows has none."""
+    d = t.documents.selectExpr("doc_id", "lang", f"{_GROUP} as source")
+    return R.language_mix(d, "fr", "en", 0.4, "doc_id", ["source"]).select("doc_id", "lang", "source")
+
+
+_RAW_SPLIT = "concat(case doc_id % 4 when 0 then 'train' when 1 then 'validation' when 2 then 'test' else 'Train' end, case doc_id % 7 when 0 then '' else '_' || lang end)"
+
+
+@query(
+    f"""with d as (select doc_id, case split_part(lower(s), '_', 1) when 'validation' then 'val' else split_part(lower(s), '_', 1) end as split, split_part(s, '_', 2) as mark from (select doc_id, {_RAW_SPLIT} as s from documents)),
+e as (select *, row_number() over (partition by split order by {_H}, doc_id) as r, count(*) over (partition by split) as n from d where mark = 'en')
+select doc_id, split from d where mark = 'fr' union all select doc_id, split from e where r <= floor(n * 0.3)"""
+)
+def split_names_by_language(t: Tables):
+    d = t.documents.selectExpr("doc_id", f"{_RAW_SPLIT} as raw")
+    return R.consolidate_splits(d, "raw", "fr", "en", 0.3, "doc_id").select("doc_id", "split")
+
+
+@query(f"select doc_id, {_RAW_SPLIT} as split from documents")
+def split_names_without_a_match(t: Tables):
+    d = t.documents.selectExpr("doc_id", f"{_RAW_SPLIT} as raw")
+    return R.consolidate_splits(d, "raw", "xx", "yy", 0.3, "doc_id").select("doc_id", "split")
+
+
 # ---- tagged tokens
 
 _TOK = "tok as (select doc_id, i, token, (doc_id * 7 + i * i) % 11 as tag from (select doc_id, unnest(w) as token, generate_subscripts(w, 1) as i from (select doc_id, string_split(text, ' ') as w from documents)))"
@@ -404,6 +437,18 @@ def collapse_rare_strata(t: Tables):
     return C.collapse_rare(strata(t)).select("doc_id", "stratum")
 
 
+_STRATA_NULL = _STRATA.replace("end as stratum", "end as s0").replace("st as (select", "st as (select doc_id, types, case when doc_id % 6 = 2 then null else s0 end as stratum from (select") + ")"
+
+
+@query(f"with {_STRATA_NULL}, {_RARE} select doc_id, stratum from c")
+def collapse_rare_null_strata(t: Tables):
+    return C.collapse_rare(_strata_null(t)).select("doc_id", "stratum")
+
+
+def _strata_null(t: Tables):
+    return strata(t).withColumn("stratum", F.when(F.col("doc_id") % 6 != 2, F.col("stratum")))
+
+
 _SPLITS = f"""sp as (select doc_id, types, case when r <= floor(n * 0.8 + 1e-9) then 'train' when r <= floor(n * 0.8 + 1e-9) + floor(n * 0.1 + 1e-9) then 'val' else 'test' end as split
   from (select *, row_number() over (partition by stratum order by {_H}, doc_id) as r, count(*) over (partition by stratum) as n from c))"""
 
@@ -413,6 +458,12 @@ def stratified_split(t: Tables):
     return C.stratified_split(C.collapse_rare(strata(t)), "doc_id").select("doc_id", "split")
 
 
+@query(f"with {_STRATA_NULL}, {_RARE}, {_SPLITS} select doc_id, split from sp")
+def stratified_split_null_strata(t: Tables):
+    """A sixth of the rows has no stratum: they are one."""
+    return C.stratified_split(C.collapse_rare(_strata_null(t)), "doc_id").select("doc_id", "split")
+
+
 @query(
     f"""with {_STRATA}, {_RARE}, {_SPLITS}, l as (select split, unnest(case when len(types) = 0 then ['EMPTY'] else types end) as type from sp)
 select type, count(*) filter (split = 'train') as train, count(*) filter (split = 'val') as val, count(*) filter (split = 'test') as test from l group by type"""

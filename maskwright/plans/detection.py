@@ -111,7 +111,8 @@ select doc_id, replace(concat('x ', repeat(chr(1), 14), ' ', substr(text, 18, n)
 )
 def mask_protected(t: Tables):
     whole = F.concat(F.lit("x [#em:1234abcd] "), "text", F.lit(" <user_context a>"), "text", F.lit("</user_context>"))
-    return lines(t).select("doc_id", F.replace(S.mask_protected(whole), F.lit("\0"), F.lit("#")).alias("masked"))
+    masked = D.mask_protected(lines(t).select("doc_id", whole.alias("text")))
+    return masked.select("doc_id", F.replace("_masked", F.lit("\0"), F.lit("#")).alias("masked"))
 
 
 _SIMPLE_SQL = (("cf", r"\b([A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])\b"), ("ib", r"\b(IT\d{2}[A-Z]\d{22})\b"), ("em", P.SIMPLE_PATTERNS[2].regex[4:]), ("pec", P.SIMPLE_PATTERNS[5].regex[4:]), ("tel", r"(?:\+39\s?)?(?:0\d{1,4}[\s\-]?\d{4,8}|3\d{2}[\s\-]?\d{6,7})\b"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from maskwright.functions.ranks import hash_rank
+from maskwright.functions.frames import bounded_broadcast
+from maskwright.functions.ranks import hash_rank, join_by
 
 ENTITY = "struct<text:string,type:string,start:int,end:int,t:string,y:string,s:int,e:int>"
 EXAMPLE = f"text string, entities array<{ENTITY}>"
@@ -51,16 +52,32 @@ def language_filter(df: DataFrame, languages: list[str]) -> DataFrame:
 
 def language_mix(df: DataFrame, target: str, other: str, ratio: float, id_col: str, by: list[str] | None = None, seed: int = 42) -> DataFrame:
     """All rows of ``target`` and int(ratio * their number) rows of ``other``, chosen by hash; with ``by``
-    the numbers hold in each group."""
+    the numbers hold in each group, rows without a group being one."""
     name, by = language_column(df), by or []
     goal = df.where(F.col(name) == target)
     tmp = [*by, "_all"]
     pool = hash_rank(df.where(F.col(name) == other).withColumn("_all", F.lit(1)), tmp, id_col, seed, "_rank")
     want = goal.withColumn("_all", F.lit(1)).groupBy(*tmp).agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("_want"))
-    taken = pool.join(want, tmp).where(F.col("_rank") <= F.col("_want"))
+    taken = join_by(pool, bounded_broadcast(want), tmp).where(F.col("_rank") <= F.col("_want"))
     return goal.unionByName(taken.select(*df.columns))
 
 
+def consolidate_splits(df: DataFrame, raw: str, target: str, other: str, ratio: float, id_col: str, out: str = "split", seed: int = 42) -> DataFrame:
+    """The canonical splits of a corpus that names its splits by language (``train_it``): those of ``target``
+    whole, and int(ratio * rows) rows of each split of ``other``, chosen by hash. Splits of other languages
+    or of none go; where nothing is left, all rows come back under their own names."""
+    marked = df.withColumn("_mark", F.lower(F.regexp_extract(F.col(raw), r"_([A-Za-z]+)$", 1)))
+    matched = marked.where((F.col("_mark") == target) | ((F.col("_mark") == other) & F.lit(ratio > 0)))
+    if matched.isEmpty():
+        return df.withColumn(out, F.col(raw))
+    named = matched.withColumn(out, canonical_split(F.col(raw)))
+    pool = hash_rank(named.where(F.col("_mark") == other), [out], id_col, seed, "_rank")
+    want = named.where(F.col("_mark") == other).groupBy(out).agg(F.floor(F.count(F.lit(1)) * F.lit(ratio)).alias("_want"))
+    taken = join_by(pool, bounded_broadcast(want), [out]).where(F.col("_rank") <= F.col("_want"))
+    goal = named.where(F.col("_mark") == target)
+    return goal.unionByName(taken.select(*goal.columns)).drop("_mark")
+
+
 def canonical_split(split: Column) -> Column:
     """``train_it`` and the like to train, val or test."""
     head = F.lower(F.regexp_extract(split, r"^([A-Za-z]+)", 1))
