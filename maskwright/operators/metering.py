@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.frames import bounded_broadcast, materialise
 from maskwright.functions.ranks import join_by, quantile_cell, value_rank
 
 #: The plan catalogue (id, name, rate a minute, monthly tokens (-1: no limit), most keys, price in cents).
@@ -59,36 +60,76 @@ def client_ip(forwarded: Column, peer: Column) -> Column:
     return F.when(F.length(last) > 0, last).otherwise(peer)
 
 
-def monthly_quota(calls: DataFrame, plan: DataFrame) -> DataFrame:
-    """(event_id, org_id, month, used, admitted). A call whose tokens would exceed the month's limit is
-    refused and does not count; a later smaller one may pass. Orgs without a limit admit all.
+def running_quota(calls: DataFrame, used: DataFrame | None = None) -> DataFrame:
+    """(event_id, org_id, month, used, admitted) of calls (org_id, ts, event_id, tokens, cap): a running total for
+    each org and month, from those of ``used`` (org_id, month, used) on, that a refused call does not raise.
 
-    The limit itself serialises the calls of an org and month. They are sorted by Spark, which spills,
-    and folded with one running number, so a task holds one Arrow batch whatever the group's size.
+    Calls are sorted by Spark, which spills, and folded with one running number, so a task holds one
+    Arrow batch whatever the group's size.
     """
-    joined = calls.join(plan.select("org_id", "monthly_token_limit"), "org_id", "left")
-    cap = F.coalesce("monthly_token_limit", F.lit(PLANS[0][3]).cast("long"))
     month = F.date_format("ts", "yyyy-MM").alias("month")
-    keyed = joined.select("org_id", month, "ts", F.col("event_id").cast("long").alias("event_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), cap.alias("cap"))
+    keyed = calls.select("org_id", month, "ts", F.col("event_id").cast("long").alias("event_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.col("cap").cast("long").alias("cap"))
+    if used is not None:
+        keyed = join_by(keyed, bounded_broadcast(used.select("org_id", "month", F.col("used").alias("_from"))), ["org_id", "month"], "left")
+    else:
+        keyed = keyed.withColumn("_from", F.lit(None).cast("long"))
     ordered = keyed.repartition("org_id", "month").sortWithinPartitions("org_id", "month", "ts", "event_id").drop("ts")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, used = None, 0
+        group, total = None, 0
         for batch in batches:
-            orgs, months, _, tokens, caps = (c.to_pylist() for c in batch.columns)
-            total, ok = [], []
-            for org, at, n, limit in zip(orgs, months, tokens, caps, strict=True):
+            orgs, months, _, tokens, caps, start = (c.to_pylist() for c in batch.columns)
+            sums, ok = [], []
+            for org, at, n, limit, first in zip(orgs, months, tokens, caps, start, strict=True):
                 if (org, at) != group:
-                    group, used = (org, at), 0
-                admitted = limit < 0 or used + n <= limit
-                used += n if admitted else 0
-                total.append(used)
+                    group, total = (org, at), first or 0
+                admitted = limit < 0 or total + n <= limit
+                total += n if admitted else 0
+                sums.append(total)
                 ok.append(admitted)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), pa.array(total, pa.int64()), pa.array(ok, pa.bool_())], ["event_id", "org_id", "month", "used", "admitted"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), batch.column(1), pa.array(sums, pa.int64()), pa.array(ok, pa.bool_())], ["event_id", "org_id", "month", "used", "admitted"])
 
     return ordered.mapInArrow(fold, f"event_id long, org_id {keyed.schema['org_id'].dataType.simpleString()}, month string, used long, admitted boolean")
 
 
+def monthly_quota(calls: DataFrame, plan: DataFrame, by: str = "hour") -> DataFrame:
+    """(event_id, org_id, month, used, admitted). A call whose tokens would exceed the month's limit is
+    refused and does not count; a later smaller one may pass. Orgs without a limit admit all.
+
+    Sums by clock hour and their running sums tell the call that first crosses the limit, without a task
+    that holds an org: all calls before it pass. Behind it, a call with more tokens than were left then
+    never passes, since what is left only shrinks, and one without tokens always does. Only the others, small
+    calls behind the crossing, are folded one by one. The totals are running sums of what passed.
+    """
+    limit = F.coalesce("monthly_token_limit", F.lit(PLANS[0][3]).cast("long"))
+    plans = bounded_broadcast(plan.select("org_id", F.col("monthly_token_limit").cast("long").alias("monthly_token_limit")))
+    key = ["org_id", "month"]
+    rows = join_by(calls.select("org_id", "ts", F.col("event_id").cast("long").alias("event_id"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")), plans, ["org_id"], "left")
+    rows = materialise(rows.select("org_id", F.date_format("ts", "yyyy-MM").alias("month"), F.date_trunc(by, "ts").alias("_cell"), "ts", "event_id", "tokens", limit.alias("cap")))
+    sums = _running(rows, key, F.col("tokens"), "_upto")
+    crossing = sums.where((F.col("cap") >= 0) & (F.col("_upto") > F.col("cap"))).groupBy(*key).agg(F.min(F.struct("ts", "event_id", (F.col("_upto") - F.col("tokens")).alias("before"))).alias("x"))
+    met = join_by(rows, bounded_broadcast(crossing.select(*key, "x")), key, "left")
+    behind = F.col("x").isNotNull() & (F.struct("ts", "event_id") >= F.struct("x.ts", "x.event_id"))
+    small = F.col("tokens").between(1, F.col("cap") - F.col("x.before"))
+    marked = materialise(met.withColumn("_fold", behind & small).withColumn("admitted", ~behind | (F.col("tokens") == 0)).withColumn("before", F.col("x.before")).drop("x"))
+    rest = marked.where("_fold")
+    start = rest.groupBy(*key).agg(F.first("before").alias("used"))
+    folded = join_by(rest.drop("admitted"), running_quota(rest, start).select("event_id", *key, "admitted"), ["event_id", *key])
+    columns = [*key, "_cell", "ts", "event_id", "tokens", "admitted"]
+    every = marked.where("not _fold").select(*columns).unionByName(folded.select(*columns))
+    return _running(every, key, F.when(F.col("admitted"), F.col("tokens")).otherwise(F.lit(0)), "used").select("event_id", *key, "used", "admitted")
+
+
+def _running(rows: DataFrame, by: list[str], value: Column, out: str) -> DataFrame:
+    """Add ``out``: the running sum of ``value`` in a group by (ts, event_id), from sums by ``_cell``."""
+    valued = rows.withColumn("_v", value)
+    cells = valued.groupBy(*by, "_cell").agg(F.sum("_v").alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.select(*by, "_cell", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.sum("_v").over(Window.partitionBy(*by, "_cell").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return join_by(valued, cells, [*by, "_cell"]).withColumn(out, F.col("_before") + own).drop("_v", "_before")
+
+
 def usage_monthly(calls: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
     """(org_id, month, n_tokenize, n_rehydrate, n_detect, tokens); with ``orgs``, those without calls
     appear once with a null month and zeros."""

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import expand as X
 from maskwright.operators import tokens as T
+from maskwright.plans import detection as DT
 from maskwright.plans import usage as U
 from maskwright.plans.detection import _DEK
-from maskwright.plans.registry import ORACLES, Tables, derive, query
+from maskwright.plans.registry import ORACLES, Tables, derive, query, select
 from maskwright.streaming import jobs as J
 
 _VALUES = "vals as (select 'pe' as slot, c_custkey as v, c_name as value from customer union all select 'org', s_suppkey, s_name from supplier union all select 'ind', o_orderkey, concat('Via Roma ', cast(o_custkey as varchar)) from orders)"
@@ -119,10 +120,36 @@ ORACLE_QUOTA = ORACLES["monthly_quota"].replace(U.PLAN, f"plan as (select distin
 
 @query(ORACLE_QUOTA)
 def stream_monthly_quota(t: Tables):
-    return J.drain(J.monthly_quota(_calls(t), F.lit(_CAP)))
+    return J.monthly_quota(_calls(t), F.lit(_CAP))
 
 
 @query(ORACLES["tokenize_emails"])
 def stream_tokenize(t: Tables):
     keys = T.key_pads(t.spark.range(1).select(F.lit(_DEK).cast("binary").alias("dek"))).select("ipad", "opad")
     return J.drain(J.tokenize(J.read_stream(t.spark, t._dir, "documents").select("doc_id", "text"), keys))
+
+
+_WRITE = {"org_id": "user_id % 7", "request_id": "user_id % 10", "token_hash": "concat('h', cast(event_id % 20 as string))", "created_at": "ts"}
+_TTL, _LATE = 3600, 120
+
+
+@query(
+    f"""with v as ({select(_WRITE, 'events')}), w as (select *, lag(created_at) over k as before, lead(created_at) over k as after from v window k as (partition by org_id, request_id, token_hash order by created_at)),
+e as (select max(created_at) - interval '{_LATE}' second as mark from v)
+select org_id, request_id, token_hash, 'stored' as event, date_trunc('millisecond', created_at) as at from w where before is null or created_at >= before + interval '{_TTL}' second
+union all select org_id, request_id, token_hash, 'expired', date_trunc('millisecond', created_at) + interval '{_TTL}' second from w, e
+where after >= created_at + interval '{_TTL}' second or (after is null and created_at + interval '{_TTL}' second <= mark)"""
+)
+def stream_vault_ttl(t: Tables):
+    """Keys begin to live when written and expire an hour of event time after their last write."""
+    rows = derive(J.read_stream(t.spark, t._dir, "events"), _WRITE).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return J.drain(J.vault_ttl(rows, _TTL, f"{_LATE} seconds"))
+
+
+@query(ORACLES["tokenize_turns"])
+def stream_tokenize_turns(t: Tables):
+    """Conversations tokenised as a stream: the texts of a request share tokens, orgs without a key get none."""
+    turns = derive(J.read_stream(t.spark, t._dir, "conversations"), DT._TURN)
+    kind = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"), F.lit("org").alias("pii_type"))
+    turns = turns.withColumn("spans", F.transform(DT.S.find_all(F.coalesce("text", F.lit("")), DT._LONG_WORD), kind))
+    return J.drain(J.tokenize_requests(turns, DT.key_table(t), "spans", 4))

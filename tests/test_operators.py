@@ -232,24 +232,61 @@ def test_empty_inputs(spark):
     assert E.match_partial(none, none).first()["tp"] == 0
 
 
-def test_stream_expiry(spark, tmp_path):
-    """A key is stored when it is seen and expires when it is not written again."""
-    import time
+def test_stream_of_requests_remembers_over_triggers(spark, tmp_path):
+    """Texts of requests in three triggers, all patterns: the tokens of one batch call."""
+    from maskwright.plans.detection import key_table, lines
+    from maskwright.plans.registry import Tables
+    from maskwright.streaming import jobs as J
+    from compare import DATA
+
+    t = Tables(spark, DATA)
+    docs = lines(t).where("doc_id < 120").select("doc_id", "org_id", (F.col("doc_id") % 4).alias("request_id"), F.col("doc_id").alias("turn"), "text").checkpoint()
+    for k in range(3):
+        docs.where(F.floor(F.col("doc_id") / 40) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    keys = key_table(t).where("org_id <> 2")
+    got = sorted(map(tuple, J.drain(J.tokenize_requests(stream, keys)).collect()))
+    want = sorted(map(tuple, T.tokenize(docs, keys)[0].select("doc_id", "tokenized", "n_spans", "reject_reason").collect()))
+    assert got == want and any("[#" in (r[1] or "") for r in got) and any(r[3] == "no_key" for r in got)
 
+
+def test_stream_slots_run_out(spark, tmp_path):
+    """Eleven values of one hash: ten tokens, then a text without one comes back null."""
     from maskwright.streaming import jobs as J
 
-    spark.createDataFrame([(1, 2, "h"), (1, 2, "h"), (3, 4, "k")], "org_id long, request_id long, token_hash string").write.parquet(str(tmp_path / "rows"))
-    rows = spark.readStream.schema("org_id long, request_id long, token_hash string").parquet(str(tmp_path / "rows"))
-    run = J.vault_ttl(rows, 5).writeStream.format("memory").queryName("ttl").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
-    try:
-        for _ in range(90):
-            time.sleep(1)
-            got = {(r["org_id"], r["event"]) for r in spark.table("ttl").collect()}
-            if len(got) == 4:
-                break
-    finally:
-        run.stop()
-    assert got == {(1, "stored"), (3, "stored"), (1, "expired"), (3, "expired")}
+    keys = T.key_pads(spark.createDataFrame([(1, bytearray(b"1" * 32))], "org_id long, dek binary"))
+    span = "array<struct<start:int,end:int,text:string,pii_type:string>>"
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("org_id"), F.lit(5).cast("long").alias("request_id"), F.col("id").alias("turn"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("text"))
+    docs = docs.withColumn("spans", F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), "text", F.lit("pe").alias("pii_type"))).cast(span))
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = J.drain(J.tokenize_requests(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), keys.withColumn("ipad", F.lit(b"x")).withColumn("opad", F.lit(b"y")), "spans", 0)).collect()
+    assert all(r["tokenized"] is None and r["reject_reason"] == "no_token" for r in got)  # an empty hash is no token's
+
+
+def test_parallel_quota_equals_the_fold(spark):
+    """Limits that are crossed early, late and never, small and empty calls behind, groups without a name."""
+    from maskwright.operators import metering
+
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, 1, 2, 3, 4]), f"2024-0{rnd.randint(1, 2)}-{rnd.randint(1, 28):02d} {rnd.randint(0, 23):02d}:00:0{rnd.randint(0, 2)}", rnd.choice([None, 0, 1, 2, 5, 40, 90])) for i in range(4000)]
+    calls = spark.createDataFrame(rows, "event_id long, org_id long, ts string, tokens int").withColumn("ts", F.to_timestamp("ts"))
+    plan = spark.createDataFrame([(1, 500), (2, 13), (3, -1), (4, 10**9)], "org_id long, monthly_token_limit int")
+    got = sorted(map(str, metering.monthly_quota(calls, plan).collect()))
+    caps = {1: 500, 2: 13, 3: -1, 4: 10**9, None: metering.PLANS[0][3]}
+    folded = metering.running_quota(calls.withColumn("cap", F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in caps.items() if k for x in (k, v))), F.coalesce(F.col("org_id").cast("int"), F.lit(0))), F.lit(caps[None]))))
+    assert got == sorted(map(str, folded.select("event_id", "org_id", "month", "used", "admitted").collect()))
+
+
+def test_quota_stream_goes_on_over_triggers(spark, tmp_path):
+    from maskwright.operators import metering
+    from maskwright.streaming import jobs as J
+
+    calls = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") % 3).alias("org_id"), F.timestamp_seconds(F.col("id") * 3600).alias("ts"), (F.col("id") % 7).cast("int").alias("tokens")).checkpoint()
+    for k in range(3):
+        calls.where(F.floor(F.col("event_id") / 100) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(map(str, J.monthly_quota(stream, F.lit(100)).collect()))
+    assert got == sorted(map(str, metering.running_quota(calls.withColumn("cap", F.lit(100))).collect()))
 
 
 def test_groups_without_a_name_and_far_values(spark):
