@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -350,6 +351,35 @@ def validate_entities(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return numbered.select(id_col, "place", F.explode_outer(errors).alias("error")).where("error is not null")
 
 
+def validation_report(examples: DataFrame, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """Counts by split of examples (split, source, entities with ``type``): rows (kind, name) with a column for each
+    split and ``total``. Kinds: ``examples``; ``type``, entities of a type, and examples without any under EMPTY;
+    ``source``, examples of a source. One pass, whose partial sums hold a row for each kind and name."""
+    row = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    types = F.transform(F.when(F.size("entities") > 0, F.transform("entities", lambda x: x["type"])).otherwise(F.array(F.lit("EMPTY"))), lambda y: row("type", y))
+    marks = F.concat(F.array(row("examples", F.lit("all"))), types, F.array(row("source", F.col("source"))))
+    long = examples.select("split", F.explode_outer(marks).alias("m"))
+    sums = [F.sum((F.col("split") == s).cast("long")).alias(s) for s in splits]
+    return long.groupBy("m.kind", "m.name").agg(*(F.coalesce(c, F.lit(0)).alias(s) for c, s in zip(sums, splits, strict=True)), F.count(F.lit(1)).alias("total"))
+
+
+def first_errors(errors: DataFrame, order: list[str], most: int = 50) -> DataFrame:
+    """The first ``most`` rows of validation errors, with ``n_errors``, how many there are in all. Each task keeps
+    its own first rows, so the one that merges them holds few."""
+    n = errors.agg(F.count(F.lit(1)).alias("n_errors"))
+    return errors.orderBy(*order).limit(most).join(F.broadcast(n), how="cross")  # one row
+
+
+def mix_sources(sources: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(examples, counts): the examples (text, entities, ...) of all sources under ``_source``, without empty texts,
+    and for each source how many there are, with and without entities. A row's own ``_source`` goes before the
+    name it is given; columns that a source lacks are null."""
+    named = [(df if "_source" in df.columns else df.withColumn("_source", F.lit(None).cast("string"))).withColumn("_source", F.coalesce("_source", F.lit(name))) for name, df in sources.items()]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).where(F.trim("text") != "")
+    some = (F.coalesce(F.size("entities"), F.lit(0)) > 0).cast("long")
+    return whole, whole.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum(some).alias("n_with"), F.sum(1 - some).alias("n_without"))
+
+
 def validate_bio(rows: DataFrame, id_col: str = "doc_id", labels: str = "labels", names: tuple[str, ...] = NER_LABELS) -> DataFrame:
     """(id, bad_range, bad_bio): the first position of a label out of range, and of an I- that does not
     follow its own type (ignored labels left out); null where there is none."""

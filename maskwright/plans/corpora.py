@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.operators import corpus as C
-from maskwright.plans.registry import Tables, query
+from maskwright.plans.registry import ORACLES, QUERIES, Tables, query
 from maskwright.sources import corpora as R
 
 # ---- languages and splits
@@ -403,6 +403,42 @@ def validation_report(t: Tables):
     return entities(t).groupBy("type").pivot("source", ["src0", "src1", "src2", "src3"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+_PART = "case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'val' else 'test' end"
+
+
+@query(
+    f"""with {ENTITIES}, e as (select distinct doc_id, source, {_PART} as split from ent), m as (select split, 'examples' as kind, 'all' as name from e union all select split, 'source', source from e where doc_id % 11 <> 0
+  union all select split, 'source', null from e where doc_id % 11 = 0 union all select split, 'type', 'EMPTY' from e where doc_id % 7 = 0 union all select {_PART}, 'type', type from ent where doc_id % 7 <> 0)
+select kind, name, count(*) filter (split = 'train') as train, count(*) filter (split = 'val') as val, count(*) filter (split = 'test') as test, count(*) as total from m group by kind, name"""
+)
+def validation_report_by_split(t: Tables):
+    """Some examples have no entities, some no source."""
+    d = F.col("doc_id")
+    x = examples(t).withColumn("split", F.expr(_PART)).withColumn("source", F.when(d % 11 != 0, F.col("source")))
+    return C.validation_report(x.withColumn("entities", F.when(d % 7 != 0, F.col("entities"))))
+
+
+@query(ORACLES["validate_chat_entities"].replace("with ", "with found as (", 1).replace("with found as (", "with found as (with ", 1) + ") select *, (select count(*) from found) as n_errors from found order by doc_id, place, error limit 50")
+def validation_first_errors(t: Tables):
+    return C.first_errors(QUERIES["validate_chat_entities"](t.spark, t._dir), ["doc_id", "place", "error"])
+
+
+@query(
+    f"""with {ENTITIES}, e as (select doc_id, string_agg(text, ' ' order by i) as text, count(*) as n from ent group by doc_id),
+x as (select 'converted' as s, case when doc_id % 9 = 0 then ' ' else text end as text, n from e where doc_id % 3 = 0 union all select case when doc_id % 2 = 0 then 'own' else 'synthetic' end, text, n from e where doc_id % 3 = 1 union all select 'hard_negatives', text, 0 from e where doc_id % 3 = 2)
+select s as _source, count(*) as n, count(*) filter (n > 0) as n_with, count(*) filter (n = 0) as n_without from x where trim(text) <> '' group by s"""
+)
+def mix_three_sources(t: Tables):
+    """Converted, synthetic (half with a source of their own) and negatives; some texts are blank."""
+    x, d = examples(t).drop("source"), F.col("doc_id")
+    parts = {
+        "converted": x.where(d % 3 == 0).withColumn("text", F.when(d % 9 == 0, " ").otherwise(F.col("text"))),
+        "synthetic": x.where(d % 3 == 1).withColumn("_source", F.when(d % 2 == 0, "own")),
+        "hard_negatives": x.where(d % 3 == 2).drop("entities"),
+    }
+    return C.mix_sources(parts)[1]
+
+
 # ---- mixing and splitting
 
 

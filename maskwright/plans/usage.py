@@ -238,16 +238,48 @@ def histogram_buckets(t: Tables):
     return K.histogram_buckets(metric(t))
 
 
-@query(f"with h as ({_BUCKETS}) select 'app_' || name || '_bucket{{le=\"' || le || '\"}} ' || n as line from h union all select distinct 'app_' || name || '_count ' || count from h")
+def _lines(buckets: str, own: str) -> str:
+    """Exposition lines of buckets; ``own`` is a series' labels in the text format, or ''."""
+    return f"""with h as (select *, {own} as own from ({buckets})), o as (select *, case when own = '' then '' else '{{' || own || '}}' end as braces from h where le = '+Inf')
+select 'app_' || name || '_bucket{{' || own || case when own = '' then '' else ',' end || 'le="' || le || '"}} ' || n as line from h
+union all select 'app_' || name || '_count' || braces || ' ' || count from o union all select 'app_' || name || '_sum' || braces || ' ' || printf('%.3f', sum) from o"""
+
+
+@query(_lines(_BUCKETS, "''"))
 def exposition_lines(t: Tables):
     return K.exposition_lines(K.histogram_buckets(metric(t)))
 
 
+_LABELLED = _BUCKETS.replace("select name, count(value)", "select name, label, count(value)").replace("group by name)", "group by name, label)").replace(") select name, le,", ") select name, label, le,")
+
+
+@query(_lines(_LABELLED, "'user=\"' || split_part(label, '=', 2) || '\"'"))
+def exposition_lines_by_label(t: Tables):
+    return K.exposition_lines(K.histogram_buckets(metric(t), by=("name", "label")))
+
+
 @query(f"with {CALLS} select substr(sha256(cast(org_id as varchar)), 1, 12) as org, op as operation, count(*) as n, cast(sum(tokens) as bigint) as tokens, round(sum(duration_ms), 3) as duration_ms from calls group by 1, 2")
 def audit_rollup(t: Tables):
     return K.audit_rollup(calls(t))
 
 
+_FOUND = "case when event_id % 5 = 0 then [] when event_id % 3 = 0 then ['em', 'pe', 'em'] when event_id % 3 = 1 then ['tel'] else ['pe', 'dt'] end"
+
+
+@query(
+    f"""with {CALLS}, f as (select event_id, unnest({_FOUND}) as pii_type from events), c as (select substr(sha256(cast(org_id as varchar)), 1, 12) as org, op as operation, * from calls),
+t as (select org, operation, string_agg(pii_type || '=' || k, ',' order by pii_type) as type_counts from (select org, operation, pii_type, count(*) as k from c join f using (event_id) group by all) group by all),
+s as (select org, operation, count(*) as n, cast(sum(tokens) as bigint) as tokens, round(sum(duration_ms), 3) as duration_ms from c group by all)
+select s.*, coalesce(type_counts, '') as type_counts from s left join t using (org, operation)"""
+)
+def audit_rollup_types(t: Tables):
+    e = F.col("event_id")
+    many = F.when(e % 5 == 0, F.array().cast("array<string>")).when(e % 3 == 0, F.array(*map(F.lit, ("em", "pe", "em")))).when(e % 3 == 1, F.array(F.lit("tel"))).otherwise(F.array(F.lit("pe"), F.lit("dt")))
+    found = t.events.select("event_id", F.explode_outer(many).alias("pii_type")).where("pii_type is not null")
+    counts = F.array_join(F.transform(F.map_entries("type_counts"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    return K.audit_rollup(calls(t), found).withColumn("type_counts", counts)
+
+
 @query("select event_id, case when event_id % 4 = 0 then 'email' else '' end as extra from events")
 def allowlist_fields(t: Tables):
     fields = F.create_map(F.lit("op"), F.col("event_type"), F.when(F.col("event_id") % 4 == 0, "email").otherwise("org"), F.col("user_id").cast("string"))
