@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from maskwright.functions.ranges import overlap_join
 from maskwright.functions.ranks import join_by, value_rank
 from maskwright.functions.spans import iou
+from maskwright.operators.corpus import IGNORE, fold_labels, label_names
 
 #: Targets of a report (metric, target, is a floor).
 TARGETS = (
@@ -195,3 +196,24 @@ def sequence_accuracy(rows: DataFrame, ignore: int = -100) -> DataFrame:
     kept = F.filter(F.arrays_zip(F.col("gold").alias("g"), F.col("pred").alias("p")), lambda x: x["g"] != ignore)
     n = rows.select(F.size(kept).alias("n"), F.size(F.filter(kept, lambda x: x["g"] == x["p"])).alias("ok"))
     return n.agg(F.sum("n").alias("n"), F.sum("ok").alias("n_right"), F.round(F.sum("ok") / F.sum("n"), 6).alias("accuracy"))
+
+
+def sequence_scores(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Entity scores and token accuracy of label ids (gold, pred): one row of n, n_right, accuracy, tp, fp, fn,
+    precision, recall, f1 and support.
+
+    Positions that gold ignores are left out of both; an id out of range is O; an I- that goes on nothing opens an
+    entity. Both sides of a row are decoded in Arrow batches and compared there, so nothing is joined.
+    """
+    kept = F.filter(F.arrays_zip("gold", "pred"), lambda x: x["gold"] != IGNORE)
+    both = rows.select(kept.alias("k")).select(F.transform("k", lambda x: x["gold"]).alias("gold"), F.transform("k", lambda x: x["pred"]).alias("pred"))
+    marks = F.transform("gold", lambda _: F.lit("x"))  # offsets of one-letter tokens tell positions
+    none = F.array().cast("array<struct<type:string,start:int,end:int>>")
+    spans = lambda c: F.coalesce(fold_labels(marks, label_names(F.col(c), names), "open"), none)
+    decoded = both.select("gold", "pred", spans("gold").alias("g"), spans("pred").alias("p"))
+    right = F.size(F.filter(F.arrays_zip("gold", "pred"), lambda x: x["gold"] == x["pred"]))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    hits = F.size(F.array_intersect("g", "p"))
+    sums = decoded.agg(total(F.size("gold")).alias("n"), total(right).alias("n_right"), total(hits).alias("tp"), total(F.size("p") - hits).alias("fp"), total(F.size("g") - hits).alias("fn"))
+    accuracy = F.when(F.col("n") > 0, F.round(F.col("n_right") / F.col("n"), 6)).otherwise(F.lit(0.0))
+    return prf(sums).withColumn("accuracy", accuracy)

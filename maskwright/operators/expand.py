@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions.frames import bounded_broadcast
 from maskwright.functions.ranks import hash_rank
 
 # Templates of our own: family, parts, slots.
@@ -62,9 +63,9 @@ def expand(ids: DataFrame, rows: tuple, values: DataFrame, seed: int = 42) -> Da
     table = templates(spark, rows)
     chosen = ids.select("id", pick(F.col("id"), F.lit(f"{seed}:t"), F.lit(len(rows))).alias("t")).join(F.broadcast(table), "t")
     sizes = values.groupBy("slot").agg(F.count(F.lit(1)).alias("_k"))
-    slots = chosen.select("id", F.posexplode("slots").alias("i", "slot")).join(sizes, "slot")
+    slots = chosen.select("id", F.posexplode("slots").alias("i", "slot")).join(bounded_broadcast(sizes), "slot")
     slots = slots.withColumn("v", pick(F.col("id"), F.concat(F.lit(f"{seed}:s"), F.col("i").cast("string")), F.col("_k")))
-    filled = slots.join(values, ["slot", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "value", "slot"))).alias("s"))
+    filled = slots.join(bounded_broadcast(values), ["slot", "v"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "value", "slot"))).alias("s"))
     both = chosen.join(filled, "id")
     kind = "array<struct<text:string,type:string,start:int,end:int>>"
     start = F.struct(F.get("parts", F.lit(0)).alias("text"), F.array().cast(kind).alias("out"))
@@ -84,10 +85,10 @@ def gendered(ids: DataFrame, relations: DataFrame, names: DataFrame, seed: int =
     ``relations``: v, relation, gender; ``names``: gender, v (0, 1, ... in each gender), name.
     """
     n = relations.agg(F.count(F.lit(1)).alias("_n"))
-    first = ids.join(F.broadcast(n), how="cross").select("id", pick(F.col("id"), F.lit(f"{seed}:r"), F.col("_n")).alias("v")).join(relations, "v").drop("v")  # one row
+    first = ids.join(F.broadcast(n), how="cross").select("id", pick(F.col("id"), F.lit(f"{seed}:r"), F.col("_n")).alias("v")).join(bounded_broadcast(relations), "v").drop("v")  # one row
     sizes = names.groupBy("gender").agg(F.count(F.lit(1)).alias("_k"))
-    second = first.join(sizes, "gender").withColumn("v", pick(F.col("id"), F.lit(f"{seed}:n"), F.col("_k")))
-    return second.join(names, ["gender", "v"]).select("id", "relation", "name")
+    second = first.join(bounded_broadcast(sizes), "gender").withColumn("v", pick(F.col("id"), F.lit(f"{seed}:n"), F.col("_k")))
+    return second.join(bounded_broadcast(names), ["gender", "v"]).select("id", "relation", "name")
 
 
 def negative_expansion(negatives: DataFrame, prefixes: tuple[str, ...], suffixes: tuple[str, ...], count: int, seed: int = 42) -> DataFrame:

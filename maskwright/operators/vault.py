@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.frames import bounded_broadcast
 from maskwright.operators.tokens import decrypt
 
 KEY = ["org_id", "request_id", "token_hash"]
@@ -72,7 +73,7 @@ def rotate_keys(vault: DataFrame, old: DataFrame, new: DataFrame, now: Column) -
     failure between them loses nothing.
     """
     live = newest(vault).where(F.col("expires_at") > now)
-    both = live.join(old.select("org_id", F.col("dek").alias("_old")), "org_id").join(new.select("org_id", F.col("dek").alias("_new")), "org_id")
+    both = live.join(bounded_broadcast(old.select("org_id", F.col("dek").alias("_old"))), "org_id").join(bounded_broadcast(new.select("org_id", F.col("dek").alias("_new"))), "org_id")
     plain = both.withColumn("_plain", decrypt(F.col("encrypted"), F.col("_old"), F.col("org_id"))).where("_plain is not null")
     again = F.aes_encrypt(F.encode("_plain", "UTF-8"), "_new", F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), F.col("org_id").cast("string").cast("binary"))
     return plain.select(*KEY, again.alias("encrypted"), "created_at", "expires_at")

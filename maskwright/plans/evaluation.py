@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskwright.operators import corpus as C
 from maskwright.operators import evaluate as E
 from maskwright.plans.registry import Tables, query
 
@@ -202,3 +203,24 @@ def sequence_prf(t: Tables):
     g = F.transform("i", lambda i: F.when(k(i) % 6 == 5, -100).otherwise(k(i) % 6))
     p = F.transform("i", lambda i: (k(i) + F.when(k(i) % 9 == 0, 1).otherwise(0)) % 6)
     return E.sequence_accuracy(own.select(g.alias("gold"), p.alias("pred")))
+
+
+_NER = "[" + ", ".join(f"'{x}'" for x in C.NER_LABELS) + "]"
+
+
+@query(
+    f"""with l as (select doc_id, i, (doc_id + i) % 6 as g, (doc_id + i + case when (doc_id + i) % 9 = 0 then 1 else 0 end) % 6 as p from (select doc_id, unnest(range(0, len(string_split(text, ' ')))) as i from documents)),
+k as (select doc_id, row_number() over (partition by doc_id order by i) as j, g, p from l where g <> 5), s as (select doc_id, j, 'g' as side, ({_NER})[g + 1] as y from k union all select doc_id, j, 'p', ({_NER})[p + 1] from k),
+a as (select *, y like 'B-%' or (y like 'I-%' and coalesce(substr(lag(y) over (partition by doc_id, side order by j), 3), '') <> substr(y, 3)) as opens from s),
+b as (select *, sum(opens::int) over (partition by doc_id, side order by j) as n from a), e as (select side, doc_id, n, min(j) as s, max(j) as e, arg_min(substr(y, 3), j) as type from b where y <> 'O' group by side, doc_id, n),
+h as (select count(*) as tp from (select doc_id, s, e, type from e where side = 'g' intersect all select doc_id, s, e, type from e where side = 'p')),
+c as (select tp, (select count(*) from e where side = 'p') - tp as fp, (select count(*) from e where side = 'g') - tp as fn from h), q as (select count(*) as n, count(*) filter (g = p) as n_right from k)
+select n, n_right, round(n_right / n, 6) as accuracy, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
+  round(case when tp > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1, tp + fn as support from c, q"""
+)
+def sequence_entity_prf(t: Tables):
+    own = t.documents.select("doc_id", F.sequence(F.lit(0), F.size(F.split("text", " ")) - 1).alias("i"))
+    k = lambda i: F.col("doc_id") + i
+    g = F.transform("i", lambda i: F.when(k(i) % 6 == 5, -100).otherwise(k(i) % 6).cast("int"))
+    p = F.transform("i", lambda i: ((k(i) + F.when(k(i) % 9 == 0, 1).otherwise(0)) % 6).cast("int"))
+    return E.sequence_scores(own.select(g.alias("gold"), p.alias("pred")), C.NER_LABELS)
