@@ -116,6 +116,17 @@ def detection_profile(spans: DataFrame) -> DataFrame:
     return spans.rollup("pii_type", "source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
 
 
+def document_profile(docs: DataFrame, id_col: str = "doc_id", spans_col: str = "spans") -> DataFrame:
+    """(id, n_regex, n_model, n_spans, chars, types (pii_type, n)) of each row's spans, without a shuffle; a null
+    array counts as empty."""
+    spans = F.coalesce(F.col(spans_col), F.array().cast(S.SPANS))
+    by = lambda own: F.size(F.filter("_s", lambda s: (s["source"] == "regex") == own))
+    kinds = F.array_sort(F.array_distinct(F.transform("_s", lambda s: s["pii_type"])))  # few
+    types = F.transform(kinds, lambda k: F.struct(k.alias("pii_type"), F.size(F.filter("_s", lambda s: s["pii_type"].eqNullSafe(k))).alias("n")))
+    chars = F.aggregate("_s", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return docs.select(F.col(id_col), spans.alias("_s")).select(id_col, by(True).alias("n_regex"), by(False).alias("n_model"), F.size("_s").alias("n_spans"), chars.alias("chars"), types.alias("types"))
+
+
 def aggregate_logits(tokens: DataFrame, strategy: str = "first") -> DataFrame:
     """Word label from subword logits: rows (doc_id, idx, word_id, logits) -> (doc_id, word_id,
     label, score). Special tokens (null word_id) are left out; ties go to the lower label."""

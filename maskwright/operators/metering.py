@@ -197,6 +197,15 @@ def usage_period(daily: DataFrame, plan: DataFrame, asof: str, days: int) -> Dat
     return joined.select("org_id", *(f"n_{o}" for o in OPS), "tokens", "n_days", share.alias("month_percent"))
 
 
+def usage_percent(daily: DataFrame, plan: DataFrame, month_start: str) -> DataFrame:
+    """(org_id, month_tokens, percent): tokens from ``month_start`` on, and their whole percent of the plan's
+    limit, 100 at most; 0 without a limit."""
+    spent = daily.where(F.col("day") >= F.lit(month_start).cast("date")).groupBy("org_id").agg(F.sum("tokens").alias("month_tokens"))
+    joined = join_by(plan.select("org_id", "monthly_token_limit"), spent, ["org_id"], "left").withColumn("month_tokens", F.coalesce("month_tokens", F.lit(0)))
+    whole = F.floor(F.col("month_tokens") / F.col("monthly_token_limit") * 100 + 0.5)
+    return joined.select("org_id", "month_tokens", F.when(F.col("monthly_token_limit") > 0, F.least(F.lit(100), whole)).otherwise(0).cast("int").alias("percent"))
+
+
 def usage_cards(daily: DataFrame) -> DataFrame:
     return daily.groupBy("org_id").agg(F.sum(sum((F.col(f"n_{o}") for o in OPS), F.lit(0))).alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.avg("p95"), 2).alias("mean_p95"))
 

@@ -14,6 +14,8 @@ from maskwright.operators.detect import detect, fuse
 #: Digits of a token hash, most suffixes of one hash, limits of a request.
 HASH_DIGITS, MAX_SUFFIX = 8, 10
 MAX_TEXTS, MAX_CHARS = 100, 10_000
+#: Most carried tokens of a request, longest carried value and token.
+MAX_CARRIED, CARRIED_CHARS = 1_000, (512, 128)
 
 
 def key_pads(keys: DataFrame, key_col: str = "dek", block: int = 64) -> DataFrame:
@@ -123,16 +125,35 @@ def resolve_collisions(values: DataFrame, prior: DataFrame | None = None) -> Dat
     return done.select("request_id", "value", "base_hash", "place", "hash", F.col("hash").isNull().alias("failed"))
 
 
-def validate_requests(rows: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS) -> DataFrame:
+def is_uuid(text: Column) -> Column:
+    """Whether a string is a UUID: 32 hex digits, with hyphens, braces or a URN prefix or without."""
+    bare = F.regexp_replace(F.btrim(F.regexp_replace(text, "urn:|uuid:", ""), F.lit("{}")), "-", "")
+    return F.coalesce(bare.rlike("^[0-9a-fA-F]{32}$"), F.lit(False))
+
+
+def validate_requests(rows: DataFrame, max_texts: int = MAX_TEXTS, max_chars: int = MAX_CHARS, prior: DataFrame | None = None, max_carried: int = MAX_CARRIED, uuids: bool = False) -> DataFrame:
     """Add ``reject_reason`` to (request_id, text) rows, null where a row is admitted. Only the requests
-    with too many texts are looked up."""
+    with too many texts, or at fault in what they carry over, are looked up.
+
+    ``prior``: request_id, value, token, the tokens that requests carry over; a request with over
+    ``max_carried`` of them, or with a value or token that is too long, is refused. With ``uuids``
+    the ids must be UUIDs, those of ``org_id`` too where there is such a column.
+    """
     full = rows.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_texts)
-    reason = (
-        F.when(F.col("text").isNull(), "missing_text")
-        .when(F.length("text") > max_chars, "text_too_long")
-        .when(F.col("_n").isNotNull(), "too_many_texts")
-    )
-    return join_by(rows, bounded_broadcast(full), ["request_id"], "left").withColumn("reject_reason", reason).drop("_n")
+    rows = join_by(rows, bounded_broadcast(full), ["request_id"], "left")
+    reason = F.when(F.lit(False), "")
+    if uuids:
+        ids = [c for c in ("org_id", "request_id") if c in rows.columns]
+        for c in ids:
+            reason = reason.when(~is_uuid(F.col(c)), f"invalid_{c}")
+    reason = reason.when(F.col("text").isNull(), "missing_text").when(F.length("text") > max_chars, "text_too_long").when(F.col("_n").isNotNull(), "too_many_texts")
+    if prior is not None:
+        long = F.coalesce((F.length("value") > CARRIED_CHARS[0]) | (F.length("token") > CARRIED_CHARS[1]), F.lit(False))
+        fault = prior.groupBy("request_id").agg(F.count(F.lit(1)).alias("k"), F.max(long.cast("int")).alias("long"))
+        fault = fault.select("request_id", F.when(F.col("k") > max_carried, "too_many_carried").when(F.col("long") == 1, "carried_too_long").alias("_fault")).where("_fault is not null")
+        rows = join_by(rows, bounded_broadcast(fault), ["request_id"], "left")
+        reason = reason.when(F.col("_fault").isNotNull(), F.col("_fault"))
+    return rows.withColumn("reject_reason", reason).drop("_n", "_fault")
 
 
 _SCOPE = ["org_id", "request_id"]

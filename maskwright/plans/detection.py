@@ -369,6 +369,23 @@ def validate_request_rows(t: Tables):
     return T.validate_requests(rows_, 6).select("request_id", "turn", "reject_reason")
 
 
+_REQUEST = "case when conv_id % 5 = 0 then concat('x', conv_id) when conv_id % 3 = 0 then concat(substr(md5(concat('r', conv_id)), 1, 8), '-', substr(md5(concat('r', conv_id)), 9)) else md5(concat('r', conv_id)) end"
+_PRIOR = f"select {_REQUEST} as request_id, case when conv_id % 7 = 0 then repeat(text, 40) else text end as value, case when conv_id % 11 = 0 then repeat('[#pe:abcd]', 14) else '[#pe:abcd]' end as token from conversations where turn < 6"
+
+
+@query(
+    f"""with r as (select {_REQUEST} as request_id, turn, text from conversations), p as ({_PRIOR}), f as (select request_id, count(*) as k, max(case when length(value) > 512 or length(token) > 128 then 1 else 0 end) as long from p group by 1),
+n as (select request_id, count(*) as n from r group by 1)
+select r.request_id, turn, case when r.request_id like 'x%' then 'invalid_request_id' when text is null then 'missing_text' when length(text) > 10000 then 'text_too_long' when n > 7 then 'too_many_texts'
+  when k > 5 then 'too_many_carried' when long = 1 then 'carried_too_long' end as reject_reason from r join n using (request_id) left join f using (request_id)"""
+)
+def validate_carried_requests(t: Tables):
+    """Ids that are no UUIDs, too many texts, too many carried tokens, carried values and tokens that are too long."""
+    r = t.conversations.selectExpr(f"{_REQUEST} as request_id", "turn", "text")
+    prior = t.conversations.where("turn < 6").selectExpr(f"{_REQUEST} as request_id", "case when conv_id % 7 = 0 then repeat(text, 40) else text end as value", "case when conv_id % 11 = 0 then repeat('[#pe:abcd]', 14) else '[#pe:abcd]' end as token")
+    return T.validate_requests(r, 7, prior=prior, max_carried=5, uuids=True).select("request_id", "turn", "reject_reason")
+
+
 #: Tokenisation of lines: detect, number, rewrite. No line has overlapping or adjacent spans.
 TOKENIZED = f"""{LINES}, {KEYS}, {DETECTED}, v as (select f.*, l.org_id, l.request_id, {_HMAC.format(v='f.text', n=8)} as h from found f join lines l using (doc_id) join pads using (org_id)),
 e as (select org_id, request_id, text as value, h, min((doc_id, "start")) as place, arg_min(pii_type, (doc_id, "start")) as pii_type from v group by 1, 2, 3, 4),
@@ -425,6 +442,13 @@ def tokenize_emails(t: Tables):
     return packed.select("doc_id", F.size("r").cast("long").alias("n_spans"), S.replace_ranges(F.col("text"), F.col("r"), lambda x: x["new"]).alias("tokenized"))
 
 
+@query(f"""with {LINES}, {DETECTED}, n as (select doc_id, count(*) as n, sum("end" - "start") as chars from found group by 1), k as (select doc_id, string_agg(pii_type || '=' || k, ',' order by pii_type) as types from (select doc_id, pii_type, count(*) as k from found group by 1, 2) group by 1)
+select doc_id, cast(coalesce(n, 0) as integer) as n_regex, 0 as n_model, cast(coalesce(n, 0) as integer) as n_spans, cast(coalesce(chars, 0) as bigint) as chars, coalesce(types, '') as types from lines left join n using (doc_id) left join k using (doc_id)""")
+def detection_profile_documents(t: Tables):
+    out = D.document_profile(D.detect(lines(t)))
+    return out.withColumn("types", F.array_join(F.transform("types", lambda x: F.concat(x["pii_type"], F.lit("="), x["n"].cast("string"))), ","))
+
+
 @query(f"with {LINES} select doc_id, text from lines")
 def rehydrate(t: Tables):
     """Tokenise, encrypt, then put every value back: the lines themselves."""

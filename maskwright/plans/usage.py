@@ -142,6 +142,14 @@ def usage_cards(t: Tables):
     return M.usage_cards(M.usage_daily(calls(t)))
 
 
+@query(
+    f"""with {CALLS}, {DAILY}, {PLAN}, s as (select org_id, sum(tokens) as m from daily where day >= date '2024-01-15' group by 1)
+select org_id, cast(coalesce(m, 0) as bigint) as month_tokens, cast(case when cap > 0 then least(100, floor(coalesce(m, 0) / cap * 100 + 0.5)) else 0 end as integer) as percent from plan left join s using (org_id)"""
+)
+def usage_cards_percent(t: Tables):
+    return M.usage_percent(M.usage_daily(calls(t)), plan(t), "2024-01-15")
+
+
 @query(f"with {PLAN} select org_id, plan_id, cast(rate as integer) as rate_limit_per_minute, cast(cap as bigint) as monthly_token_limit, cast(max_keys as integer) as max_keys, cast(price as integer) as price_cents from plan")
 def plan_catalog(t: Tables):
     return plan(t).select("org_id", "plan_id", "rate_limit_per_minute", "monthly_token_limit", "max_keys", "price_cents")
