@@ -3,7 +3,7 @@ created_at, expires_at). The newest row of a key counts; every key holds its org
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions.frames import bounded_broadcast
@@ -77,3 +77,30 @@ def rotate_keys(vault: DataFrame, old: DataFrame, new: DataFrame, now: Column) -
     plain = both.withColumn("_plain", decrypt(F.col("encrypted"), F.col("_old"), F.col("org_id"))).where("_plain is not null")
     again = F.aes_encrypt(F.encode("_plain", "UTF-8"), "_new", F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), F.col("org_id").cast("string").cast("binary"))
     return plain.select(*KEY, again.alias("encrypted"), "created_at", "expires_at")
+
+
+def commit_rotation(vault: DataFrame, old: DataFrame, new: DataFrame, now: Column, folder: str, version: int) -> int:
+    """Rotate to new keys as one commit below ``folder``: first the vault under the new keys, then the key table,
+    last a manifest that names both. Returns how many rows were encrypted again.
+
+    Readers go by the newest manifest (``current_rotation``), so a job that stops before it leaves vault and keys of
+    the version before in force, and is run again with the same version. An org with live rows and no new or old
+    key is an error, before anything is written.
+    """
+    spark = vault.sparkSession
+    orgs = newest(vault).where(F.col("expires_at") > now).select("org_id").distinct()
+    for name, keys in (("old", old), ("new", new)):
+        lone = orgs.join(bounded_broadcast(keys.select("org_id")), "org_id", "left_anti").limit(5).collect()
+        if lone:
+            raise ValueError(f"orgs without a key among the {name} ones: {sorted(str(r.org_id) for r in lone)}")
+    rotate_keys(vault, old, new, now).write.mode("overwrite").parquet(f"{folder}/vault/version={version}")
+    new.select("org_id", "dek").write.mode("overwrite").parquet(f"{folder}/keys/version={version}")
+    n = spark.read.parquet(f"{folder}/vault/version={version}").count()
+    spark.range(1).select(F.lit(n).alias("n_rotated")).coalesce(1).write.mode("overwrite").json(f"{folder}/manifest/version={version}")
+    return n
+
+
+def current_rotation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(vault, keys) of the newest version whose manifest was written."""
+    version = spark.read.schema("n_rotated long, version int").json(f"{folder}/manifest").where("n_rotated is not null").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{folder}/vault/version={version}"), spark.read.parquet(f"{folder}/keys/version={version}")

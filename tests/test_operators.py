@@ -109,9 +109,9 @@ def test_tokens_of_repeated_ids_and_null_requests(spark):
     docs = spark.createDataFrame(rows, "doc_id long, org_id long, request_id string, text string")
     _, keys = setting(spark)
     out, entries = T.tokenize(docs, keys)
-    got = sorted((r["tokenized"], r["n_spans"]) for r in out.collect())
-    assert len(got) == 5 and [n for _, n in got] == [1, 1, 2, 0, 1]
-    assert [t for t, _ in got if "[#" not in t] == ["niente", "senza chiave c@x.org"]
+    got = sorted((r["tokenized"] or "", r["n_spans"], r["reject_reason"] or "") for r in out.collect())
+    assert len(got) == 5 and [n for _, n, _ in got] == [0, 1, 1, 2, 0]
+    assert [(t, why) for t, _, why in got if "[#" not in t] == [("", "no_key"), ("niente", "")]  # no key: no text
     assert {(r["request_id"], r["value"]) for r in entries.collect()} == {(None, "a@x.org"), (None, "b@x.org"), ("r", "a@x.org")}
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     vault = T.encrypt_values(entries, keys, now).checkpoint()
@@ -456,3 +456,29 @@ def test_tokenize_fails_closed(spark):
     full = spark.createDataFrame([(1, 1, f"w{i}", base if i == 1 else f"{base}_{i}") for i in range(1, 11)], "org_id long, request_id long, value string, hash string")
     out, entries = T.tokenize(docs.where("doc_id = 1"), keys, "spans", prior=full)
     assert [tuple(r) for r in out.collect()] == [(1, None, 1, "no_token")] and entries.count() == 0
+
+
+def test_rotation_is_one_commit(spark, tmp_path):
+    """A failure between vault and keys leaves the version before; a missing key is an error; the count is right."""
+    folder, now = str(tmp_path), F.lit("2024-01-01 00:00:00").cast("timestamp")
+    deks = lambda c, *orgs: spark.createDataFrame([(o, bytearray(c * 32)) for o in orgs], "org_id long, dek binary")
+    entries = spark.createDataFrame([(o, o, f"h{o}{i}", f"v{i}") for o in (1, 2) for i in range(3)], "org_id long, request_id long, hash string, value string")
+    first, second, third = deks(b"1", 1, 2), deks(b"2", 1, 2), deks(b"3", 1, 2)
+    vault = T.encrypt_values(entries, first, now).checkpoint()
+    assert V.commit_rotation(vault, first, second, now, folder, 1) == 6
+    broken = third.withColumn("dek", F.when(F.col("org_id") == 1, F.col("dek")).otherwise(F.raise_error(F.lit("stopped")).cast("binary")))
+    held = V.current_rotation(spark, folder)[0]
+
+    def plain():
+        rows, keys = V.current_rotation(spark, folder)
+        return sorted(r["v"] for r in rows.join(keys, "org_id").select(T.decrypt(F.col("encrypted"), F.col("dek"), F.col("org_id")).alias("v")).collect())
+
+    want = sorted(r["value"] for r in entries.collect())
+    assert plain() == want
+    held.write.mode("overwrite").parquet(f"{folder}/vault/version=2")  # as if only the vault had been written
+    with pytest.raises(Exception, match="stopped"):
+        V.commit_rotation(held, second, broken, now, folder, 2)
+    assert plain() == want
+    assert V.commit_rotation(held, second, third, now, folder, 2) == 6 and plain() == want
+    with pytest.raises(ValueError, match="new"):
+        V.commit_rotation(held, second, deks(b"4", 1), now, folder, 3)
