@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.functions.frames import materialise
 from maskwright.functions.ranges import overlap_join
 from maskwright.functions.ranks import join_by, value_rank
 from maskwright.functions.spans import iou
@@ -127,6 +132,153 @@ def confusion_matrix(gold: DataFrame, pred: DataFrame, threshold: float = 0.5) -
     return rows.unionByName(spare).groupBy("gold_type", "pred_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+SPANS = "array<struct<type:string,start:int,end:int>>"
+_COUNTS = "array<struct<part:string,type:string,other:string,n:bigint>>"
+TP, FP, FN, ROWS = "tp", "fp", "fn", "rows"
+
+
+def _overlaps(gold: list[tuple], pred: list[tuple]) -> list[tuple]:
+    """(iou, pi, gi) of overlapping spans (start, end, type), both lists sorted. A prediction sees only gold
+    spans that start before its end and behind the last place where all earlier ones have ended."""
+    starts, reach, found = [g[0] for g in gold], list(accumulate((g[1] for g in gold), max)), []
+    for pi, (ps, pe, _) in enumerate(pred):
+        for gi in range(bisect_right(reach, ps), bisect_left(starts, pe)):
+            gs, ge, _ = gold[gi]
+            shared = min(pe, ge) - max(ps, gs)
+            if shared > 0:
+                found.append((shared / (pe - ps + ge - gs - shared), pi, gi))
+    return found
+
+
+def _document_counts(gold: list[tuple], pred: list[tuple], threshold: float) -> Counter:
+    """Counts of one document by (part, type, other)."""
+    out = Counter({(ROWS, None, "gold"): len(gold), (ROWS, None, "pred"): len(pred)})
+    gold, pred = sorted(gold), sorted(pred)
+    g, p = set(gold), set(pred)
+    for side, spans in ((TP, g & p), (FP, p - g), (FN, g - p)):
+        out.update(("exact", kind, side) for _, _, kind in spans)
+    met = _overlaps(gold, pred)
+    used_p, used_g = set(), set()
+    for _, pi, gi in sorted((-v, pi, gi) for v, pi, gi in met if v > threshold and pred[pi][2] == gold[gi][2]):
+        if pi not in used_p and gi not in used_g:
+            used_p.add(pi)
+            used_g.add(gi)
+    out.update(("partial", pred[pi][2], TP) for pi in used_p)
+    out.update(("partial", x[2], FP) for i, x in enumerate(pred) if i not in used_p)
+    out.update(("partial", x[2], FN) for i, x in enumerate(gold) if i not in used_g)
+    taken, at = set(), 0
+    near = sorted((gi, -v, pi) for v, pi, gi in met if v >= threshold)
+    for gi, (_, _, kind) in enumerate(gold):
+        best = None
+        while at < len(near) and near[at][0] == gi:
+            if best is None and near[at][2] not in taken:
+                best = near[at][2]
+            at += 1
+        if best is not None:
+            taken.add(best)
+        out["confusion", kind, "MISS" if best is None else pred[best][2]] += 1
+    out.update(("confusion", "SPURIOUS", x[2]) for i, x in enumerate(pred) if i not in taken)
+    return out
+
+
+def report_counts(docs: DataFrame, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """Everything a report needs as sums: (by, part, type, other, n) of documents (source, gold, pred).
+
+    ``gold`` and ``pred`` are arrays of (type, start, end); a null ``pred`` is an answer that could not be read and
+    counts as no spans. Documents are read once; a task turns each into a few counts, which are summed
+    before and behind one small shuffle. No shuffle holds a span.
+    """
+
+    def count(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        out = []
+        for gs, ps in zip(gold.to_pylist(), pred.to_pylist(), strict=True):
+            sides = ([(x["start"], x["end"], x["type"]) for x in side or []] for side in (gs, ps))
+            out.append([{"part": a, "type": b, "other": c, "n": n} for (a, b, c), n in _document_counts(*sides, threshold).items() if n])
+        return pa.array(out, pa.list_(pa.struct([("part", pa.string()), ("type", pa.string()), ("other", pa.string()), ("n", pa.int64())])))
+
+    by = by or []
+    negative = F.coalesce(F.col("source") == "hard_negatives", F.coalesce(F.size("gold"), F.lit(0)) <= 0)
+    one = lambda other, c: F.when(c, F.struct(F.lit(ROWS).alias("part"), F.lit(None).cast("string").alias("type"), F.lit(other).alias("other"), F.lit(1).cast("bigint").alias("n")))
+    flags = F.array_compact(F.array(
+        one("docs", F.lit(True)), one("readable", F.col("pred").isNotNull()), one("negatives", negative), one("negatives_hit", negative & (F.coalesce(F.size("pred"), F.lit(0)) > 0)),
+    ))
+    counted = docs.select(*by, flags.alias("flags"), F.arrow_udf(count, _COUNTS)(F.col("gold").cast(SPANS), F.col("pred").cast(SPANS)).alias("counts"))
+    rows = counted.select(*by, F.explode_outer(F.concat("flags", "counts")).alias("x")).select(*by, "x.*")
+    return rows.groupBy(*by, "part", "type", "other").agg(F.sum("n").alias("n"))
+
+
+def report(docs: DataFrame, by: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+    """The whole evaluation in one frame of (by, section, type, other, n, precision, recall, f1, support, value).
+
+    Sections: ``exact`` and ``partial`` (all types: type null; n is the true positives), ``confusion`` (n gold spans of
+    ``type`` answered as ``other``), ``json_validity``, ``hard_negatives`` (value is the rate, support its rows),
+    ``predictions``, ``gold`` and ``examples`` (n). Without rows, rates are 0.
+    """
+    by = by or []
+    counts = materialise(report_counts(docs, by, threshold))  # read by each section
+    total = lambda part, other: F.coalesce(F.sum(F.when((F.col("part") == part) & (F.col("other") == other), F.col("n"))), F.lit(0))
+    sides = [total(part, side).alias(f"{part}_{side}") for part in ("exact", "partial") for side in (TP, FP, FN)]
+    sizes = [total(ROWS, name).alias(name) for name in ("docs", "readable", "negatives", "negatives_hit", "gold", "pred")]
+    empty = {"type": "string", "other": "string", "n": "bigint", "precision": "double", "recall": "double", "f1": "double", "support": "bigint", "value": "double"}
+    row = lambda section, **cols: F.struct(F.lit(section).alias("section"), *(F.coalesce(cols[c], F.lit(None)).cast(k).alias(c) if c in cols else F.lit(None).cast(k).alias(c) for c, k in empty.items()))
+
+    def scored(frame: DataFrame, part: str, kind: Column) -> DataFrame:
+        named = frame.select(*by, kind.alias("type"), *(F.col(f"{part}_{x}").alias(x) for x in (TP, FP, FN))).where((F.col(TP) + F.col(FP) + F.col(FN) > 0) | F.col("type").isNull())
+        cols = {c: F.col(c) for c in ("type", "precision", "recall", "f1", "support")}
+        return prf(named).select(*by, row(part, n=F.col(TP), **cols).alias("x"))
+
+    rate = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(F.lit(0.0))
+    whole = counts.groupBy(*by).agg(*sides, *sizes)
+    typed = counts.where("part in ('exact', 'partial')").groupBy(*by, "type").agg(*sides)
+    singles = F.array(
+        row("json_validity", value=rate("readable", "docs"), support=F.col("docs")), row("hard_negatives", value=rate("negatives_hit", "negatives"), support=F.col("negatives")),
+        row("predictions", n=F.col("pred")), row("gold", n=F.col("gold")), row("examples", n=F.col("docs")),
+    )
+    parts = [scored(whole, part, F.lit(None).cast("string")) for part in ("exact", "partial")] + [scored(typed, part, F.col("type")) for part in ("exact", "partial")]
+    parts += [counts.where("part = 'confusion'").select(*by, row("confusion", type=F.col("type"), other=F.col("other"), n=F.col("n")).alias("x")), whole.select(*by, F.explode(singles).alias("x"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*by, "x.*")
+
+
+def compare(docs: DataFrame, config: str, types: tuple[str, ...]) -> DataFrame:
+    """One row per configuration: exact precision, recall and F1, partial F1, exact F1 of ``types``, rate of hit
+    negatives, share of readable answers, and numbers of predictions, gold spans and documents."""
+    r = report(docs, [config])
+    at = lambda section, c, kind=None: F.max(F.when((F.col("section") == section) & F.col("type").eqNullSafe(F.lit(kind)), F.col(c)))
+    return r.groupBy(config).agg(
+        at("exact", "precision").alias("precision"), at("exact", "recall").alias("recall"), at("exact", "f1").alias("exact_f1"), at("partial", "f1").alias("partial_f1"),
+        *(F.coalesce(at("exact", "f1", k), F.lit(0.0)).alias(f"exact_f1_{k}") for k in types),
+        at("hard_negatives", "value").alias("fp_rate"), at("json_validity", "value").alias("json_validity"), at("predictions", "n").alias("n_pred"), at("gold", "n").alias("n_gold"), at("examples", "n").alias("n_docs"),
+    )
+
+
+def recommendations(report_rows: DataFrame, latency: DataFrame | None = None) -> DataFrame:
+    """(advice, type, value, gap) of a report: F1 under its targets, precision against recall, weak types, hit
+    negatives, unreadable answers and, with a frame of ``p99``, slow answers; ``all_met`` where there is none."""
+    goal = {name: target for name, target, _ in TARGETS}
+    none = F.lit(None).cast("double")
+    say = lambda when, advice, value, gap=none: F.when(when, F.struct(F.lit(advice).alias("advice"), F.col("type").alias("type"), value.cast("double").alias("value"), F.round(gap, 6).alias("gap")))
+    is_ = lambda section: (F.col("section") == section) & F.col("type").isNull()
+    ratio = F.when((F.col("precision") > 0) & (F.col("recall") > 0), F.col("precision") / F.col("recall"))
+    under = lambda c, name: (F.col(c) < goal[name], F.lit(goal[name]) - F.col(c))
+    (low_f1, f1_gap), (low_partial, partial_gap), (low_json, json_gap) = under("f1", "exact_f1"), under("f1", "partial_f1"), under("value", "json_validity")
+    found = F.array_compact(F.array(
+        say(is_("exact") & low_f1, "exact_f1_low", F.col("f1"), f1_gap), say(is_("partial") & low_partial, "partial_f1_low", F.col("f1"), partial_gap),
+        say(is_("exact") & (ratio > 1.3), "low_recall", F.round(ratio, 6)), say(is_("exact") & (ratio < 0.7), "low_precision", F.round(ratio, 6)),
+        say((F.col("section") == "exact") & F.col("type").isNotNull() & (F.col("f1") < 0.70) & (F.col("support") >= 5), "weak_type", F.col("f1"), F.lit(0.70) - F.col("f1")),
+        say(is_("hard_negatives") & (F.col("value") > goal["hard_negative_fp_rate"]), "negatives_hit", F.col("value"), F.col("value") - goal["hard_negative_fp_rate"]),
+        say(is_("json_validity") & low_json, "unreadable", F.col("value"), json_gap),
+    ))
+    out = report_rows.select(F.explode(found).alias("x")).select("x.*")
+    if latency is not None:
+        over = F.col("p99") - goal["latency_p99_ms"]
+        out = out.unionByName(latency.where(over > 0).select(F.lit("slow").alias("advice"), F.lit(None).cast("string").alias("type"), F.col("p99").cast("double").alias("value"), F.round(over, 6).alias("gap")))
+    fine = out.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+    return out.unionByName(fine.select(F.lit("all_met").alias("advice"), F.lit(None).cast("string").alias("type"), none.alias("value"), none.alias("gap")))
+
+
 def hard_negative_rate(docs: DataFrame) -> DataFrame:
     """Share of negatives with a prediction: docs (source, n_gold, n_pred); negative is source
     ``hard_negatives``, or no source and no gold."""

@@ -129,6 +129,79 @@ def evaluate(t: Tables):
     return exact.join(partial, how="cross").select("exact_f1", "exact_precision", "exact_recall", "partial_f1", "support")  # one row each
 
 
+# ---- the whole report, from answers as JSON text
+
+_UNREAD = "doc_id % 13 = 0"
+_REPORT_SETS = SETS.replace("pred as (", "pred_all as (", 1).replace("other as (", "other_all as (", 1) + ", pred as (select * from {p}_all where not (" + _UNREAD + "))"
+_REPORT_DOCS = f"""docs as (select c_custkey as doc_id, case c_custkey % 3 when 0 then 'hard_negatives' when 1 then 'wiki' end as source, ({_UNREAD.replace("doc_id", "c_custkey")}) as unread,
+  coalesce(g.n, 0) as n_gold, coalesce(p.n, 0) as n_pred from customer left join (select doc_id, count(*) as n from gold group by 1) g on g.doc_id = c_custkey left join (select doc_id, count(*) as n from pred group by 1) p on p.doc_id = c_custkey)"""
+_REPORT = f"""{_REPORT_DOCS}, {_EXACT},
+j as (select g.doc_id, g."start" as gs, g.type as gt, p."start" as ps, p.type as pt, {_IOU} as v from gold g join pred p on g.doc_id = p.doc_id where p."start" < g."end" and g."start" < p."end"),
+k as (select type, sum(tp) as tp, sum(np) - sum(tp) as fp, sum(ng) - sum(tp) as fn from (select pt as type, count(*) as tp, 0 as np, 0 as ng from j where pt = gt and v > 0.5 group by 1
+  union all select type, 0, count(*), 0 from pred group by 1 union all select type, 0, 0, count(*) from gold group by 1) group by 1),
+c as (select 'exact' as section, type, {_TPFN} from x group by grouping sets ((type), ()) union all select 'partial', type, sum(tp), sum(fp), sum(fn) from k group by grouping sets ((type), ())),
+m as (select gold_type, pred_type, count(*) as n from (select g.type as gold_type, coalesce(pt, 'MISS') as pred_type from gold g left join j on g.doc_id = j.doc_id and g."start" = gs and v >= 0.5
+  union all select 'SPURIOUS', p.type from pred p left join j on p.doc_id = j.doc_id and p."start" = ps and v >= 0.5 where j.doc_id is null) group by all),
+neg as (select coalesce(source = 'hard_negatives', n_gold = 0) as negative, n_pred, unread from docs),
+report as (select section, type, cast(null as varchar) as other, cast(tp as bigint) as n, precision, recall, f1, cast(support as bigint) as support, cast(null as double) as value from (select *, {_PRF} from c)
+  union all select 'confusion', gold_type, pred_type, n, null, null, null, null, null from m
+  union all select 'json_validity', null, null, null, null, null, null, count(*), round(count(*) filter (not unread) / count(*), 6) from neg
+  union all select 'hard_negatives', null, null, null, null, null, null, count(*), round(count(*) filter (n_pred > 0) / count(*), 6) from neg where negative
+  union all select 'predictions', null, null, (select count(*) from pred), null, null, null, null, null union all select 'gold', null, null, (select count(*) from gold), null, null, null, null, null
+  union all select 'examples', null, null, count(*), null, null, null, null, null from neg)"""
+
+
+def _answered(t: Tables, spans):
+    """Documents with gold spans and an answer in JSON, one of which in thirteen is cut short."""
+    lists = lambda df, name: df.groupBy("doc_id").agg(F.collect_list(F.struct("type", "start", "end")).alias(name))
+    docs = t.customer.select(F.col("c_custkey").alias("doc_id"), F.expr("case c_custkey % 3 when 0 then 'hard_negatives' when 1 then 'wiki' end").alias("source"))
+    joined = docs.join(lists(gold(t), "gold"), "doc_id", "left").join(lists(spans, "said"), "doc_id", "left")
+    said = F.transform(F.coalesce("said", F.array().cast(E.SPANS)), lambda x: F.struct(F.lit("").alias("t"), x["type"].alias("y"), x["start"].alias("s"), x["end"].alias("e")))
+    read = E.parse_predictions(F.when(F.expr(_UNREAD), F.lit('[{"t": "')).otherwise(F.to_json(said)))
+    pred_spans = F.transform(read, lambda x: F.struct(x["y"].alias("type"), x["s"].alias("start"), x["e"].alias("end")))
+    return joined.select("doc_id", "source", "gold", pred_spans.alias("pred"))
+
+
+@query(f"with {_REPORT_SETS.format(p='pred')}, {_REPORT} select * from report")
+def evaluation_report(t: Tables):
+    return E.report(_answered(t, pred(t)))
+
+
+@query(
+    f"""with {_REPORT_SETS.format(p="pred")}, {_REPORT}, r as (select *, case when precision > 0 and recall > 0 then precision / recall end as ratio from report)
+select advice, type, value, round(gap, 6) as gap from (
+  select 'exact_f1_low' as advice, type, f1 as value, 0.85 - f1 as gap from r where section = 'exact' and type is null and f1 < 0.85
+  union all select 'partial_f1_low', type, f1, 0.9 - f1 from r where section = 'partial' and type is null and f1 < 0.9
+  union all select 'low_recall', type, round(ratio, 6), null from r where section = 'exact' and type is null and ratio > 1.3
+  union all select 'low_precision', type, round(ratio, 6), null from r where section = 'exact' and type is null and ratio < 0.7
+  union all select 'weak_type', type, f1, 0.7 - f1 from r where section = 'exact' and type is not null and f1 < 0.7 and support >= 5
+  union all select 'negatives_hit', type, value, value - 0.05 from r where section = 'hard_negatives' and value > 0.05
+  union all select 'unreadable', type, value, 0.99 - value from r where section = 'json_validity' and value < 0.99
+  union all select 'slow', null, p, p - 800 from (select round(max(case when i = least(cast(floor(n * 0.99) as bigint), n - 1) + 1 then ms end), 3) as p
+    from (select value * 20 as ms, row_number() over (order by value) as i, count(*) over () as n from events where value is not null)) where p > 800)"""
+)
+def recommendations(t: Tables):
+    slow = t.events.select(F.lit("all").alias("bucket"), (F.col("value") * 20).alias("ms"), F.lit(1).alias("tokens"))
+    return E.recommendations(E.report(_answered(t, pred(t))), E.latency_stats(slow, ["bucket"]))
+
+
+def _config_sql(name: str) -> str:
+    one = lambda c, where: f"(select {c} from report where {where})"
+    cols = {
+        **{a: one(c, "section = 'exact' and type is null") for a, c in (("precision", "precision"), ("recall", "recall"), ("exact_f1", "f1"))}, "partial_f1": one("f1", "section = 'partial' and type is null"),
+        **{f"exact_f1_{k}": f"coalesce({one('f1', f'section = {chr(39)}exact{chr(39)} and type = {chr(39)}{k}{chr(39)}')}, 0)" for k in ("pe", "org", "ind")},
+        "fp_rate": one("value", "section = 'hard_negatives'"), "json_validity": one("value", "section = 'json_validity'"),
+        "n_pred": one("n", "section = 'predictions'"), "n_gold": one("n", "section = 'gold'"), "n_docs": one("n", "section = 'examples'"),
+    }
+    return f"(with {_REPORT_SETS.format(p=name)}, {_REPORT} select '{name}' as config, " + ", ".join(f"{v} as {k}" for k, v in cols.items()) + ")"
+
+
+@query(f"select * from {_config_sql('pred')} union all select * from {_config_sql('other')}")
+def compare_configs_report(t: Tables):
+    both = _answered(t, pred(t)).withColumn("config", F.lit("pred")).unionByName(_answered(t, other(t)).withColumn("config", F.lit("other")))
+    return E.compare(both, "config", ("pe", "org", "ind"))
+
+
 _HITS = 'select {a}.doc_id, count(*) as n from {a} join gold using (doc_id, type, "start", "end") group by 1'
 _SETSQL = 'select doc_id, list((type, "start", "end") order by type, "start", "end") as l from {a} group by doc_id'
 _DIFF = f"""d as (select doc_id, coalesce(a.n, 0) as hits_before, coalesce(b.n, 0) as hits_after from

@@ -170,8 +170,6 @@ def plain_fold(words, tags, stray, text):
 
 
 def test_fold_equals_one_token_after_the_other(spark):
-    import random
-
     rng = random.Random(3)
     rows = [(None, ["O"], None), ([], [], None), (["a"], None, "a"), ([None, "b"], [None, "B-pe"], None), ([None, "b"], ["B-pe", "I-pe"], "a b")]
     for _ in range(700):
@@ -482,3 +480,31 @@ def test_rotation_is_one_commit(spark, tmp_path):
     assert V.commit_rotation(held, second, third, now, folder, 2) == 6 and plain() == want
     with pytest.raises(ValueError, match="new"):
         V.commit_rotation(held, second, deks(b"4", 1), now, folder, 3)
+
+
+def test_report_equals_its_parts(spark):
+    """Overlapping, repeated and empty spans, unread answers and documents without any: each section is what its own operator says."""
+    from maskwright.operators import evaluate as E
+
+    rng = random.Random(5)
+    some = lambda: [(rng.choice(["pe", "org"]), a := rng.randrange(30), a + rng.randrange(0, 9)) for _ in range(rng.randrange(7))]
+    rows = [(i, rng.choice(["hard_negatives", "wiki", None]), some(), None if i % 7 == 0 else some()) for i in range(120)] + [(200, None, None, None)]
+    docs = spark.createDataFrame(rows, f"doc_id long, source string, gold {E.SPANS}, pred {E.SPANS}").repartition(3)
+    flat = lambda c: docs.select("doc_id", F.explode(c).alias("x")).select("doc_id", "x.*")
+    gold, pred = flat("gold"), flat("pred")
+    got = {(r["section"], r["type"], r["other"]): r for r in E.report(docs).collect()}
+    score = lambda r: (r["precision"], r["recall"], r["f1"], r["support"])
+    for section, counts in (("exact", E.match_exact(gold, pred)), ("partial", E.match_partial(gold, pred))):
+        want = E.prf(counts).first()
+        assert (got[section, None, None]["n"], *score(got[section, None, None])) == (want["tp"], *score(want))
+    assert {k[1]: score(r) for k, r in got.items() if k[0] == "exact" and k[1]} == {r["type"]: score(r) for r in E.prf(E.match_exact(gold, pred, ["type"])).collect()}
+    assert {k[1:]: r["n"] for k, r in got.items() if k[0] == "confusion"} == {(r["gold_type"], r["pred_type"]): r["n"] for r in E.confusion_matrix(gold, pred).collect()}
+    n = docs.select("source", F.coalesce(F.size("gold"), F.lit(0)).alias("n_gold"), F.coalesce(F.size("pred"), F.lit(0)).alias("n_pred"))
+    want = E.hard_negative_rate(n.withColumn("n_gold", F.greatest("n_gold", F.lit(0))).withColumn("n_pred", F.greatest("n_pred", F.lit(0)))).first()
+    assert (got["hard_negatives", None, None]["value"], got["hard_negatives", None, None]["support"]) == (want["rate"], want["n"])
+    assert got["json_validity", None, None]["value"] == round(sum(r[3] is not None for r in rows) / len(rows), 6)
+    assert [got[s, None, None]["n"] for s in ("predictions", "gold", "examples")] == [pred.count(), gold.count(), len(rows)]
+    none = E.report(docs.limit(0)).where("section in ('exact', 'json_validity')").select("f1", "value").collect()
+    assert {(r["f1"], r["value"]) for r in none} == {(0.0, None), (None, 0.0)}
+    fine = [(1, "wiki", [("pe", 0, 4)], [("pe", 0, 4)])]
+    assert [r["advice"] for r in E.recommendations(E.report(spark.createDataFrame(fine, docs.schema))).collect()] == ["all_met"]
