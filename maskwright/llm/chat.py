@@ -4,15 +4,15 @@ Results by case: a null text or role counts as empty; turns with equal numbers a
 ordered by role, then text (a null turn number comes first); repeated rows are turns
 of their own; a row with a null conversation id belongs to no other and is a conversation
 of its own, with a null id; unknown roles are formatted but make the conversation invalid; an empty table gives an
-empty result; only the named columns are read. A conversation becomes one row, so one
+empty result; only the named columns are read. The machine takes one step a turn. A conversation becomes one row, so one
 row holds all its turns.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +63,25 @@ def unescape(text: Column, t: Template = DEFAULT) -> Column:
     return F.regexp_replace(text, f"{e}({e}?)", "$1")
 
 
+def _walk(t: Template):
+    """The machine over the roles of each conversation: places whose role may not follow (the machine goes on from
+    the state of that role), and whether none is bad and the last state is final. One step a turn."""
+
+    def walk(roles: pa.Array) -> pa.Array:
+        out = []
+        for row in roles.to_pylist():
+            state, bad = "start", []
+            for place, role in enumerate(row):
+                to = t.moves.get(f"{state}|{role}")
+                if to is None:
+                    bad.append(place)
+                state = role if to is None else to
+            out.append({"bad": bad, "valid": not bad and state in t.final})
+        return pa.array(out, pa.struct([("bad", pa.list_(pa.int32())), ("valid", pa.bool_())]))
+
+    return walk
+
+
 def format_conversations(
     rows: DataFrame, template: Template = DEFAULT, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -74,17 +93,6 @@ def format_conversations(
     owned, own = F.col(conv_col).isNotNull(), F.col(conv_col).alias("conv_id")
     grouped = rows.where(owned).groupBy(own).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     grouped = grouped.unionByName(rows.where(~owned).select(own, F.array(turn).alias("turns")))  # never one group
-    moves = F.create_map(*(F.lit(x) for x in chain.from_iterable(t.moves.items())))
-
-    def step(acc: Column, turn: Column) -> Column:
-        to = F.element_at(moves, F.concat_ws("|", acc["state"], turn["role"]))
-        return F.struct(
-            F.coalesce(to, turn["role"]).alias("state"),
-            F.when(to.isNull(), F.concat(acc["bad"], F.array(acc["place"]))).otherwise(acc["bad"]).alias("bad"),
-            (acc["place"] + 1).alias("place"),
-        )
-
-    start = F.struct(F.lit("start").alias("state"), F.array().cast("array<int>").alias("bad"), F.lit(0).alias("place"))
     segment = lambda c, loss: F.struct(c.alias("text"), loss.alias("loss"))
     no = F.lit(False)
     segments = F.flatten(
@@ -97,10 +105,9 @@ def format_conversations(
             ),
         )
     )
-    checked = grouped.select("conv_id", segments.alias("segments"), F.aggregate("turns", start, step).alias("m"))
-    return checked.select(
-        "conv_id", "segments", F.col("m.bad").alias("bad_turns"), ((F.size("m.bad") == 0) & F.col("m.state").isin(*t.final)).alias("valid")
-    )
+    machine = F.arrow_udf(_walk(t), "struct<bad:array<int>,valid:boolean>")
+    checked = grouped.select("conv_id", segments.alias("segments"), machine(F.transform("turns", lambda x: x["role"])).alias("m"))
+    return checked.select("conv_id", "segments", F.col("m.bad").alias("bad_turns"), F.col("m.valid").alias("valid"))
 
 
 def read_back(formatted: DataFrame, template: Template = DEFAULT) -> DataFrame:
