@@ -10,9 +10,9 @@ that language when all are equally likely beforehand.
 
 The fit reads a bounded sample: ``PER_LANG`` rows of each language, spread by hash, of which the first
 ``MAX_TRAIN_CHARS`` characters. In a tree, contexts seen fewer than ``MIN_COUNT`` times are left out
-and ``MAX_CONTEXTS`` bounds it; with many languages rows and contexts of each are fewer, so that all
-together stay within ``MAX_ROWS`` and ``MAX_TABLE``. No language is left out: over ``MAX_LANGS``, which
-no list of languages reaches, the fit fails. Prediction reads whole texts.
+and ``MAX_CONTEXTS`` bounds it. These figures hold for every language, however many there are. No language
+is left out: over ``MAX_LANGS`` languages, or over ``MAX_TABLE_BYTES`` of tables, which every task holds, the fit
+fails and asks for smaller figures. Prediction reads whole texts.
 
 Results by case: a null text, or one without a letter, is ``und`` with score 0; if
 nothing could be learnt every row is ``und``; null ids and repeated rows are predicted
@@ -34,7 +34,7 @@ from maskwright.llm.common import bucket_sample, encode_slices, held_out, map_ro
 
 ORDER, MIN_COUNT, MAX_CONTEXTS = 4, 8, 6_000
 PER_LANG, MAX_TRAIN_CHARS = 250, 6_000
-MAX_LANGS, MAX_ROWS, MAX_TABLE = 10_000, 50_000, 200_000
+MAX_LANGS, MAX_TABLE_BYTES = 256, 1 << 30
 UND = "und"
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
 
@@ -73,7 +73,7 @@ def _tree(s: np.ndarray, width: int, max_contexts: int) -> tuple[np.ndarray, np.
         if len(node) >= max_contexts:
             break
         node[order, k] = len(node)
-    child, parent = np.zeros((len(node), width), np.int32), np.zeros(len(node), np.int64)
+    child, parent = np.zeros((len(node), width), np.int16), np.zeros(len(node), np.int64)
     for (order, k), i in node.items():
         if order:
             parent[i] = node[order - 1, k // width]
@@ -107,8 +107,11 @@ def _costs(counts: np.ndarray, parent: np.ndarray) -> np.ndarray:
     return cost.astype(np.float32)
 
 
-def fit(texts: dict[str, list[str]]) -> Trees | None:
-    """Fit the trees on texts by language."""
+def fit(texts: dict[str, list[str]], max_contexts: int | None = None) -> Trees | None:
+    """Fit the trees on texts by language, with at most ``max_contexts`` (MAX_CONTEXTS) contexts each."""
+    max_contexts = max_contexts or MAX_CONTEXTS
+    if max_contexts > np.iinfo(np.int16).max:
+        raise ValueError("contexts are numbered in 16 bits")
     langs = sorted(texts)
     raws = {g: [t.lower().encode("utf-8", "surrogatepass") for t in texts[g] if t] for g in langs}
     seen = sorted({b for group in raws.values() for raw in group for b in set(raw)})
@@ -116,25 +119,29 @@ def fit(texts: dict[str, list[str]]) -> Trees | None:
         return None
     code = np.ones(256, np.uint8)
     code[seen] = np.arange(2, len(seen) + 2)
-    share = max(1, min(MAX_CONTEXTS, MAX_TABLE // len(langs)))
     flat = (np.concatenate([_symbols(r, code) for r in raws[g]] or [np.zeros(0, np.uint8)]).astype(np.int64) for g in langs)
-    trees = [_tree(s, len(seen) + 2, share) for s in flat]
+    trees, size = [], 0
+    for s in flat:
+        trees.append(_tree(s, len(seen) + 2, max_contexts))
+        size += trees[-1][0].nbytes + trees[-1][1].nbytes
+        if size > MAX_TABLE_BYTES:
+            raise ValueError(f"the tables of {len(langs)} languages are over {MAX_TABLE_BYTES} bytes; lower max_contexts")
     return Trees(langs, code, [c for c, _ in trees], [c for _, c in trees])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_contexts: int | None = None) -> Trees | None:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc_id is not null and lang is not null and text is not null")
     rows = rows.where(~held_out(F.col("doc_id")))
     n_langs = rows.select("lang").distinct().limit(MAX_LANGS + 1).count()
     if n_langs > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages; {lang_col} holds something else")
-    chosen = bucket_sample(rows, "lang", F.xxhash64("doc_id", "text"), max(1, min(PER_LANG, MAX_ROWS // max(1, n_langs))))
+    chosen = bucket_sample(rows, "lang", F.xxhash64("doc_id", "text"), PER_LANG)
     cut = F.substring("text", 1, MAX_TRAIN_CHARS)
     sample = rows.join(F.broadcast(chosen), (rows["lang"] == chosen["label"]) & (F.xxhash64(rows["doc_id"], rows["text"]) == chosen["key"])).select("label", "key", cut.alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sample.dropDuplicates(["label", "key"]).collect():  # at most MAX_ROWS rows, repeated ones once
+    for r in sample.dropDuplicates(["label", "key"]).collect():  # at most MAX_LANGS * PER_LANG rows, repeated ones once
         texts.setdefault(r["label"], []).append(r["text"])
-    return fit({g: sorted(t) for g, t in texts.items()})
+    return fit({g: sorted(t) for g, t in texts.items()}, max_contexts)
 
 
 def code_lengths(trees: Trees, raws: list[bytes]) -> np.ndarray:
@@ -160,7 +167,7 @@ def code_lengths(trees: Trees, raws: list[bytes]) -> np.ndarray:
 
 def predict(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score, bits_per_byte (of the winner)."""
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most MAX_TABLE contexts (and one a language) of 258 entries
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # at most MAX_TABLE_BYTES
 
     def fn(batch: pa.RecordBatch):
         t = shared.value

@@ -258,7 +258,7 @@ def test_fits_gather_bounded_rows(spark, monkeypatch):
     """However many rows one labelled id has, and however often a row is repeated."""
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda *texts: seen.append(list(map(len, texts))))
-    monkeypatch.setattr(langid, "fit", lambda texts: seen.append([len(t) for t in texts.values()]))
+    monkeypatch.setattr(langid, "fit", lambda texts, _: seen.append([len(t) for t in texts.values()]))
     monkeypatch.setattr(toxicity, "PER_TOXIC", 20)
     monkeypatch.setattr(langid, "PER_LANG", 20)
     ids = [i for i in range(1, 30) if not zlib.crc32(str(i).encode()) % 5 == 0]
@@ -514,6 +514,18 @@ def test_chat_machine_and_escapes(spark):
     assert bad == {1: [], 2: [0], 3: [0, 1]} and not back[3]["valid"] and not back[None]["valid"]
 
 
+def test_chat_machine_is_linear_in_invalid_turns(spark):
+    """40,000 turns of a role that may never speak: all are bad, and the last state counts."""
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("other").alias("role"), F.lit("x").alias("text"))
+    start = time.perf_counter()
+    out = chat.format_conversations(rows).select("bad_turns", "valid").first()
+    assert out["bad_turns"] == list(range(n)) and not out["valid"] and time.perf_counter() - start < 15
+    moved = chat.Template(moves={"start|a": "one", "one|a": "two", "two|b": "end"}, final=("end",))  # states that are no roles
+    said = spark.createDataFrame([(1, i, r, "x") for i, r in enumerate("aab")] + [(2, i, r, "x") for i, r in enumerate("ab")], "conv_id long, turn long, role string, text string")
+    assert {r["conv_id"]: (r["bad_turns"], r["valid"]) for r in chat.format_conversations(said, moved).collect()} == {1: ([], True), 2: ([1], False)}
+
+
 def test_chat_with_odd_rows(spark):
     """Repeated rows, nulls everywhere, clashing columns, a long text; round trip and SQL."""
     rows = [(None if i % 4 == 0 else i % 3, None if i % 5 == 0 else i % 2, r, t) for i, (r, t) in enumerate(itertools.product([None, "user", "assistant", "other", ""], ["", None, "a\\" * 3000, "<|turn|></s>"]))] * 2
@@ -661,6 +673,18 @@ def test_rare_languages_are_learnt_and_letters_are_letters(spark):
     assert got[1] == got[2] == got[4] == "und" and got[3] != "und" and got[5] == "long"
 
 
+def test_many_languages_keep_the_figures_of_few(monkeypatch):
+    """A language's tree does not depend on how many others there are; what does not fit fails."""
+    rng = random.Random(8)
+    texts = {f"l{i:03d}": ["".join(rng.choices("abcdefgh ", k=4000))] for i in range(60)}
+    few, many = langid.fit({g: texts[g] for g in ("l000", "l001")}), langid.fit(texts)
+    assert len(few.cost[0]) == len(many.cost[0]) > 200 and np.array_equal(few.cost[0], many.cost[0])
+    assert len(langid.fit(texts, 50).cost[0]) == 50
+    monkeypatch.setattr(langid, "MAX_TABLE_BYTES", 1 << 16)
+    with pytest.raises(ValueError, match="max_contexts"):
+        langid.fit(texts)
+
+
 def test_language_held_out(spark):
     sf = DATA.replace("0.001", "0.01")
     d = read_table(spark, sf, "documents")
