@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
 A text is cut into sentences at the same marks as the known sentences: at line breaks and behind
-one of . ! ? ; : before white space. Licences are also wrapped over lines, so a text is read
+one of . ! ? ; : before white space, but a tag (``SPDX-License-Identifier:``) and its value stay one sentence. Licences are also wrapped over lines, so a text is read
 twice, by lines and with line breaks as spaces but at lines without letters or digits. Normalised sentences (lower case, runs of a-z and 0-9)
 that are known map to identifiers. A place is the number of words before a sentence, which is the
 same in both readings, so they merge into one sequence of identifiers by place.
@@ -150,16 +150,55 @@ TAGS = (
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0",
     "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 )
-SENTENCES |= {f"tag-{name}": (f"SPDX-License-Identifier: {name}", f"SPDX-License-Identifier:{name}") for name in TAGS}
+#: Choices between two licences that tag lines often carry.
+TAG_CHOICES = ("Apache-2.0 OR MIT", "MIT OR Apache-2.0", "GPL-2.0-only OR MIT", "MIT OR GPL-2.0-only", "GPL-2.0-only OR BSD-2-Clause", "GPL-2.0-only OR BSD-3-Clause", "BSD-3-Clause OR MIT", "BSD-3-Clause AND MIT", "Apache-2.0 AND MIT")
+#: Older names of tag lines.
+OLD_TAGS = {"AGPL-3.0-only": "AGPL-3.0", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-only": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0"}
+#: What notices call a licence.
+CALLED = {
+    "mit-ref": ("MIT License", "MIT license (MIT)", "MIT"), "apache-2.0-ref": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "gpl-3.0-ref": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU GPL v3", "GPLv3", "GPL-3.0 License"),
+    "gpl-2.0-ref": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU GPL v2", "GPLv2", "GPL-2.0 License"),
+    "lgpl-3.0-ref": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3", "LGPL-3.0 License"),
+    "agpl-3.0-ref": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3", "AGPL-3.0 License"),
+    "cc-by-4.0-ref": ("CC BY 4.0", "CC BY 4.0 License", "Creative Commons Attribution 4.0 International License"),
+    "cc-by-sa-4.0-ref": ("CC BY-SA 4.0", "CC BY-SA 4.0 License", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "cc-by-nc-4.0-ref": ("CC BY-NC 4.0", "CC BY-NC 4.0 License", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "cc-by-nd-4.0-ref": ("CC BY-ND 4.0", "CC BY-ND 4.0 License", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "cc-by-nc-sa-4.0-ref": ("CC BY-NC-SA 4.0", "CC BY-NC-SA 4.0 License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "cc0-1.0-ref": ("CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License"), "mpl-2.0-ref": ("Mozilla Public License 2.0", "Mozilla Public License, version 2.0", "MPL 2.0", "MPL-2.0 License"),
+    "epl-2.0-ref": ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0", "EPL 2.0", "EPL-2.0 License"), "bsl-1.0-ref": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0 License"),
+    "bsd-3-ref": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "BSD-3-Clause License"), "bsd-2-ref": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"),
+    "isc-ref": ("ISC License",), "zlib-ref": ("zlib License",), "wtfpl-ref": ("WTFPL",), "unlicense-ref": ("Unlicense",),
+}
+#: The sentences that say it; every subject, verb and name go together.
+SUBJECTS = ("", "This project is ", "This software is ", "This program is ", "This library is ", "This package is ", "This code is ", "This file is ", "This work is ", "The code is ", "The source code is ")
+SAID = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "Licensed under the terms of the {}.", "Released under the terms of the {}.", "Distributed under the terms of the {}.", "Made available under the terms of the {}.", "Available under the {}.", "Licensed under {}.", "Released under {}.")
+#: Headings of licence texts, their first line and their second.
+TITLES = {
+    "GPL-3.0-only": ("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), "GPL-2.0-only": ("GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991"),
+    "LGPL-3.0-only": ("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"), "LGPL-2.1-only": ("GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999"),
+    "AGPL-3.0-only": ("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007"), "Apache-2.0": ("Apache License", "Version 2.0, January 2004"),
+}
+for _name, _called in CALLED.items():
+    SENTENCES[_name] = tuple(dict.fromkeys((*SENTENCES.get(_name, ()), *(who + (said[:1].lower() + said[1:] if who else said).format(c) for who in SUBJECTS for said in SAID for c in _called))))
+for _line in dict.fromkeys(line for pair in TITLES.values() for line in pair):
+    SENTENCES["title-" + re.sub("[^a-z0-9]+", "-", _line.lower())] = (_line,)
+RULES += tuple((name, tuple("title-" + re.sub("[^a-z0-9]+", "-", line.lower()) for line in pair)) for name, pair in TITLES.items())
+RULES += (("Zlib", ("zlib-ref",)), ("WTFPL", ("wtfpl-ref",)))
+SENTENCES |= {f"tag-{x.replace(' ', '-')}": (f"SPDX-License-Identifier: {x}", f"SPDX-License-Identifier: ({x})") for x in TAG_CHOICES}
+RULES += tuple((x, (f"tag-{x.replace(' ', '-')}",)) for x in TAG_CHOICES)
+SENTENCES |= {f"tag-{name}": (f"SPDX-License-Identifier: {name}", *(f"SPDX-License-Identifier: {old}" for old in (OLD_TAGS.get(name),) if old)) for name in TAGS}
 RULES += tuple((name, (f"tag-{name}",)) for name in TAGS)
 
+_TAG = "spdx-license-identifier:"
 #: Every byte but a-z, 0-9 and the line break becomes a space.
 _PLAIN = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789\n" else 32 for b in range(256))
 
 
 def marked(text: str) -> bytes:
     """A text in lower case with a line break behind every sentence end, and spaces for all but a-z and 0-9."""
-    raw = text.lower().encode("utf-8", "surrogatepass")
+    raw = text.lower().encode("utf-8", "surrogatepass").replace(_TAG.encode(), _TAG[:-1].encode() + b" ")
     for space in b" \t\r\f\v":
         if space in raw:
             for end in b".!?;:":
@@ -260,7 +299,7 @@ def oracle_sql(sentences: dict[str, tuple[str, ...]] = SENTENCES, rules: tuple =
     known = ", ".join(f"({q(k)}, {q(v)})" for k, v in book.known.items())
     read = lambda c: f"""select rid, s, coalesce(sum(len(string_split(s, ' '))) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as place from
       (select rid, i, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) as s from
-        (select rid, unnest(l) as x, generate_subscripts(l, 1) as i from (select rid, string_split(regexp_replace({c}, '([.!?;:])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), chr(10)) as l from d)))
+        (select rid, unnest(l) as x, generate_subscripts(l, 1) as i from (select rid, string_split(regexp_replace(replace(lower({c}), '{_TAG}', '{_TAG[:-1]} '), '([.!?;:])[ \\t\\r\\f\\x0B]+', '\\1' || chr(10), 'g'), chr(10)) as l from d)))
       where s <> ''"""
     steps, at = [], "seq"
     wants = ["".join(f"<{name}>" for name in rule) for _, rule in book.rules]

@@ -755,9 +755,14 @@ def test_licenses(spark):
         (bsd3 + " Other parts. " + bsd2, "BSD-3-Clause,BSD-2-Clause"), (bsd2 + "\n" + say("bsd-endorse").replace(" the ", "\nthe "), "BSD-3-Clause"),
         ("Prose.\n" + say("mit-ref") + "\nMore | here\n" + say("apache-2.0-ref"), "MIT,Apache-2.0"), ("licensed under nothing", ""),
         ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0-or-later"), ("/* SPDX-License-Identifier:MIT */", "MIT"), ("MIT", ""),
+        ("SPDX-License-Identifier: Proprietary\n\nsee\n\nMIT\n", ""), ("# SPDX-License-Identifier: Foo\n# isc", ""), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"), ("Released under the terms of the MIT license.", "MIT"), ("This file is distributed\nunder the terms of the GPLv3. So.", "GPL-3.0-only"),
+        ("   GNU GENERAL PUBLIC LICENSE\n      Version 2, June 1991\n", "GPL-2.0-only"), ("It is made available under the terms of the city.", ""),
     ]
     got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["licenses"] for r in got] == [x for _, x in rows]
+    tagged = licenses.Rulebook().sequence("// SPDX-License-Identifier: BSL-1.0")
+    assert tagged == ["tag-BSL-1.0"]  # the tag alone is no sentence
 
 
 # ---- pipeline
