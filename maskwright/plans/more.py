@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
@@ -112,6 +113,28 @@ def read_jsonl_tolerant(t: Tables):
     return good.unionByName(bad.select(F.lit(None).cast("long").alias("doc_id"), F.col("line").alias("text"), F.lit(True).alias("malformed")))
 
 
+@query(
+    """with c as (select source as _source, count(*) filter (doc_id % 10 <> 0) as rows, count(*) filter (doc_id % 10 = 0) as malformed, count(*) filter (doc_id % 10 = 1) as blank, cast(sum(length(text)) filter (doc_id % 10 <> 0) as bigint) as n_chars
+  from documents group by 1)
+select c.*, sum(rows) over () = max(r) over () and sum(malformed) over () = max(m) over () and sum(blank) over () = max(b) over () as observed
+from c, (select count(*) filter (doc_id % 10 <> 0) as r, count(*) filter (doc_id % 10 = 0) as m, count(*) filter (doc_id % 10 = 1) as b from documents)"""
+)
+def import_jsonl(t: Tables):
+    """Documents as a tree of JSON lines, every tenth without its end and an empty line behind every tenth, imported
+    in one pass: lines by kind and characters of the rows, and whether the counts taken while writing are their sums."""
+    folder = shared_folder(t.spark)
+    line = F.to_json(F.struct("doc_id", "text"))
+    value = F.when(F.col("doc_id") % 10 == 0, F.expr("left(l, length(l) - 1)")).when(F.col("doc_id") % 10 == 1, F.concat("l", F.lit("\n  "))).otherwise(F.col("l"))
+    t.documents.select("source", line.alias("l"), "doc_id").select("source", value.alias("value")).write.partitionBy("source").text(folder)
+    source = F.regexp_extract(F.col("_metadata.file_path"), "/source=([^/]*)/", 1)
+    table, seen = R.import_jsonl(t.spark, [folder], shared_folder(t.spark), "doc_id long, text string", source, "*.txt")
+    sizes = table.where("_kind = 'row'").groupBy("_source").agg(F.sum(F.length("text")).alias("n_chars"))
+    counts = R.line_counts(table).join(sizes, "_source", "left")
+    whole = Window.partitionBy()  # one row a source
+    same = [F.sum(c).over(whole) == F.lit(n) for c, n in seen.items()]
+    return counts.withColumn("observed", same[0] & same[1] & same[2])
+
+
 @query("select source as _source, doc_id, lang from documents")
 def write_corpus(t: Tables):
     """Documents written as one JSON folder a source and read back."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -27,6 +27,33 @@ def read_jsonl_tree(spark: SparkSession, roots: list[str], schema: str = EXAMPLE
     return df.withColumn("_source", F.regexp_replace(F.col("_metadata.file_name"), r"\.jsonl$", ""))
 
 
+def import_jsonl(spark: SparkSession, roots: list[str], folder: str, schema: str = EXAMPLE, source: Column | None = None, glob: str = "*.jsonl") -> tuple[DataFrame, dict[str, int]]:
+    """Every line of the files under the roots as one table, and (rows, malformed, blank) counted as it is written.
+
+    Lines are read and parsed once. The table is laid out by ``_kind`` (row, malformed or blank), so readers of the
+    rows don't touch the rest; ``_source`` is the file's stem unless another column of the path is given, and
+    ``_line`` is the text of a malformed line.
+    """
+    fields = StructType.fromDDL(f"{schema}, _bad string")
+    stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "") if source is None else source
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(roots)
+    parsed = lines.select("value", stem.alias("_source"), F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    kind = F.when(~F.col("value").rlike(r"\S"), "blank").when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "malformed").otherwise("row")
+    rows = parsed.withColumn("_kind", kind)
+    seen = Observation()
+    count = lambda name: F.count(F.when(F.col("_kind") == name, 1))
+    rows = rows.observe(seen, count("row").alias("rows"), count("malformed").alias("malformed"), count("blank").alias("blank"))
+    out = rows.select(*(F.col(f"r.{f.name}").alias(f.name) for f in fields if f.name != "_bad"), "_source", F.when(F.col("_kind") == "malformed", F.col("value")).alias("_line"), "_kind")
+    out.write.partitionBy("_kind").parquet(folder)
+    return spark.read.schema(out.schema).parquet(folder), seen.get
+
+
+def line_counts(imported: DataFrame) -> DataFrame:
+    """(_source, rows, malformed, blank) of an imported table; reads two columns."""
+    count = lambda name: F.count(F.when(F.col("_kind") == name, 1))
+    return imported.groupBy("_source").agg(count("row").alias("rows"), count("malformed").alias("malformed"), count("blank").alias("blank"))
+
+
 def read_raw_parquet(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
 

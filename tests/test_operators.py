@@ -508,3 +508,22 @@ def test_report_equals_its_parts(spark):
     assert {(r["f1"], r["value"]) for r in none} == {(0.0, None), (None, 0.0)}
     fine = [(1, "wiki", [("pe", 0, 4)], [("pe", 0, 4)])]
     assert [r["advice"] for r in E.recommendations(E.report(spark.createDataFrame(fine, docs.schema))).collect()] == ["all_met"]
+
+
+def test_import_counts_each_kind_of_line(spark, tmp_path):
+    """Blank, cut, scalar and whole lines of two files in a tree; a table without rows; the same answer as the tolerant reader."""
+    from maskwright.sources import corpora as R
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.jsonl").write_text('{"n": 1}\n\n  \t\n{"n": 2}\n{"n": \n', encoding="utf-8")
+    (tmp_path / "in" / "deep" / "b.jsonl").write_text('{"n": 3, "more": 1}\nnull\nplain\n', encoding="utf-8")
+    (tmp_path / "in" / "c.txt").write_text("not read\n", encoding="utf-8")
+    table, seen = R.import_jsonl(spark, [str(tmp_path / "in")], str(tmp_path / "out"), "n long")
+    assert {r["_source"]: (r["rows"], r["malformed"], r["blank"]) for r in R.line_counts(table).collect()} == {"a": (2, 1, 2), "b": (1, 2, 0)}
+    assert seen == {"rows": 3, "malformed": 3, "blank": 2}
+    assert sorted(r["n"] for r in table.where("_kind = 'row'").collect()) == [1, 2, 3]
+    assert sorted(r["_line"] for r in table.where("_kind = 'malformed'").collect()) == ["null", "plain", '{"n": ']
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "d.jsonl").write_text("", encoding="utf-8")
+    empty, none = R.import_jsonl(spark, [str(tmp_path / "none")], str(tmp_path / "out2"), "n long")
+    assert empty.count() == 0 and none == {"rows": 0, "malformed": 0, "blank": 0}
