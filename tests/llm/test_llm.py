@@ -67,6 +67,7 @@ def applied(spark, d):
     yield secrets.redact_documents(d), True
     yield decontam.drop_contaminated(d, items), True
     yield simhash.keep_one(d), False
+    yield nearcopies.keep_one(d), False
 
 
 def test_odd_rows(spark):
@@ -788,3 +789,28 @@ def test_pipeline_equals_its_parts(spark):
         else:
             assert "[SECRET]" in decoded[r.doc_id] and not naive_base(decoded[r.doc_id])
     assert len(d) < len(pd.read_parquet(f"{DATA}/documents.parquet"))
+
+
+@pytest.mark.parametrize("size", [0, None])
+def test_pipeline_over_odd_and_empty_tables(spark, tmp_path, size):
+    """Nulls in every column, empty and long texts, repeated rows; then tables without a row."""
+    d = odd_docs(spark)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (None, 0, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (2, ""), (None, "a b")], "item_id long, text string")
+    for name, table in (("documents", d), ("labels", labels), ("benchmark", items)):
+        (table if size is None else table.limit(size)).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if size == 0:
+        assert got == []
+    else:
+        texts = d.select("doc_id", "text").collect()
+        # a null, an empty text and one of blanks have the same words; repeated rows are copies
+        assert len(got) == len({" ".join((r["text"] or "").split(" ")).strip("\n ") for r in texts}) and all(r["lossless"] for r in got)
+
+
+def test_near_copies_of_odd_rows(spark):
+    """Texts without words are one group, and so are repeated rows; a null id stays if its text is the only one."""
+    d = odd_docs(spark)
+    kept = nearcopies.keep_one(d)
+    words = lambda t: tuple((t or "").lower().split(" ")) if (t or "").strip() else ()
+    assert kept.columns == d.columns and {words(r["text"]) for r in kept.collect()} == {words(t) for t in ODD} and kept.count() == len({words(t) for t in ODD})
