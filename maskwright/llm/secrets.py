@@ -6,7 +6,7 @@ an empty result; only the id and text columns are read, so clashing extra
 columns do no harm. Very long texts are scanned whole. Equal spans of one kind
 are reported once.
 
-Percent codes, Unicode escapes, base64 (binary contents too), UTF-16 and compressed streams (all
+Percent codes, Unicode and octal escapes, base64 (binary contents too), UTF-16 and compressed streams (all
 members) are opened, one layer at a time and to the bottom, so a text holds as many layers as they
 are nested. ``max_layer_bytes`` is a safety bound on one layer, and all layers of a text together may
 have ``TEXT_LAYERS`` times that and ``TEXT_TIMES`` times the text (compression bombs); a layer beyond
@@ -38,7 +38,7 @@ _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _PERCENT = re.compile(rb"%[0-9A-Fa-f]{2}")
-_UNICODE = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+_UNICODE = re.compile(rb"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[ux]\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\[0-3][0-7]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
 _PLAIN_BASE64 = re.compile(rb"[A-Za-z0-9+/]{19,}")
 #: Base64 letters over several lines, and the breaks between them.
 _WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++")
@@ -232,6 +232,13 @@ def _utf16(raw: bytes) -> str | None:
     return "utf-16-le" if odd * 4 >= half * 3 else "utf-16-be" if even * 4 >= half * 3 else None
 
 
+def _code(escape: bytes) -> int:
+    """The code point that an escape (hex with or without braces, octal, HTML) stands for."""
+    if escape[:1] == b"&":
+        return int(escape[3:-1], 16) if escape[2:3] == b"x" else int(escape[2:-1])
+    return int(escape[1:], 8) if escape[1:].isdigit() else int(escape[2:].strip(b"{}"), 16)
+
+
 def _whole(start: int, end: int):
     return lambda s, e: (start, end)
 
@@ -245,8 +252,7 @@ def _unwrap(raw: bytes, codes: np.ndarray, room) -> Iterator[tuple[bytes | None,
     if b"\\" in raw or b"&#" in raw:
         pieces = []
         for x in _UNICODE.finditer(raw):
-            s = x[0]
-            code = int(s[2:], 16) if s[:1] == b"\\" else int(s[3:-1], 16) if s[2:3] in b"xX" else int(s[2:-1])
+            code = _code(x[0])
             if code < 0x110000:
                 pieces.append((x.start(), x.end(), chr(code).encode("utf-8", "surrogatepass")))
         if pieces:

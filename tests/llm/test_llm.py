@@ -137,6 +137,19 @@ def test_nested_layers_are_found_and_mapped():
     assert not spans("b2xkIHdvcmRzIG9ubHkgaGVyZQ== nothing here")
 
 
+def test_every_form_of_escape_is_opened():
+    """Long, braced and octal escapes, alone, mixed and inside base64; spans are those of the escaped text."""
+    plain = "token = abcdefgh12345678"
+    forms = ("\\U{:08x}", "\\u{{{:x}}}", "\\x{{{:X}}}", "\\{:03o}", "\\x{:02x}", "&#x{:x};", "&#{};")
+    for f in forms:
+        hidden = "".join(f.format(ord(c)) for c in plain)
+        assert spans(hidden) == {(hidden.encode(), "assign")}, f
+        assert spans("è " + base64.b64encode(hidden.encode()).decode() + " fine")
+    mixed = "".join(forms[i % len(forms)].format(ord(c)) for i, c in enumerate(plain))
+    assert spans(f"è {mixed} è") == {(mixed.encode(), "assign")}
+    assert not spans("C:\\101\\377 \\U00110000 \\u{110000} \\9")
+
+
 def test_joined_wrapped_and_spaced_layers_are_found():
     secret = "password: hunter2222"
     b64 = lambda raw: base64.b64encode(raw).decode()
