@@ -24,9 +24,13 @@ from maskwright.operators.tokens import HASH_DIGITS, MAX_SUFFIX, format_token, h
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table of a folder, one file or a folder of files, as a stream of files."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):  # one file; a stream's path must be a folder
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
 
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"

@@ -248,6 +248,19 @@ def test_stream_of_requests_remembers_over_triggers(spark, tmp_path):
     assert got == want and any("[#" in (r[1] or "") for r in got) and any(r[3] == "no_key" for r in got)
 
 
+@pytest.mark.parametrize("one_file", [True, False])
+def test_streams_of_a_file_and_of_a_folder(spark, tmp_path, one_file):
+    from maskwright.plans.all import QUERIES
+
+    docs = spark.createDataFrame([(i, f"a{i}@example.org") for i in range(6)], "doc_id long, text string")
+    table = tmp_path / "documents.parquet"
+    docs.repartition(1 if one_file else 3).write.parquet(str(table))
+    if one_file:
+        table = table.rename(tmp_path / "written")
+        next(table.glob("part-*")).rename(tmp_path / "documents.parquet")
+    assert sorted((r["doc_id"], r["n_spans"]) for r in QUERIES["stream_tokenize"](spark, str(tmp_path)).collect()) == [(i, 1) for i in range(6)]
+
+
 def test_stream_slots_run_out(spark, tmp_path):
     """Eleven values of one hash: ten tokens, then a text without one comes back null."""
     from maskwright.streaming import jobs as J
