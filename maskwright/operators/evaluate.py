@@ -6,7 +6,9 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from maskwright.functions.frames import materialise
 from maskwright.functions.ranges import overlap_join
 from maskwright.functions.ranks import join_by, value_rank
 from maskwright.functions.spans import iou
-from maskwright.operators.corpus import IGNORE, fold_labels, label_names
+from maskwright.operators.corpus import FOLD_ROWS, IGNORE
 
 #: Targets of a report (metric, target, is a floor).
 TARGETS = (
@@ -351,22 +353,60 @@ def sequence_accuracy(rows: DataFrame, ignore: int = -100) -> DataFrame:
     return n.agg(F.sum("n").alias("n"), F.sum("ok").alias("n_right"), F.round(F.sum("ok") / F.sum("n"), 6).alias("accuracy"))
 
 
+_SEQUENCE = "struct<n:bigint,n_right:bigint,tp:bigint,n_pred:bigint,n_gold:bigint>"
+
+
+def _entities(ids: np.ndarray, first: np.ndarray, names: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, type) of the entities of flat label ids, as places in them; ``first`` marks where a row begins.
+    An id out of range is O, an I- that goes on nothing opens an entity, as ``fold_labels`` does with ``open``."""
+    kinds = sorted({k[2:] for k in names})
+    head_of = np.array([*({"B-": 1, "I-": 2}.get(k[:2], 0) for k in names), 0], np.int8)
+    kind_of = np.array([*(kinds.index(k[2:]) for k in names), 0], np.int32)
+    ids = np.where((ids >= 0) & (ids < len(names)), ids, len(names))
+    head, kind = head_of[ids], kind_of[ids]
+    goes = head == 2
+    goes[1:] &= (head[:-1] != 0) & (kind[:-1] == kind[1:])
+    goes[first] = False
+    opens = (head > 0) & ~goes
+    return np.flatnonzero(opens), np.flatnonzero((opens | goes) & ~np.append(goes[1:], False)), kind[opens]
+
+
+def _sequence_counts(gold: pa.Array, pred: pa.Array, names: tuple[str, ...]) -> pa.Array:
+    """Counts of each row. The entities of both sides are found and compared as sorted places, in linear time."""
+    size, other = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (gold, pred))
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+    values = lambda x: (pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64), x.is_valid().to_numpy(zero_copy_only=False))
+    (g, has_g), (flat, has) = values(gold.flatten()), values(pred.flatten())
+    met = place < other[row]  # places beyond the shorter side are null there
+    p, has_p = np.full(len(row), -1, np.int64), np.zeros(len(row), bool)
+    at = ((np.cumsum(other) - other)[row] + place)[met]
+    p[met], has_p[met] = np.where(has[at], flat[at], -1), has[at]
+    kept = has_g & (g != IGNORE) & pred.is_valid().to_numpy(zero_copy_only=False)[row]
+    g, p, has_p, row = g[kept], p[kept], has_p[kept], row[kept]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.empty(0, np.int64)
+    (gs, ge, gk), (ps, pe, pk) = _entities(g, first, names), _entities(p, first, names)
+    start, i, j = np.intersect1d(gs, ps, assume_unique=True, return_indices=True)
+    hits = start[(ge[i] == pe[j]) & (gk[i] == pk[j])]
+    count = lambda rows: pa.array(np.bincount(rows, minlength=len(size)), pa.int64())
+    return pa.StructArray.from_arrays([count(row), count(row[(g == p) & has_p]), count(row[hits]), count(row[ps]), count(row[gs])], ["n", "n_right", "tp", "n_pred", "n_gold"])
+
+
 def sequence_scores(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Entity scores and token accuracy of label ids (gold, pred): one row of n, n_right, accuracy, tp, fp, fn,
     precision, recall, f1 and support.
 
     Positions that gold ignores are left out of both; an id out of range is O; an I- that goes on nothing opens an
-    entity. Both sides of a row are decoded in Arrow batches and compared there, so nothing is joined.
+    entity. Both sides of a row are decoded and compared on the flat ids of Arrow batches, so nothing is joined
+    and a row's cost is in proportion to its length.
     """
-    kept = F.filter(F.arrays_zip("gold", "pred"), lambda x: x["gold"] != IGNORE)
-    both = rows.select(kept.alias("k")).select(F.transform("k", lambda x: x["gold"]).alias("gold"), F.transform("k", lambda x: x["pred"]).alias("pred"))
-    marks = F.transform("gold", lambda _: F.lit("x"))  # offsets of one-letter tokens tell positions
-    none = F.array().cast("array<struct<type:string,start:int,end:int>>")
-    spans = lambda c: F.coalesce(fold_labels(marks, label_names(F.col(c), names), "open"), none)
-    decoded = both.select("gold", "pred", spans("gold").alias("g"), spans("pred").alias("p"))
-    right = F.size(F.filter(F.arrays_zip("gold", "pred"), lambda x: x["gold"] == x["pred"]))
+
+    def count(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        parts = [_sequence_counts(gold[i : i + FOLD_ROWS], pred[i : i + FOLD_ROWS], names) for i in range(0, len(gold), FOLD_ROWS)]
+        return pa.concat_arrays(parts) if parts else _sequence_counts(gold, pred, names)
+
+    counted = rows.select(F.arrow_udf(count, _SEQUENCE)("gold", "pred").alias("x")).select("x.*")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    hits = F.size(F.array_intersect("g", "p"))
-    sums = decoded.agg(total(F.size("gold")).alias("n"), total(right).alias("n_right"), total(hits).alias("tp"), total(F.size("p") - hits).alias("fp"), total(F.size("g") - hits).alias("fn"))
+    sums = counted.agg(total("n").alias("n"), total("n_right").alias("n_right"), total("tp").alias("tp"), total(F.col("n_pred") - F.col("tp")).alias("fp"), total(F.col("n_gold") - F.col("tp")).alias("fn"))
     accuracy = F.when(F.col("n") > 0, F.round(F.col("n_right") / F.col("n"), 6)).otherwise(F.lit(0.0))
     return prf(sums).withColumn("accuracy", accuracy)

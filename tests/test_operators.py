@@ -552,3 +552,35 @@ def test_report_documents_are_made_without_joins(spark):
     assert {r["doc_id"]: sorted(r["gold"]) for r in made.collect() if r["gold"]} == {
         r["doc_id"]: sorted(r["spans"]) for r in P.gold(t).groupBy("doc_id").agg(F.collect_list(F.struct("type", "start", "end")).alias("spans")).collect()
     }
+
+
+def test_entity_scores_of_odd_and_long_rows(spark):
+    import time
+
+    rng, names = random.Random(5), C.NER_LABELS
+    some = lambda n: [rng.choice([None, -100, -1, 99, *range(6)]) for _ in range(n)]
+    rows = [(some(rng.randrange(9)), some(rng.randrange(9))) for _ in range(700)] + [(None, [1]), ([1], None), ([], []), ([-1], [None]), ([1, 2], [1]), ([1], [1, 2])]
+
+    def entities(ids):
+        out, before = [], "O"
+        for i, n in enumerate(ids):
+            now = names[n] if n is not None and 0 <= n < len(names) else "O"
+            if now[:2] == "B-" or (now[:2] == "I-" and before[2:] != now[2:]):
+                out.append([i, i, now[2:]])
+            elif now != "O":
+                out[-1][1] = i
+            before = now
+        return {tuple(x) for x in out}
+
+    want = [0] * 5
+    for g, p in rows:
+        kept = [(a, p[i] if i < len(p) else None) for i, a in enumerate(g) if a is not None and a != -100] if g is not None and p is not None else []
+        a, b = entities([x for x, _ in kept]), entities([y for _, y in kept])
+        want = [x + y for x, y in zip(want, (len(kept), sum(x == y for x, y in kept), len(a & b), len(b - a), len(a - b)), strict=True)]
+    got = E.sequence_scores(spark.createDataFrame(rows, "gold array<int>, pred array<int>"), names).first()
+    assert [got[c] for c in ("n", "n_right", "tp", "fp", "fn")] == want
+    long = spark.range(1).select(F.sequence(F.lit(1), F.lit(40_000)).alias("i")).select(F.transform("i", lambda i: i % 3).alias("gold"), F.transform("i", lambda i: i % 2).alias("pred"))
+    E.sequence_scores(long.limit(0), names).collect()
+    start = time.time()
+    assert E.sequence_scores(long, names).first()["n"] == 40_000
+    assert time.time() - start < 8  # comparing all pairs of entities takes longer
