@@ -11,8 +11,10 @@ The first joins large families at little cost: SimHash with BK-trees (``simhash.
 the least text of each of a text's ``BOTTOM`` smallest shingles. The second finds what is left and
 loses nothing: a text's prefix is its first shingles in an order that is the same for all texts, as
 many as it may miss at the threshold, plus one, so two near copies share a shingle of their prefixes.
-Only prefix shingles that two groups of the first round share are looked at again. Shingles that a
-sample shows to be frequent come last in the order; the sample decides the cost only.
+Only prefix shingles that two groups of the first round share are looked at again. First single texts of
+the groups are compared, so that a text which the first round has left apart from a large family joins it
+by a few pairs and not by one with each member; then all pairs of groups that are still apart. Shingles
+that a sample shows to be frequent come last in the order; the sample decides the cost only.
 
 A pair is fetched for exact verification only if sizes and parities allow it. Each shingle flips one
 bit of a text's parity, so two texts differ in at most as many bits as shingles.
@@ -42,7 +44,9 @@ SAMPLE, FREQUENT, MAX_FREQUENT = 16, 2, 100_000
 MAX_BROADCAST_ROWS = 500_000
 #: Shingles (rows of 8 bytes) that may be broadcast.
 MAX_BROADCAST_SHINGLES = 2_000_000
-#: Words of 64 bits of the parity that the second round's join compares.
+#: Rounds that join groups by single texts of them before all that is left is compared.
+HEAD_ROUNDS = 2
+#: Words of 64 bits of the parity that the second round's joins compare.
 LANES = 8
 _CHUNK = 100_000
 
@@ -191,22 +195,56 @@ def family_pairs(prints: DataFrame, radius: int) -> DataFrame:
     return _ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("key").alias("x"), "y"))).checkpoint()
 
 
-def prefix_pairs(prints: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
-    """Second round: texts of different groups of ``label`` (key, g) that share a prefix shingle and whose
-    sizes and parity lanes allow the threshold."""
-    grouped = prints.join(bounded_broadcast(label, MAX_BROADCAST_ROWS), "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
+def _grouped(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows with the group of their key by ``label`` (key, g); a key without one is its own."""
+    return rows.drop("g").join(bounded_broadcast(label, MAX_BROADCAST_ROWS), "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
+
+
+def shared_shingles(prints: DataFrame, label: DataFrame) -> DataFrame:
+    """(h, key, n, g, l0, l1, ...): the prefix shingles that texts of different groups share, with sizes and parity lanes."""
+    grouped = _grouped(prints.select("key", "n", "prefix", "lanes"), label)
     shingles = lambda *more: grouped.select("key", "g", *more, F.explode("prefix").alias("h"))
     mixed = shingles().groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
     if mixed.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES:
         rows = shingles("n", "lanes").join(F.broadcast(mixed), "h")
     else:  # lanes are fetched for the rows that are left
         rows = shingles().join(mixed, "h").join(prints.select("key", "n", "lanes"), "key")
-    rows = rows.select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES)))  # both sides of the join below share its exchange
-    x, y = rows.alias("x"), rows.alias("y")
+    return rows.select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES))).checkpoint()
+
+
+def _fits(threshold: float) -> Column:
+    """Whether sizes and parity lanes of the rows ``x`` and ``y`` allow the threshold."""
     differ = sum((F.bit_count(F.col(f"x.l{i}").bitwiseXOR(F.col(f"y.l{i}"))) for i in range(1, LANES)), F.bit_count(F.col("x.l0").bitwiseXOR(F.col("y.l0"))))
-    fits = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
-    on = (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.g") != F.col("y.g")) & fits & (differ <= _apart(F.col("x.n"), F.col("y.n"), threshold))
-    return x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().checkpoint()
+    sizes = F.least("x.n", "y.n") >= F.lit(threshold) * F.greatest("x.n", "y.n") - 1e-9
+    return sizes & (differ <= _apart(F.col("x.n"), F.col("y.n"), threshold))
+
+
+def head_pairs(shared: DataFrame, seed: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a round between groups: of each shingle one text of each group, by chance, with that of the
+    shingle's largest group and that of another one. At most two pairs for each shingle and group."""
+    rest = ["key", "n", *(f"l{i}" for i in range(LANES))]
+    heads = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "h", F.lit(seed)).alias("by"), *rest)).alias("m"))
+    heads = heads.select("h", "g", "c", *(F.col(f"m.{c}") for c in rest)).checkpoint()
+    side = F.struct("g", *rest)
+    two = heads.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max_by(side, F.struct("c", "g")).alias("big"), F.min_by(side, F.struct(F.xxhash64("g", F.lit(seed)), "g")).alias("any")).where("k > 1")
+    two = two.select("h", F.explode(F.array("big", "any")).alias("y"))
+    met = heads.alias("x").join(two, F.col("x.h") == two["h"]).where((F.col("x.g") != F.col("y.g")) & _fits(threshold))
+    return _ordered(met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
+
+
+def prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
+    """All texts of different groups that share a prefix shingle and whose sizes and parity lanes allow the threshold.
+
+    Of two groups one is not the shingle's largest, so only texts of the others are compared with all: those of the
+    largest do not meet each other.
+    """
+    sizes = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"))
+    top = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "g")).alias("m")).where("k > 1").select("h", F.col("m.g").alias("top"))
+    rows = shared.join(top, "h").checkpoint()
+    x, y = rows.where("g != top").alias("x"), rows.alias("y")
+    once = (F.col("y.g") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.g") != F.col("y.g")) & once & _fits(threshold))
+    return _ordered(met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
 
 
 def copy_links(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -214,11 +252,20 @@ def copy_links(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
 
     ``prints`` has one row a key (see ``_PRINTS``, and its least id); ``texts`` has the rows (key, id, text).
     """
-    first = family_pairs(prints, radius)
-    links = _verified(_possible(first, prints, threshold), prints, texts, threshold)
-    label = components(links).select(F.col("node").alias("key"), F.xxhash64("root").alias("g"))
-    second = prefix_pairs(prints, label, threshold).join(first, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(_possible(second, prints, threshold), prints, texts, threshold))
+    verified = lambda pairs: _verified(_possible(pairs, prints, threshold), prints, texts, threshold)
+    group = lambda found: components(found).select(F.col("node").alias("key"), F.xxhash64("root").alias("g"))
+    tried = family_pairs(prints, radius)
+    links = verified(tried)
+    shared = shared_shingles(prints, group(links))
+    for seed in range(HEAD_ROUNDS):
+        pairs = head_pairs(shared, seed, threshold).join(tried, ["a", "b"], "left_anti").checkpoint()
+        more = verified(pairs)
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        shared = _grouped(shared, group(links)).checkpoint()
+    rest = prefix_pairs(shared, threshold).join(tried, ["a", "b"], "left_anti").checkpoint()
+    return links.unionByName(verified(rest))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

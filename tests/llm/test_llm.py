@@ -400,6 +400,21 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, frequent):
     assert len(kept) < len({r["doc_id"] for r in simhash.keep_one(d).collect()})
 
 
+def test_near_copies_of_a_large_family_are_compared_by_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BOTTOM", 1)  # so that the first round leaves some apart
+    compared, possible = [], nearcopies._possible
+    monkeypatch.setattr(nearcopies, "_possible", lambda pairs, *rest: compared.append(pairs.count()) or possible(pairs, *rest))
+    rng = random.Random(6)
+    base, texts = [f"w{i}" for i in range(120)], []
+    for i in range(600):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{i}"
+        texts.append(" ".join(copy))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in nearcopies.keep_one(d).collect()] == [0]
+    assert sum(compared) < 10 * len(texts)
+
+
 def test_pipeline_drops_near_copies(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, read_table(spark, DATA, "documents"), DATA).collect()}
     rows = docs.sort_values("doc_id")
