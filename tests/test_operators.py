@@ -261,6 +261,16 @@ def test_streams_of_a_file_and_of_a_folder(spark, tmp_path, one_file):
     assert sorted((r["doc_id"], r["n_spans"]) for r in QUERIES["stream_tokenize"](spark, str(tmp_path)).collect()) == [(i, 1) for i in range(6)]
 
 
+def test_stream_of_turns_in_a_folder_of_files(spark, tmp_path):
+    from maskwright.plans.all import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    (tmp_path / "nation.parquet").symlink_to(f"{data}/nation.parquet")
+    spark.read.parquet(f"{data}/conversations.parquet").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = lambda folder: sorted(map(str, QUERIES["stream_tokenize_turns"](spark, str(folder)).collect()))
+    assert rows(tmp_path) == rows(data) != []
+
+
 def test_stream_slots_run_out(spark, tmp_path):
     """Eleven values of one hash: ten tokens, then a text without one comes back null."""
     from maskwright.streaming import jobs as J
