@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: scratch arrays stay small whatever the Arrow batch holds.
 SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1_024
+#: Short rows (keys, pairs of keys) that one part holds before there are more parts.
+PART_ROWS = 50_000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -53,6 +55,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def packed(df: DataFrame, rows: int = PART_ROWS) -> DataFrame:
+    """A checkpoint of the frame, read in one part more than it holds times ``rows`` rows, or in as many parts as
+    before: each part of a shuffle's input writes files of its own, so steps over few rows take few parts."""
+    kept = df.checkpoint()
+    return kept.coalesce(kept.count() // rows + 1)
+
+
 def encode_slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """Yield (offset, UTF-8 texts) groups of about SLICE_BYTES; a null counts as empty."""
     start, size, group = 0, 0, []

@@ -11,9 +11,10 @@ The first joins large families at little cost: SimHash with BK-trees (``simhash.
 the least text of each of a text's ``BOTTOM`` smallest shingles. The second finds what is left and
 loses nothing: a text's prefix is its first shingles in an order that is the same for all texts, as
 many as it may miss at the threshold, plus one, so two near copies share a shingle of their prefixes.
-Only prefix shingles that two groups of the first round share are looked at again. First single texts of
-the groups are compared, so that a text which the first round has left apart from a large family joins it
-by a few pairs and not by one with each member; then all pairs of groups that are still apart. Shingles
+Only prefix shingles that two groups of the first round share are looked at again. Where a shingle would make
+many pairs, first single texts of its groups are compared, so that a text which the first round has left apart
+from a large family joins it by a few pairs and not by one with each member; then all pairs of groups that are
+still apart. Shingles
 that a sample shows to be frequent come last in the order; the sample decides the cost only.
 
 A pair is fetched for exact verification only if sizes and parities allow it. Each shingle flips one
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, map_rows, written
+from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, map_rows, packed, written
 from maskwright.llm.simhash import SEED, components, hamming_links, keep_rows
 
 WIDTH, THRESHOLD, RADIUS = 5, 0.8, 2
@@ -46,6 +47,8 @@ MAX_BROADCAST_ROWS = 500_000
 MAX_BROADCAST_SHINGLES = 2_000_000
 #: Rounds that join groups by single texts of them before all that is left is compared.
 HEAD_ROUNDS = 2
+#: Pairs of unlike groups a row that a shingle may make before it takes part in those rounds.
+PAIRS_A_ROW = 4
 #: Words of 64 bits of the parity that the second round's joins compare.
 LANES = 8
 _CHUNK = 100_000
@@ -113,7 +116,7 @@ def _possible(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFram
         near = pa.array([_differ(x, y) <= m for m, x, y in zip(most, pa_, pb, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    return map_rows(both, "a binary, b binary", fn).checkpoint()
+    return packed(map_rows(both, "a binary, b binary", fn))
 
 
 def _raw(text: str | None) -> bytes:
@@ -168,13 +171,14 @@ def _with_prints(rows: DataFrame, at: int, frequent: np.ndarray, threshold: floa
 
 def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of keys whose sets reach the threshold; of a key's texts only that of its least id is read."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(prints.select("key", "id"), "key").checkpoint()
+    keys = packed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(prints.select("key", "id"), "key"))
     asked = bounded_broadcast(keys.select(F.col("key").alias("k"), F.col("id").alias("i")), MAX_BROADCAST_ROWS)
     sets = _sets(texts.join(asked, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("key", "text"))
     sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes")).checkpoint()
     side = lambda k: sets.select(F.col("key").alias(k), F.col("hashes").alias("h" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
-    return both.where(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b").checkpoint()
+    near = both.where(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+    return packed(near)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -192,7 +196,7 @@ def family_pairs(prints: DataFrame, radius: int) -> DataFrame:
     same = prints.join(least, "fp").select(F.col("key").alias("x"), "y")
     rows = prints.select("key", F.explode("bottom").alias("h"))
     heads = rows.groupBy("h").agg(F.min("key").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "y")
-    return _ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("key").alias("x"), "y"))).checkpoint()
+    return packed(_ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("key").alias("x"), "y"))))
 
 
 def _grouped(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -219,6 +223,14 @@ def _fits(threshold: float) -> Column:
     return sizes & (differ <= _apart(F.col("x.n"), F.col("y.n"), threshold))
 
 
+def heavy_shingles(shared: DataFrame) -> DataFrame:
+    """The rows of the shingles that make more than PAIRS_A_ROW pairs of unlike groups for each of their rows."""
+    sizes = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"))
+    sums = sizes.groupBy("h").agg(F.sum("c").alias("rows"), F.sum(F.col("c") * F.col("c")).alias("alike"))
+    heavy = packed(sums.where(F.col("rows") * F.col("rows") - F.col("alike") > 2 * PAIRS_A_ROW * F.col("rows")).select("h"))
+    return shared.join(bounded_broadcast(heavy, MAX_BROADCAST_ROWS), "h").select(*shared.columns).checkpoint()
+
+
 def head_pairs(shared: DataFrame, seed: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of a round between groups: of each shingle one text of each group, by chance, with that of the
     shingle's largest group and that of another one. At most two pairs for each shingle and group."""
@@ -256,15 +268,20 @@ def copy_links(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD
     group = lambda found: components(found).select(F.col("node").alias("key"), F.xxhash64("root").alias("g"))
     tried = family_pairs(prints, radius)
     links = verified(tried)
-    shared = shared_shingles(prints, group(links))
+    label = group(links)
+    shared = shared_shingles(prints, label)
+    heavy = heavy_shingles(shared)
     for seed in range(HEAD_ROUNDS):
-        pairs = head_pairs(shared, seed, threshold).join(tried, ["a", "b"], "left_anti").checkpoint()
+        if heavy.isEmpty():
+            break
+        pairs = packed(head_pairs(heavy, seed, threshold).join(tried, ["a", "b"], "left_anti"))
         more = verified(pairs)
         if more.isEmpty():
             break
         tried, links = tried.unionByName(pairs), links.unionByName(more)
-        shared = _grouped(shared, group(links)).checkpoint()
-    rest = prefix_pairs(shared, threshold).join(tried, ["a", "b"], "left_anti").checkpoint()
+        label = group(links)
+        heavy = heavy_shingles(_grouped(heavy, label))
+    rest = packed(prefix_pairs(_grouped(shared, label), threshold).join(tried, ["a", "b"], "left_anti"))
     return links.unionByName(verified(rest))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from maskwright.llm.common import bounded_broadcast, ensure_checkpoint_dir, ensure_importable, map_rows, written
+from maskwright.llm.common import PART_ROWS, bounded_broadcast, ensure_checkpoint_dir, ensure_importable, map_rows, written
 
 SHINGLE, SEED, RADIUS, SHARD_ROWS = 3, 42, 2, 20_000
 #: Hashes that are turned into bits at once.
@@ -223,19 +223,21 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds until nothing changes, which takes about the
     logarithm of the longest chain; the rows of a round are at most the links, each round is cut
     off by a checkpoint in the shared folder. A node with very many links is a hot key of plain
-    inner joins only, which adaptive execution splits.
+    inner joins only, which adaptive execution splits. A round shuffles some six times, and each part of a
+    shuffle's input writes files of its own, so the parts are one more than PART_ROWS goes into the links.
     """
     spark = links.sparkSession
     ensure_checkpoint_dir(spark)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct().checkpoint()
-    state = None
+    parts, state = edges.count() // PART_ROWS + 1, None
+    edges = edges.coalesce(parts)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = small.where("u != v").distinct().checkpoint()
+        small = large.join(low, "u").coalesce(parts).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = small.where("u != v").distinct().coalesce(parts).checkpoint()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             break

@@ -415,6 +415,39 @@ def test_near_copies_of_a_large_family_are_compared_by_few_pairs(spark, monkeypa
     assert sum(compared) < 10 * len(texts)
 
 
+def test_few_links_take_few_parts(spark):
+    """However many parts a shuffle has: each part of its input writes files of its own."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9)], "a long, b long")
+        found = simhash.components(links)
+        assert found.rdd.getNumPartitions() <= 2 + 40  # edges as they are, and the roots behind one shuffle
+        assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_near_copies_without_heavy_shingles_take_no_head_rounds(spark, monkeypatch):
+    rounds, possible = [], nearcopies._possible
+    monkeypatch.setattr(nearcopies, "BOTTOM", 1)
+    monkeypatch.setattr(nearcopies, "_possible", lambda pairs, *rest: rounds.append(pairs.count()) or possible(pairs, *rest))
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):
+        base = [f"a{rng.randrange(900)}" for _ in range(60)]
+        for at in (5, 30, 55):
+            copy = list(base)
+            copy[at] = f"x{i}-{at}"
+            texts.append(" ".join(copy))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(d).collect()) == [i for i, r in enumerate(naive_copies(texts)) if i == r]
+    assert len(rounds) == 2
+
+
 def test_pipeline_drops_near_copies(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, read_table(spark, DATA, "documents"), DATA).collect()}
     rows = docs.sort_values("doc_id")
