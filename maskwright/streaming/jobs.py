@@ -103,7 +103,8 @@ class _Slots(StatefulProcessor):
         known = self.taken.get() if self.taken.exists() else None
         taken = dict(zip(known[0], known[1], strict=True)) if known else {}
         before = len(taken)
-        for row in sorted(rows, key=lambda r: (r.turn, r.doc_id)):  # a request has few texts
+        place = lambda r: (r.turn is not None, r.turn or 0, r.doc_id is not None, r.doc_id or 0)  # noqa: E731  nulls first, as Spark sorts
+        for row in sorted(rows, key=place):  # a request has few texts
             hashes = [_slot(base, value, taken) for base, value in zip(row.bases, row.owners, strict=True)]
             yield Row(doc_id=row.doc_id, text=row.text, starts=row.starts, ends=row.ends, types=row.types, hashes=hashes)
         if len(taken) > before:

@@ -271,6 +271,20 @@ def test_stream_of_turns_in_a_folder_of_files(spark, tmp_path):
     assert rows(tmp_path) == rows(data) != []
 
 
+def test_stream_of_requests_takes_rows_without_turn(spark, tmp_path):
+    from maskwright.plans.detection import key_table
+    from maskwright.plans.registry import Tables
+    from maskwright.streaming import jobs as J
+    from compare import DATA
+
+    rows = [(1, 1, 1, 0, "a@example.org"), (None, 1, 1, None, "b@example.org"), (3, 1, 1, None, "a@example.org")]
+    docs = spark.createDataFrame(rows, "doc_id long, org_id long, request_id long, turn long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = J.drain(J.tokenize_requests(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), key_table(Tables(spark, DATA)))).collect()
+    token = {r["doc_id"]: r["tokenized"] for r in got}
+    assert len(got) == 3 and token[1] == token[3] != token[None] and all("[#em:" in t for t in token.values())
+
+
 def test_stream_slots_run_out(spark, tmp_path):
     """Eleven values of one hash: ten tokens, then a text without one comes back null."""
     from maskwright.streaming import jobs as J
