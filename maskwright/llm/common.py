@@ -43,10 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared_folder(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a frame to a new table in the shared folder and read it: later steps read the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

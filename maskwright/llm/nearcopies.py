@@ -14,9 +14,12 @@ many as it may miss at the threshold, plus one, so two near copies share a shing
 Only prefix shingles that two groups of the first round share are looked at again. Where a shingle would make
 many pairs, first single texts of its groups are compared, so that a text which the first round has left apart
 from a large family joins it by a few pairs and not by one with each member; then all pairs of groups that are
-still apart. Shingles
+still apart. Shingles that the very same texts share make the same pairs, so only one of them is looked at. Shingles
 that a sample shows to be frequent come last in the order; the sample decides the cost only.
 
+Texts are known by the number ``t`` of a row of the written table, so what is shuffled and joined is narrow; prefixes and
+parities stay in the table and are read from it, once for each distinct text.
+
 A pair is fetched for exact verification only if sizes and parities allow it. Each shingle flips one
 bit of a text's parity, so two texts differ in at most as many bits as shingles.
 
@@ -43,7 +46,7 @@ BOTTOM = 8
 SAMPLE, FREQUENT, MAX_FREQUENT = 16, 2, 100_000
 #: Rows that may be broadcast, of at most 40 bytes.
 MAX_BROADCAST_ROWS = 500_000
-#: Shingles (rows of 8 bytes) that may be broadcast.
+#: Shingles or row numbers (rows of 8 bytes) that may be broadcast.
 MAX_BROADCAST_SHINGLES = 2_000_000
 #: Rounds that join groups by single texts of them before all that is left is compared.
 HEAD_ROUNDS = 2
@@ -106,7 +109,7 @@ def _apart(na: Column, nb: Column, threshold: float) -> Column:
 
 def _possible(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sizes and parities allow the threshold."""
-    side = lambda k: prints.select(F.col("key").alias(k), F.col("n").alias("n" + k), F.col("parity").alias("p" + k))
+    side = lambda k: prints.select(F.col("t").alias(k), F.col("n").alias("n" + k), F.col("parity").alias("p" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)
     both = both.select("a", "b", _apart(F.col("na"), F.col("nb"), threshold).alias("most"), "pa", "pb")
@@ -116,7 +119,7 @@ def _possible(pairs: DataFrame, prints: DataFrame, threshold: float) -> DataFram
         near = pa.array([_differ(x, y) <= m for m, x, y in zip(most, pa_, pb, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    return packed(map_rows(both, "a binary, b binary", fn))
+    return packed(map_rows(both, "a long, b long", fn))
 
 
 def _raw(text: str | None) -> bytes:
@@ -129,19 +132,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(key, hashes) of (key, text) rows."""
+    """(t, hashes) of (t, text) rows."""
 
     def fn(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(_raw(t)) for t in batch.column(1).to_pylist()])], ["key", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(_raw(t)) for t in batch.column(1).to_pylist()])], ["t", "hashes"])
 
-    return map_rows(rows, "key binary, hashes array<long>", fn)
+    return map_rows(rows, "t long, hashes array<long>", fn)
 
 
 def frequent_shingles(texts: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles met most often in a sample of the distinct texts."""
     some = texts.toDF("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
     some = some.groupBy(F.xxhash64("text").alias("k")).agg(F.first("text").alias("text"))
-    counts = _sets(some.select(F.lit(b"").alias("key"), "text")).select(F.explode("hashes").alias("h")).groupBy("h").count()
+    counts = _sets(some.select(F.lit(0).cast("long").alias("t"), "text")).select(F.explode("hashes").alias("h")).groupBy("h").count()
     top = counts.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
@@ -169,13 +172,25 @@ def _with_prints(rows: DataFrame, at: int, frequent: np.ndarray, threshold: floa
     return map_rows(rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", " + _PRINTS, fn)
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets reach the threshold; of a key's texts only that of its least id is read."""
-    keys = packed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(prints.select("key", "id"), "key"))
-    asked = bounded_broadcast(keys.select(F.col("key").alias("k"), F.col("id").alias("i")), MAX_BROADCAST_ROWS)
-    sets = _sets(texts.join(asked, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("key", "text"))
-    sets = sets.groupBy("key").agg(F.first("hashes").alias("hashes")).checkpoint()
-    side = lambda k: sets.select(F.col("key").alias(k), F.col("hashes").alias("h" + k))
+def _one_each(table: DataFrame, least: DataFrame) -> DataFrame:
+    """The rows of the table, numbered ``row``, without those that repeat a key; ``least`` (key, t, c) has the number of
+    each key's row that stays, and how many there are. The rows that go are few and broadcast, so what stays is read from
+    the table whenever it is needed; beyond the bound it is written once.
+    """
+    again = table.select("key", "row").join(bounded_broadcast(least.where("c > 1").select("key", "t"), MAX_BROADCAST_ROWS), "key").where("row != t").select("row").checkpoint()
+    prints = table.select("row", *(part.split()[0] for part in _PRINTS.split(", ")))
+    if again.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES:
+        prints = prints.join(F.broadcast(again), "row", "left_anti")
+    else:
+        prints = written(prints.join(least.select(F.col("t").alias("row")), "row", "left_semi"), "near-copy-prints", "zstd")
+    return prints.withColumnRenamed("row", "t")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of texts whose sets reach the threshold."""
+    asked = packed(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct())
+    sets = _sets(texts.join(bounded_broadcast(asked, MAX_BROADCAST_ROWS), "t", "left_semi").select("t", "text")).checkpoint()
+    side = lambda k: sets.select(F.col("t").alias(k), F.col("hashes").alias("h" + k))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size("ha").alias("na"), F.size("hb").alias("nb"), F.size(F.array_intersect("ha", "hb")).alias("both"))
     near = both.where(F.col("both") >= F.lit(threshold) * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
     return packed(near)
@@ -189,31 +204,37 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def family_pairs(prints: DataFrame, radius: int) -> DataFrame:
     """First round: texts of one fingerprint, fingerprints within the radius, and the texts of a bottom
     shingle with the least of them; at most BOTTOM + 2 pairs a text."""
-    least = prints.groupBy("fp").agg(F.min("key").alias("y")).checkpoint()
+    least = prints.groupBy("fp").agg(F.min("t").alias("y")).checkpoint()
     near = hamming_links(least.select("fp"), radius).distinct()
     side = lambda f, k: least.select(F.col("fp").alias(f), F.col("y").alias(k))
     near = near.join(side("a", "x"), "a").join(side("b", "y"), "b").select("x", "y")
-    same = prints.join(least, "fp").select(F.col("key").alias("x"), "y")
-    rows = prints.select("key", F.explode("bottom").alias("h"))
-    heads = rows.groupBy("h").agg(F.min("key").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "y")
-    return packed(_ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("key").alias("x"), "y"))))
+    same = prints.join(least, "fp").select(F.col("t").alias("x"), "y")
+    rows = prints.select("t", F.explode("bottom").alias("h"))
+    heads = rows.groupBy("h").agg(F.min("t").alias("y"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "y")
+    return packed(_ordered(near.unionByName(same).unionByName(rows.join(heads, "h").select(F.col("t").alias("x"), "y"))))
 
 
 def _grouped(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """The rows with the group of their key by ``label`` (key, g); a key without one is its own."""
-    return rows.drop("g").join(bounded_broadcast(label, MAX_BROADCAST_ROWS), "key", "left").withColumn("g", F.coalesce("g", F.xxhash64("key")))
+    """The rows with the group of their text by ``label`` (t, g); a text without one is its own."""
+    return rows.drop("g").join(bounded_broadcast(label, MAX_BROADCAST_ROWS), "t", "left").withColumn("g", F.coalesce("g", "t"))
+
+
+def _unlike_sets(rows: DataFrame) -> DataFrame:
+    """The (h, t) rows of one shingle h for each set of texts: of those that the same texts share, the least."""
+    digest = [F.bit_xor(F.xxhash64("t", F.lit(seed))).alias(f"d{seed}") for seed in (1, 2)]
+    sets = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), *digest)
+    least = sets.groupBy("c", "d1", "d2").agg(F.min("h").alias("h")).select("h").checkpoint()
+    return rows.join(bounded_broadcast(least, MAX_BROADCAST_SHINGLES), "h")
 
 
 def shared_shingles(prints: DataFrame, label: DataFrame) -> DataFrame:
-    """(h, key, n, g, l0, l1, ...): the prefix shingles that texts of different groups share, with sizes and parity lanes."""
-    grouped = _grouped(prints.select("key", "n", "prefix", "lanes"), label)
-    shingles = lambda *more: grouped.select("key", "g", *more, F.explode("prefix").alias("h"))
-    mixed = shingles().groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
-    if mixed.limit(MAX_BROADCAST_SHINGLES + 1).count() <= MAX_BROADCAST_SHINGLES:
-        rows = shingles("n", "lanes").join(F.broadcast(mixed), "h")
-    else:  # lanes are fetched for the rows that are left
-        rows = shingles().join(mixed, "h").join(prints.select("key", "n", "lanes"), "key")
-    return rows.select("h", "key", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES))).checkpoint()
+    """(h, t, n, g, l0, l1, ...): the prefix shingles that texts of different groups share, one of those that the same
+    texts share, with sizes and parity lanes."""
+    grouped = _grouped(prints.select("t", "prefix"), label)
+    mixed = grouped.select("g", F.explode("prefix").alias("h")).groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("h").checkpoint()
+    rows = prints.select("t", F.explode("prefix").alias("h")).join(bounded_broadcast(mixed, MAX_BROADCAST_SHINGLES), "h").checkpoint()
+    rows = _unlike_sets(rows).join(prints.select("t", "n", "lanes"), "t")
+    return _grouped(rows, label).select("h", "t", "n", "g", *(F.col("lanes")[i].alias(f"l{i}") for i in range(LANES))).checkpoint()
 
 
 def _fits(threshold: float) -> Column:
@@ -234,14 +255,14 @@ def heavy_shingles(shared: DataFrame) -> DataFrame:
 def head_pairs(shared: DataFrame, seed: int, threshold: float) -> DataFrame:
     """Pairs (a, b) of a round between groups: of each shingle one text of each group, by chance, with that of the
     shingle's largest group and that of another one. At most two pairs for each shingle and group."""
-    rest = ["key", "n", *(f"l{i}" for i in range(LANES))]
-    heads = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("key", "h", F.lit(seed)).alias("by"), *rest)).alias("m"))
+    rest = ["t", "n", *(f"l{i}" for i in range(LANES))]
+    heads = shared.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("t", "h", F.lit(seed)).alias("by"), *rest)).alias("m"))
     heads = heads.select("h", "g", "c", *(F.col(f"m.{c}") for c in rest)).checkpoint()
     side = F.struct("g", *rest)
     two = heads.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max_by(side, F.struct("c", "g")).alias("big"), F.min_by(side, F.struct(F.xxhash64("g", F.lit(seed)), "g")).alias("any")).where("k > 1")
     two = two.select("h", F.explode(F.array("big", "any")).alias("y"))
     met = heads.alias("x").join(two, F.col("x.h") == two["h"]).where((F.col("x.g") != F.col("y.g")) & _fits(threshold))
-    return _ordered(met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
+    return _ordered(met.select(F.col("x.t").alias("x"), F.col("y.t").alias("y")))
 
 
 def prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
@@ -254,18 +275,18 @@ def prefix_pairs(shared: DataFrame, threshold: float) -> DataFrame:
     top = sizes.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "g")).alias("m")).where("k > 1").select("h", F.col("m.g").alias("top"))
     rows = shared.join(top, "h").checkpoint()
     x, y = rows.where("g != top").alias("x"), rows.alias("y")
-    once = (F.col("y.g") == F.col("y.top")) | (F.col("x.key") < F.col("y.key"))
+    once = (F.col("y.g") == F.col("y.top")) | (F.col("x.t") < F.col("y.t"))
     met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.g") != F.col("y.g")) & once & _fits(threshold))
-    return _ordered(met.select(F.col("x.key").alias("x"), F.col("y.key").alias("y")))
+    return _ordered(met.select(F.col("x.t").alias("x"), F.col("y.t").alias("y")))
 
 
 def copy_links(prints: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """Verified links (a, b) of keys whose components are those of all near copies.
+    """Verified links (a, b) of texts whose components are those of all near copies.
 
-    ``prints`` has one row a key (see ``_PRINTS``, and its least id); ``texts`` has the rows (key, id, text).
+    ``prints`` has one row a distinct text (see ``_PRINTS``), numbered t; ``texts`` has its (t, text) among others.
     """
-    verified = lambda pairs: _verified(_possible(pairs, prints, threshold), prints, texts, threshold)
-    group = lambda found: components(found).select(F.col("node").alias("key"), F.xxhash64("root").alias("g"))
+    verified = lambda pairs: _verified(_possible(pairs, prints, threshold), texts, threshold)
+    group = lambda found: components(found).select(F.col("node").alias("t"), F.col("root").alias("g"))
     tried = family_pairs(prints, radius)
     links = verified(tried)
     label = group(links)
@@ -293,10 +314,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     ensure_checkpoint_dir(docs.sparkSession)
     at, id_at = docs.columns.index(text_col), f"c{docs.columns.index(id_col)}"
     flat = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    table = written(_with_prints(flat, at, frequent_shingles(flat.select(f"c{at}")), threshold), "near-copies")
-    names = [part.split()[0] for part in _PRINTS.split(", ")]
-    rank = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"))
-    one = table.groupBy("key").agg(F.min(rank).alias("m"), *(F.first(c).alias(c) for c in names[1:])).withColumn("id", F.col("m.id")).drop("m").checkpoint()
-    links = copy_links(one, table.select("key", F.col(id_at).alias("id"), F.col(f"c{at}").alias("text")), threshold)
-    roots = components(links).select(F.col("node").alias("key"), "root")
+    numbered = flat.withColumn("row", F.monotonically_increasing_id())
+    table = written(_with_prints(numbered, at, frequent_shingles(flat.select(f"c{at}")), threshold), "near-copies", "zstd")
+    rank = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "row")
+    least = table.groupBy("key").agg(F.min(rank).alias("m"), F.count(F.lit(1)).alias("c")).select("key", F.col("m.row").alias("t"), "c").checkpoint()
+    links = copy_links(_one_each(table, least), table.select(F.col("row").alias("t"), F.col(f"c{at}").alias("text")), threshold)
+    roots = components(links).join(least, F.col("node") == F.col("t")).select("key", F.hex("root").cast("binary").alias("root"))
     return keep_rows(table, id_at, roots, MAX_BROADCAST_ROWS).toDF(*docs.columns)

@@ -448,6 +448,34 @@ def test_near_copies_without_heavy_shingles_take_no_head_rounds(spark, monkeypat
     assert len(rounds) == 2
 
 
+def test_shingles_that_the_same_texts_share_are_looked_at_once(spark, monkeypatch):
+    """Pairs that share half of their text, and a third that shares a little: near copies of none."""
+    shared, find = [], nearcopies.shared_shingles
+    monkeypatch.setattr(nearcopies, "shared_shingles", lambda *a: shared.append(find(*a)) or shared[-1])
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        half, few = words(200), words(30)
+        texts += [" ".join(half + few + words(100)), " ".join(half + few + words(100)), " ".join(few + words(60))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(d).collect()) == list(range(36))
+    assert 12 <= shared[0].select("h").distinct().count() <= 12 * 4  # any two of three texts, or all
+    assert nearcopies._unlike_sets(spark.createDataFrame([(9, 1), (9, 2), (7, 2), (7, 1), (8, 1), (8, 3)], "h long, t long")).count() == 4
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_near_copies_of_texts_that_repeat(spark, monkeypatch, bound):
+    """Whether or not the rows that repeat a text are few enough to be broadcast."""
+    monkeypatch.setattr(nearcopies, "MAX_BROADCAST_SHINGLES", bound)
+    rng = random.Random(10)
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(5)]
+    texts = [" ".join(b) for b in base for _ in range(3)] + [" ".join([*b[:-1], "x"]) for b in base for _ in range(2)] + ["", None, " "]
+    rows = [(100 - i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (100, texts[0]), (None, "alone")]
+    kept = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == sorted([*(str(100 - 16 - 2 * i) for i in range(5)), "73", "None"])
+
+
 def test_pipeline_drops_near_copies(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, read_table(spark, DATA, "documents"), DATA).collect()}
     rows = docs.sort_values("doc_id")
